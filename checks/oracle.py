@@ -84,8 +84,8 @@ VIEWS = {
              ELSE CAST(CAST(m.prc / lag(m.prc) OVER (PARTITION BY m.permno ORDER BY m.date) - 1
                   AS DECIMAL(18, 6)) AS VARCHAR) END AS ret
         FROM fx_month m JOIN supplier s ON m.permno = s.s_suppkey""",
-    "fx_factor": f"""SELECT make_date(y, m, 1) AS date, y AS year, m AS month, pct * 0.01 AS mkt_rf, (0.2 + 0.01 * m) * 0.01 AS rf,
-        pct * 0.01 + (0.2 + 0.01 * m) * 0.01 AS mkt
+    "fx_factor": f"""SELECT make_date(y, m, 1) AS date, y AS year, m AS month, pct * 0.01 AS mkt_rf, CAST(0.2 + 0.01 * m AS DOUBLE) * 0.01 AS rf,
+        pct * 0.01 + CAST(0.2 + 0.01 * m AS DOUBLE) * 0.01 AS mkt
         FROM (SELECT CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m,
                 (CAST(sum(CAST(o_totalprice AS DECIMAL(12, 2))) AS DOUBLE) / count(o_totalprice) / 150000 - 1) * 10 AS pct
               FROM orders GROUP BY ALL)
@@ -93,7 +93,7 @@ VIEWS = {
     "fx_fund": """SELECT l_suppkey AS gvkey, CAST(year(l_shipdate) AS INT) AS fyear,
         make_date(CAST(year(l_shipdate) AS INT), 12, 31) AS datadate,
         CASE WHEN l_suppkey % 17 = 0 THEN 'SUMM_STD' ELSE 'STD' END AS datafmt,
-        sum(l_extendedprice) AS at, sum(l_extendedprice) * 0.55 AS lt,
+        sum(l_extendedprice) AS "at", sum(l_extendedprice) * 0.55 AS lt,
         CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE sum(l_extendedprice) * 0.45 END AS seq,
         CASE WHEN l_suppkey % 6 = 0 THEN NULL ELSE sum(l_extendedprice) * 0.40 END AS ceq,
         sum(l_quantity) AS pstk,
@@ -154,8 +154,8 @@ VIEWS = {
     "weighted": """SELECT s.*, t.total_mktcap, s.size / nullif(t.total_mktcap, 0) AS weight_mktcap
         FROM signals s LEFT JOIN totals t ON s.date = t.date""",
     # Accounts
-    "booked": """SELECT *, coalesce(seq, ceq + pstk, at - lt) AS she, coalesce(txditc, itcb + txdb, itcb, txdb) AS dt,
-        coalesce(pstkrv, pstkl, pstk) AS ps, coalesce(seq, ceq + pstk, at - lt) - coalesce(pstkrv, pstkl, pstk)
+    "booked": """SELECT *, coalesce(seq, ceq + pstk, "at" - lt) AS she, coalesce(txditc, itcb + txdb, itcb, txdb) AS dt,
+        coalesce(pstkrv, pstkl, pstk) AS ps, coalesce(seq, ceq + pstk, "at" - lt) - coalesce(pstkrv, pstkl, pstk)
         + coalesce(txditc, itcb + txdb, itcb, txdb) AS be, act / nullif(lct, 0) AS current_ratio FROM fx_fund""",
     "dated": f"""SELECT gvkey, lpermno, lpermco, linktype, linkprim, CAST(strptime(linkdt, '%Y%m%d') AS DATE) AS linkdt,
         coalesce(CAST(try_strptime(linkenddt, '%Y%m%d') AS DATE), {AS_OF}) AS linkenddt
@@ -164,8 +164,8 @@ VIEWS = {
         ON b.gvkey = d.gvkey AND b.datadate BETWEEN d.linkdt AND d.linkenddt WHERE b.datafmt = 'STD'""",
     "grown": "SELECT *, "
     + ", ".join(
-        f"""({c} - lag({c}) OVER (PARTITION BY gvkey ORDER BY datadate, lpermno))
-        / nullif(lag({c}) OVER (PARTITION BY gvkey ORDER BY datadate, lpermno), 0) AS {c}_growth"""
+        f"""("{c}" - lag("{c}") OVER (PARTITION BY gvkey ORDER BY datadate, lpermno))
+        / nullif(lag("{c}") OVER (PARTITION BY gvkey ORDER BY datadate, lpermno), 0) AS {c}_growth"""
         for c in ("at", "revt", "ni", "xrd")
     )
     + " FROM linked",

@@ -1,6 +1,6 @@
 """Output columns of every query, shared by the Spark side and the SQL side.
 
-``name`` is passed on, ``name:6`` is rounded to six digits, ``name:d`` is a date as text and
+``name`` is passed on (exact in both engines), ``name:6`` is rounded to six digits, ``name:d`` is a date as text and
 ``name:i`` a whole number. Adding zero turns a negative zero into zero.
 """
 
@@ -11,27 +11,28 @@ from pyspark.sql import functions as F
 
 KEY = "permno date:d"
 ROW = "permno date:d gvkey"
-MATRIX = "year month " + " ".join(f"g{i}:6" for i in range(1, 11))
-PORTFOLIO = "grp year month equal_ret:6 value_ret:6"
+MATRIX = "year month " + " ".join(f"g{i}:10" for i in range(1, 11))
+PREDICTIONS = "sample date:d " + " ".join(f"g{i}:6" for i in range(1, 11))
+PORTFOLIO = "grp year month equal_ret:10 value_ret:10"
 
 COLUMNS = {
-    "scan_panel": f"{KEY} permco shrcd exchcd siccd prc:4 ret vol:2 shrout:2",
+    "scan_panel": f"{KEY} permco shrcd exchcd siccd prc ret vol shrout",
     "factor_series": "date:d year month mkt_rf:8 rf:8 mkt:8",
-    "macro_join": f"{KEY} urgent:4 high:4 medium:4 unspecified:4 low:4",
+    "macro_join": f"{KEY} urgent high medium unspecified low",
     "fund_extra_join": "gvkey datadate:d datafmt prba:4",
-    "clean_returns": f"{KEY} ret:6 prc:4 siccd",
-    "market_equity": f"{KEY} me:4",
+    "clean_returns": f"{KEY} ret:6 prc siccd",
+    "market_equity": f"{KEY} me",
     "calendar_cols": f"{KEY} year month fdate:d fyear",
     "universe_filter": f"{KEY} shrcd exchcd ret:6",
     "link_filter": "gvkey lpermno lpermco linktype linkprim linkdt linkenddt",
-    "penny_filter": f"{KEY} prc:4",
-    "security_lookup": f"{KEY} prc:4 ret:6 me:4",
+    "penny_filter": f"{KEY} prc",
+    "security_lookup": f"{KEY} prc ret:6 me",
     "industry_map": f"{KEY} siccd industry",
     "link_join": "gvkey datadate:d fyear lpermno lpermco linktype linkdt:d linkenddt:d at:4",
     "liquidity": f"{KEY} dvol:6 turn:6",
     "excess_return": f"{KEY} ex_ret:8",
     "beta": f"{KEY} beta:6 beta_shrink:6 beta_lag:6 beta_shrink_lag:6 beta_lag_square:6 beta_shrink_lag_square:6",
-    "size_factor": f"{KEY} size:4 log_size:6",
+    "size_factor": f"{KEY} size log_size:6",
     "book_equity": "gvkey datadate:d she:4 dt:4 ps:4 be:4",
     "current_ratio": "gvkey datadate:d current_ratio:6",
     "value_factor": f"{ROW} value:6",
@@ -43,7 +44,7 @@ COLUMNS = {
     "value_weights": f"{KEY} total_mktcap:2 weight_mktcap:9",
     "strategy_compare": "year month momentum:6 size:6 value:6 ols:6",
     "strategy_wealth": "year month momentum:6 size:6 value:6 ols:6",
-    "lagged_cols": f"{KEY} prc_lag:4 ret_lag:6 me_lag:4",
+    "lagged_cols": f"{KEY} prc_lag ret_lag:6 me_lag",
     "momentum": f"{KEY} momentum_12:6 momentum_6:6 momentum_36:6",
     "reversal": f"{KEY} reversal:6",
     "momentum_count": f"{KEY} momentum_count:i",
@@ -56,32 +57,32 @@ COLUMNS = {
     "decile_value": f"{ROW} grp",
     "decile_value_present": f"{ROW} grp",
     "decile_prediction": f"{ROW} grp",
-    "cumulative_return": "grp year month ret:6 wealth:6",
+    "cumulative_return": "grp year month ret:10 wealth:6",
     "total_mktcap": "date:d total_mktcap:2",
     "portfolio_momentum": PORTFOLIO,
     "portfolio_size": PORTFOLIO,
     "portfolio_value": PORTFOLIO,
     "portfolio_beta": PORTFOLIO,
-    "backtest_lr": "sample weighting grp year month ret:6 wealth:6",
+    "backtest_lr": "sample weighting grp year month ret:10 wealth:8",
     "decile_matrix": MATRIX,
-    "prediction_matrix": MATRIX.replace("year month", "sample date:d"),
-    "market_equal": "sample year month ret:6 wealth:6",
-    "market_value": "sample year month ret:6 wealth:6",
+    "prediction_matrix": PREDICTIONS,
+    "market_equal": "sample year month ret:12 wealth:6",
+    "market_value": "sample year month ret:9 wealth:6",
     "factor_benchmark": "sample year month mkt:8 wealth:6",
-    "subsample_cum": "sample weighting grp year month ret:6 wealth:6",
+    "subsample_cum": "sample weighting grp year month ret:10 wealth:6",
     "performance_stats": "grp annual_return:6 annual_volatility:6 sharpe:6",
     "strategy_stats": "strategy annual_return:6 annual_volatility:6 sharpe:6",
     "profile_nulls": "column rows nulls",
     "profile_stats": "column count mean:4 stddev:4 min:4 max:4",
     "industry_distinct": "industry industry_index:i",
     "subperiod_terminal": "period grp wealth:6",
-    "top_returns": f"{KEY} prc:4 ret:6",
+    "top_returns": f"{KEY} prc ret:6",
     "time_split": f"sample {ROW} ret:6",
     "industry_index": f"{KEY} industry industry_index:i",
     "industry_onehot": f"{KEY} onehot",
     "feature_matrix": (
         "sample permno date:d gvkey momentum_12:6 momentum_count:i momentum_6:6 momentum_36:6 reversal:6 beta_lag:6 "
-        "beta_shrink_lag:6 beta_lag_square:6 beta_shrink_lag_square:6 size:4 log_size:6 revt:4 be:4 value:6 dvol:6 "
+        "beta_shrink_lag:6 beta_lag_square:6 beta_shrink_lag_square:6 size log_size:6 revt:4 be:4 value:6 dvol:6 "
         "turn:6 ep:6 sp:6 at_growth:6 ni_growth:6 revt_growth:6 current_ratio:6 ret:6"
     ),
     "ols_coefficients": "term estimate:6",
@@ -100,8 +101,8 @@ COLUMNS = {
     "gbt_importance": "signal importance:6",
     "rf_importance": "signal importance:6",
     "tree_metrics": "model sample n r2:6 rmse:6",
-    "backtest_rf": "sample weighting grp year month ret:6 wealth:6",
-    "backtest_gbt": "sample weighting grp year month ret:6 wealth:6",
+    "backtest_rf": "sample weighting grp year month ret:10 wealth:6",
+    "backtest_gbt": "sample weighting grp year month ret:10 wealth:6",
     "strategy_compare_models": "year month momentum:6 size:6 value:6 random_forest:6 boosted_trees:6",
     "strategy_stats_models": "strategy annual_return:6 annual_volatility:6 sharpe:6",
 }

@@ -31,7 +31,7 @@ COLUMNS = {
     "link_join": "gvkey datadate:d fyear lpermno lpermco linktype linkdt:d linkenddt:d at:4",
     "liquidity": f"{KEY} dvol:6 turn:6",
     "excess_return": f"{KEY} ex_ret:8",
-    "beta": f"{KEY} beta:6 beta_shrink:6 beta_lag:6 beta_shrink_lag:6 beta_lag_square:6 beta_shrink_lag_square:6",
+    "beta": f"{KEY} beta:6 beta_shrink:6 beta_lag:6 beta_shrink_lag:6 beta_lag_square:3 beta_shrink_lag_square:3",
     "size_factor": f"{KEY} size log_size:6",
     "book_equity": "gvkey datadate:d she:4 dt:4 ps:4 be:4",
     "current_ratio": "gvkey datadate:d current_ratio:6",
@@ -82,7 +82,7 @@ COLUMNS = {
     "industry_onehot": f"{KEY} onehot",
     "feature_matrix": (
         "sample permno date:d gvkey momentum_12:6 momentum_count:i momentum_6:6 momentum_36:6 reversal:6 beta_lag:6 "
-        "beta_shrink_lag:6 beta_lag_square:6 beta_shrink_lag_square:6 size log_size:6 revt:4 be:4 value:6 dvol:6 "
+        "beta_shrink_lag:6 beta_lag_square:3 beta_shrink_lag_square:3 size log_size:6 revt:4 be:4 value:6 dvol:6 "
         "turn:6 ep:6 sp:6 at_growth:6 ni_growth:6 revt_growth:6 current_ratio:6 ret:6"
     ),
     "ols_coefficients": "term estimate:6",

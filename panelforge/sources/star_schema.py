@@ -22,9 +22,9 @@ def _unless(key: Column, divisor: int, value: Column) -> Column:
     return F.when(key % divisor != 0, value)
 
 
-def _cents(column: str) -> Column:
-    """Exact sum of money, so that no result depends on the order of addition."""
-    return F.sum(F.col(column).cast("decimal(12,2)")).cast("double")
+def _money(column: str) -> Column:
+    """Exact sum of money in whole cents, so that no result depends on the order of addition."""
+    return F.sum(F.rint(F.col(column) * 100).cast("bigint")) / 100
 
 
 def trade_months(lineitem: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def trade_months(lineitem: DataFrame) -> DataFrame:
         lineitem.groupBy(
             F.col("l_suppkey").alias("permno"), F.last_day(F.col("l_shipdate").cast("date")).alias("date")
         )
-        .agg(_cents("l_extendedprice").alias("amount"), F.sum("l_quantity").alias("vol"))
+        .agg(_money("l_extendedprice").alias("amount"), F.sum("l_quantity").alias("vol"))
         .select("permno", "date", ratio("amount", "vol").alias("prc"), "vol")
     )
 
@@ -72,7 +72,7 @@ def security_months(lineitem: DataFrame, supplier: DataFrame) -> DataFrame:
 def factor_file(orders: DataFrame) -> DataFrame:
     """Monthly factor file in percent; one row per calendar month."""
     monthly = orders.groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(
-        _cents("o_totalprice").alias("amount"), F.count("o_totalprice").alias("n")
+        _money("o_totalprice").alias("amount"), F.count("o_totalprice").alias("n")
     )
     return monthly.select(
         (F.col("year") * 100 + F.col("month")).cast("string").alias("Date"),
@@ -146,7 +146,7 @@ def macro_file(orders: DataFrame) -> DataFrame:
             F.year("o_orderdate").alias("year"),
             F.month("o_orderdate").alias("month"),
         )
-        .agg(_cents("o_totalprice").alias("amount"), F.count("o_totalprice").alias("n"))
+        .agg(_money("o_totalprice").alias("amount"), F.count("o_totalprice").alias("n"))
         .where(F.col("series").startswith("1") | F.col("month").isin(3, 6, 9, 12))
         .select("series", "year", "month", (F.col("amount") / F.col("n")).alias("value"))
     )

@@ -1,0 +1,95 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from panelforge.operators import cleaning
+from panelforge.plans import panel as panels
+from panelforge.settings import Sample
+from tests.conftest import column
+
+RAW = "permno long, permco long, date string, shrcd int, exchcd int, siccd string, prc double, ret string, vol double, shrout double"
+
+
+def raw(spark, *rows):
+    return spark.createDataFrame(rows, RAW)
+
+
+@pytest.mark.parametrize("code", ["-99", "-88", "-77", "-66", "-55", "-44", "B", "C"])
+def test_sentinel_return_is_missing(spark, code):
+    df = cleaning.clean_returns(spark.createDataFrame([(code, "100")], "ret string, siccd string"))
+    assert df.first()["ret"] is None
+
+
+def test_numbers_survive_and_text_becomes_missing(spark):
+    rows = [("-0.05", "2000"), ("0", "Z"), ("", None), (None, "")]
+    df = cleaning.clean_returns(spark.createDataFrame(rows, "ret string, siccd string"))
+    assert [tuple(r) for r in df.collect()] == [(-0.05, 2000), (0.0, None), (None, None), (None, None)]
+
+
+def test_numeric_return_column_is_accepted(spark):
+    df = cleaning.clean_returns(spark.createDataFrame([(0.25, 7)], "ret double, siccd int"))
+    assert df.first()["ret"] == 0.25
+
+
+def test_calendar_from_text_and_bad_text(spark):
+    df = spark.createDataFrame([("1998/07/31",), ("soon",)], "date string")
+    got = cleaning.with_calendar(df, fmt="yyyy/MM/dd").collect()
+    assert tuple(got[0]) == (dt.date(1998, 7, 31), 1998, 7)
+    assert tuple(got[1]) == (None, None, None)
+
+
+def test_fiscal_year_turns_in_july(spark):
+    df = spark.createDataFrame([("1998-06-30",), ("1998-07-31",)], "d string").select(F.to_date("d").alias("date"))
+    assert column(cleaning.with_fiscal_year(df), "fyear") == [1996, 1997]
+
+
+def test_industry_bounds(spark):
+    cases = {
+        None: "Argriculture", 999: "Argriculture", 1000: "Mining", 1499: "Mining", 1500: "Construction",
+        1999: "Construction", 2000: "Manufacturing", 4000: "Transportation", 5000: "Wholesale", 5199: "Wholesale",
+        5200: "Retail", 6000: "Finance", 7000: "Services", 9000: "Services", 9001: "Public_Admin",
+    }
+    df = cleaning.sic_division(spark.createDataFrame([(k,) for k in cases], "siccd int"))
+    assert {r["siccd"]: r["industry"] for r in df.collect()} == cases
+
+
+def test_lagged_price_sees_months_outside_the_universe(spark):
+    df = raw(
+        spark,
+        (1, 1, "1999/12/31", 12, 1, "100", -10.0, "0.1", 5.0, 2.0),
+        (1, 1, "2000/01/31", 10, 1, "100", 11.0, "0.1", 5.0, 2.0),
+        (1, 1, "2000/02/29", 10, 1, "100", 12.0, "0.1", 5.0, 2.0),
+    )
+    sample = Sample(start="2000-01-01", end="2000-12-31")
+    kept = panels.universe_months(panels.clean_months(df, "yyyy/MM/dd"), sample)
+    assert column(kept, "prc_lag") == [10.0, 11.0]
+    # Lags taken after the filter do not see it: the order of the two steps matters.
+    late = cleaning.with_lag(kept.drop("prc_lag"), ["prc"])
+    assert column(late, "prc_lag") == [None, 11.0]
+
+
+def test_universe_keeps_common_shares_on_main_exchanges(spark):
+    rows = [(1, 1, "x", s, e, "1", 1.0, "0", 1.0, 1.0) for s in (9, 10, 11, 12) for e in (0, 1, 2, 3, 4)]
+    got = cleaning.universe(raw(spark, *rows)).select("shrcd", "exchcd").collect()
+    assert {tuple(r) for r in got} == {(s, e) for s in (10, 11) for e in (1, 2, 3)}
+
+
+def test_date_filter_reaches_the_scan(spark, tmp_path):
+    spark.range(10).selectExpr("id", "date_add(date'2000-01-01', int(id)) AS date").write.parquet(f"{tmp_path}/t")
+    df = cleaning.between_dates(spark.read.parquet(f"{tmp_path}/t"), "2000-01-03", "2000-01-05")
+    assert df.count() == 3
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(date,2000-01-03)" in plan and "LessThanOrEqual(date,2000-01-05)" in plan
+
+
+def test_complete_cases_drops_null_and_nan_once_per_name(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (None, 1.0), (1.0, float("nan"))], "a double, b double")
+    assert cleaning.complete_cases(df, ["a", "b", "a"]).count() == 1
+    assert cleaning.complete_cases(df, ["a"]).count() == 2
+
+
+def test_min_price_and_require(spark):
+    df = spark.createDataFrame([(4.99, 1.0), (5.0, None), (6.0, 1.0)], "prc double, ret double")
+    assert cleaning.min_price(df).count() == 2
+    assert cleaning.require(df, ["prc", "ret"]).count() == 2

@@ -275,7 +275,7 @@ BODIES = {
     "universe_filter": "SELECT * FROM months WHERE ret IS NOT NULL",
     "link_filter": "SELECT * FROM fx_link WHERE linktype IN ('LU', 'LC') AND linkprim IN ('P', 'C')",
     "penny_filter": "SELECT * FROM months WHERE prc >= 2400",
-    "security_lookup": "SELECT * FROM clean WHERE permno IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)",
+    "security_lookup": "SELECT * FROM clean WHERE permno IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 1000)",
     "industry_map": "months",
     "liquidity": "signals",
     "excess_return": "priced",

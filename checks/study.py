@@ -90,9 +90,12 @@ class Study:
         return durable(panels.research_panel(self.panel, self.linked), "research")
 
     @cached_property
-    def coded(self) -> DataFrame:
-        stored = durable(self.months.select("permno", "date", "industry"), "industry")
-        return models.encode_category(stored, "industry", "industry_index", "industry_vector")
+    def industries(self) -> DataFrame:
+        return durable(self.months.select("permno", "date", "industry"), "industry")
+
+    @cached_property
+    def indexed(self) -> DataFrame:
+        return models.index_category(self.industries, "industry", "industry_index")
 
     def ranked_on(self, signal: str, df: DataFrame | None = None) -> DataFrame:
         df = self.research if df is None else df
@@ -173,8 +176,8 @@ def _extra(s: Study) -> DataFrame:
 
 
 def _lookup(s: Study) -> DataFrame:
-    overdrawn = s.table("supplier").where(F.col("s_acctbal") < 0).select(F.col("s_suppkey").alias("permno"))
-    return profiling.securities(s.clean, overdrawn, ["permno", "date", "prc", "ret", "me"])
+    poor = s.table("supplier").where(F.col("s_acctbal") < 1000).select(F.col("s_suppkey").alias("permno"))
+    return profiling.securities(s.clean, poor, ["permno", "date", "prc", "ret", "me"])
 
 
 def _joined(s: Study, dedupe: bool) -> DataFrame:
@@ -184,7 +187,8 @@ def _joined(s: Study, dedupe: bool) -> DataFrame:
 
 def _onehot(s: Study) -> DataFrame:
     bits = F.transform(vector_to_array("industry_vector"), lambda x: x.cast("int").cast("string"))
-    return s.coded.withColumn("onehot", F.array_join(bits, ""))
+    coded = models.encode_category(s.industries, "industry", "industry_index", "industry_vector")
+    return coded.withColumn("onehot", F.array_join(bits, ""))
 
 
 def _cumulative(s: Study) -> DataFrame:
@@ -305,11 +309,11 @@ BUILDERS: dict[str, Callable[[Study], DataFrame]] = {
     # Profiles
     "profile_nulls": lambda s: profiling.null_counts(s.research, PROFILED),
     "profile_stats": lambda s: profiling.summary(s.research, ["prc", "ret", "ex_ret"]),
-    "industry_distinct": lambda s: profiling.distinct_values(s.coded, ["industry", "industry_index"]),
+    "industry_distinct": lambda s: profiling.distinct_values(s.indexed, ["industry", "industry_index"]),
     "top_returns": lambda s: profiling.top_returns(cleaning.require(s.months, ["ret"])),
     # Samples, features, models
     "time_split": lambda s: splits.label_samples(s.research, SAMPLE),
-    "industry_index": lambda s: s.coded,
+    "industry_index": lambda s: s.indexed,
     "industry_onehot": _onehot,
     "feature_matrix": _feature_matrix,
     "ols_coefficients": lambda s: models.coefficients(s.ols, CORE_SIGNALS, s.research),

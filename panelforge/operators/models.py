@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Model, Pipeline
+from pyspark.ml import Model
 from pyspark.ml.base import Estimator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
     GBTRegressor,
@@ -24,13 +25,18 @@ from pyspark.sql import functions as F
 SEED = 42
 
 
+def index_category(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Frequency rank of the category from zero; ties go by name."""
+    return StringIndexer(inputCol=column, outputCol=out).fit(df).transform(df)
+
+
 def encode_category(df: DataFrame, column: str, index: str, onehot: str) -> DataFrame:
-    """Frequency rank of the category (ties by name) and its indicator vector without the last one."""
-    stages = [
-        StringIndexer(inputCol=column, outputCol=index),
-        OneHotEncoder(inputCols=[index], outputCols=[onehot], dropLast=True),
-    ]
-    return Pipeline(stages=stages).fit(df).transform(df)
+    """Frequency rank of the category and its indicator vector without the last category."""
+    indexer = StringIndexer(inputCol=column, outputCol=index).fit(df)
+    indexed = indexer.transform(df)
+    if len(indexer.labels) < 2:  # nothing is left to indicate
+        return indexed.withColumn(onehot, array_to_vector(F.array().cast("array<double>")))
+    return OneHotEncoder(inputCols=[index], outputCols=[onehot], dropLast=True).fit(indexed).transform(indexed)
 
 
 def linear(reg: float = 0.0, label: str = "ret", max_iter: int = 100) -> LinearRegression:

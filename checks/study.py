@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
+from pyspark.ml import Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,6 @@ PERIODS = {
 SERIES = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
 RIDGE_GRID = [1e-4, 1e-2, 1.0, 10.0]
 PROFILED = ["be", "me", "value", "permno", "she"]
-# A signal is rounded before it is ranked, so that the last bits of a sum decide no rank.
 RANK_DIGITS = 9
 
 
@@ -97,16 +97,14 @@ class Study:
     def indexed(self) -> DataFrame:
         return models.index_category(self.industries, "industry", "industry_index")
 
-    def ranked_on(self, signal: str, df: DataFrame | None = None) -> DataFrame:
-        df = self.research if df is None else df
-        return df.withColumn(signal, F.round(signal, RANK_DIGITS))
-
     def deciles(self, signal: str, **options) -> DataFrame:
-        narrow = self.ranked_on(signal).select(signal, *dict.fromkeys(["date", *backtest.ROW_KEY]))
+        narrow = rankable(self.research, signal).select(signal, *dict.fromkeys(["date", *backtest.ROW_KEY]))
         return assign_quantile(narrow, signal, tie_break=backtest.ROW_KEY, **options)
 
-    def portfolio(self, signal: str) -> DataFrame:
-        return backtest.sorted_portfolios(self.ranked_on(signal), signal)
+    def portfolios(self, *ranked: str) -> DataFrame:
+        """Sorts keep the sizes that weigh them, so a signal is rounded under its own name."""
+        rounded = {f"by_{s}": F.round(s, RANK_DIGITS) for s in ranked}
+        return backtest.sorted_portfolios(self.research.withColumns(rounded), list(rounded))
 
     @cached_property
     def core(self) -> dict[str, DataFrame]:
@@ -126,42 +124,46 @@ class Study:
         return modelling.predict(self.ols, self.core)
 
     def ols_back_test(self) -> dict[str, DataFrame]:
-        return backtest.back_test(self.ranked_on("prediction", durable(self.ols_predictions, "ols")), by=["sample"])
+        return backtest.back_test(rankable(durable(self.ols_predictions, "ols"), "prediction"), by=["sample"])
 
     @cached_property
-    def trees(self) -> dict:
+    def tree_models(self) -> dict[str, Model]:
         return {}
 
-    def tree_model(self, kind: str):
-        if kind not in self.trees:
-            self.trees[kind] = models.tree(kind).fit(self.full["train"])
-        return self.trees[kind]
+    def tree_model(self, kind: str) -> Model:
+        if kind not in self.tree_models:
+            self.tree_models[kind] = models.tree(kind).fit(self.full["train"])
+        return self.tree_models[kind]
 
     def tree_predictions(self, kind: str) -> DataFrame:
         return modelling.predict(self.tree_model(kind), self.full)
 
-    def tree_back_test(self, kind: str) -> dict[str, DataFrame]:
-        return backtest.back_test(self.ranked_on("prediction", durable(self.tree_predictions(kind), kind)), by=["sample"])
+    def tree_back_test(self, *kinds: str) -> dict[str, DataFrame]:
+        parts = [self.tree_predictions(k).withColumn("model", F.lit(k)) for k in kinds]
+        predictions = durable(reduce(DataFrame.unionByName, parts), "trees")
+        return backtest.back_test(rankable(predictions, "prediction"), by=["model", "sample"])
 
-    def legs(self, **model_legs: DataFrame) -> DataFrame:
+    def legs(self, model_returns: DataFrame, model_legs: dict[str, tuple[str, int]]) -> DataFrame:
         """Monthly value-weighted out-of-sample return of one group per strategy."""
-        chosen = {
-            "momentum": (self.portfolio("momentum_12"), 10),
-            "size": (self.portfolio("size"), 1),
-            "value": (self.portfolio("value"), 1),
-        }
-        for name, returns in model_legs.items():
-            chosen[name] = (returns.where(F.col("sample") == "out").drop("sample"), 10)
-        stacked = performance.stack_legs(chosen)
-        return stacked.where(portfolios.month_end() > F.lit(SAMPLE.validation_end).cast("date"))
+        chosen = {"momentum": ("by_momentum_12", 10), "size": ("by_size", 1), "value": ("by_value", 1), **model_legs}
+        returns = self.portfolios("momentum_12", "size", "value").unionByName(
+            model_returns.where(F.col("sample") == "out").drop("sample")
+        )
+        picked = performance.pick_legs(returns, chosen)
+        return picked.where(portfolios.month_end() > F.lit(SAMPLE.validation_end).cast("date"))
 
     def ols_legs(self) -> DataFrame:
-        return self.legs(ols=self.ols_back_test()["returns"])
+        returns = self.ols_back_test()["returns"].withColumn("signal", F.lit("ols"))
+        return self.legs(returns, {"ols": ("ols", 10)})
 
-    def model_legs(self) -> DataFrame:
-        return self.legs(
-            random_forest=self.tree_back_test("rf")["returns"], boosted_trees=self.tree_back_test("gbt")["returns"]
-        )
+    def tree_legs(self) -> DataFrame:
+        returns = self.tree_back_test("rf", "gbt")["returns"].withColumnRenamed("model", "signal")
+        return self.legs(returns, {"random_forest": ("rf", 10), "boosted_trees": ("gbt", 10)})
+
+
+def rankable(df: DataFrame, signal: str) -> DataFrame:
+    """The signal without its last bits, which would otherwise decide ranks."""
+    return df.withColumn(signal, F.round(signal, RANK_DIGITS))
 
 
 def _macro(s: Study) -> DataFrame:
@@ -192,7 +194,7 @@ def _onehot(s: Study) -> DataFrame:
 
 
 def _cumulative(s: Study) -> DataFrame:
-    returns = s.portfolio("momentum_12").withColumnRenamed("equal_ret", "ret")
+    returns = s.portfolios("momentum_12").withColumnRenamed("equal_ret", "ret")
     return portfolios.cumulative_return(returns, "ret")
 
 
@@ -205,7 +207,7 @@ def _market(monthly: DataFrame) -> DataFrame:
 
 
 def _out_performance(s: Study) -> DataFrame:
-    out = portfolios.subsamples(s.portfolio("momentum_12"), {"out": STARTS["out"]})
+    out = portfolios.subsamples(s.portfolios("momentum_12"), {"out": STARTS["out"]})
     return performance.performance_stats(out, "value_ret")
 
 
@@ -291,14 +293,14 @@ BUILDERS: dict[str, Callable[[Study], DataFrame]] = {
     "decile_size": lambda s: s.deciles("size"),
     "decile_value": lambda s: s.deciles("value"),
     "decile_value_present": lambda s: s.deciles("value", drop_missing=True),
-    "portfolio_momentum": lambda s: s.portfolio("momentum_12"),
-    "portfolio_size": lambda s: s.portfolio("size"),
-    "portfolio_value": lambda s: s.portfolio("value"),
-    "portfolio_beta": lambda s: s.portfolio("beta_lag"),
-    "decile_matrix": lambda s: portfolios.to_matrix(s.portfolio("momentum_12"), "equal_ret"),
+    "portfolio_momentum": lambda s: s.portfolios("momentum_12"),
+    "portfolio_size": lambda s: s.portfolios("size"),
+    "portfolio_value": lambda s: s.portfolios("value"),
+    "portfolio_beta": lambda s: s.portfolios("beta_lag"),
+    "decile_matrix": lambda s: portfolios.to_matrix(s.portfolios("momentum_12"), "equal_ret"),
     "cumulative_return": _cumulative,
-    "subsample_cum": lambda s: backtest.sample_wealth(s.portfolio("momentum_12"), STARTS),
-    "subperiod_terminal": lambda s: portfolios.terminal_wealth(s.portfolio("beta_lag"), PERIODS, "equal_ret"),
+    "subsample_cum": lambda s: backtest.sample_wealth(s.portfolios("momentum_12"), STARTS),
+    "subperiod_terminal": lambda s: portfolios.terminal_wealth(s.portfolios("beta_lag"), PERIODS, "equal_ret"),
     "market_equal": lambda s: _market(portfolios.market_equal(s.research)),
     "market_value": lambda s: _market(portfolios.market_value(s.research)),
     "factor_benchmark": _factor_benchmark,
@@ -322,7 +324,7 @@ BUILDERS: dict[str, Callable[[Study], DataFrame]] = {
     "ols_inference": lambda s: models.inference(s.ols, CORE_SIGNALS, s.research),
     "evaluate_ols": lambda s: models.evaluate(s.ols_predictions, by=["sample"]),
     "decile_prediction": lambda s: assign_quantile(
-        s.ranked_on("prediction", modelling.predict(s.ols, s.core, ["validation", "out"])),
+        rankable(modelling.predict(s.ols, s.core, ["validation", "out"]), "prediction"),
         "prediction", tie_break=backtest.ROW_KEY,
     ),
     "prediction_matrix": lambda s: portfolios.to_matrix(s.ols_back_test()["prediction"], "prediction", index=["sample", "date"]),
@@ -341,9 +343,9 @@ BUILDERS: dict[str, Callable[[Study], DataFrame]] = {
     "backtest_rf": lambda s: s.tree_back_test("rf")["wealth"],
     "backtest_gbt": lambda s: s.tree_back_test("gbt")["wealth"],
     "strategy_compare_models": lambda s: performance.compare_legs(
-        s.model_legs(), ["momentum", "size", "value", "random_forest", "boosted_trees"]
+        s.tree_legs(), ["momentum", "size", "value", "random_forest", "boosted_trees"]
     ),
-    "strategy_stats_models": lambda s: performance.performance_stats(s.model_legs(), "ret", ["strategy"]),
+    "strategy_stats_models": lambda s: performance.performance_stats(s.tree_legs(), "ret", ["strategy"]),
 }
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,15 +19,20 @@ def performance_stats(df: DataFrame, ret: str, by: Sequence[str] = ("grp",), per
     return stats.withColumn("sharpe", ratio("annual_return", "annual_volatility"))
 
 
-def stack_legs(legs: Mapping[str, tuple[DataFrame, int]], ret: str = "value_ret") -> DataFrame:
-    """One named series ``strategy, year, month, ret`` per leg: the given group of each portfolio table."""
-    series = [
-        df.where(F.col("grp") == grp).select(F.lit(name).alias("strategy"), "year", "month", F.col(ret).alias("ret"))
-        for name, (df, grp) in legs.items()
+def pick_legs(returns: DataFrame, legs: Mapping[str, tuple[str, int]], ret: str = "value_ret") -> DataFrame:
+    """One group of one signal per strategy, as ``strategy, year, month, ret``.
+
+    ``legs`` maps a strategy to its signal and group; all are picked in one pass over ``returns``.
+    """
+    names = [
+        F.when((F.col("signal") == signal) & (F.col("grp") == grp), F.lit(strategy))
+        for strategy, (signal, grp) in legs.items()
     ]
-    return reduce(DataFrame.unionByName, series)
+    return returns.select(
+        F.explode(F.array_compact(F.array(*names))).alias("strategy"), "year", "month", F.col(ret).alias("ret")
+    )
 
 
-def compare_legs(stacked: DataFrame, strategies: Sequence[str], value: str = "ret") -> DataFrame:
+def compare_legs(picked: DataFrame, strategies: Sequence[str], value: str = "ret") -> DataFrame:
     """Months down, strategies across; a month missing from a strategy is NULL there."""
-    return stacked.groupBy("year", "month").pivot("strategy", list(strategies)).agg(F.first(value))
+    return picked.groupBy("year", "month").pivot("strategy", list(strategies)).agg(F.first(value))

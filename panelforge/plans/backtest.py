@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from panelforge.operators import portfolios
 from panelforge.operators.quantiles import assign_quantile
@@ -20,12 +21,21 @@ def sample_starts(sample: Sample) -> dict[str, str | None]:
 
 
 def sorted_portfolios(
-    panel: DataFrame, signal: str, n: int = 10, tie_break: Sequence[str] = ROW_KEY, ret_col: str = "ex_ret"
+    panel: DataFrame,
+    signals: Sequence[str],
+    n: int = 10,
+    tie_break: Sequence[str] = ROW_KEY,
+    ret_col: str = "ex_ret",
 ) -> DataFrame:
-    """Monthly returns of the groups sorted on ``signal``: ``grp, year, month, equal_ret, value_ret``."""
-    columns = ["date", "year", "month", "ret", ret_col, "size", "total_mktcap", "weight_mktcap", signal, *tie_break]
-    narrow = panel.select(*dict.fromkeys(columns))
-    return portfolios.portfolio_returns(assign_quantile(narrow, signal, n, tie_break=tie_break), ret_col)
+    """Monthly returns of the groups sorted on each signal: ``signal, grp, year, month, equal_ret, value_ret``.
+
+    All signals are ranked in one distributed sort, each within its own cross-sections.
+    """
+    carried = dict.fromkeys(["date", "year", "month", "ret", ret_col, "size", "total_mktcap", "weight_mktcap", *tie_break])
+    scores = F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("score")) for s in signals])
+    stacked = panel.select(*carried, F.inline(scores))
+    grouped = assign_quantile(stacked, "score", n, ["signal", "date"], tie_break)
+    return portfolios.portfolio_returns(grouped, ret_col, ["signal", "grp", "year", "month"])
 
 
 def by_weighting(returns: DataFrame, by: Sequence[str] = ()) -> DataFrame:

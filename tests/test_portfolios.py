@@ -90,12 +90,35 @@ def test_performance(spark):
 
 
 def test_legs_align_by_month(spark):
-    a, b = monthly(spark, [0.1, 0.2], grp=10), monthly(spark, [0.3, 0.4], start=1, grp=1)
-    stacked = performance.stack_legs({"a": (a, 10), "b": (b, 1)}, "ret")
-    got = performance.compare_legs(stacked, ["a", "b"]).orderBy("year", "month").collect()
-    assert [(r["month"], r["a"], r["b"]) for r in got] == [(1, 0.1, None), (2, 0.2, 0.3), (3, None, 0.4)]
-    other = performance.stack_legs({"a": (a, 9)}, "ret")
-    assert other.count() == 0
+    a = monthly(spark, [0.1, 0.2], grp=10).withColumn("signal", F.lit("x"))
+    b = monthly(spark, [0.3, 0.4], start=1, grp=1).withColumn("signal", F.lit("y"))
+    returns = a.unionByName(b)
+    picked = performance.pick_legs(returns, {"a": ("x", 10), "b": ("y", 1), "again": ("x", 10), "c": ("x", 9)}, "ret")
+    got = performance.compare_legs(picked, ["a", "b", "again", "c"]).orderBy("year", "month").collect()
+    assert [(r["month"], r["a"], r["b"], r["again"], r["c"]) for r in got] == [
+        (1, 0.1, None, 0.1, None), (2, 0.2, 0.3, 0.2, None), (3, None, 0.4, None, None),
+    ]
+
+
+def test_signals_sorted_together_equal_signals_sorted_alone(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(m, p, rng.gauss(0, 1), rng.choice([None, 1.0, 2.0]), rng.gauss(0, 0.1), rng.uniform(1, 9)) for m in (1, 2) for p in range(31)]
+    df = spark.createDataFrame(rows, "month int, permno int, x double, y double, ret double, size double").selectExpr(
+        "*", "2000 AS year", "last_day(make_date(2000, month, 1)) AS date", "100.0D AS total_mktcap",
+        "size / 100 AS weight_mktcap", "ret - 0.01 AS ex_ret",
+    )
+    both = backtest.sorted_portfolios(df, ["x", "y", "size"], 5, ["permno"])
+    alone = [backtest.sorted_portfolios(df, [s], 5, ["permno"]) for s in ("x", "y", "size")]
+
+    def table(*parts):
+        return {(r["signal"], r["grp"], r["month"]): (r["equal_ret"], r["value_ret"]) for p in parts for r in p.collect()}
+
+    got, want = table(both), table(*alone)
+    assert got.keys() == want.keys() and len(got) == 30
+    for key in want:
+        assert got[key] == pytest.approx(want[key])
 
 
 def test_back_test_against_plain_python(spark):

@@ -14,7 +14,7 @@ from checks.outputs import spark_output
 from panelforge.operators import cleaning, fundamentals, linking, macro, models, performance, portfolios, profiling
 from panelforge.operators import signals, splits
 from panelforge.operators.quantiles import assign_quantile
-from panelforge.plans import backtest, modelling
+from panelforge.plans import backtest, benchmarks, modelling
 from panelforge.plans import panel as panels
 from panelforge.settings import ALL_SIGNALS, CORE_SIGNALS, Sample
 from panelforge.sources import star_schema
@@ -23,6 +23,7 @@ from panelforge.storage import durable
 
 SAMPLE = Sample("1995-01-01", "1998-12-31", "2000-06-30", "2001-01-01", "2001-12-31", "2002-01-01")
 STARTS = backtest.sample_starts(SAMPLE)
+WHOLE_AND_RECENT = {name: STARTS[name] for name in ("full", "recent")}
 PERIODS = {
     "1995-1996": ("1994-12-31", "1996-12-31"),
     "1997-1998": ("1996-12-31", "1998-12-31"),
@@ -198,12 +199,8 @@ def _cumulative(s: Study) -> DataFrame:
     return portfolios.cumulative_return(returns, "ret")
 
 
-def _factor_benchmark(s: Study) -> DataFrame:
-    return portfolios.sample_paths(s.factors, {k: STARTS[k] for k in ("full", "recent")}, "mkt")
-
-
-def _market(monthly: DataFrame) -> DataFrame:
-    return portfolios.sample_paths(monthly, {k: STARTS[k] for k in ("full", "recent")}, "ret")
+def _market(s: Study, weighting: str) -> DataFrame:
+    return benchmarks.market_paths(s.research, WHOLE_AND_RECENT).where(F.col("weighting") == weighting)
 
 
 def _out_performance(s: Study) -> DataFrame:
@@ -301,9 +298,9 @@ BUILDERS: dict[str, Callable[[Study], DataFrame]] = {
     "cumulative_return": _cumulative,
     "subsample_cum": lambda s: backtest.sample_wealth(s.portfolios("momentum_12"), STARTS),
     "subperiod_terminal": lambda s: portfolios.terminal_wealth(s.portfolios("beta_lag"), PERIODS, "equal_ret"),
-    "market_equal": lambda s: _market(portfolios.market_equal(s.research)),
-    "market_value": lambda s: _market(portfolios.market_value(s.research)),
-    "factor_benchmark": _factor_benchmark,
+    "market_equal": lambda s: _market(s, "equal"),
+    "market_value": lambda s: _market(s, "value"),
+    "factor_benchmark": lambda s: benchmarks.factor_paths(s.factors, WHOLE_AND_RECENT),
     "performance_stats": _out_performance,
     "strategy_compare": lambda s: performance.compare_legs(s.ols_legs(), ["momentum", "size", "value", "ols"]),
     "strategy_wealth": _strategy_wealth,

@@ -27,3 +27,11 @@ def predict(model: Model, samples: Mapping[str, DataFrame], names: Sequence[str]
     """Predictions of the named samples, one below the other."""
     parts = [model.transform(samples[n]).drop("features").withColumn("sample", F.lit(n)) for n in names]
     return reduce(DataFrame.unionByName, parts)
+
+
+def predict_each(
+    fits: Mapping[str, Model], samples: Mapping[str, DataFrame], names: Sequence[str] = TEST_SAMPLES
+) -> DataFrame:
+    """Predictions of several models, named in ``model``, one below the other."""
+    parts = [predict(m, samples, names).withColumn("model", F.lit(name)) for name, m in fits.items()]
+    return reduce(DataFrame.unionByName, parts)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 from panelforge.operators import cleaning, fundamentals, linking, signals
@@ -49,7 +51,16 @@ def linked_accounts(accounts: DataFrame, links: DataFrame, sample: Sample) -> Da
     return fundamentals.growth_lags(fundamentals.current_ratio(fundamentals.growth(df)))
 
 
-def research_panel(panel: DataFrame, accounts: DataFrame, dedupe: bool = False) -> DataFrame:
+# What portfolios, models and reports read from the accounts, next to the keys of the join.
+ACCOUNT_ITEMS = (
+    "gvkey", "lpermno", "lpermco", "fyear", "datadate", "at", "lt", "she", "be", "revt", "ni", "at_growth",
+    "revt_growth", "ni_growth", "xrd_growth", "xrd_growth_lag1", "xrd_growth_lag2", "current_ratio",
+)
+
+
+def research_panel(
+    panel: DataFrame, accounts: DataFrame, dedupe: bool = False, items: Sequence[str] = ACCOUNT_ITEMS
+) -> DataFrame:
     """Security panel with the accounts of the aligned fiscal year, value and price ratios."""
-    joined = linking.join_fundamentals(panel, accounts, dedupe)
+    joined = linking.join_fundamentals(panel, accounts.select(*items), dedupe)
     return fundamentals.price_ratios(fundamentals.value_factor(joined))

@@ -52,3 +52,8 @@ def load_factors(raw: DataFrame, start: str, end: str) -> DataFrame:
         "rf",
         (F.col("mkt_rf") + F.col("rf")).alias("mkt"),
     )
+
+
+def with_date(df: DataFrame, column: str, fmt: str) -> DataFrame:
+    """A text date column as a date; bad text becomes NULL."""
+    return df.withColumn(column, F.try_to_date(F.col(column).cast("string"), fmt))

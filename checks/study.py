@@ -88,7 +88,7 @@ class Study:
 
     @cached_property
     def research(self) -> DataFrame:
-        return durable(panels.research_panel(self.panel, self.linked), "research")
+        return panels.research_panel(self.panel, self.linked)
 
     @cached_property
     def industries(self) -> DataFrame:
@@ -100,12 +100,14 @@ class Study:
 
     def deciles(self, signal: str, **options) -> DataFrame:
         narrow = rankable(self.research, signal).select(signal, *dict.fromkeys(["date", *backtest.ROW_KEY]))
-        return assign_quantile(narrow, signal, tie_break=backtest.ROW_KEY, **options)
+        return assign_quantile(durable(narrow, "scores"), signal, tie_break=backtest.ROW_KEY, **options)
 
     def portfolios(self, *ranked: str) -> DataFrame:
         """Sorts keep the sizes that weigh them, so a signal is rounded under its own name."""
         rounded = {f"by_{s}": F.round(s, RANK_DIGITS) for s in ranked}
-        return backtest.sorted_portfolios(self.research.withColumns(rounded), list(rounded))
+        weighed = ["date", "year", "month", "ret", "ex_ret", "size", "total_mktcap", "weight_mktcap", *backtest.ROW_KEY]
+        narrow = self.research.withColumns(rounded).select(*weighed, *rounded)
+        return backtest.sorted_portfolios(durable(narrow, "scores"), list(rounded))
 
     @cached_property
     def core(self) -> dict[str, DataFrame]:
@@ -219,12 +221,10 @@ def _ridge_predictions(s: Study) -> DataFrame:
 
 def _decision_trees(s: Study) -> DataFrame:
     core = {**s.core, "train": models.settled(s.core["train"], ["permno", "date", "gvkey"])}
-    sparse = modelling.predict(models.tree("dt").fit(core["train"]), core, ["validation"])
-    rich = modelling.predict(s.tree_model("dt"), s.full, ["validation"])
-    columns = ["sample", "permno", "date", "gvkey", "ret", "prediction"]
-    return (
-        sparse.select(F.lit("core").alias("model"), *columns)
-        .unionByName(rich.select(F.lit("full").alias("model"), *columns))
+    sparse = {f"{kind}_core": models.tree(kind).fit(core["train"]) for kind in ("dt", "gbt")}
+    columns = ["model", "sample", "permno", "date", "gvkey", "ret", "prediction"]
+    return modelling.predict_each(sparse, core, ["validation"]).select(columns).unionByName(
+        modelling.predict_each({"dt": s.tree_model("dt")}, s.full, ["validation"]).select(columns)
     )
 
 

@@ -18,9 +18,9 @@ TEST_SAMPLES = ("validation", "out", "recent")
 
 
 def model_samples(panel: DataFrame, signals: Sequence[str], sample: Sample) -> dict[str, DataFrame]:
-    """Complete, assembled rows per sample, cut from one stored table."""
+    """Complete, assembled rows per sample, cut from one stored table in date order."""
     rows = feature_set(panel, signals, extra_keys=ROW_KEY)
-    return time_split(with_features(durable(rows, "model-rows"), signals), sample)
+    return time_split(with_features(durable(rows, "model-rows", sort=["date"]), signals), sample)
 
 
 def predict(model: Model, samples: Mapping[str, DataFrame], names: Sequence[str] = TEST_SAMPLES) -> DataFrame:

@@ -87,11 +87,11 @@ def linear_results(core: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def tree_results(core: Mapping[str, DataFrame], full: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Decision trees on both signal sets, forests and boosted trees on the full one."""
+    """Decision and boosted trees on both signal sets, forests on the full one."""
     order = ["permno", "date", "gvkey"]
     train_core, train = models.settled(core["train"], order), models.settled(full["train"], order)
     fits = {kind: models.tree(kind).fit(train) for kind in ("dt", "rf", "gbt")}
-    sparse = {"dt_core": models.tree("dt").fit(train_core)}
+    sparse = {f"{kind}_core": models.tree(kind).fit(train_core) for kind in ("dt", "gbt")}
     weights = [models.importances(fits[k], ALL_SIGNALS, train).withColumn("model", F.lit(k)) for k in ("rf", "gbt")]
     columns = ["model", "sample", "ret", "prediction"]
     scored = modelling.predict_each(fits, full, modelling.TEST_SAMPLES).select(columns).unionByName(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,13 +24,16 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[context.applicationId]
 
 
-def durable(df: DataFrame, label: str) -> DataFrame:
+def durable(df: DataFrame, label: str, sort: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once and continue from the files.
 
     Three uses: a table that several branches read is computed once; lineage is cut; and Catalyst
     sees the true size of a small aggregate, so it broadcasts it only when it fits
-    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
+    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise. ``sort`` orders the rows of each
+    file, so that later filters on those columns skip the pages that cannot match.
     """
+    if sort:
+        df = df.sortWithinPartitions(*sort)
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/panelforge/{spark.sparkContext.applicationId}/{label}-{uuid4().hex}"
     df.write.parquet(path)

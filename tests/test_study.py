@@ -53,7 +53,9 @@ def test_every_result_has_rows_and_is_written(spark, results, tmp_path):
 
 def test_models_cover_all_samples(results):
     accuracy = {(r["model"], r["sample"]) for r in results["tree_accuracy"].collect()}
-    assert accuracy == {(m, s) for m in ("dt", "rf", "gbt") for s in ("validation", "out", "recent")} | {("dt_core", "validation")}
+    assert accuracy == {(m, s) for m in ("dt", "rf", "gbt") for s in ("validation", "out", "recent")} | {
+        ("dt_core", "validation"), ("gbt_core", "validation"),
+    }
     tested = {(r["model"], r["sample"]) for r in results["model_wealth"].select("model", "sample").distinct().collect()}
     assert tested == {(m, s) for m in ("ols", "rf", "gbt") for s in ("validation", "out", "recent")}
     assert {r["model"] for r in results["coefficients"].collect()} == {"ols", "ridge", "glm"}

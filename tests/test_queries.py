@@ -2,20 +2,30 @@
 
 import glob
 import os
+from functools import cached_property
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from checks import oracle, outputs, study
+from panelforge.plans import panel
+from panelforge.storage import durable
 
 FOLDER = "/root/testdata/sf0.001"
 
 
+class StoredStudy(study.Study):
+    """One study for all queries, so that the panel is built once."""
+
+    @cached_property
+    def research(self):
+        return durable(panel.research_panel(self.panel, self.linked), "research")
+
+
 @pytest.fixture(scope="module")
 def shared(spark):
-    """One study for all queries, so that the panel is built once."""
-    return study.Study(spark, FOLDER)
+    return StoredStudy(spark, FOLDER)
 
 
 @pytest.fixture(scope="module")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property, reduce
+from functools import cache, cached_property, partial, reduce
 
 from pyspark.ml import Model
 from pyspark.ml.functions import vector_to_array
@@ -42,9 +42,7 @@ class Study:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-
-    def table(self, name: str) -> DataFrame:
-        return star_schema.table(self.spark, self.folder, name)
+        self.table = cache(partial(star_schema.table, spark, folder))
 
     @cached_property
     def raw(self) -> DataFrame:

@@ -105,8 +105,8 @@ def value_weights(df: DataFrame) -> DataFrame:
     """Share of each security in its date's total.
 
     A sum over a date window would bring a whole cross-section into one task; the total is
-    aggregated map-side instead, stored, and joined back by its true size. Hand in a stored panel
-    when it is expensive: it is read twice.
+    aggregated map-side instead, stored, and joined back by its true size. ``df`` is read twice, the
+    first time for date and size alone.
     """
     totals = durable(total_mktcap(df), "total-mktcap")
     return df.join(totals, "date", "left").withColumn("weight_mktcap", ratio("size", "total_mktcap"))

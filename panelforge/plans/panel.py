@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 
 from panelforge.operators import cleaning, fundamentals, linking, signals
 from panelforge.settings import Sample
-from panelforge.storage import durable
 
 
 def clean_months(raw: DataFrame, fmt: str | None = None) -> DataFrame:
@@ -38,11 +37,11 @@ def signal_months(months: DataFrame, factors: DataFrame) -> DataFrame:
 def security_panel(raw: DataFrame, factors: DataFrame, sample: Sample, fmt: str | None = None) -> DataFrame:
     """Signals and market weights, one row per security and month with a return.
 
-    The signal table is stored once: the weights and everything after them read columns of it.
+    Lazy but for the date totals, whose job reads only what the size needs. A consumer that selects
+    few columns pays for few windows: store the selection, not the whole panel.
     """
     months = universe_months(clean_months(raw, fmt), sample)
-    stored = durable(signal_months(months, factors), "signals")
-    return cleaning.require(signals.value_weights(stored), ["ret"])
+    return cleaning.require(signals.value_weights(signal_months(months, factors)), ["ret"])
 
 
 def linked_accounts(accounts: DataFrame, links: DataFrame, sample: Sample) -> DataFrame:

@@ -2,30 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folders: dict[str, str] = {}
+_default: list[str] = []
+
+
+def use_folder(path: str) -> None:
+    """The shared folder of sessions that do not set ``spark.checkpoint.dir`` (tests, a single machine)."""
+    _default[:] = [path]
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that every executor can reach")
-    if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="panelforge-")
-    return _local_folders[context.applicationId]
+    """The folder named by ``spark.checkpoint.dir``, else the one given to ``use_folder``."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or next(iter(_default), None)
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and every executor can reach")
+    return folder
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/panelforge/{spark.sparkContext.applicationId}/{label}-{uuid4().hex}"
 
 
 def durable(df: DataFrame, label: str, sort: Sequence[str] = ()) -> DataFrame:
-    """Write ``df`` once and continue from the files.
+    """Write ``df`` once and continue from the files. Runs a job when called.
 
     Three uses: a table that several branches read is computed once; lineage is cut; and Catalyst
     sees the true size of a small aggregate, so it broadcasts it only when it fits
@@ -34,7 +38,12 @@ def durable(df: DataFrame, label: str, sort: Sequence[str] = ()) -> DataFrame:
     """
     if sort:
         df = df.sortWithinPartitions(*sort)
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/panelforge/{spark.sparkContext.applicationId}/{label}-{uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Remove every table this application stored, when nothing reads them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/panelforge/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

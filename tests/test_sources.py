@@ -72,12 +72,15 @@ class FakeSpark:
         self.sparkContext = type("Context", (), {"master": master, "applicationId": f"app-{master}"})()
 
 
-def test_shared_folder_is_named_by_the_session_or_refused():
+def test_shared_folder_is_named_explicitly_or_refused(monkeypatch):
+    monkeypatch.setattr(storage, "_default", [])
     assert storage.shared_folder(FakeSpark("s3://bucket/checkpoints", "yarn")) == "s3://bucket/checkpoints"
-    with pytest.raises(RuntimeError):
-        storage.shared_folder(FakeSpark(None, "yarn"))
-    local = FakeSpark(None, "local[2]")
-    assert storage.shared_folder(local) == storage.shared_folder(local)
+    for master in ("yarn", "local[2]"):
+        with pytest.raises(RuntimeError):
+            storage.shared_folder(FakeSpark(None, master))
+    storage.use_folder("/shared")
+    assert storage.shared_folder(FakeSpark(None, "yarn")) == "/shared"
+
 
 
 def test_a_heavy_security_is_combined_before_the_shuffle(spark):

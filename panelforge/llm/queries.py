@@ -7,10 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import token_files
+from panelforge.llm import token_counts, token_files, url_rules
 from panelforge.storage import durable, new_path
 
 END_ID = 2
+TOKEN_LIMIT = 1024
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,7 +33,47 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.with_starts(digests).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_prefix_counts(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counted = token_counts.prefix_counts(_table(spark, folder, "documents"), path, TOKEN_LIMIT)
+    over = counted["n_tokens"] > TOKEN_LIMIT
+    return counted.select("doc_id", "n_bytes", "n_tokens", over.alias("over_limit"), "chars_in_budget")
+
+
+def op10_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge(_table(spark, folder, "pages"), rules)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
+    "op9_prefix_counts": op9_prefix_counts,
+    "op10_url_rules": op10_url_rules,
+}
+
+_RULE_VALUES = ", ".join(str(rule) for rule in URL_RULES)
+
+ORACLES: dict[str, str] = {
+    "op10_url_rules": f"""
+        WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {_RULE_VALUES}),
+        cut AS (
+            SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS tail
+            FROM pages
+        ),
+        parsed AS (
+            SELECT row_number() OVER () AS n, page_id,
+                   translate(regexp_extract(tail, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM cut
+        ),
+        fits AS (
+            SELECT n, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+                   arg_max(rule_verdict, length(rule_host || rule_path)) AS rule_verdict
+            FROM parsed JOIN rules
+              ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+            GROUP BY n
+        )
+        SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
+        FROM parsed LEFT JOIN fits USING (n)
+    """,
 }
-ORACLES: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import token_counts, token_files, url_rules
+from panelforge.llm import mixing, token_counts, token_files, url_rules
 from panelforge.storage import durable, new_path
 
 END_ID = 2
@@ -33,6 +33,12 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.with_starts(digests).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    planned = mixing.plan_sizes(_table(spark, folder, "documents"))
+    taken = planned["size"] * planned["copies"]
+    return planned.select("row.doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
 def op9_prefix_counts(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     counted = token_counts.prefix_counts(_table(spark, folder, "documents"), path, TOKEN_LIMIT)
@@ -47,13 +53,49 @@ def op10_url_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
+    "op8_mixing": op8_mixing,
     "op9_prefix_counts": op9_prefix_counts,
     "op10_url_rules": op10_url_rules,
 }
 
 _RULE_VALUES = ", ".join(str(rule) for rule in URL_RULES)
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
 ORACLES: dict[str, str] = {
+    "op8_mixing": rf"""
+        WITH RECURSIVE sized AS (
+            SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{_WORD}')), 0) AS BIGINT) AS size FROM documents
+        ),
+        sources AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+                   [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight
+            FROM sized GROUP BY source
+        ),
+        -- each round shares what is left among the sources that are not full, and fixes those that overflow
+        rounds AS (
+            SELECT 0 AS round, source, source_size, weight, false AS filled,
+                   (SELECT 1.5 * sum(source_size) / sum(weight) FROM sources) AS level FROM sources
+            UNION ALL
+            SELECT round + 1, source, source_size, weight, filled OR level * weight >= 2 * source_size,
+                   (1.5 * sum(source_size) OVER () - coalesce(sum(CASE WHEN filled OR level * weight >= 2 * source_size THEN 2 * source_size END) OVER (), 0))
+                   / sum(CASE WHEN filled OR level * weight >= 2 * source_size THEN 0 ELSE weight END) OVER ()
+            FROM rounds WHERE round < 40
+        ),
+        targets AS (
+            SELECT source, source_size, CAST(CASE WHEN filled THEN 2 * source_size ELSE level * weight END AS DOUBLE) AS target
+            FROM rounds WHERE round = 40
+        ),
+        ranked AS (
+            SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS each,
+                   row_number() OVER (PARTITION BY s.source ORDER BY size, doc_id) - 1 AS rank,
+                   CAST('0x' || substr(md5('1:' || coalesce(s.source, '')), 1, 8) AS BIGINT) / 4294967296.0 AS shift
+            FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, size, source_size, target,
+               CAST(size * least(floor(each * (rank + 1) + shift) - floor(each * rank + shift), ceil(each)) AS BIGINT) AS taken
+        FROM ranked
+    """,
     "op10_url_rules": f"""
         WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {_RULE_VALUES}),
         cut AS (

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import mixing, token_counts, token_files, url_rules
+from panelforge.llm import divergence, mixing, token_counts, token_files, url_rules
 from panelforge.storage import durable, new_path
 
 END_ID = 2
@@ -25,6 +25,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.judge_quality(_table(spark, folder, "documents")).drop("lang")
+
+
 def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "tokens")
     docs = _table(spark, folder, "documents")
@@ -52,6 +56,7 @@ def op10_url_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_divergence": op1_divergence,
     "op3_token_files": op3_token_files,
     "op8_mixing": op8_mixing,
     "op9_prefix_counts": op9_prefix_counts,

@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelforge.llm import divergence, mixing, token_counts, token_files, url_rules
+from panelforge.llm import compression_quality, divergence, mixing, token_counts, token_files, url_rules
+from panelforge.llm.text import text_crc
 from panelforge.storage import durable, new_path
 
 END_ID = 2
 TOKEN_LIMIT = 1024
+MIN_QUALITY = 0.3
 URL_RULES = [
     ("org", "/", "allow"),
     ("example.org", "/es/", "block"),
@@ -37,6 +40,15 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.with_starts(digests).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_compression(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = compression_quality.fit(docs, _table(spark, folder, "labels"))
+    scored = compression_quality.score(docs.select(F.col("doc_id").cast("long"), "text"), model)
+    predicted = (F.col("quality_score") >= MIN_QUALITY).cast("int")
+    held_out = text_crc() % 5 == 0
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), predicted.alias("predicted"))
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     planned = mixing.plan_sizes(_table(spark, folder, "documents"))
     taken = planned["size"] * planned["copies"]
@@ -58,6 +70,7 @@ def op10_url_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_divergence": op1_divergence,
     "op3_token_files": op3_token_files,
+    "op7_compression": op7_compression,
     "op8_mixing": op8_mixing,
     "op9_prefix_counts": op9_prefix_counts,
     "op10_url_rules": op10_url_rules,

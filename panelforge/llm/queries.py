@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import compression_quality, divergence, mixing, token_counts, token_files, url_rules
+from panelforge.llm import compression_quality, divergence, mixing, secret_links, token_counts, token_files, url_rules
 from panelforge.llm.text import text_crc
 from panelforge.storage import durable, new_path
 
@@ -40,6 +40,13 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.with_starts(digests).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_secret_links(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_links.find_secrets(_table(spark, folder, "documents"))
+    counts = {f"n_{kind}": F.size(kind).cast("long") for kind in ("assign", "access", "hex")}
+    digest = F.sha2(F.col("base_spans").cast("binary"), 256)
+    return found.withColumns({**counts, "base_sha256": digest}).select("doc_id", *counts, "base_sha256", "spans")
+
+
 def op7_compression(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     model = compression_quality.fit(docs, _table(spark, folder, "labels"))
@@ -70,6 +77,7 @@ def op10_url_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_divergence": op1_divergence,
     "op3_token_files": op3_token_files,
+    "op5_secret_links": op5_secret_links,
     "op7_compression": op7_compression,
     "op8_mixing": op8_mixing,
     "op9_prefix_counts": op9_prefix_counts,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import compression_quality, divergence, mixing, secret_links, token_counts, token_files, url_rules
+from panelforge.llm import compression_quality, divergence, minhash, mixing, secret_links, token_counts, token_files, url_rules
 from panelforge.llm.text import text_crc
 from panelforge.storage import durable, new_path
 
@@ -47,6 +47,10 @@ def op5_secret_links(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumns({**counts, "base_sha256": digest}).select("doc_id", *counts, "base_sha256", "spans")
 
 
+def op6_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_copies(_table(spark, folder, "documents"), k=3, percent=85)
+
+
 def op7_compression(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     model = compression_quality.fit(docs, _table(spark, folder, "labels"))
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_divergence": op1_divergence,
     "op3_token_files": op3_token_files,
     "op5_secret_links": op5_secret_links,
+    "op6_minhash": op6_minhash,
     "op7_compression": op7_compression,
     "op8_mixing": op8_mixing,
     "op9_prefix_counts": op9_prefix_counts,

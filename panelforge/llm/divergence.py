@@ -23,7 +23,7 @@ COMMON_WORDS = (
 CLASSES = ("lower", "upper", "digit", "blank", "stop", "mark", "symbol", "other")
 SYMBOLS = "[#*$%&|<>]"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-FEATURES = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + ", classes array<long>, common array<long>"
+FEATURES = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in (*COUNTS, "n_chars")) + ", classes array<long>, common array<long>"
 #: Triples of word numbers below this fit one signed 64-bit integer.
 PACKED = 1 << 21
 #: A document's histogram is brought to this total before it enters a reference, so that long ones do not rule it.
@@ -94,6 +94,7 @@ def _feature_batches() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
             "n_symbols": symbols,
             "n_dup_lines": pa.array([duplicate_lines(t) if b"\n" in t else 0 for *_, t in rows], pa.int64()),
             "n_repeat_words": pa.array([repeated_words(words.codes[a:b]) for a, b, _ in rows], pa.int64()),
+            "n_chars": pa.array([int(c.sum()) for c in classes], pa.int64()),
             "classes": pa.array(classes, pa.list_(pa.int64())),
             "common": pa.array(shares, pa.list_(pa.int64())),
         }
@@ -130,7 +131,7 @@ def _sum_batches() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
 
 
 def language_references(features: DataFrame, min_documents: int) -> DataFrame:
-    """``ref_lang, ref_classes, ref_common``: sums of the histograms by language, and of all under a null language.
+    """``ref_lang, ref_classes, ref_common``: mean histograms by language, and of all under a null language.
 
     Every document has the same weight, in whole numbers, so that sums do not depend on their order. A language (null too) with fewer than ``min_documents`` rows has no reference of its own. Each batch is
     summed up before the shuffle, so a language that holds most rows costs no more than another.
@@ -155,26 +156,26 @@ def language_references(features: DataFrame, min_documents: int) -> DataFrame:
         return F.transform(ordered, lambda x: x["count"]).alias(kind)
 
     found = both.groupBy("lang").agg(histogram("classes"), histogram("common"))
-    return durable(found.withColumnsRenamed({c: f"ref_{c}" for c in found.columns}), "references")
 
+    def shares(kind: str) -> Column:
+        total = F.aggregate(kind, F.lit(0).cast("long"), lambda a, x: a + x)
+        return F.transform(kind, lambda x: x / total).alias(f"ref_{kind}")
 
-def js_distance(counts: Column, reference: Column) -> Column:
-    """Jensen-Shannon distance of two histograms, with logarithms to base 2; null if one is empty."""
+    return durable(found.select(F.col("lang").alias("ref_lang"), shares("classes"), shares("common")), "references")
 
-    def total(h: Column) -> Column:
-        return F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + x)
+
+def js_distance(counts: Column, total: Column, reference: Column) -> Column:
+    """Jensen-Shannon distance, with logarithms to base 2, of counts with their total to shares; null if one is empty."""
 
     def part(p: Column, m: Column) -> Column:
         return F.when(p > 0, p * F.log2(p / m)).otherwise(F.lit(0.0))
 
-    def term(x: Column, y: Column) -> Column:
-        p, q = x / total(counts), y / total(reference)
+    def term(x: Column, q: Column) -> Column:
+        p = x / total
         return part(p, (p + q) / 2) + part(q, (p + q) / 2)
 
-    terms = F.zip_with(counts, reference, term)
-    divergence = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2
-    filled = (total(counts) > 0) & (total(reference) > 0)
-    return F.when(filled, F.sqrt(F.greatest(divergence, F.lit(0.0))))
+    divergence = F.aggregate(F.zip_with(counts, reference, term), F.lit(0.0), lambda a, x: a + x) / 2
+    return F.when(total > 0, F.sqrt(F.greatest(divergence, F.lit(0.0))))
 
 
 def distances(features: DataFrame, references: DataFrame) -> DataFrame:
@@ -183,8 +184,8 @@ def distances(features: DataFrame, references: DataFrame) -> DataFrame:
     own = features.join(references, F.col("lang") == F.col("ref_lang"), "left").withColumn("pooled", pooled)
     return own.withColumns(
         {
-            "class_distance": js_distance(F.col("classes"), F.coalesce("ref_classes", F.col("pooled.ref_classes"))),
-            "common_distance": js_distance(F.col("common"), F.coalesce("ref_common", F.col("pooled.ref_common"))),
+            "class_distance": js_distance(F.col("classes"), F.col("n_chars"), F.coalesce("ref_classes", F.col("pooled.ref_classes"))),
+            "common_distance": js_distance(F.col("common"), F.col("n_words"), F.coalesce("ref_common", F.col("pooled.ref_common"))),
         }
     ).drop("ref_lang", "ref_classes", "ref_common", "pooled")
 

@@ -91,50 +91,64 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
     return w
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, text, label`` of the rows to learn from. Of several labels the lowest counts; null ones do not."""
-    marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
-    marks = marks.groupBy(F.col("doc_id").alias("marked")).agg(F.min("quality").cast("int").alias("label"))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").where(text_crc() % 5 != 0)
-    return rows.join(marks, F.col("doc_id") == F.col("marked")).select("doc_id", "text", "label")
+def _marks(labels: DataFrame) -> DataFrame:
+    """``marked, label, order`` of the rows to learn from. Of several labels the lowest counts; null ones do not."""
+    marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (text_crc() % 5 != 0))
+    marks = marks.groupBy(F.col("doc_id").cast("long").alias("marked")).agg(F.min("quality").cast("int").alias("label"))
+    return marks.withColumn("order", F.xxhash64("marked"))
+
+
+def _sample(docs: DataFrame, marks: DataFrame, dictionary_rows: int, calibration_rows: int) -> DataFrame:
+    """Texts of the sampled labels. At most ``2 * dictionary_rows + calibration_rows`` ids are broadcast, so the
+    texts are not shuffled."""
+    half = F.pmod("order", F.lit(2))
+    chosen = marks.where(half == 1).orderBy("order").limit(calibration_rows).withColumn("use", F.lit("calibration"))
+    for label in (0, 1):
+        own = marks.where((F.col("label") == label) & (half == 0)).orderBy("order").limit(dictionary_rows)
+        chosen = chosen.unionByName(own.withColumn("use", F.lit("dictionary")))
+    rows = docs.select(F.col("doc_id").cast("long"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("data"))
+    return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("marked")).select("order", "label", "use", "data")
+
+
+def _pieces(sample: DataFrame, label: int, most: int) -> list[bytes]:
+    count = F.ceil(F.octet_length("data") / PIECE_BYTES).cast("int")
+    own = sample.where((F.col("label") == label) & (F.octet_length("data") > 0))
+    cut = own.select("order", "data", F.explode(F.sequence(F.lit(0), count - 1)).alias("i"))
+    found = cut.select(F.xxhash64("order", "i").alias("at"), F.substring("data", F.col("i") * PIECE_BYTES + 1, PIECE_BYTES).alias("piece"))
+    return [bytes(r["piece"]) for r in found.orderBy("at", "piece").limit(most).select("piece").collect()]
 
 
 def fit(
     docs: DataFrame,
     labels: DataFrame,
     dictionary_bytes: int = 65536,
-    sample_pieces: int = 8192,
-    calibration_rows: int = 8192,
+    dictionary_rows: int = 3000,
+    dictionary_pieces: int = 8192,
+    calibration_rows: int = 6000,
 ) -> Classifier | None:
     """Learn from labelled rows that are not held out; null if a class has none. Runs jobs when called.
 
-    The sample is bounded: ``sample_pieces`` pieces per class (of ``PIECE_BYTES``) train a dictionary, and
-    ``calibration_rows`` rows, other ones where there are enough, fit a logistic regression of the label on the
-    sizes. Both are taken in order of a hash, so reruns agree. Only the sample comes to the driver.
+    The sample is bounded: per class ``dictionary_rows`` labels, of whose texts ``dictionary_pieces`` pieces
+    (of ``PIECE_BYTES``) train a dictionary, and ``calibration_rows`` other labels, whose sizes a logistic
+    regression is fitted on. All are taken in order of a hash, so reruns agree. Only the sample comes to the
+    driver. If a class is missing from one half of the labels, the other half serves for both.
     """
-    rows = durable(labelled(docs, labels).withColumn("order", F.xxhash64("doc_id", "text")), "labelled")
-    for_pieces = F.pmod("order", F.lit(2)) == 0
-    numbers = F.sequence(F.lit(0), F.ceil(F.octet_length("text") / PIECE_BYTES).cast("int") - 1)
-    cut = (
-        rows.where(F.octet_length("text") > 0)
-        .select("label", "order", for_pieces.alias("first"), F.encode("text", "utf-8").alias("data"), F.explode(numbers).alias("i"))
-        .select("label", "first", F.xxhash64("order", "i").alias("at"), F.substring("data", F.col("i") * PIECE_BYTES + 1, PIECE_BYTES).alias("piece"))
-    )
+    sample = durable(_sample(docs, _marks(labels), dictionary_rows, calibration_rows), "labelled")
     dictionaries = {}
     for label in (0, 1):
-        own = cut.where((F.col("label") == label) & F.col("first")).orderBy("at").limit(sample_pieces)
-        samples = [bytes(r["piece"]) for r in own.select("piece").collect()]
-        if not samples:  # few labels: the other half's pieces
-            own = cut.where(F.col("label") == label).orderBy("at").limit(sample_pieces)
-            samples = [bytes(r["piece"]) for r in own.select("piece").collect()]
-        if not samples:
+        own = _pieces(sample.where("use = 'dictionary'"), label, dictionary_pieces) or _pieces(sample, label, dictionary_pieces)
+        if not own:
             return None
-        dictionaries[label] = _train(samples, dictionary_bytes)
-    sizes = compressed_sizes(rows.where(~for_pieces).orderBy("order").limit(calibration_rows), dictionaries[1], dictionaries[0])
-    found = np.array(sizes.select("label", "n_bytes", "good_size", "bad_size").collect(), float).reshape(-1, 4)
+        dictionaries[label] = _train(own, dictionary_bytes)
+
+    def sizes(rows: DataFrame) -> np.ndarray:
+        texts = rows.orderBy("order").limit(calibration_rows).select("label", F.col("data").cast("string").alias("text"))
+        sized = compressed_sizes(texts, dictionaries[1], dictionaries[0]).select("label", "n_bytes", "good_size", "bad_size")
+        return np.array(sized.collect(), float).reshape(-1, 4)
+
+    found = sizes(sample.where("use = 'calibration'"))
     if len(set(found[:, 0])) < 2:
-        everything = compressed_sizes(rows.orderBy("order").limit(calibration_rows), dictionaries[1], dictionaries[0])
-        found = np.array(everything.select("label", "n_bytes", "good_size", "bad_size").collect(), float).reshape(-1, 4)
+        found = sizes(sample)
     terms = _terms(*found[:, 1:].T)
     center, scale = terms.mean(0), terms.std(0) + 1e-9
     x = np.column_stack([np.ones(len(terms)), (terms - center) / scale])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import compression_quality, divergence, minhash, mixing, secret_links, token_counts, token_files, url_rules
+from panelforge.llm import compression_quality, decontaminate, divergence, minhash, mixing, secret_links, token_counts, token_files, url_rules
 from panelforge.llm.text import text_crc
 from panelforge.storage import durable, new_path
 
@@ -32,6 +32,10 @@ def op1_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.judge_quality(_table(spark, folder, "documents")).drop("lang")
 
 
+def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminations(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "tokens")
     docs = _table(spark, folder, "documents")
@@ -80,6 +84,7 @@ def op10_url_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_divergence": op1_divergence,
+    "op2_decontaminate": op2_decontaminate,
     "op3_token_files": op3_token_files,
     "op5_secret_links": op5_secret_links,
     "op6_minhash": op6_minhash,

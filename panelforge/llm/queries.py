@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import compression_quality, decontaminate, divergence, minhash, mixing, secret_links, token_counts, token_files, url_rules
+from panelforge.llm import compression_quality, decontaminate, divergence, interpolated_lm, minhash, mixing, secret_links, token_counts, token_files, url_rules
 from panelforge.llm.text import text_crc
 from panelforge.storage import durable, new_path
 
@@ -44,6 +44,17 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.with_starts(digests).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_interpolated_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    rows = interpolated_lm.training_rows(docs, lambda crc: crc % 7 == 2, lambda crc: crc % 7 == 3)
+    model, counts = interpolated_lm.fit(rows)
+    scored = interpolated_lm.score(docs, model, counts)
+    held_out = text_crc() % 7 == 2
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op5_secret_links(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_links.find_secrets(_table(spark, folder, "documents"))
     counts = {f"n_{kind}": F.size(kind).cast("long") for kind in ("assign", "access", "hex")}
@@ -86,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_divergence": op1_divergence,
     "op2_decontaminate": op2_decontaminate,
     "op3_token_files": op3_token_files,
+    "op4_interpolated_lm": op4_interpolated_lm,
     "op5_secret_links": op5_secret_links,
     "op6_minhash": op6_minhash,
     "op7_compression": op7_compression,

@@ -22,7 +22,9 @@ MINIMA = BANDS * ROWS
 BITS = 4
 LONGS = MINIMA * BITS // 64
 #: A pair is compared exactly if its estimate is at most this many standard deviations below the limit.
-DEVIATIONS = 5
+DEVIATIONS = 4
+#: Times that classes outside a bucket's main component are compared with a member of it, before the full search.
+ROUNDS = 3
 MASK = 0x1111111111111111
 SIGNATURE = [f"s{i}" for i in range(LONGS)]
 SCHEMA = "doc_id long, n_shingles long, set_key binary, bands array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE)
@@ -156,10 +158,12 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Documents with equal sets are one class, of which the least id takes part further, so exact copies are
     never paired. Classes that share a band meet in its bucket: first all are compared with the bucket's
-    least. After the components of the links found, only classes of a bucket's smaller components are
-    compared with classes of its other ones, so no pair between components is left out, and a bucket that one
-    group of near copies fills costs a comparison per member, not per pair. A pair that its signatures rule
-    out is dropped at once; for others whole texts decide.
+    least. Then, for some rounds, each class outside the main component of its buckets is compared with the
+    most similar by estimate of one member of those main components per bucket, so that a group of near copies
+    grows together at a comparison per member and round, not per pair. At last all classes of a bucket's
+    smaller components are compared with those of its other ones, each pair in the first bucket that it
+    shares, so no pair between components is left out. A pair that its signatures rule out is dropped at once;
+    for others whole texts decide.
 
     A null or empty text, or one without words, has an empty set and is linked with nothing. Rows that share
     an id are one document, linked by any of its texts. A null id takes its class's component, and is null
@@ -173,36 +177,54 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     reps = keyed.join(classes, (F.col("own_key") == F.col("set_key")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["rep", "set_key"])
     reps = durable(reps.select("rep", "n_shingles", "bands", *SIGNATURE), "representatives")
     slim = reps.select(F.struct("rep", "n_shingles", *SIGNATURE).alias("x"))
+    wide = reps.select(F.struct("rep", "n_shingles", "bands", *SIGNATURE).alias("x"))
 
     members = reps.select("rep", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
     members = durable(members.join(shared.select("band", "hub"), "band"), "buckets")
 
-    def with_signature(pairs: DataFrame, id_column: str, name: str) -> DataFrame:
-        return pairs.join(slim.withColumnRenamed("x", name), F.col(id_column) == F.col(f"{name}.rep"))
+    def with_signature(pairs: DataFrame, id_column: str, name: str, signed: DataFrame = slim) -> DataFrame:
+        return pairs.join(signed.withColumnRenamed("x", name), F.col(id_column) == F.col(f"{name}.rep"))
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        return with_signature(with_signature(pairs, "b", "y"), "a", "x").where(may_link("x", "y", percent))
 
-    stars = members.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = with_signature(with_signature(stars, "b", "y"), "a", "x").where(may_link("x", "y", percent)).select("a", "b").distinct()
-    stars = durable(stars, "stars")
     met = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(met, "doc_id", "left_semi")
-    texts = durable(texts, "texts")
-    links = durable(confirm(stars, texts, k, percent), "links")
-    found = durable(components(links), "components")
-
-    placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    left = placed.join(mixed.select("band", "main"), "band")
-    left = durable(with_signature(left, "rep", "z").select("band", "main", "component", F.col("z").alias("x")), "mixed")
+    texts = durable(docs.select(F.col("doc_id").cast("long"), "text").join(met, "doc_id", "left_semi"), "texts")
+
+    def joined(found: DataFrame | None, pairs: DataFrame) -> DataFrame:
+        """The components with the confirmed ones of ``pairs``."""
+        links = confirm(durable(pairs, "pairs"), texts, k, percent)
+        if found is not None:
+            links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
+        return durable(components(links), "components")
+
+    def mixed_buckets(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members with their components, and the buckets with several components, each with its largest."""
+        placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        placed = placed.withColumn("component", F.coalesce("component", "rep"))
+        sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", "band")).alias("one"))
+        largest = F.max_by(F.struct(F.col("component").alias("main"), "one"), F.struct("n", "component"))
+        mixed = sizes.groupBy("band").agg(largest.alias("m"), F.count("*").alias("parts")).where("parts > 1")
+        return placed, mixed.select("band", "m.*")
+
+    stars = members.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    found = joined(None, plausible(stars).select("a", "b").distinct())
+    for _ in range(ROUNDS):
+        placed, mixed = mixed_buckets(found)
+        tried = placed.join(mixed, "band").where("component != main").select(F.col("one").alias("a"), F.col("rep").alias("b")).distinct()
+        best = plausible(tried).groupBy("b").agg(F.max_by("a", F.struct(estimate("x", "y"), F.col("a"))).alias("a"))
+        found = joined(found, best.select("a", "b"))
+
+    placed, mixed = mixed_buckets(found)
+    left = with_signature(placed.join(mixed, "band"), "rep", "z", wide)
+    left = durable(left.select("band", "main", "component", F.col("z").alias("x")), "mixed")
     minor = left.where("component != main").select("band", "component", "x")
     other = left.select("band", F.col("component").alias("other"), F.col("x").alias("y"))
-    apart = (F.col("component") != F.col("other")) & may_link("x", "y", percent)
-    across = minor.join(other, "band").where(apart).select(
-        F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")
-    )
-    more = durable(confirm(durable(across.distinct(), "across"), texts, k, percent), "links")
-    found = durable(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
+    shared_bands = (F.when(F.col("x.bands")[i] == F.col("y.bands")[i], F.col("x.bands")[i]) for i in range(BANDS))
+    apart = (F.col("component") != F.col("other")) & (F.coalesce(*shared_bands) == F.col("band"))
+    across = minor.join(other, "band").where(apart & may_link("x", "y", percent))
+    found = joined(found, across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
 
     merged = classes.join(found, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     ids = rows.select("doc_id", "n_shingles", "set_key").join(merged, "set_key", "left")

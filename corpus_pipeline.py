@@ -1,9 +1,80 @@
-"""From raw documents to token files."""
+"""From raw documents to token files: quality, near copies, benchmark passages, mixing, token output.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is stored and read again as the next
+stage's ``docs``. All but the last return the columns of ``documents``.
+"""
+
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelforge.llm import compression_quality, decontaminate, minhash, mixing, token_files
+from panelforge.storage import durable, new_path
+
+MIN_QUALITY = 0.3
+END_ID = 2
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose quality score is at least ``MIN_QUALITY``, learned from ``labels`` but for the held-out rows."""
+    model = compression_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    name = "quality_score"
+    while name in docs.columns:
+        name += "_"
+    return compression_quality.score(docs, model, name).where(F.col(name) >= MIN_QUALITY).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies (five-word shingles, 80 percent), that of its least ``doc_id``.
+
+    Of several rows with that id, one with the least hash of its text stays. Rows without an id are compared by
+    their whole text: one of each text stays.
+    """
+    kept = minhash.near_copies(docs, k=5, percent=80).where("kept").select("doc_id").distinct()
+    version = F.xxhash64("text")
+    least = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(version).alias("version"))
+    chosen = durable(least.join(kept, "doc_id", "left_semi"), "chosen").select(F.col("doc_id").alias("id"), "version")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("of"), version.alias("at"))
+    rows = rows.join(chosen, (F.col("of") == F.col("id")) & (F.col("at") == F.col("version")), "left_semi")
+    named = rows.dropDuplicates(["of", "at"]).select("row.*")
+    return named.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without a passage of ``benchmark``, up to a fifth of whose words may be edited."""
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as their source's target asks; a row taken twice is there twice."""
+    return mixing.mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all rows, and per row ``doc_id, start, n_tokens, ids_crc32`` as read back from them."""
+    path = new_path(spark, "tokens")
+    token_files.write_token_files(docs, path, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    digests = durable(token_files.digest_token_files(token_files.read_token_files(spark, path)), "digests")
+    return token_files.with_starts(digests).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("MinHash near-dedup", one_of_each),
+    ("benchmark decontamination", no_benchmark),
+    ("mixing sources to target weights", mixed),
+    ("token-ID / binary output", tokens),
+]
+
+#: SQL has neither the compression, the hashes nor the tokenizer; tests hold the rows against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = durable(stage(spark, docs, sf_dir), name.split(" ")[0].lower().replace("/", "-"))
+    return docs

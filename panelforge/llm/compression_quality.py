@@ -45,14 +45,16 @@ def pieces(text: bytes) -> list[bytes]:
     return [text[i : i + PIECE_BYTES] for i in range(0, len(text), PIECE_BYTES)]
 
 
-def _size_batches(good: bytes, bad: bytes) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-    by_good, by_bad = _compressor(good), _compressor(bad)
+def sizes_of(text: bytes, good: bytes, bad: bytes) -> tuple[int, int, int]:
+    """Bytes of a text, and of its pieces compressed with either dictionary."""
+    cut, by_good, by_bad = pieces(text), _compressor(good), _compressor(bad)
+    return len(text), sum(len(by_good.compress(p)) for p in cut), sum(len(by_bad.compress(p)) for p in cut)
+
 
+def _size_batches(good: bytes, bad: bytes) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes = []
-        for text in pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist():
-            cut = pieces(text)
-            sizes.append((len(text), sum(len(by_good.compress(p)) for p in cut), sum(len(by_bad.compress(p)) for p in cut)))
+        texts = pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist()
+        sizes = [sizes_of(text, good, bad) for text in texts]
         columns = [batch.column(c) for c in batch.schema.names if c != "text"]
         names = [c for c in batch.schema.names if c != "text"]
         columns += [pa.array([s[k] for s in sizes], pa.int64()) for k in range(3)]
@@ -156,7 +158,7 @@ def fit(
     return Classifier(dictionaries[1], dictionaries[0], tuple(center), tuple(scale), tuple(weights))
 
 
-def _score_batches(model: Classifier) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+def _score_batches(model: Classifier, name: str) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     sizes = _size_batches(model.good, model.bad)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -166,20 +168,21 @@ def _score_batches(model: Classifier) -> Callable[[pa.RecordBatch], pa.RecordBat
         logit = model.weights[0] + x @ np.array(model.weights[1:])
         score = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         columns = [batch.column(c) for c in batch.schema.names] + [pa.array(score)]
-        return pa.record_batch(columns, [*batch.schema.names, "quality_score"])
+        return pa.record_batch(columns, [*batch.schema.names, name])
 
     return step
 
 
-def score(rows: DataFrame, model: Classifier | None) -> DataFrame:
-    """``rows`` (with a ``text``) and ``quality_score``, from 0 to 1; the text is the only input.
+def score(rows: DataFrame, model: Classifier | None, name: str = "quality_score") -> DataFrame:
+    """``rows`` (with a ``text``) and their score from 0 to 1 as column ``name``; the text is the only input.
 
     A null or empty text gets the score of sizes of zero. Repeated rows get equal scores; an empty table gives
-    no rows; other columns stay as they are, one named ``quality_score`` is replaced. Without a model, where a
+    no rows; other columns stay as they are, so ``name`` must not be one of them. Without a model, where a
     class had no labelled row, every score is 0.5.
     """
-    rows = rows.drop("quality_score")
+    if name in rows.columns:
+        raise ValueError(f"the rows have a column {name} already")
     if model is None:
-        return rows.withColumn("quality_score", F.lit(0.5))
+        return rows.withColumn(name, F.lit(0.5))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return map_batches(rows, partial(_score_batches, model), f"{schema}, quality_score double")
+    return map_batches(rows, partial(_score_batches, model, name), f"{schema}, `{name}` double")

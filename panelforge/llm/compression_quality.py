@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.text import map_batches, text_crc
+from panelforge.llm.text import map_batches, map_rows, text_crc
 from panelforge.storage import durable
 
 #: Texts are compressed in pieces of this many bytes, each by itself, so that the dictionary matters all along.
@@ -184,5 +184,4 @@ def score(rows: DataFrame, model: Classifier | None, name: str = "quality_score"
         raise ValueError(f"the rows have a column {name} already")
     if model is None:
         return rows.withColumn(name, F.lit(0.5))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return map_batches(rows, partial(_score_batches, model, name), f"{schema}, `{name}` double")
+    return map_rows(rows, partial(_score_batches, model, name), f"{name} double")

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.text import map_batches, split_words
+from panelforge.llm.text import map_batches, map_rows, split_words
 
 #: Places of an embedding in a key.
 PLACES = 3
@@ -299,7 +299,6 @@ def without_contaminated(
     docs: DataFrame, benchmark: DataFrame, block_items: int = 5000, block_bytes: int = 8 << 20, **options
 ) -> DataFrame:
     """The rows of ``docs`` in which ``contaminations`` finds nothing, with all their columns, in the same passes."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     for items in item_blocks(benchmark, block_items, block_bytes, **options):
-        docs = map_batches(docs, partial(_clean_batches, items), schema)
+        docs = map_rows(docs, partial(_clean_batches, items))
     return docs

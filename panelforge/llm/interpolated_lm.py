@@ -66,12 +66,13 @@ def training_rows(docs: DataFrame, held_out: Callable[[Column], Column], left_ou
 
 def _sums(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys with the number of their entries and of those that ``weight`` marks (0 or 1)."""
+    if not len(keys):
+        return (np.empty(0, np.int64),) * 3
     both = np.sort(keys * 2 + weight)
     edges = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
     times, entry = np.diff(np.append(edges, len(both))), both[edges]
-    first = np.append(True, entry[1:] >> 1 != entry[:-1] >> 1) if len(entry) else np.empty(0, bool)
-    at = np.flatnonzero(first)
-    return entry[at] >> 1, np.add.reduceat(times, at) if len(at) else times, np.add.reduceat(times * (entry & 1), at) if len(at) else times
+    at = np.flatnonzero(np.append(True, entry[1:] >> 1 != entry[:-1] >> 1))
+    return entry[at] >> 1, np.add.reduceat(times, at), np.add.reduceat(times * (entry & 1), at)
 
 
 def _word_batches() -> Callable[[pa.RecordBatch], pa.RecordBatch]:

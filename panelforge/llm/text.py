@@ -68,6 +68,15 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
+def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], *added: str) -> DataFrame:
+    """``map_batches`` over rows that keep all their columns, whatever their names, and get those ``added``
+    (``"name type"``). The function sees the text as ``text`` and the others under plain names."""
+    plain = df.toDF(*("text" if c == "text" else f"c{i}" for i, c in enumerate(df.columns)))
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema]
+    found = map_batches(plain, make, ", ".join([*kept, *added]))
+    return found.toDF(*df.columns, *(a.split(" ")[0] for a in added))
+
+
 def text_crc(column: str = "doc_id") -> Column:
     """Checksum of a column as text, by which rows are held out; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

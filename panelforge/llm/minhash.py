@@ -15,17 +15,14 @@ from panelforge.llm.components import components
 from panelforge.llm.text import map_batches, split_words
 from panelforge.storage import durable
 
-#: Minima per document, in bands of ``ROWS``. Two sets of similarity 0.8 miss all bands 1 time in 20 million.
-BANDS, ROWS = 32, 4
-MINIMA = BANDS * ROWS
-#: Low bits kept of each minimum, packed into ``LONGS`` 64-bit integers.
-BITS = 4
+#: Minima per document, packed to ``BITS`` low bits each.
+MINIMA, BITS = 512, 2
 LONGS = MINIMA * BITS // 64
+#: The first minima also form bands of ``ROWS``. Two sets of similarity 0.8 miss all bands 1 time in 20 million.
+BANDS, ROWS = 32, 4
 #: A pair is compared exactly if its estimate is at most this many standard deviations below the limit.
 DEVIATIONS = 4
-#: Times that classes outside a bucket's main component are compared with a member of it, before the full search.
-ROUNDS = 3
-MASK = 0x1111111111111111
+MASK = 0x5555555555555555
 SIGNATURE = [f"s{i}" for i in range(LONGS)]
 SCHEMA = "doc_id long, n_shingles long, set_key binary, bands array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE)
 
@@ -69,8 +66,8 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     """The least value of the set under each of ``MINIMA`` permutations of 32-bit integers."""
     factors, shifts = _permutations()
     least, x = np.full(MINIMA, np.uint32(0xFFFFFFFF)), shingles.astype(np.uint32)
-    for i in range(0, len(x), 2048):
-        least = np.minimum(least, (factors * x[i : i + 2048] + shifts).min(axis=1))
+    for i in range(0, len(x), 512):
+        least = np.minimum(least, (factors * x[i : i + 512] + shifts).min(axis=1))
     return least
 
 
@@ -82,7 +79,7 @@ def _signature_batches(k: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         least = np.array([minima(s) for s in sets], np.uint32).reshape(-1, MINIMA)
         keys = np.broadcast_to(_mix(band + np.uint64(1)), (len(sets), BANDS)).copy()
         for row in range(ROWS):
-            keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + least[:, row::ROWS])
+            keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + least[:, row : BANDS * ROWS : ROWS])
         low = (least & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(sets), LONGS, -1)
         packed = (low << (np.arange(low.shape[2], dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64).view(np.int64)
         full = np.array([len(s) > 0 for s in sets], bool)
@@ -121,8 +118,9 @@ def estimate(a: str, b: str) -> Column:
 
 def may_link(a: str, b: str, percent: int) -> Column:
     """Whether the sizes allow the similarity, and the estimate is not far below it."""
-    limit = percent / 100
-    spread = (limit * (1 - limit) / MINIMA) ** 0.5 / (1 - 1 / (1 << BITS))
+    limit, chance = percent / 100, 1 / (1 << BITS)
+    equal = limit + (1 - limit) * chance
+    spread = (equal * (1 - equal) / MINIMA) ** 0.5 / (1 - chance)
     small, large = F.least(f"{a}.n_shingles", f"{b}.n_shingles"), F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
     return (100 * small >= percent * large) & (estimate(a, b) >= limit - DEVIATIONS * spread)
 
@@ -158,12 +156,10 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Documents with equal sets are one class, of which the least id takes part further, so exact copies are
     never paired. Classes that share a band meet in its bucket: first all are compared with the bucket's
-    least. Then, for some rounds, each class outside the main component of its buckets is compared with the
-    most similar by estimate of one member of those main components per bucket, so that a group of near copies
-    grows together at a comparison per member and round, not per pair. At last all classes of a bucket's
-    smaller components are compared with those of its other ones, each pair in the first bucket that it
-    shares, so no pair between components is left out. A pair that its signatures rule out is dropped at once;
-    for others whole texts decide.
+    least, a comparison per member. After the components of the links found, the classes of a bucket's smaller
+    components are compared with those of its other ones, each pair in the first bucket that it shares, so no
+    pair between components is left out, and a component that fills a bucket is not compared with itself. A
+    pair that its signatures rule out is dropped at once; for others whole texts decide.
 
     A null or empty text, or one without words, has an empty set and is linked with nothing. Rows that share
     an id are one document, linked by any of its texts. A null id takes its class's component, and is null
@@ -199,32 +195,22 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
         return durable(components(links), "components")
 
-    def mixed_buckets(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Members with their components, and the buckets with several components, each with its largest."""
-        placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        placed = placed.withColumn("component", F.coalesce("component", "rep"))
-        sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", "band")).alias("one"))
-        largest = F.max_by(F.struct(F.col("component").alias("main"), "one"), F.struct("n", "component"))
-        mixed = sizes.groupBy("band").agg(largest.alias("m"), F.count("*").alias("parts")).where("parts > 1")
-        return placed, mixed.select("band", "m.*")
-
     stars = members.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     found = joined(None, plausible(stars).select("a", "b").distinct())
-    for _ in range(ROUNDS):
-        placed, mixed = mixed_buckets(found)
-        tried = placed.join(mixed, "band").where("component != main").select(F.col("one").alias("a"), F.col("rep").alias("b")).distinct()
-        best = plausible(tried).groupBy("b").agg(F.max_by("a", F.struct(estimate("x", "y"), F.col("a"))).alias("a"))
-        found = joined(found, best.select("a", "b"))
-
-    placed, mixed = mixed_buckets(found)
+    placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "rep"))
+    sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
+    mixed = mixed.where("parts > 1").select("band", "main")
     left = with_signature(placed.join(mixed, "band"), "rep", "z", wide)
     left = durable(left.select("band", "main", "component", F.col("z").alias("x")), "mixed")
     minor = left.where("component != main").select("band", "component", "x")
-    other = left.select("band", F.col("component").alias("other"), F.col("x").alias("y"))
+    other = left.select("band", F.col("component").alias("other"), (F.col("component") == F.col("main")).alias("in_main"), F.col("x").alias("y"))
     shared_bands = (F.when(F.col("x.bands")[i] == F.col("y.bands")[i], F.col("x.bands")[i]) for i in range(BANDS))
-    apart = (F.col("component") != F.col("other")) & (F.coalesce(*shared_bands) == F.col("band"))
+    once = (F.col("in_main") | (F.col("x.rep") < F.col("y.rep"))) & (F.coalesce(*shared_bands) == F.col("band"))
+    apart = (F.col("component") != F.col("other")) & once
     across = minor.join(other, "band").where(apart & may_link("x", "y", percent))
-    found = joined(found, across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
+    found = joined(found, across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")))
 
     merged = classes.join(found, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     ids = rows.select("doc_id", "n_shingles", "set_key").join(merged, "set_key", "left")

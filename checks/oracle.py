@@ -113,6 +113,18 @@ VIEWS = {
         UNION ALL SELECT s_suppkey, s_suppkey, s_suppkey - s_suppkey % 2, 'NR', 'N', '19950101', 'E' FROM supplier""",
     "fx_extra": """SELECT gvkey, datadate, CASE WHEN gvkey % 7 = 0 THEN 'SUMM_STD' ELSE 'STD' END AS datafmt,
         lct * 0.1 AS prba FROM fx_fund""",
+    "fx_coded": """SELECT l_orderkey AS line_key, l_linenumber AS line, CASE WHEN (l_orderkey + l_linenumber) % 7 = 0 THEN l_orderkey || '.0'
+        WHEN (l_orderkey + l_linenumber) % 7 = 1 THEN ' ' || l_orderkey || ' ' WHEN (l_orderkey + l_linenumber) % 7 = 2 THEN l_orderkey || '.5'
+        WHEN (l_orderkey + l_linenumber) % 7 = 3 THEN 'Z' || l_orderkey WHEN (l_orderkey + l_linenumber) % 7 = 4 THEN ' '
+        ELSE CAST(l_orderkey AS VARCHAR) END AS code,
+        CASE l_linenumber % 3 WHEN 0 THEN '10.0' WHEN 1 THEN '11' END AS share,
+        CASE WHEN l_linenumber % 4 = 0 THEN 'n/a' ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS price FROM lineitem""",
+    "coerced": """SELECT line_key, CAST(line AS BIGINT) AS line,
+        CASE WHEN TRY_CAST(trim(code) AS DECIMAL(30, 8)) % 1 = 0 THEN CAST(TRY_CAST(trim(code) AS DECIMAL(30, 8)) AS BIGINT) END AS permno,
+        CAST(TRY_CAST(share AS DOUBLE) AS INT) AS shrcd, TRY_CAST(price AS DOUBLE) AS prc, code, share, price FROM fx_coded""",
+    "fx_daily": """SELECT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS date,
+        CASE WHEN day(CAST(o_orderdate AS DATE)) % 7 <> 0 THEN CAST(sum(CAST(o_totalprice AS DECIMAL(12, 2))) AS DOUBLE) END AS value
+        FROM orders GROUP BY o_orderpriority, CAST(o_orderdate AS DATE)""",
     "fx_macro": """SELECT o_orderpriority AS series, CAST(year(o_orderdate) AS INT) AS year,
         CAST(month(o_orderdate) AS INT) AS month,
         CAST(sum(CAST(o_totalprice AS DECIMAL(12, 2))) AS DOUBLE) / count(o_totalprice) AS value
@@ -128,6 +140,9 @@ VIEWS = {
         WHEN siccd >= 4000 THEN 'Transportation' WHEN siccd >= 2000 THEN 'Manufacturing'
         WHEN siccd >= 1500 THEN 'Construction' WHEN siccd >= 1000 THEN 'Mining' ELSE 'Argriculture' END AS industry
         FROM clean WHERE date BETWEEN {START} AND {END} AND shrcd IN (10, 11) AND exchcd IN (1, 2, 3)""",
+    "counted": f"""SELECT permno, date, round(ret, 6) AS ret,
+        sum(CASE WHEN ret >= 0 THEN 1 ELSE 0 END) {back(12, 2)} AS momentum_count FROM months""",
+    "stump_rows": f"SELECT * FROM counted WHERE ret IS NOT NULL AND momentum_count IS NOT NULL AND date <= {TRAIN}",
     # Signals
     "priced": f"""SELECT m.*, f.mkt_rf, f.rf, m.ret - f.rf AS ex_ret,
         CASE WHEN 1 + m.ret > 0 THEN ln(1 + m.ret) END AS log_growth,
@@ -243,6 +258,41 @@ def carried(series: str, name: str) -> str:
         WHERE x.series = '{series}' AND x.year * 12 + x.month <= m.year * 12 + m.month) AS {name}"""
 
 
+def carried_daily(series: str, name: str) -> str:
+    """Value of the latest day of one series in or before the month of the row."""
+    return f"""(SELECT arg_max(value, x.date) FROM fx_daily x WHERE x.series = '{series}' AND x.value IS NOT NULL
+        AND x.date <= last_day(make_date(CAST(m.year AS INT), CAST(m.month AS INT), 1))) AS {name}"""
+
+
+SERIES = (("1-URGENT", "urgent"), ("2-HIGH", "high"), ("3-MEDIUM", "medium"), ("4-NOT SPECIFIED", "unspecified"), ("5-LOW", "low"))
+
+
+def stump(source: str) -> str:
+    """``momentum_count, fit``: the halves' means of ``ret`` at the split that explains most; of equal ones the first."""
+    return f"""SELECT momentum_count, CASE WHEN momentum_count <= cut THEN t1 / n1 ELSE (t0 - t1) / (n0 - n1) END AS fit
+        FROM (SELECT DISTINCT momentum_count FROM {source}) AS v, (
+            SELECT * FROM (SELECT momentum_count AS cut, sum(n) OVER w AS n1, sum(total) OVER w AS t1, sum(n) OVER () AS n0, sum(total) OVER () AS t0
+                FROM (SELECT momentum_count, count(*) AS n, sum(ret) AS total FROM {source} GROUP BY momentum_count) AS g
+                WINDOW w AS (ORDER BY momentum_count)) AS c
+            WHERE n1 < n0 ORDER BY t1 * t1 / n1 + (t0 - t1) * (t0 - t1) / (n0 - n1) DESC, cut LIMIT 1) AS best"""
+
+
+# The second boosted stump is fitted on twice the first one's errors and weighs a tenth.
+VIEWS |= {
+    "first_stump": stump("stump_rows"),
+    "stump_errors": """SELECT s.momentum_count, 2 * (s.ret - f.fit) AS ret FROM stump_rows s JOIN first_stump f
+        ON s.momentum_count = f.momentum_count""",
+    "second_stump": stump("stump_errors"),
+    "both_stumps": """SELECT a.momentum_count, a.fit + 0.1 * b.fit AS fit FROM first_stump a JOIN second_stump b
+        ON a.momentum_count = b.momentum_count""",
+}
+
+
+def with_r2(fits: str) -> str:
+    return f"""SELECT momentum_count, fit AS prediction, (SELECT 1 - sum((s.ret - f.fit) ** 2) / (var_pop(s.ret) * count(s.ret))
+        FROM stump_rows s JOIN {fits} f ON s.momentum_count = f.momentum_count) AS r2 FROM {fits}"""
+
+
 def grid(settings: str) -> str:
     return f"{FIT}, setting FROM predicted WHERE sample = 'validation' AND setting IN ({settings}) GROUP BY setting"
 
@@ -260,6 +310,16 @@ STD_ERRORS = {
 BODIES = {
     "scan_panel": "fx_panel",
     "factor_series": "fx_factor",
+    "macro_join_daily": "SELECT m.permno, m.date, u.* EXCLUDE (year, month) FROM months m JOIN (SELECT m.year, m.month, "
+    + ", ".join(carried_daily(*names) for names in SERIES)
+    + " FROM (SELECT DISTINCT year, month FROM months) m) u ON m.year = u.year AND m.month = u.month",
+    "code_coercion": "coerced",
+    "rejects": """SELECT 'permno' AS "column", count(*) AS rows, count(*) FILTER (permno IS NULL) AS rejected FROM coerced
+        UNION ALL SELECT 'shrcd', count(*), count(*) FILTER (trim(coalesce(share, '')) <> '' AND shrcd IS NULL) FROM coerced
+        UNION ALL SELECT 'prc', count(*), count(*) FILTER (trim(coalesce(price, '')) <> '' AND prc IS NULL) FROM coerced""",
+    "dt_stump": with_r2("first_stump"),
+    "rf_stump": with_r2("first_stump"),
+    "gbt_stump": with_r2("both_stumps"),
     "macro_join": "SELECT m.permno, m.date, u.* EXCLUDE (year, month) FROM months m JOIN (SELECT m.year, m.month, "
     + ", ".join(
         carried(s, n)

@@ -19,6 +19,12 @@ COLUMNS = {
     "scan_panel": f"{KEY} permco shrcd exchcd siccd prc ret vol shrout",
     "factor_series": "date:d year month mkt_rf:8 rf:8 mkt:8",
     "macro_join": f"{KEY} urgent high medium unspecified low",
+    "macro_join_daily": f"{KEY} urgent high medium unspecified low",
+    "code_coercion": "line_key line permno shrcd:i prc",
+    "rejects": "column rows rejected",
+    "dt_stump": "momentum_count:i prediction:8 r2:8",
+    "rf_stump": "momentum_count:i prediction:8 r2:8",
+    "gbt_stump": "momentum_count:i prediction:8 r2:8",
     "fund_extra_join": "gvkey datadate:d datafmt prba:4",
     "clean_returns": f"{KEY} ret:6 prc siccd",
     "market_equity": f"{KEY} me",

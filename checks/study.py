@@ -9,6 +9,7 @@ from pyspark.ml import Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from checks.outputs import spark_output
 from panelforge.operators import cleaning, fundamentals, linking, macro, models, performance, portfolios, profiling
@@ -18,7 +19,7 @@ from panelforge.plans import backtest, benchmarks, modelling
 from panelforge.plans import panel as panels
 from panelforge.settings import ALL_SIGNALS, CORE_SIGNALS, Sample
 from panelforge.sources import star_schema
-from panelforge.sources.readers import load_factors
+from panelforge.sources.readers import load_factors, rejects, typed
 from panelforge.storage import durable
 
 SAMPLE = Sample("1995-01-01", "1998-12-31", "2000-06-30", "2001-01-01", "2001-12-31", "2002-01-01")
@@ -174,6 +175,34 @@ def _macro(s: Study) -> DataFrame:
     return joined.withColumnsRenamed(SERIES)
 
 
+def _macro_daily(s: Study) -> DataFrame:
+    joined = macro.join_macro(
+        s.months.select("permno", "date", "year", "month"), star_schema.macro_daily(s.table("orders")), SAMPLE.end, list(SERIES)
+    )
+    return joined.withColumnsRenamed(SERIES)
+
+
+def _coerced(s: Study) -> DataFrame:
+    raw = star_schema.coded_file(s.table("lineitem"))
+    keys = StructType([StructField("line_key", LongType()), StructField("line", LongType()), *star_schema.CODED])
+    return typed(raw, keys)
+
+
+def _stump_rows(s: Study) -> DataFrame:
+    """Training months with the one signal that has few distinct values, in a fixed layout."""
+    months = signals.momentum_count(s.months).select("permno", "date", "momentum_count", F.round("ret", 6).alias("ret"))
+    rows = splits.with_features(months.na.drop().where(F.col("date") <= F.lit(SAMPLE.train_end).cast("date")), ["momentum_count"])
+    return durable(models.settled(rows, ["permno", "date"]), "stump")
+
+
+def _stump(s: Study, kind: str, **params) -> DataFrame:
+    """Prediction by the signal's value, and the fit's accuracy on its rows."""
+    rows = _stump_rows(s)
+    fitted = models.tree(kind, maxDepth=1, **params).fit(rows).transform(rows)
+    r2 = models.evaluate(fitted).select("r2").scalar()
+    return fitted.groupBy("momentum_count").agg(F.avg("prediction").alias("prediction")).withColumn("r2", r2)
+
+
 def _extra(s: Study) -> DataFrame:
     return linking.join_fundamental_extra(s.accounts, star_schema.fundamental_extra(s.accounts))
 
@@ -248,6 +277,9 @@ BUILDERS: dict[str, Callable[[Study], DataFrame]] = {
     "scan_panel": lambda s: s.raw,
     "factor_series": lambda s: s.factors,
     "macro_join": _macro,
+    "macro_join_daily": _macro_daily,
+    "code_coercion": _coerced,
+    "rejects": lambda s: rejects(star_schema.coded_file(s.table("lineitem")), star_schema.CODED, keys=["permno"]),
     "fund_extra_join": _extra,
     # Projections and predicates
     "clean_returns": lambda s: cleaning.clean_price(cleaning.clean_returns(s.raw)),
@@ -329,6 +361,9 @@ BUILDERS: dict[str, Callable[[Study], DataFrame]] = {
     "ridge_grid": lambda s: _grid(s, {f"{reg:g}": models.linear(reg, max_iter=500) for reg in RIDGE_GRID}),
     "glm_coefficients": lambda s: models.coefficients(models.generalized_linear(0.3).fit(s.core["train"]), CORE_SIGNALS, s.research),
     "glm_grid": lambda s: _grid(s, {"gaussian": models.generalized_linear(0.5, "gaussian")}),
+    "dt_stump": lambda s: _stump(s, "dt"),
+    "rf_stump": lambda s: _stump(s, "rf", numTrees=1, featureSubsetStrategy="all", bootstrap=False),
+    "gbt_stump": lambda s: _stump(s, "gbt", maxIter=2, stepSize=0.1),
     "tree_predict": _decision_trees,
     "rf_predict": lambda s: s.tree_predictions("rf"),
     "gbt_predict": lambda s: s.tree_predictions("gbt"),

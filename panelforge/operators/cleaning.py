@@ -6,16 +6,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from panelforge.functions.equity import RETURN_SENTINELS, division, parsed_return
 from panelforge.functions.rolling import history
+from panelforge.sources.readers import whole_number
 
 
 def clean_returns(
     df: DataFrame, ret: str = "ret", code: str = "siccd", sentinels: Sequence[str] = RETURN_SENTINELS
 ) -> DataFrame:
-    """Numeric return and integer industry code; sentinels and bad text become NULL."""
-    return df.withColumns({ret: parsed_return(F.col(ret).cast("string"), sentinels), code: F.col(code).try_cast("int")})
+    """Numeric return and integer industry code (``3714.0`` is 3714); sentinels and bad text become NULL."""
+    return df.withColumns(
+        {ret: parsed_return(F.col(ret).cast("string"), sentinels), code: whole_number(F.col(code), IntegerType())}
+    )
+
+
+def identified(df: DataFrame, keys: Sequence[str] = ("permno", "date")) -> DataFrame:
+    """Rows with every key. Others belong to no security or month: they must not share a window."""
+    return require(df, keys)
 
 
 def clean_price(df: DataFrame) -> DataFrame:

@@ -14,9 +14,13 @@ from panelforge.functions.rolling import history
 GROWTH_ITEMS = ("at", "revt", "ni", "xrd")
 
 
-def account_history():
-    """One company's accounts in date order; repeated dates are ordered by the linked security."""
-    return history("gvkey", ["datadate", "lpermno"])
+#: What tells accounts of one company and date apart: a date under two links appears twice.
+ACCOUNT_ORDER = ("datadate", "lpermno", "linkdt", "linktype", "linkprim")
+
+
+def account_history(df: DataFrame):
+    """One company's accounts in date order; repeated dates are ordered by the link, as far as ``df`` has it."""
+    return history("gvkey", [c for c in ACCOUNT_ORDER if c in df.columns])
 
 
 def book_equity(df: DataFrame) -> DataFrame:
@@ -27,14 +31,14 @@ def book_equity(df: DataFrame) -> DataFrame:
 
 def growth(df: DataFrame, items: Sequence[str] = GROWTH_ITEMS) -> DataFrame:
     """``<item>_lag`` and ``<item>_growth`` against the company's previous account."""
-    window = account_history()
+    window = account_history(df)
     df = df.withColumns({f"{c}_lag": F.lag(c).over(window) for c in items})
     return df.withColumns({f"{c}_growth": growth_rate(c, f"{c}_lag") for c in items})
 
 
 def growth_lags(df: DataFrame, column: str = "xrd_growth", lags: Sequence[int] = (1, 2)) -> DataFrame:
     """``<column>_lag<k>`` from ``k`` accounts earlier."""
-    window = account_history()
+    window = account_history(df)
     return df.withColumns({f"{column}_lag{k}": F.lag(column, k).over(window) for k in lags})
 
 

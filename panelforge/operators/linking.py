@@ -49,12 +49,13 @@ def join_fundamental_extra(accounts: DataFrame, extra: DataFrame, datafmt: str =
 
 
 def latest_per_key(accounts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One account per key: the latest date, then the lowest company.
+    """One account per key: the latest date, then the lowest company and security, then the latest link.
 
     An aggregate, so each task keeps one candidate per key before the shuffle.
     """
     rest = [c for c in accounts.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct("datadate", -F.col("gvkey"), -F.col("lpermno")))
+    link = [c for c in ("linkdt", "linktype", "linkprim") if c in accounts.columns]
+    newest = F.max_by(F.struct(*rest), F.struct("datadate", -F.col("gvkey"), -F.col("lpermno"), *link))
     return accounts.groupBy(*keys).agg(newest.alias("row")).select(*keys, "row.*")
 
 

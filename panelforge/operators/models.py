@@ -63,9 +63,13 @@ def tree(kind: str, label: str = "ret", **params) -> Estimator:
     raise ValueError(f"unknown tree kind: {kind}")
 
 
-def settled(train: DataFrame, order: Sequence[str] = ("permno", "date")) -> DataFrame:
-    """Rows in a fixed partition and order, so that a seeded tree draws the same samples again."""
-    partitions = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def settled(train: DataFrame, order: Sequence[str] = ("permno", "date"), partitions: int = 16) -> DataFrame:
+    """Rows in a fixed partition and order, so that a seeded tree draws the same samples again.
+
+    A fit depends on the rows of each partition: above some ten thousand rows MLlib proposes split points from
+    a sample of rows per partition, and forests draw their bags there. So the number of partitions is part of
+    the model; it is set here and not taken from the cluster's settings. Raise it with the training rows.
+    """
     return train.repartition(partitions, order[0]).sortWithinPartitions(*order)
 
 

@@ -47,6 +47,14 @@ def market_value(df: DataFrame) -> DataFrame:
     return df.groupBy("year", "month").agg(F.sum(F.col("ret") * F.col("weight_mktcap")).alias("ret"))
 
 
+def market_both(df: DataFrame) -> DataFrame:
+    """Both market returns from one aggregate: ``year, month, weighting, ret``."""
+    both = df.groupBy("year", "month").agg(
+        F.avg("ret").alias("equal"), F.sum(F.col("ret") * F.col("weight_mktcap")).alias("value")
+    )
+    return both.unpivot(["year", "month"], ["equal", "value"], "weighting", "ret")
+
+
 def subsamples(df: DataFrame, starts: Mapping[str, str | None], date: Column | None = None) -> DataFrame:
     """Each row once per sub-sample whose start lies before it; ``None`` starts at the beginning."""
     date = month_end() if date is None else date

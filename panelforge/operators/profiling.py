@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def _per_column(df: DataFrame, columns: Sequence[str], measures: dict) -> DataFrame:
@@ -25,11 +26,19 @@ def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, sample standard deviation, least and greatest value per numeric column."""
+    """Count, mean, sample standard deviation, least and greatest value per column.
+
+    Columns that are no numbers (dates, text) have a count, but no moments and no numeric extremes.
+    """
+    numeric = {f.name for f in df.schema if isinstance(f.dataType, NumericType)}
+
+    def numbers(measure: Callable[[str], Column]) -> Callable[[str], Column]:
+        return lambda c: measure(F.col(c).cast("double")) if c in numeric else F.lit(None).cast("double")
+
     return _per_column(
-        df.select(*[F.col(c).cast("double").alias(c) for c in columns]),
+        df.select(*columns),
         columns,
-        {"count": F.count, "mean": F.avg, "stddev": F.stddev_samp, "min": F.min, "max": F.max},
+        {"count": F.count, "mean": numbers(F.avg), "stddev": numbers(F.stddev_samp), "min": numbers(F.min), "max": numbers(F.max)},
     )
 
 

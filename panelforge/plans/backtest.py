@@ -12,7 +12,7 @@ from panelforge.operators.quantiles import assign_quantile
 from panelforge.settings import Sample
 
 # What makes a row distinct within a month after the fundamentals join.
-ROW_KEY = ("permno", "gvkey", "lpermno", "datadate")
+ROW_KEY = ("permno", "gvkey", "lpermno", "datadate", "linkdt", "linktype", "linkprim")
 
 
 def sample_starts(sample: Sample) -> dict[str, str | None]:

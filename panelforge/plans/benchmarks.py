@@ -5,17 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from panelforge.operators import portfolios
 
 
 def market_paths(panel: DataFrame, starts: Mapping[str, str | None]) -> DataFrame:
     """Equal- and value-weighted market: ``sample, weighting, year, month, ret, wealth``."""
-    both = portfolios.market_equal(panel).withColumn("weighting", F.lit("equal")).unionByName(
-        portfolios.market_value(panel).withColumn("weighting", F.lit("value"))
-    )
-    return portfolios.sample_paths(both, starts, "ret", ["weighting"])
+    return portfolios.sample_paths(portfolios.market_both(panel), starts, "ret", ["weighting"])
 
 
 def factor_paths(factors: DataFrame, starts: Mapping[str, str | None]) -> DataFrame:

@@ -11,8 +11,10 @@ from panelforge.settings import Sample
 
 
 def clean_months(raw: DataFrame, fmt: str | None = None) -> DataFrame:
-    """Cleaned monthly file. The lagged price looks at every month, before any is filtered out."""
+    """Cleaned monthly file without the rows that have no id or date. The lagged price looks at every month that
+    is left, before any is filtered out."""
     df = cleaning.with_calendar(cleaning.clean_price(cleaning.clean_returns(raw)), fmt=fmt)
+    df = cleaning.identified(df)
     df = cleaning.with_lag(df, ["prc"])
     return cleaning.with_fiscal_year(cleaning.market_equity(df))
 
@@ -52,7 +54,7 @@ def linked_accounts(accounts: DataFrame, links: DataFrame, sample: Sample) -> Da
 
 # What portfolios, models and reports read from the accounts, next to the keys of the join.
 ACCOUNT_ITEMS = (
-    "gvkey", "lpermno", "lpermco", "fyear", "datadate", "at", "lt", "she", "be", "revt", "ni", "at_growth",
+    "gvkey", "lpermno", "lpermco", "linktype", "linkprim", "linkdt", "fyear", "datadate", "at", "lt", "she", "be", "revt", "ni", "at_growth",
     "revt_growth", "ni_growth", "xrd_growth", "xrd_growth_lag1", "xrd_growth_lag2", "current_ratio",
 )
 

@@ -4,9 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, IntegralType, StringType, StructType
+
+
+def whole_number(text: Column, kind: DataType) -> Column:
+    """Text as an integer, by way of an exact decimal: ``10``, ``10.0`` and `` 10 `` are 10; a fraction or other text NULL."""
+    exact = F.trim(text.cast("string")).try_cast("decimal(38,10)")
+    return F.when(exact == F.floor(exact), exact).try_cast(kind)
+
+
+def _values(raw: DataFrame, schema: StructType) -> list[Column]:
+    textual = {f.name.lower() for f in raw.schema if isinstance(f.dataType, StringType)}
+    return [
+        whole_number(F.col(f"`{f.name}`"), f.dataType)
+        if f.name.lower() in textual and isinstance(f.dataType, IntegralType)
+        else F.col(f"`{f.name}`").try_cast(f.dataType)
+        for f in schema.fields
+    ]
+
+
+def typed(raw: DataFrame, schema: StructType) -> DataFrame:
+    """Columns of ``schema`` by name, each in its type; what does not fit becomes NULL (``rejects`` counts it)."""
+    return raw.select(*[c.alias(f.name) for c, f in zip(_values(raw, schema), schema.fields)])
+
+
+def read_raw(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """A CSV (with header), Parquet or ORC path as it is; CSV columns are text.
+
+    Every file of a CSV folder must have the header of the first: the header is checked in each file when it
+    is read, and another order or another name fails, so that no value lands under a wrong name.
+    """
+    if fmt != "csv":
+        return spark.read.format(fmt).load(path)
+    reader = spark.read.option("header", True)
+    return reader.option("enforceSchema", False).schema(reader.csv(path).schema).csv(path)
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType, fmt: str = "csv") -> DataFrame:
@@ -15,9 +48,26 @@ def read_table(spark: SparkSession, path: str, schema: StructType, fmt: str = "c
     CSV is read as text and cast, so no pass over the file is spent on inference, extra columns
     are pruned at the scan and a malformed number becomes NULL instead of a failure.
     """
-    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-    raw = reader.format(fmt).load(path)
-    return raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    return typed(read_raw(spark, path, fmt), schema)
+
+
+def rejects(raw: DataFrame, schema: StructType, keys: Sequence[str] = ()) -> DataFrame:
+    """``column, rows, rejected``: per column how many values that are not blank do not fit its type.
+
+    ``keys`` must be present: for them a blank or missing value is rejected too, as such rows are set aside.
+    One aggregate over the file.
+    """
+    both = raw.select(
+        *[F.col(f"`{f.name}`").alias(f"raw_{i}") for i, f in enumerate(schema.fields)],
+        *[c.alias(f"typed_{i}") for i, c in enumerate(_values(raw, schema))],
+    )
+    measures, rows = [], []
+    for i, name in enumerate(schema.fieldNames()):
+        given = F.lit(True) if name in keys else F.trim(F.coalesce(F.col(f"raw_{i}").cast("string"), F.lit(""))) != ""
+        measures.append(F.count_if(given & F.col(f"typed_{i}").isNull()).alias(f"rejected_{i}"))
+        rows.append(F.struct(F.lit(name).alias("column"), F.col("rows"), F.col(f"rejected_{i}").alias("rejected")))
+    wide = both.agg(F.count("*").alias("rows"), *measures)
+    return wide.select(F.explode(F.array(*rows)).alias("row")).select("row.*")
 
 
 def write_result(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from panelforge.functions.numeric import ratio
 from panelforge.functions.rolling import history
@@ -138,6 +139,33 @@ def fundamental_extra(accounts: DataFrame) -> DataFrame:
     )
 
 
+CODED = StructType([StructField("permno", LongType()), StructField("shrcd", IntegerType()), StructField("prc", DoubleType())])
+
+
+def coded_file(lineitem: DataFrame) -> DataFrame:
+    """A file as text, one row per order line: whole numbers with and without a decimal point, blanks around
+    and for them, fractions, letters."""
+    key, n = F.col("l_orderkey"), F.col("l_linenumber")
+    code = (
+        F.when((key + n) % 7 == 0, F.concat(key.cast("string"), F.lit(".0")))
+        .when((key + n) % 7 == 1, F.concat(F.lit(" "), key.cast("string"), F.lit(" ")))
+        .when((key + n) % 7 == 2, F.concat(key.cast("string"), F.lit(".5")))
+        .when((key + n) % 7 == 3, F.concat(F.lit("Z"), key.cast("string")))
+        .when((key + n) % 7 == 4, F.lit(" "))
+        .otherwise(key.cast("string"))
+    )
+    share = F.when(n % 3 == 0, F.lit("10.0")).when(n % 3 == 1, F.lit("11"))
+    price = F.when(n % 4 == 0, F.lit("n/a")).otherwise(F.col("l_quantity").cast("int").cast("string"))
+    return lineitem.select(key.alias("line_key"), n.alias("line"), code.alias("permno"), share.alias("shrcd"), price.alias("prc"))
+
+
+def macro_daily(orders: DataFrame) -> DataFrame:
+    """Daily macro file ``series, date, value``, with days that have no value."""
+    daily = orders.groupBy(F.col("o_orderpriority").alias("series"), F.col("o_orderdate").cast("date").alias("date"))
+    known = daily.agg(_money("o_totalprice").alias("amount"))
+    return known.select("series", "date", F.when(F.dayofmonth("date") % 7 != 0, F.col("amount")).alias("value"))
+
+
 def macro_file(orders: DataFrame) -> DataFrame:
     """Long macro file ``series, year, month, value``: one monthly series, the others quarterly."""
     return (

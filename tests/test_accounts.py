@@ -128,4 +128,35 @@ def test_wide_macro_file_becomes_long(spark):
         F.to_date("d").alias("date"), "GDP", "GS1"
     )
     got = macro.macro_long(wide, ["GDP", "GS1"]).collect()
-    assert sorted(map(tuple, got)) == [("GDP", 2000, 1, 1.0), ("GS1", 2000, 1, 2.0)]
+    assert sorted((r["series"], str(r["date"]), r["value"]) for r in got) == [("GDP", "2000-01-31", 1.0), ("GS1", "2000-01-31", 2.0)]
+
+
+@pytest.mark.parametrize("order", ["date", "date DESC", "value % 7, date"])
+def test_daily_series_count_by_their_last_day(spark, order):
+    daily = spark.range(60).selectExpr("'GS1' AS series", "date_add(date'2000-01-01', cast(id AS int)) AS date", "id + 0.0D AS value")
+    daily = daily.unionByName(spark.sql("SELECT 'GS1' AS series, date'2000-01-31' AS date, CAST(NULL AS double) AS value"))
+    panel = spark.createDataFrame([(2000, m) for m in range(1, 5)], "year int, month int")
+    daily.createOrReplaceTempView("daily_series")
+    shuffled = spark.sql(f"SELECT * FROM daily_series ORDER BY {order}")
+    got = macro.join_macro(panel, shuffled, "2000-04-30", ["GS1"]).collect()
+    assert {r["month"]: r["GS1"] for r in got} == {1: 30.0, 2: 59.0, 3: 59.0, 4: 59.0}
+
+
+def test_two_links_over_one_date_give_the_same_rows_under_any_layout(spark):
+    accounts = spark.createDataFrame(
+        [(1, y, f"{y}-12-31", "STD", 100.0 + y, 1.0) for y in (1998, 1999, 2000)],
+        "gvkey long, fyear int, datadate string, datafmt string, at double, revt double",
+    ).withColumn("datadate", F.to_date("datadate"))
+    links = spark.createDataFrame(
+        [(1, 7, 6, "LU", "P", "19900101", "20001231"), (1, 7, 6, "LC", "C", "19991231", "E")],
+        "gvkey long, lpermno long, lpermco long, linktype string, linkprim string, linkdt string, linkenddt string",
+    )
+    linked = linking.link_fundamentals(accounts, links, "2002-01-01")
+
+    def rows(df):
+        grown = fundamentals.growth(df, ["at", "revt"])
+        return sorted(map(str, grown.collect())), sorted(map(str, linking.latest_per_key(df, ["lpermco", "fyear"]).collect()))
+
+    first = rows(linked)
+    assert len(first[0]) == 5
+    assert all(rows(linked.repartition(n, "linktype").sortWithinPartitions(F.desc("linktype"))) == first for n in (1, 3, 7))

@@ -126,6 +126,19 @@ def test_forests_repeat_and_weigh_signals(table, kind):
     assert models.evaluate(model.transform(train)).first()["r2"] > 0.3
 
 
+@pytest.mark.parametrize("kind", ["dt", "rf", "gbt"])
+def test_fits_do_not_depend_on_the_cluster_setting(spark, kind):
+    rows = spark.range(20_000).selectExpr("id AS permno", "sin(id) AS a", "cos(id * 3) AS b", "sin(id) * 2 + cos(id) AS ret")
+    before, weights = spark.conf.get("spark.sql.shuffle.partitions"), []
+    params = {"maxDepth": 3} | ({"maxIter": 2} if kind == "gbt" else {"numTrees": 3} if kind == "rf" else {})
+    for setting in ("3", "13"):
+        spark.conf.set("spark.sql.shuffle.partitions", setting)
+        train = models.settled(splits.with_features(rows, ["a", "b"]), ["permno"])
+        weights.append(list(models.tree(kind, **params).fit(train).featureImportances.toArray()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert weights[0] == pytest.approx(weights[1], abs=1e-9)
+
+
 def test_unknown_tree_is_refused():
     with pytest.raises(ValueError):
         models.tree("oak")

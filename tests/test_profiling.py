@@ -38,3 +38,9 @@ def test_top_returns_break_ties_by_security(table):
 def test_lookup_by_table(table, spark):
     ids = spark.createDataFrame([(2,), (4,), (4,)], "permno int")
     assert sorted(r["permno"] for r in profiling.securities(table, ids, ["permno"]).collect()) == [2, 4]
+
+
+def test_summary_of_dates_and_text_counts_them(spark):
+    df = spark.sql("SELECT date'2000-01-01' AS date, 'x' AS name, 2.0D AS ret")
+    got = {r["column"]: (r["count"], r["mean"], r["max"]) for r in profiling.summary(df, ["date", "name", "ret"]).collect()}
+    assert got == {"date": (1, None, None), "name": (1, None, None), "ret": (1, 2.0, 2.0)}

@@ -92,3 +92,36 @@ def test_a_heavy_security_is_combined_before_the_shuffle(spark):
     assert "partial_sum" in plan
     heavy = star.trade_months(lines).where("permno = 7").first()
     assert heavy["vol"] == 6667 + 1 - (7 % 3 == 0) and heavy["prc"] == 2.5
+
+
+def test_whole_numbers_with_a_point_are_kept(spark, tmp_path):
+    (tmp_path / "w.csv").write_text("permno,shrcd,siccd\n10, 11,3714.0\n20,10.0,Z\n30,10.5,0\n,11,100\nx,11,100\n")
+    schema = schemas.SECURITY_MONTH
+    schema = type(schema)([f for f in schema if f.name in ("permno", "shrcd", "siccd")])
+    raw = readers.read_raw(spark, f"{tmp_path}/w.csv")
+    rows = [(r["permno"], r["shrcd"]) for r in readers.typed(raw, schema).collect()]
+    assert rows == [(10, 11), (20, 10), (30, None), (None, 11), (None, 11)]
+    counts = {r["column"]: (r["rows"], r["rejected"]) for r in readers.rejects(raw, schema, ["permno"]).collect()}
+    assert counts == {"permno": (5, 2), "shrcd": (5, 1), "siccd": (5, 0)}
+    clean = cleaning.clean_returns(readers.typed(raw, schema).selectExpr("*", "'0.1' AS ret"))
+    assert [r["siccd"] for r in clean.collect()] == [3714, None, 0, 100, 100]
+
+
+def test_files_of_one_folder_must_have_one_header(spark, tmp_path):
+    folder = tmp_path / "links"
+    folder.mkdir()
+    (folder / "a.csv").write_text("gvkey,linktype,lpermno\n1,LU,10\n")
+    (folder / "b.csv").write_text("linktype,lpermno,gvkey\nLC,31,21\n")
+    schema = type(schemas.LINK)([f for f in schemas.LINK if f.name in ("gvkey", "linktype", "lpermno")])
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_table(spark, str(folder), schema).collect()
+
+
+def test_rows_without_id_or_date_share_no_window(spark):
+    from panelforge.plans import panel
+
+    rows = [(None, "1999-01-31", 1.0), (None, "1999-02-28", 2.0), (5, None, 3.0), (5, "1999-01-31", 4.0), (5, "1999-02-28", 5.0)]
+    raw = spark.createDataFrame(rows, "permno long, date string, prc double").selectExpr(
+        "permno", "cast(date AS date) AS date", "prc", "'0.1' AS ret", "'1' AS siccd", "1.0D AS shrout"
+    )
+    assert sorted((r["permno"], r["prc"], r["prc_lag"]) for r in panel.clean_months(raw).collect()) == [(5, 4.0, None), (5, 5.0, 4.0)]

@@ -89,6 +89,16 @@ class Study:
     def research(self) -> DataFrame:
         return panels.research_panel(self.panel, self.linked)
 
+    @cached_property
+    def unweighted(self) -> DataFrame:
+        """The research panel without market weights."""
+        return panels.research_panel(panels.security_panel(self.raw, self.factors, SAMPLE, weights=False), self.linked)
+
+    @cached_property
+    def plain(self) -> DataFrame:
+        """The research panel without market weights and without what needs the factors."""
+        return panels.research_panel(panels.security_panel(self.raw, None, SAMPLE, weights=False), self.linked)
+
     @cached_property
     def industries(self) -> DataFrame:
         return durable(self.months.select("permno", "date", "industry"), "industry")
@@ -98,7 +108,7 @@ class Study:
         return models.index_category(self.industries, "industry", "industry_index")
 
     def deciles(self, signal: str, **options) -> DataFrame:
-        narrow = rankable(self.research, signal).select(signal, *dict.fromkeys(["date", *backtest.ROW_KEY]))
+        narrow = rankable(self.plain, signal).select(signal, *dict.fromkeys(["date", *backtest.ROW_KEY]))
         return assign_quantile(durable(narrow, "scores"), signal, tie_break=backtest.ROW_KEY, **options)
 
     def portfolios(self, *ranked: str) -> DataFrame:
@@ -336,12 +346,12 @@ BUILDERS: dict[str, Callable[[Study], DataFrame]] = {
     "strategy_wealth": _strategy_wealth,
     "strategy_stats": lambda s: performance.performance_stats(s.ols_legs(), "ret", ["strategy"]),
     # Profiles
-    "profile_nulls": lambda s: profiling.null_counts(s.research, PROFILED),
-    "profile_stats": lambda s: profiling.summary(s.research, ["prc", "ret", "ex_ret"]),
+    "profile_nulls": lambda s: profiling.null_counts(s.plain, PROFILED),
+    "profile_stats": lambda s: profiling.summary(s.unweighted, ["prc", "ret", "ex_ret"]),
     "industry_distinct": lambda s: profiling.distinct_values(s.indexed, ["industry", "industry_index"]),
     "top_returns": lambda s: profiling.top_returns(cleaning.require(s.months, ["ret"])),
     # Samples, features, models
-    "time_split": lambda s: splits.label_samples(s.research, SAMPLE),
+    "time_split": lambda s: splits.label_samples(s.plain, SAMPLE),
     "industry_index": lambda s: s.indexed,
     "industry_onehot": _onehot,
     "feature_matrix": _feature_matrix,

@@ -15,46 +15,12 @@ def _same(left: str, right: str, columns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
 
 
-def _key(signal: str, tie_break: Sequence[str]) -> Column:
-    """Sort key; struct comparison puts NULL before every value, as an ascending sort does."""
-    return F.struct(F.col(signal), *[F.col(c) for c in tie_break])
-
-
-def quantile_cuts(
-    df: DataFrame, signal: str, n: int, by: Sequence[str], tie_break: Sequence[str]
-) -> DataFrame:
-    """Last sort key of each of the first ``n - 1`` groups, as one array per cross-section.
-
-    The keys are sorted once, range-partitioned over cross-section *and* signal, so a large
-    cross-section, a repeated value or a mass of missing signals spreads over many tasks. Row
-    counts per task give every task's first rank; the wanted ranks are then looked up.
-    """
-    order = [*by, signal, *tie_break]
-    keys = df.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
-    # The upper bits of the id are the task, the lower ones the row within it.
-    keys = durable(keys.withColumn("pos", F.monotonically_increasing_id()), "ranked")
-
-    runs = keys.groupBy(*by, F.shiftright("pos", 33).alias("task")).agg(
-        F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("rows")
-    )
-    whole = Window.partitionBy(*by)
-    earlier = whole.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumns(
-        {
-            "before": F.coalesce(F.sum("rows").over(earlier), F.lit(0)),
-            "total": F.sum("rows").over(whole),
-        }
-    )
-    # The first (total mod n) groups hold one row more than the others.
-    last_ranks = F.expr(f"transform(sequence(1, {n - 1}), k -> k * (total div {n}) + least(k, total % {n}))")
-    wanted = (
-        runs.withColumn("rank", F.explode(last_ranks))
-        .where((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("rows")))
-        .select((F.col("first_pos") + F.col("rank") - F.col("before") - 1).alias("pos"))
-    )
-    found = keys.join(durable(wanted, "cut-positions"), "pos")
-    cuts = found.groupBy(*by).agg(F.collect_list(_key(signal, tie_break)).alias("cuts"))
-    return durable(cuts, "cuts")
+def _group_of(rank: Column, total: Column, n: int) -> Column:
+    """Group 1..n of a rank from 0: the first (total mod n) groups hold one row more than the others."""
+    short, longer = F.floor(total / n), total % n
+    in_longer = longer * (short + 1)
+    later = longer + F.floor((rank - in_longer) / F.greatest(short, F.lit(1)))
+    return (F.when(rank < in_longer, F.floor(rank / (short + 1))).otherwise(later) + 1).cast("int")
 
 
 def assign_quantile(
@@ -66,25 +32,38 @@ def assign_quantile(
     out: str = "grp",
     drop_missing: bool = False,
 ) -> DataFrame:
-    """Quantile group 1..n of ``signal`` within ``by``; the groups ``ntile`` would give.
+    """Quantile group 1..n of ``signal`` within ``by``; the groups ``ntile`` would give. Stores ``df`` sorted.
 
     A missing signal sorts first, so it falls into the lowest groups unless ``drop_missing``.
-    ``tie_break`` must make rows unique within a cross-section. Only the sort keys are shuffled:
-    each row finds its group by comparing its key with the n - 1 cuts of its cross-section. ``df``
-    is read twice, so hand in a stored table when it is expensive.
+    ``tie_break`` must make rows unique within a cross-section.
+
+    The rows are sorted once, range-partitioned over cross-section *and* signal, so a large cross-section, a
+    repeated value or a mass of missing signals spreads over many tasks. Row counts per task and cross-section
+    give every task's first rank there; a row's rank is that plus its place, and its group follows by
+    arithmetic. So the sorted rows are read once for the counts and once for the result, with one small join.
+    Hand in the columns the result needs and no others.
     """
     by, tie_break = list(by), list(tie_break)
     if drop_missing:
         df = df.where(F.col(signal).isNotNull() & ~F.isnan(signal))
     if n == 1:
         return df.withColumn(out, F.lit(1))
-    cuts = quantile_cuts(df, signal, n, by, tie_break)
-    key = _key(signal, tie_break)
-    above = F.size(F.filter("cuts", lambda cut: key > cut))
-    return (
-        df.alias("d")
-        .join(cuts.alias("q"), _same("d", "q", by), "left")
-        .select("d.*", "q.cuts")
-        .withColumn(out, above + 1)
-        .drop("cuts")
+    order = [*by, signal, *tie_break]
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The upper bits of the id are the task, the lower ones the row within it.
+    rows = durable(rows.withColumn("sort_pos", F.monotonically_increasing_id()), "ranked")
+    task = F.shiftright("sort_pos", 33)
+    runs = rows.groupBy(*by, task.alias("sort_task")).agg(
+        F.min("sort_pos").alias("first_pos"), F.count(F.lit(1)).alias("run_rows")
+    )
+    whole = Window.partitionBy(*by)
+    earlier = whole.orderBy("sort_task").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("run_rows").over(earlier), F.lit(0))
+    starts = runs.select(
+        *by, "sort_task", (before - F.col("first_pos")).alias("shift"), F.sum("run_rows").over(whole).alias("total")
+    )
+    placed = rows.withColumn("sort_task", task).alias("d").join(
+        durable(starts, "runs").alias("q"), _same("d", "q", [*by, "sort_task"])
     )
+    rank = F.col("d.sort_pos") + F.col("q.shift")
+    return placed.select("d.*", _group_of(rank, F.col("q.total"), n).alias(out)).drop("sort_pos", "sort_task")

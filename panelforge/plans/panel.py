@@ -24,26 +24,30 @@ def universe_months(clean: DataFrame, sample: Sample) -> DataFrame:
     return cleaning.sic_division(cleaning.universe(cleaning.between_dates(clean, sample.start, sample.end)))
 
 
-def signal_months(months: DataFrame, factors: DataFrame) -> DataFrame:
-    """Every signal from a security's own history.
+def signal_months(months: DataFrame, factors: DataFrame | None) -> DataFrame:
+    """Every signal from a security's own history; without ``factors`` those that need none.
 
     Lags look at the filtered universe but at rows with and without a return. The factors are
     joined first, so that one sort by security serves all windows.
     """
-    df = signals.excess_return(signals.join_factors(months, factors))
+    df = months if factors is None else signals.excess_return(signals.join_factors(months, factors))
     df = signals.turnover(signals.dollar_volume(df))
     df = signals.momentum_count(signals.reversal(signals.momentum(df)))
-    return signals.size_factor(signals.beta(df))
+    return signals.size_factor(df if factors is None else signals.beta(df))
 
 
-def security_panel(raw: DataFrame, factors: DataFrame, sample: Sample, fmt: str | None = None) -> DataFrame:
+def security_panel(
+    raw: DataFrame, factors: DataFrame | None, sample: Sample, fmt: str | None = None, weights: bool = True
+) -> DataFrame:
     """Signals and market weights, one row per security and month with a return.
 
     Lazy but for the date totals, whose job reads only what the size needs. A consumer that selects
-    few columns pays for few windows: store the selection, not the whole panel.
+    few columns pays for few windows: store the selection, not the whole panel. One that sorts on a signal
+    without benchmark or weights asks for neither: no ``factors`` joined, ``weights`` off, and nothing runs.
     """
     months = universe_months(clean_months(raw, fmt), sample)
-    return cleaning.require(signals.value_weights(signal_months(months, factors)), ["ret"])
+    df = signal_months(months, factors)
+    return cleaning.require(signals.value_weights(df) if weights else df, ["ret"])
 
 
 def linked_accounts(accounts: DataFrame, links: DataFrame, sample: Sample) -> DataFrame:

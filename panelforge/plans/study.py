@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.operators import models, performance, portfolios, profiling
+from panelforge.operators import linking, macro, models, performance, portfolios, profiling
 from panelforge.plans import backtest, benchmarks, modelling
 from panelforge.plans import panel as panels
 from panelforge.settings import ALL_SIGNALS, CORE_SIGNALS, Sample
@@ -21,6 +22,7 @@ RIDGE = 0.3
 RIDGE_GRID = (1e-4, 1e-2, 1.0, 10.0)
 FAMILY_RIDGE = 0.5
 BENCHMARKS = ["momentum_12", "size", "value"]
+BETA = "beta_lag"
 # Signal and group that stand for each strategy.
 LEGS = {
     "momentum": ("momentum_12", 10),
@@ -32,30 +34,69 @@ LEGS = {
 
 
 def read_inputs(spark: SparkSession, paths: Mapping[str, str], sample: Sample, fmt: str = "csv") -> dict[str, DataFrame]:
-    """The four input files: ``months``, ``factors``, ``accounts`` and ``links``."""
-    accounts = readers.read_table(spark, paths["accounts"], schemas.FUNDAMENTAL, fmt)
+    """The input files ``months``, ``factors``, ``accounts``, ``links`` and, where given, ``macro`` and ``extra``.
+
+    ``rejects`` counts, per file and column, values that did not fit their type and so became NULL, and
+    missing ids and dates, whose rows no result uses.
+    """
+    wanted = {
+        "months": (schemas.SECURITY_MONTH, ["permno", "date"]),
+        "accounts": (schemas.FUNDAMENTAL, ["gvkey", "datadate"]),
+        "links": (schemas.LINK, ["gvkey", "lpermno"]),
+        "macro": (schemas.MACRO, ["date"]),
+        "extra": (schemas.FUNDAMENTAL_EXTRA, ["gvkey", "datadate"]),
+    }
+    raw = {name: readers.read_raw(spark, paths[name], fmt) for name in wanted if paths.get(name)}
+    tables = {name: readers.typed(df, wanted[name][0]) for name, df in raw.items()}
+    counts = [readers.rejects(df, *wanted[name]).select(F.lit(name).alias("file"), "*") for name, df in raw.items()]
     factors = readers.read_table(spark, paths["factors"], schemas.FACTOR_MONTH, fmt)
+    for name in ("accounts", "extra"):
+        if name in tables:
+            tables[name] = readers.with_date(tables[name], "datadate", DATE_FORMAT)
+    if "macro" in tables:
+        tables["macro"] = macro.macro_long(readers.with_date(tables["macro"], "date", "yyyy-MM-dd"))
     return {
-        "months": readers.read_table(spark, paths["months"], schemas.SECURITY_MONTH, fmt),
+        **tables,
         "factors": readers.load_factors(factors, sample.start, sample.end),
-        "accounts": readers.with_date(accounts, "datadate", DATE_FORMAT),
-        "links": readers.read_table(spark, paths["links"], schemas.LINK, fmt),
+        "rejects": reduce(DataFrame.unionByName, counts),
     }
 
 
 def build_research(inputs: Mapping[str, DataFrame], sample: Sample, dedupe: bool = False) -> DataFrame:
-    """The stored research panel all results are read from."""
+    """The stored research panel all results are read from, with the industry's index and indicators.
+
+    The macro series known in a month join it, and the extra item joins the accounts, where these are given.
+    """
     panel = panels.security_panel(inputs["months"], durable(inputs["factors"], "factors"), sample, DATE_FORMAT)
-    accounts = panels.linked_accounts(inputs["accounts"], inputs["links"], sample)
-    return durable(panels.research_panel(panel, accounts, dedupe), "research")
+    accounts, items = inputs["accounts"], panels.ACCOUNT_ITEMS
+    if "extra" in inputs:
+        accounts, items = linking.join_fundamental_extra(accounts, inputs["extra"]), (*items, "prba")
+    accounts = panels.linked_accounts(accounts, inputs["links"], sample)
+    research = panels.research_panel(panel, accounts, dedupe, items)
+    if "macro" in inputs:
+        research = macro.join_macro(research, inputs["macro"], sample.end)
+    return models.encode_category(durable(research, "research"), "industry", "industry_index", "industry_vector")
+
+
+def sub_periods(sample: Sample) -> dict[str, tuple[str, str]]:
+    """The samples in turn, each with the days before its first and of its last month."""
+    return {
+        "train": (sample.start, sample.train_end),
+        "validation": (sample.train_end, sample.validation_end),
+        "out": (sample.validation_end, sample.end),
+    }
 
 
 def benchmark_results(research: DataFrame, factors: DataFrame, sample: Sample) -> dict[str, DataFrame]:
-    """Market and single-signal portfolios."""
+    """Market and single-signal portfolios, among them those sorted on beta, and their wealth at the end of each sub-period."""
     starts = backtest.sample_starts(sample)
     whole_and_recent = {name: starts[name] for name in ("full", "recent")}
-    returns = durable(backtest.sorted_portfolios(research, BENCHMARKS), "benchmark-returns")
+    sorted_on = durable(backtest.sorted_portfolios(research, [*BENCHMARKS, BETA]), "benchmark-returns")
+    returns = sorted_on.where(F.col("signal") != BETA)
+    beta = sorted_on.where(F.col("signal") == BETA).drop("signal")
     return {
+        "beta_returns": beta,
+        "beta_terminal": portfolios.terminal_wealth(beta, sub_periods(sample), "equal_ret"),
         "market": benchmarks.market_paths(research, whole_and_recent),
         "factor_market": benchmarks.factor_paths(factors, whole_and_recent),
         "benchmark_returns": returns,
@@ -108,8 +149,10 @@ def full_study(inputs: Mapping[str, DataFrame], sample: Sample = Sample(), dedup
     """Every result table by name. Shared inputs are stored on the way; the tables themselves are lazy."""
     research = build_research(inputs, sample, dedupe)
     results = {
+        "rejects": inputs["rejects"],
         "profile": profiling.null_counts(research, research.columns),
-        "summary": profiling.summary(research, ["prc", "ret", "ex_ret"]),
+        "summary": profiling.summary(research, ["date", "prc", "ret", "ex_ret"]),
+        "industries": research.select("industry", "industry_index", vector_to_array("industry_vector").alias("onehot")).distinct(),
         **benchmark_results(research, inputs["factors"], sample),
     }
     core = modelling.model_samples(research, CORE_SIGNALS, sample)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+from panelforge.settings import MACRO_SERIES
+
 
 def _schema(**types) -> StructType:
     return StructType([StructField(name, kind()) for name, kind in types.items()])
@@ -35,3 +37,6 @@ FUNDAMENTAL = _schema(
 
 # Extra annual item, joined by company and date.
 FUNDAMENTAL_EXTRA = _schema(gvkey=LongType, datadate=StringType, datafmt=StringType, prba=DoubleType)
+
+# Macro series, one column each; ``date`` is yyyy-MM-dd, a series may be daily.
+MACRO = _schema(date=StringType, **{name: DoubleType for name in MACRO_SERIES})

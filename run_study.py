@@ -1,7 +1,7 @@
-"""spark-submit entry: read the four input files, run the study, write one table per result.
+"""spark-submit entry: read the input files, run the study, write one table per result.
 
     spark-submit --conf spark.checkpoint.dir=<shared folder> run_study.py \\
-        --months <path> --factors <path> --accounts <path> --links <path> --out <folder>
+        --months <path> --factors <path> --accounts <path> --links <path> [--macro <path>] [--extra <path>] --out <folder>
 """
 
 from __future__ import annotations
@@ -13,12 +13,15 @@ from pyspark.sql import SparkSession
 
 from panelforge.plans.study import full_study, read_inputs, write_study
 from panelforge.settings import Sample
+from panelforge.storage import drop_stored
 
 
 def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__.splitlines()[0])
     for name in ("months", "factors", "accounts", "links"):
         parser.add_argument(f"--{name}", required=True)
+    for name in ("macro", "extra"):
+        parser.add_argument(f"--{name}")
     parser.add_argument("--out", required=True)
     parser.add_argument("--format", default="csv", help="of the input files: csv, parquet or orc")
     parser.add_argument("--out-format", default="parquet")
@@ -29,9 +32,10 @@ def main() -> None:
 
     spark = SparkSession.builder.appName("panelforge").getOrCreate()
     sample = Sample(**{field.name: getattr(args, field.name) for field in fields(Sample)})
-    paths = {name: getattr(args, name) for name in ("months", "factors", "accounts", "links")}
+    paths = {name: getattr(args, name) for name in ("months", "factors", "accounts", "links", "macro", "extra")}
     results = full_study(read_inputs(spark, paths, sample, args.format), sample, args.dedupe)
     write_study(results, args.out, args.out_format)
+    drop_stored(spark)
 
 
 if __name__ == "__main__":

@@ -77,9 +77,9 @@ def test_a_date_with_a_third_of_the_rows_spreads_over_tasks(spark, monkeypatch):
     sizes = got.where("date = 0").groupBy("grp").count()
     assert sizes.agg(F.max("count") - F.min("count")).first()[0] <= 1
     hot = stored["ranked"].where("date = 0")
-    assert hot.select(F.shiftright("pos", 33).alias("task")).distinct().count() >= 2
+    assert hot.select(F.shiftright("sort_pos", 33).alias("task")).distinct().count() >= 2
     total = hot.count()
-    largest = hot.groupBy(F.shiftright("pos", 33)).count().agg(F.max("count")).first()[0]
+    largest = hot.groupBy(F.shiftright("sort_pos", 33)).count().agg(F.max("count")).first()[0]
     assert largest < total * 0.75
 
 

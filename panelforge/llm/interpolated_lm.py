@@ -21,7 +21,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm.text import map_batches, split_words, text_crc
@@ -95,8 +95,14 @@ def word_counts(rows: DataFrame) -> DataFrame:
 def _vocabulary(rows: DataFrame, counts: DataFrame, context_words: int, known_words: int) -> Vocabulary:
     texts = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("deleted").cast("long")), F.lit(0)).alias("d")).first()
     total = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "nd"), F.count("*").alias("words")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(known_words).toArrow()
+    # the least count that at most ``known_words`` words reach; words of one count are known together or not at all
+    running = F.sum("words").over(Window.orderBy(F.desc("n")))
+    by_count = counts.groupBy("n").agg(F.count("*").alias("words")).select("n", running.alias("words"))
+    least = by_count.where(F.col("words") <= known_words).agg(F.coalesce(F.min("n"), F.lit((1 << 63) - 1))).first()[0]
+    top = counts.where(F.col("n") >= least).toArrow()
     word, n, d = (top.column(c).to_numpy() for c in ("word", "n", "d"))
+    frequent = np.lexsort((word, -n))
+    word, n, d = word[frequent], n[frequent], d[frequent]
     own = np.arange(len(word)) < context_words
     symbols = np.where(own, np.arange(len(word)) + 2, RARE)
     full, kept = np.zeros(2 + own.sum(), np.int64), np.zeros(2 + own.sum(), np.int64)
@@ -177,7 +183,7 @@ def learn_weights(vocabulary: Vocabulary, pair: np.ndarray, n: np.ndarray, d: np
 def fit(rows: DataFrame, context_words: int = 4096, known_words: int = 1 << 18, rounds: int = 25) -> tuple[Model, DataFrame]:
     """The model of ``training_rows`` and the table of all its word counts. Runs jobs when called.
 
-    To the driver come the ``known_words`` most frequent words and the pair counts of ``context_words`` words,
+    To the driver come at most the ``known_words`` most frequent words and the pair counts of ``context_words`` words,
     both bounded by these parameters; every count is over all rows. Without rows all tokens are equally likely.
     """
     counts = durable(word_counts(rows), "words")

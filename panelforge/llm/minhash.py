@@ -206,10 +206,11 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     left = durable(left.select("band", "main", "component", F.col("z").alias("x")), "mixed")
     minor = left.where("component != main").select("band", "component", "x")
     other = left.select("band", F.col("component").alias("other"), (F.col("component") == F.col("main")).alias("in_main"), F.col("x").alias("y"))
-    shared_bands = (F.when(F.col("x.bands")[i] == F.col("y.bands")[i], F.col("x.bands")[i]) for i in range(BANDS))
-    once = (F.col("in_main") | (F.col("x.rep") < F.col("y.rep"))) & (F.coalesce(*shared_bands) == F.col("band"))
-    apart = (F.col("component") != F.col("other")) & once
-    across = minor.join(other, "band").where(apart & may_link("x", "y", percent))
+    # in the order of their cost; the last one keeps a pair in the first bucket that it shares
+    once = (F.col("in_main") | (F.col("x.rep") < F.col("y.rep"))) & may_link("x", "y", percent)
+    first = F.array_intersect("x.bands", "y.bands")[0] == F.col("band")
+    apart = (F.col("component") != F.col("other")) & once & first
+    across = minor.join(other, "band").where(apart)
     found = joined(found, across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")))
 
     merged = classes.join(found, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))

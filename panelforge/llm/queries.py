@@ -29,7 +29,8 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op1_divergence(spark: SparkSession, folder: str) -> DataFrame:
-    return divergence.judge_quality(_table(spark, folder, "documents")).drop("lang")
+    judged = divergence.judge_quality(_table(spark, folder, "documents")).drop("lang")
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "common_distance")})
 
 
 def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,7 +111,93 @@ _RULE_VALUES = ", ".join(str(rule) for rule in URL_RULES)
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
+_COMMON = ", ".join(f"('{word}', {i})" for i, word in enumerate(divergence.COMMON_WORDS))
+_CLASS_SETS = ["[^a-z]", "[^A-Z]", "[^0-9]", r"[^ \t\n\v\f\r]", "[^.,]", "[^!?;:''\"()-]"]
+
+
+def _references(name: str, where: str) -> str:
+    """Mean histograms by language of the documents that ``where`` keeps; those of all rows have no language."""
+    return f"""
+        {name}_sums AS (
+            SELECT lang, kind, bin, count(*) AS n, sum(1000000 * cnt // greatest(total, 1)) AS s FROM grid JOIN base USING (r) WHERE {where}
+            GROUP BY lang, kind, bin
+        ),
+        {name}_both AS (
+            SELECT lang, kind, bin, s FROM {name}_sums WHERE lang IS NOT NULL AND n >= 100
+            UNION ALL SELECT NULL, kind, bin, sum(s) FROM {name}_sums GROUP BY kind, bin
+        ),
+        {name} AS (SELECT lang, kind, bin, s / sum(s) OVER (PARTITION BY lang, kind) AS q FROM {name}_both),
+        {name}_far AS (
+            SELECT r, grid.kind AS kind, CASE WHEN min(total) > 0 THEN sqrt(greatest(sum(
+                CASE WHEN cnt > 0 THEN cnt / total * log2(cnt / total / ((cnt / total + q) / 2)) ELSE 0 END
+                + CASE WHEN q > 0 THEN q * log2(q / ((cnt / greatest(total, 1) + q) / 2)) ELSE 0 END) / 2, 0)) END AS distance
+            FROM grid JOIN base USING (r)
+            JOIN {name} ON {name}.kind = grid.kind AND {name}.bin = grid.bin AND {name}.lang IS NOT DISTINCT FROM
+                CASE WHEN base.lang IN (SELECT lang FROM {name} WHERE lang IS NOT NULL) THEN base.lang END
+            GROUP BY r, grid.kind
+        ),
+        {name}_judged AS (
+            SELECT r, max(distance) FILTER (kind = 'classes') AS class_distance, max(distance) FILTER (kind = 'common') AS common_distance
+            FROM {name}_far GROUP BY r
+        )"""
+
+
+_NEAR = """NOT base_failed AND NOT coalesce(class_distance > 0.18
+    AND class_distance + common_distance > 0.3 + 1.2 / sqrt(greatest(n_words, 1)), false)"""
+
 ORACLES: dict[str, str] = {
+    "op1_divergence": rf"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words
+            FROM documents
+        ),
+        places AS (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM docs WHERE len(words) > 2),
+        windows AS (SELECT r, i, count(*) OVER (PARTITION BY r, words[i], words[i + 1], words[i + 2]) AS times FROM places),
+        covered AS (
+            SELECT r, count(DISTINCT p) AS n_repeat_words
+            FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE times > 1) GROUP BY r
+        ),
+        counted AS (
+            SELECT r, doc_id, lang, text, words, CAST(len(words) AS BIGINT) AS n_words,
+                   CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+                   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                   list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{_WORD}')) AS lines
+            FROM docs
+        ),
+        base AS (
+            SELECT c.* EXCLUDE (lines), CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+                   coalesce(n_repeat_words, 0) AS n_repeat_words,
+                   n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed
+            FROM counted c LEFT JOIN covered USING (r)
+        ),
+        class_counts AS (
+            SELECT r, length(text) AS total, [{", ".join(f"length(regexp_replace(text, '{s}', '', 'g'))" for s in _CLASS_SETS)}] AS known,
+                   length(regexp_replace(text, '[\x01-\x7F]', '', 'g')) AS other
+            FROM base
+        ),
+        common(word, bin) AS (VALUES {_COMMON}),
+        word_bins AS (
+            SELECT r, coalesce(bin, {len(divergence.COMMON_WORDS)}) AS bin, count(*) AS cnt
+            FROM (SELECT r, translate(unnest(words), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word FROM base)
+            LEFT JOIN common USING (word) GROUP BY ALL
+        ),
+        grid AS (
+            SELECT r, 'classes' AS kind, b.bin, total, CASE WHEN b.bin < 6 THEN known[b.bin + 1] WHEN b.bin = 7 THEN other
+                   ELSE total - other - list_sum(known) END AS cnt
+            FROM class_counts, (SELECT unnest(range(8)) AS bin) b
+            UNION ALL
+            SELECT base.r, 'common', b.bin, n_words, coalesce(cnt, 0)
+            FROM base CROSS JOIN (SELECT unnest(range({len(divergence.COMMON_WORDS) + 1})) AS bin) b
+            LEFT JOIN word_bins ON word_bins.r = base.r AND word_bins.bin = b.bin
+        ),
+        {_references("first_refs", "NOT base_failed")},
+        near AS (SELECT r FROM base JOIN first_refs_judged USING (r) WHERE {_NEAR}),
+        {_references("refs", "r IN (SELECT r FROM near)")}
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               round(class_distance, 6) AS class_distance, round(common_distance, 6) AS common_distance, {_NEAR} AS kept
+        FROM base JOIN refs_judged USING (r)
+    """,
     "op8_mixing": rf"""
         WITH RECURSIVE sized AS (
             SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{_WORD}')), 0) AS BIGINT) AS size FROM documents

@@ -111,6 +111,23 @@ _RULE_VALUES = ", ".join(str(rule) for rule in URL_RULES)
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
+_KEYWORDS = {
+    "assign": "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]",
+    "ident": "[Aa][Cc][Cc][Ee][Ss][Ss]_?[Kk][Ee][Yy]_?[Ii][Dd]|[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd]|[Uu][Ss][Ee][Rr]_?[Nn][Aa][Mm][Ee]"
+    "|[Uu][Ss][Ee][Rr]|[Ll][Oo][Gg][Ii][Nn]",
+}
+_TIED = r"""["'']?\x20*[:=]\x20*["'']?"""
+_SCANS = ", ".join(
+    f"('{scan}', '{pattern}')"
+    for scan, pattern in {
+        "assign": rf"(?:{_KEYWORDS['assign']}){_TIED}[A-Za-z0-9+/_.=-]+",
+        "access": "AKIA[A-Z0-9]+",
+        "hex": "[0-9a-f]+",
+        "ident": rf"(?:{_KEYWORDS['ident']}){_TIED}[A-Za-z0-9_.@+-]+",
+        "weak": "[A-Za-z0-9+/]{40,}={0,2}",
+        "endpoint": r"https?://[^\x20\x09-\x0D\"''<>]+",
+    }.items()
+)
 _COMMON = ", ".join(f"('{word}', {i})" for i, word in enumerate(divergence.COMMON_WORDS))
 _CLASS_SETS = ["[^a-z]", "[^A-Z]", "[^0-9]", r"[^ \t\n\v\f\r]", "[^.,]", "[^!?;:''\"()-]"]
 
@@ -198,6 +215,53 @@ ORACLES: dict[str, str] = {
                round(class_distance, 6) AS class_distance, round(common_distance, 6) AS common_distance, {_NEAR} AS kept
         FROM base JOIN refs_judged USING (r)
     """,
+    "op5_secret_links": rf"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        patterns(scan, pattern) AS (VALUES {_SCANS}),
+        cut AS (
+            SELECT r, scan, regexp_extract_all(text, pattern) AS found, string_split_regex(text, pattern) AS gaps
+            FROM (SELECT r, text, scan, pattern FROM docs CROSS JOIN patterns)
+        ),
+        placed AS (
+            SELECT r, scan, found[i] AS match, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g)))
+                   + coalesce(list_sum(list_transform(found[1:i - 1], lambda f: length(f))), 0) AS BIGINT) AS start
+            FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM cut)
+        ),
+        measured AS (
+            SELECT r, scan, start, start + length(match) AS stop, length(match) AS n,
+                   CASE WHEN scan IN ('assign', 'ident') THEN length(regexp_extract(match, '["'']?\x20*[:=]\x20*["'']?([^"'':\x20]*)$', 1)) END AS value,
+                   scan = 'weak' AND start > 0 AND substr(text, start, 1) = '=' AS assigned
+            FROM placed JOIN docs USING (r)
+        ),
+        spans AS (
+            SELECT r, start, stop, CASE WHEN scan = 'assign' AND value < 12 THEN 'weak' ELSE scan END AS kind,
+                   CASE WHEN scan IN ('ident', 'access') THEN 'identifier' WHEN scan = 'endpoint' THEN scan
+                        WHEN scan <> 'hex' THEN 'secret' END AS role
+            FROM measured
+            WHERE CASE scan WHEN 'assign' THEN value >= 6 WHEN 'access' THEN n >= 18 WHEN 'hex' THEN n >= 16
+                       WHEN 'ident' THEN value >= 3 WHEN 'weak' THEN NOT assigned ELSE true END
+        ),
+        near AS (
+            SELECT a.r, a.start, a.stop, a.kind, a.role, bool_or(b.role = 'identifier') AS identified, bool_or(b.role = 'secret') AS opened
+            FROM spans a JOIN spans b ON a.r = b.r AND b.start <= a.stop + 200 AND a.start <= b.stop + 200
+            WHERE a.kind IN ('ident', 'weak', 'endpoint') AND b.role IN ('identifier', 'secret') AND a.role <> b.role
+            GROUP BY ALL
+        ),
+        listed AS (
+            SELECT r, start, stop, kind FROM spans WHERE kind IN ('assign', 'access', 'hex')
+            UNION ALL SELECT DISTINCT r, start, stop, kind FROM near WHERE role <> 'endpoint' OR (identified AND opened)
+        ),
+        named AS (
+            SELECT r, kind, kind || ':' || start || ':' || stop AS span, start, stop,
+                   list_position(['assign', 'access', 'hex', 'ident', 'weak', 'endpoint'], kind) AS place
+            FROM listed
+        )
+        SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+               count(*) FILTER (kind = 'hex') AS n_hex,
+               sha256(coalesce(string_agg(span, ',' ORDER BY start, place, stop) FILTER (place <= 3), '')) AS base_sha256,
+               coalesce(string_agg(span, ',' ORDER BY start, place, stop), '') AS spans
+        FROM docs LEFT JOIN named USING (r) GROUP BY r, doc_id
+    """,
     "op8_mixing": rf"""
         WITH RECURSIVE sized AS (
             SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{_WORD}')), 0) AS BIGINT) AS size FROM documents

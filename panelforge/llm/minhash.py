@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.components import components
-from panelforge.llm.text import map_batches, split_words
+from panelforge.llm.text import SMALL_SLICE, map_batches, split_words
 from panelforge.storage import durable
 
 #: Minima per document, packed to ``BITS`` low bits each.
@@ -97,7 +97,7 @@ def _signature_batches(k: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """Per row the size of its set, a 128-bit key of the set, band keys, and the packed low bits of its minima."""
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), partial(_signature_batches, k), SCHEMA)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), partial(_signature_batches, k), SCHEMA, SMALL_SLICE)
 
 
 def estimate(a: str, b: str) -> Column:

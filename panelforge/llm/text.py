@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 MEMO_LENGTH = 64
 #: Texts are worked on in pieces of a batch of about this many bytes, so that a worker's memory is bounded.
 SLICE_BYTES = 16 << 20
+#: The same for functions that hold much more than the text.
+SMALL_SLICE = 4 << 20
 
 
 class Words(NamedTuple):
@@ -45,25 +47,31 @@ def split_words(texts: pa.Array, lower: bool = False) -> Words:
     return Words(encoded.indices.to_numpy(zero_copy_only=False), encoded.dictionary, kept[bounds])
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut a batch into pieces of about ``SLICE_BYTES``; a longer text is a piece of its own."""
+def slices(batch: pa.RecordBatch, column: str, slice_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into pieces of about ``slice_bytes``; a longer text is a piece of its own."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(size, dtype=np.int64) // SLICE_BYTES
+    group = np.cumsum(size, dtype=np.int64) // slice_bytes
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         yield batch.slice(a, b - a)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """Run one function per slice of each Arrow batch. ``make`` is called once per task and keeps the task's state."""
+def map_batches(
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, slice_bytes: int = SLICE_BYTES
+) -> DataFrame:
+    """Run one function per slice of each Arrow batch. ``make`` is called once per task and keeps the task's state.
+
+    Workers outlive tasks, so Arrow's unused memory is given back after each batch.
+    """
     column = "text" if "text" in df.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for piece in slices(batch, column) if column else [batch]:
+            for piece in slices(batch, column, slice_bytes) if column else [batch]:
                 if piece.num_rows:
                     yield step(piece)
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
@@ -73,7 +81,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
     (``"name type"``). The function sees the text as ``text`` and the others under plain names."""
     plain = df.toDF(*("text" if c == "text" else f"c{i}" for i, c in enumerate(df.columns)))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema]
-    found = map_batches(plain, make, ", ".join([*kept, *added]))
+    found = map_batches(plain, make, ", ".join([*kept, *added]), SMALL_SLICE)
     return found.toDF(*df.columns, *(a.split(" ")[0] for a in added))
 
 

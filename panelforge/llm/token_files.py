@@ -17,7 +17,7 @@ from panelforge.llm.text import Memo, map_batches, split_words
 
 #: Columns of a token file. ``place`` is the number of ids of earlier documents in the same file.
 FILE_SCHEMA = "doc_id long, place long, tokens array<int>"
-STEM_MEMO = 400_000
+STEM_MEMO = 200_000
 #: Marks that a tokenizer with word ends cuts off behind a letter.
 STEM = r"^(?P<stem>(?s:.)*[a-z0-9])(?P<marks>[.,!?;:*%&$#|]*)$"
 

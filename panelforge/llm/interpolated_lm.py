@@ -5,7 +5,12 @@ in the training text, its share of all tokens, and an even one. The weights depe
 occurs (buckets by powers of two) and are learned by expectation-maximisation: a part of the training text is
 left out of the counts and the weights are those under which that part is most likely.
 
-Words beyond the ``context_words`` most frequent ones share one symbol in the pair counts, so the table of pairs
+``score_by_all_pairs`` counts every pair of words that the texts hold; no word shares another's counts. The
+pairs and their counts grow with the corpus and stay in Spark. Bounded tables of frequent words and pairs go to the
+tasks as a short cut only, so that no join meets a key that many rows share; the results are the same without them.
+
+``fit`` and ``score`` are a smaller model with a dense matrix, for tables whose pairs should fit one machine: words
+beyond the ``context_words`` most frequent ones share one symbol in the pair counts, so the table of pairs
 is bounded by their square, whatever the corpus. Such a word's probability is that of the symbol times its own
 share among these words, add-one smoothed, from exact counts of the whole training text. Those counts grow with
 the corpus: they stay in Spark, and the texts meet them in a join. Only the counts of the ``known_words`` most
@@ -20,6 +25,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,14 +98,18 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return partial_counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
+def _most_frequent(table: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows whose count is at least the least one that at most ``most`` rows reach; equal counts stay together."""
+    running = F.sum("rows").over(Window.orderBy(F.desc(count)))
+    by_count = table.groupBy(count).agg(F.count("*").alias("rows")).select(count, running.alias("rows"))
+    least = by_count.where(F.col("rows") <= most).agg(F.coalesce(F.min(count), F.lit((1 << 63) - 1))).first()[0]
+    return table.where(F.col(count) >= least)
+
+
 def _vocabulary(rows: DataFrame, counts: DataFrame, context_words: int, known_words: int) -> Vocabulary:
     texts = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("deleted").cast("long")), F.lit(0)).alias("d")).first()
     total = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "nd"), F.count("*").alias("words")).first()
-    # the least count that at most ``known_words`` words reach; words of one count are known together or not at all
-    running = F.sum("words").over(Window.orderBy(F.desc("n")))
-    by_count = counts.groupBy("n").agg(F.count("*").alias("words")).select("n", running.alias("words"))
-    least = by_count.where(F.col("words") <= known_words).agg(F.coalesce(F.min("n"), F.lit((1 << 63) - 1))).first()[0]
-    top = counts.where(F.col("n") >= least).toArrow()
+    top = _most_frequent(counts, "n", known_words).toArrow()
     word, n, d = (top.column(c).to_numpy() for c in ("word", "n", "d"))
     frequent = np.lexsort((word, -n))
     word, n, d = word[frequent], n[frequent], d[frequent]
@@ -290,3 +300,217 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         (F.col("base") / F.col("rows")).alias("base_score"),
         (F.col("score") / F.col("rows")).alias("score"),
     )
+
+
+@dataclass(frozen=True)
+class Frequent:
+    """Values of the most frequent words or pairs, by key."""
+
+    keys: np.ndarray  # sorted
+    values: np.ndarray  # a row per key
+
+    @classmethod
+    def of(cls, keys: np.ndarray, *values: np.ndarray) -> Frequent:
+        order = np.argsort(keys)
+        return cls(keys[order], np.column_stack(values)[order])
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of each key, zeros for others, and whether it is here."""
+        if not len(self.keys):
+            return np.zeros((len(keys), self.values.shape[1]), self.values.dtype), np.zeros(len(keys), bool)
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        here = self.keys[place] == keys
+        return np.where(here[:, None], self.values[place], 0), here
+
+
+@dataclass(frozen=True)
+class Totals:
+    tokens: int  # of the training text, an end for each text
+    kept: int  # the same without the left-out part
+    distinct: int
+
+
+def _pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """64-bit keys of pairs of word hashes."""
+    turned = before.view(np.uint64)
+    return (turned << np.uint64(23) | turned >> np.uint64(41)).view(np.int64) ^ after
+
+
+def _all_pair_batches() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = split_words(batch.column("text"), lower=True)
+        after, before = _stream(words.codes, words.ends, _hashes(words.distinct))
+        _, first, code = np.unique(_pair_keys(before, after), return_index=True, return_inverse=True)
+        columns = [pa.array(before[first]), pa.array(after[first]), pa.array(np.bincount(code, minlength=len(first)))]
+        for flag in ("train", "deleted"):
+            own = np.repeat(batch.column(flag).to_numpy(zero_copy_only=False), np.diff(words.ends) + 1)
+            columns.append(pa.array(np.bincount(code[own], minlength=len(first))))
+        return pa.record_batch(columns, ["before", "after", "m", "n", "d"])
+
+    return step
+
+
+def _known_batches(shared) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """Pairs by key with the counts of their frequent words, and the hashes of the others."""
+    words = shared.value
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes = [batch.column(c).to_numpy() for c in ("before", "after")]
+        columns = {"pair": pa.array(_pair_keys(*hashes))} | {c: batch.column(c) for c in "mnd"}
+        for name, word in zip(("before", "after"), hashes, strict=True):
+            values, known = words.find(word)
+            columns[name] = pa.array(word, mask=known)
+            columns[f"{name}_n"], columns[f"{name}_d"] = (pa.array(values[:, k], mask=~known) for k in range(2))
+        return pa.record_batch(list(columns.values()), list(columns))
+
+    return step
+
+
+def all_pairs(rows: DataFrame, known_words: int) -> tuple[DataFrame, Totals]:
+    """Every pair of words of ``text``: ``pair, m, n, d, before_n, before_d, after_n, after_d``, and totals.
+
+    ``rows`` have ``text, train, deleted``; ``deleted`` rows are training rows too. ``m`` counts a pair in all rows, ``n`` in the
+    training rows and ``d`` in the left-out ones of those; ``before_n`` and so on count its two words. Runs jobs when called.
+    """
+    training = rows.where("train")
+    counts = durable(word_counts(training.select("text", "deleted")), "words")
+    texts = training.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("deleted").cast("long")), F.lit(0)).alias("d")).first()
+    total = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "nd"), F.count("*").alias("words")).first()
+    top = _most_frequent(counts, "n", known_words).toArrow()
+    word, n, d = (top.column(c).to_numpy() for c in ("word", "n", "d"))
+    words = Frequent.of(np.append(word, END), np.append(n, texts["n"]), np.append(d, texts["d"]))
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+    made = map_batches(rows, _all_pair_batches, "before long, after long, m long, n long, d long")
+    made = made.groupBy("before", "after").agg(*(F.sum(c).alias(c) for c in "mnd"))
+    schema = "pair long, m long, n long, d long, before long, before_n long, before_d long, after long, after_n long, after_d long"
+    made = durable(map_batches(made, partial(_known_batches, shared), schema), "pairs")
+    names = ["pair", "m", "n", "d", "before_n", "before_d", "after_n", "after_d"]
+    rest = made.where("before IS NOT NULL OR after IS NOT NULL")
+    for name in ("before", "after"):
+        # a frequent word's rows get keys of their own, so that they are spread; what these meet is not used
+        found = counts.select(F.col("word").alias("key"), F.col("n").alias("found_n"), F.col("d").alias("found_d"))
+        rest = rest.withColumn("key", F.coalesce(name, "pair")).join(found, "key", "left").withColumns(
+            {f"{name}_{c}": F.coalesce(f"{name}_{c}", f"found_{c}", F.lit(0)) for c in "nd"}
+        ).drop("key", "found_n", "found_d")
+    rest = durable(rest.select(*names), "pairs")
+    pairs = made.where("before IS NULL AND after IS NULL").select(*names).unionByName(rest)
+    tokens, kept = int(total["n"] + texts["n"]), int(total["n"] - total["d"] + texts["n"] - texts["d"])
+    return pairs, Totals(tokens, kept, int(total["words"]) + (texts["n"] > 0))
+
+
+def _bucket(count: Column) -> Column:
+    """As ``_buckets``."""
+    return F.when(count > 0, F.length(F.bin(count))).otherwise(0)
+
+
+def _weight(weights: np.ndarray, k: int, bucket: Column) -> Column:
+    return F.get(F.array(*map(F.lit, weights[:, k].tolist())), bucket)
+
+
+def learn_pair_weights(pairs: DataFrame, totals: Totals, rounds: int) -> np.ndarray:
+    """As ``learn_weights``, with three sums by bucket a round. Pairs with equal estimates are one row."""
+    kept = {name: F.col(f"{name}_n") - F.col(f"{name}_d") for name in ("before", "after")}
+    count = F.col("n") - F.col("d")
+    equal = pairs.where("d > 0").groupBy(
+        _bucket(kept["before"]).alias("bucket"), count.alias("count"), kept["after"].alias("after"),
+        F.when(count > 0, kept["before"]).otherwise(1).alias("before"),
+    ).agg(F.sum("d").alias("times"))
+    shares = [F.lit(1 / (totals.distinct + 1)), F.col("after") / max(totals.kept, 1), F.col("count") / F.col("before")]
+    equal = durable(equal.select("bucket", "times", *(x.alias(f"share_{k}") for k, x in enumerate(shares))), "left-out")
+    weights = np.full((64, 3), 1 / 3)
+    weights[0] = (0.5, 0.5, 0.0)
+    for _ in range(rounds):
+        parts = [_weight(weights, k, F.col("bucket")) * F.col(f"share_{k}") for k in range(3)]
+        times = F.col("times") / F.greatest(parts[0] + parts[1] + parts[2], F.lit(1e-300))
+        sums = equal.groupBy("bucket").agg(*(F.sum(times * part).alias(f"sum_{k}") for k, part in enumerate(parts)))
+        for row in sums.collect():
+            mass = np.array(row[1:])
+            if mass.sum() > 0:
+                weights[row["bucket"]] = mass / mass.sum()
+    weights = np.maximum(weights, [1e-6, 0, 0])
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
+def _pair_scores(pairs: DataFrame, totals: Totals, weights: np.ndarray) -> dict[str, Column]:
+    """Of a pair's second word: whether it is in the training text, its own log10 probability, and that after the first."""
+    seen, own, before = F.col("n"), F.col("after_n"), F.col("before_n")
+    even, one, two = (_weight(weights, k, _bucket(before)) for k in range(3))
+    even = even + F.when(before > 0, F.lit(0.0)).otherwise(two)
+    share = F.when(before > 0, two * seen / F.greatest(before, F.lit(1))).otherwise(F.lit(0.0))
+    return {
+        "known": (own > 0).cast("long"),
+        "base": F.log10(own + F.lit(1.0)) - float(np.log10(totals.tokens + totals.distinct + 1)),
+        "score": F.log10(even / (totals.distinct + 1) + one * own / max(totals.tokens, 1) + share),
+    }
+
+
+def _all_score_batches(shared) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """Per text a row of sums over frequent pairs, and per text and other pair a row with its number."""
+    pairs = shared.value
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = split_words(batch.column("text"), lower=True)
+        after, before = _stream(words.codes, words.ends, _hashes(words.distinct))
+        keys, tokens = _pair_keys(before, after), np.diff(words.ends) + 1
+        texts = len(tokens)
+        rows = np.repeat(np.arange(texts), tokens)
+        values, known = pairs.find(keys)
+        sums = [np.bincount(rows, values[:, k], texts) for k in range(3)]
+        key, row = keys[~known], rows[~known]
+        order = np.lexsort((key, row))
+        key, row = key[order], row[order]
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])[: len(key)])
+        times = np.diff(np.append(first, len(key)))
+        doc, version = batch.column("doc_id"), batch.column("version")
+        # a text's own row meets no pair; its key only spreads such rows
+        spread = _pair_keys(version.to_numpy(), pc.fill_null(doc, 0).to_numpy())
+        owner = pa.array(np.concatenate([np.arange(texts), row[first]]))
+        columns = [doc.take(owner), version.take(owner), pa.array(np.concatenate([spread, key[first]]))]
+        none = np.zeros(len(first), np.int64)
+        for own, tail in ((np.zeros(texts, np.int64), times), (np.ones(texts, np.int64), none), (tokens, none), (sums[0].astype(np.int64), none)):
+            columns.append(pa.array(np.concatenate([own, tail])))
+        columns += [pa.array(np.concatenate([x, none.astype(float)])) for x in sums[1:]]
+        return pa.record_batch(columns, ["doc_id", "version", "pair", "times", "rows", "n_tokens", "n_known", "base", "score"])
+
+    return step
+
+
+def score_by_all_pairs(
+    docs: DataFrame,
+    held_out: Callable[[Column], Column],
+    left_out: Callable[[Column], Column],
+    known_words: int = 1 << 18,
+    known_pairs: int = 1 << 19,
+    rounds: int = 25,
+) -> DataFrame:
+    """Learn from the rows that are not held out and score all rows: the columns of ``score``. Runs jobs when called.
+
+    Every pair of neighbouring words has its own count. A word's even share is one of the distinct training tokens and one
+    for all unknown words. ``known_words`` and ``known_pairs`` bound what goes to the tasks and change no result.
+    """
+    crc = text_crc()
+    rows = docs.select("text", (~held_out(crc)).alias("train"), (~held_out(crc) & left_out(crc)).alias("deleted"))
+    pairs, totals = all_pairs(rows, known_words)
+    weights = learn_pair_weights(pairs, totals, rounds)
+    scores = _pair_scores(pairs, totals, weights)
+    top = _most_frequent(pairs, "m", known_pairs).select("pair", *(c.alias(name) for name, c in scores.items())).toArrow()
+    frequent = Frequent.of(*(top.column(c).to_numpy() for c in ("pair", "known", "base", "score")))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("version"))
+    schema = "doc_id long, version long, pair long, times long, rows long, n_tokens long, n_known long, base double, score double"
+    made = map_batches(texts, partial(_all_score_batches, shared), schema)
+    found = made.join(pairs.select("pair", "n", "before_n", "after_n"), "pair", "left")
+    more = {name: F.when(F.col("times") > 0, F.col("times") * c).otherwise(0) for name, c in scores.items()}
+    total = found.groupBy("doc_id", "version").agg(
+        F.sum("rows").alias("rows"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + more["known"]).alias("n_known"),
+        F.sum(F.col("base") + more["base"]).alias("base"), F.sum(F.col("score") + more["score"]).alias("score"),
+    )
+    each = total.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return each.select(
+        "doc_id",
+        (F.col("n_tokens") / F.col("rows")).cast("long").alias("n_tokens"),
+        (F.col("n_known") / F.col("rows")).cast("long").alias("n_known"),
+        F.lit(totals.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") / F.col("rows")).alias("base_score"),
+        (F.col("score") / F.col("rows")).alias("score"),
+    )

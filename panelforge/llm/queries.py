@@ -47,9 +47,7 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_interpolated_lm(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
-    rows = interpolated_lm.training_rows(docs, lambda crc: crc % 7 == 2, lambda crc: crc % 7 == 3)
-    model, counts = interpolated_lm.fit(rows)
-    scored = interpolated_lm.score(docs, model, counts)
+    scored = interpolated_lm.score_by_all_pairs(docs, lambda crc: crc % 7 == 2, lambda crc: crc % 7 == 3)
     held_out = text_crc() % 7 == 2
     return scored.select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"

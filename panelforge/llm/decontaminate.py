@@ -1,14 +1,15 @@
 """Benchmark decontamination: random-walk embeddings of item-sized windows, bit sampling, exact edit distance.
 
-Distances count words (A-Z in lower case) inserted, deleted or replaced. A window and an item are a match if the
-distance is at most ``max_edits`` of the item's words.
+Distances count words (A-Z in lower case) inserted, deleted or replaced. A span of a text and an item are a match if the
+distance is at most ``max_edits`` of the item's words. The span may be shorter or longer than the item by as many words;
+windows of the item's size only serve to meet it.
 
 The embedding reads a sequence with a pointer that, at each of 3n steps, writes the word under it and moves on
 or stays, by a random bit of the step and the word. Two sequences with few edits fall into step again after
 each, so their embeddings differ in few places: edit distance becomes Hamming distance. A key is a hash of a few
 sampled places; an item is compared with the windows that share a key in one of many repetitions, each with bits
-and places of its own. Their number is set, on the items themselves, so that a window at the largest distance
-is met with the wanted recall.
+and places of its own. Their number is set, on the items themselves, so that a span at the largest distance, of whatever
+kind its edits are, is met with the wanted recall.
 """
 
 from __future__ import annotations
@@ -91,6 +92,27 @@ def edit_distances(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: n
     return result
 
 
+def nearest_spans(items: np.ndarray, texts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distance, start and words of the span of each row of ``texts`` that is nearest to the row of ``items``.
+
+    Of an item the first ``sizes`` symbols count. Of equally near spans the first counts, of those the shortest. ``END`` is
+    in no span.
+    """
+    count, width = len(texts), texts.shape[1] + 1
+    across = np.arange(width)
+    one = np.int64(width)  # an edit; below it, where the span starts
+    line = np.broadcast_to(across, (count, width)).copy()
+    result = np.zeros((count, width), np.int64)
+    for i in range(items.shape[1]):
+        cost = np.where(texts == END, 2, texts != items[:, i : i + 1]) * one
+        best = np.concatenate([line[:, :1] + one, np.minimum(line[:, :-1] + cost, line[:, 1:] + one)], axis=1)
+        line = np.minimum.accumulate(best - across * one, axis=1) + across * one
+        result = np.where(sizes[:, None] == i + 1, line, result)
+    stop = result.argmin(axis=1)
+    least = result[np.arange(count), stop]
+    return least // one, least % one, stop - least % one
+
+
 def _rows(sequences: list[np.ndarray], width: int) -> np.ndarray:
     rows = np.full((len(sequences), width), END, np.int64)
     for i, s in enumerate(sequences):
@@ -98,33 +120,41 @@ def _rows(sequences: list[np.ndarray], width: int) -> np.ndarray:
     return rows
 
 
+def _edited(text: np.ndarray, kind: str, edits: int, rng: np.random.Generator) -> list[int]:
+    """The words of an item after so many edits of a kind."""
+    words = text.tolist()
+    if kind.startswith("run"):
+        at = int(rng.integers(0, len(words) - edits + 1))
+        words[at : at + (edits if kind == "run left out" else 0)] = [OTHER] * (edits if kind == "run put in" else 0)
+        return words
+    for _ in range(edits):
+        at = int(rng.integers(0, len(words)))
+        one = ("replaced", "left out", "put in")[int(rng.integers(0, 3))] if kind == "mixed" else kind
+        words[at : at + (one != "put in")] = [OTHER] * (one != "left out")
+    return words
+
+
 def _repetitions(texts: list[np.ndarray], max_edits: float, recall: float) -> int:
-    """Repetitions after which a window at the largest distance is met with the wanted recall.
+    """Repetitions after which a span at the largest distance is met with the wanted recall.
 
-    Up to 256 items are edited at random to that distance; the share of repetitions in which the keys agree is
-    measured for each, and the number is the least at which the mean chance of any agreement is high enough.
+    Up to 256 items are edited at random to that distance, by each of several kinds of edits, and set between foreign words.
+    The item-sized windows that start, or end, with the edited item stand for it. The share of repetitions in which the keys
+    agree is measured for each, and the number is the least at which, for every kind, the mean chance of any agreement is
+    high enough.
     """
-    rng, trial = np.random.default_rng(7), 512
+    rng, trial = np.random.default_rng(7), 128
     sample = [texts[i] for i in rng.permutation(len(texts))[:256]]
-    edited = []
-    for text in sample:
-        words = list(text)
-        for _ in range(most_edits(len(text), max_edits)):
-            at = int(rng.integers(0, len(words)))
-            kind = rng.integers(0, 3)
-            if kind == 0:
-                words[at] = OTHER
-            elif kind == 1 and len(words) > 1:
-                del words[at]
-            else:
-                words.insert(at, OTHER)
-        edited.append(np.array(words[: len(text)], np.int64))
     sizes = np.array([len(t) for t in sample])
     width = int(sizes.max())
-    share = (embed_keys(_rows(sample, width), sizes, trial) == embed_keys(_rows(edited, width), sizes, trial)).mean(axis=1)
-    share = np.maximum(share, 0.5 / trial)
+    keys, shares = embed_keys(_rows(sample, width), sizes, trial), []
+    for kind in ("replaced", "left out", "put in", "mixed", "run left out", "run put in"):
+        edited = [_edited(t, kind, most_edits(len(t), max_edits), rng) for t in sample]
+        first = [np.array([*x, *[OTHER] * len(t)][: len(t)], np.int64) for x, t in zip(edited, sample, strict=True)]
+        last = [np.array([*[OTHER] * len(t), *x][-len(t) :], np.int64) for x, t in zip(edited, sample, strict=True)]
+        met = [keys == embed_keys(_rows(x, width), sizes, trial) for x in (first, last)]
+        shares.append(np.maximum((met[0] | met[1]).mean(axis=1), 0.5 / trial))
     for n in range(8, 1024, 8):
-        if 1 - np.mean((1 - share) ** n) >= recall:
+        if all(1 - np.mean((1 - share) ** n) >= recall for share in shares):
             return n
     return 1024
 
@@ -159,8 +189,9 @@ def prepare(rows: list, max_edits: float = 0.2, recall: float = 0.99, min_words:
 def _windows(stream: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
     """Starts and sizes of the windows that can match at all.
 
-    An edit breaks at most two pairs of neighbours, so a match with n words keeps n - 1 - 2 edits pairs of its
-    item. A window that has fewer pairs of items of its size is passed over; this loses no match. Only the few
+    An edit breaks at most two pairs of neighbours, a word put in only one. So a match keeps n - 1 - 2 edits pairs of its
+    item of n words, and k more if it is k words longer; a window of n words that cuts k words off loses at most these k.
+    A window that has fewer pairs of items of its size is passed over; this loses no match. Only the few
     places that hold a pair of some item are looked at: where the first and last of so many in a row are close
     enough, the windows that cover them all qualify.
     """
@@ -194,17 +225,16 @@ def _varied(window: np.ndarray, size: np.ndarray, items: Items) -> np.ndarray:
 
 
 def _matches(texts: pa.Array, items: Items, vocabulary: pa.Array) -> tuple[np.ndarray, ...]:
-    """``row, item, start, size, distance`` of the best window of each text and item that match."""
+    """``row, item, start, size, distance`` of the best span of each text and item that match."""
     words = split_words(texts, lower=True)
     symbol = pc.fill_null(pc.add(pc.index_in(words.distinct, vocabulary), 2), OTHER).to_numpy(zero_copy_only=False)
     reach = max(len(t) for t in items.texts)
-    rows = words.rows()
-    stream = np.full(len(rows) + reach * len(texts), END, np.int64)  # each text is followed by ``reach`` ends
-    stream[np.arange(len(rows)) + rows * reach] = symbol[words.codes]
+    rows, gap = words.rows(), 2 * reach  # ends before the first text and behind each
+    stream = np.full(len(rows) + gap * (len(texts) + 1), END, np.int64)
+    stream[np.arange(len(rows)) + (rows + 1) * gap] = symbol[words.codes]
     starts, sizes = _windows(stream, items)
-    begin = words.ends[:-1] + reach * np.arange(len(texts))
-    inside = stream[starts] != END  # not in the gap before a text
-    starts, sizes = starts[inside], sizes[inside]
+    begin = words.ends[:-1] + gap * np.arange(1, len(texts) + 1)
+    stop = begin + np.diff(words.ends)
     found = []
     for i in range(0, len(starts), 512):
         start, size = starts[i : i + 512], sizes[i : i + 512]
@@ -224,11 +254,17 @@ def _matches(texts: pa.Array, items: Items, vocabulary: pa.Array) -> tuple[np.nd
             continue
         w, item = met[:, 0], met[:, 1]
         lengths = np.array([len(items.texts[k]) for k in item])
-        inside = (window[w] != END).sum(axis=1)
-        gaps = edit_distances(window[w], _rows([items.texts[k] for k in item], reach), inside, lengths)
-        near = gaps <= (lengths * items.max_edits + 1e-9).astype(np.int64)
-        row = np.searchsorted(begin, start[w], "right") - 1
-        found.append(np.column_stack([row, item, gaps, start[w] - begin[row], inside])[near])
+        edits = (lengths * items.max_edits + 1e-9).astype(np.int64)
+        low = np.maximum(start[w] - edits, 0)
+        most = int((lengths + 2 * edits).max())
+        place = low[:, None] + np.arange(most)[None, :]
+        around = stream[np.minimum(place, len(stream) - 1)]
+        around[place >= (start[w] + lengths + edits)[:, None]] = END
+        gaps, at, long = nearest_spans(_rows([items.texts[k] for k in item], int(lengths.max())), around, lengths)
+        near = gaps <= edits
+        row = np.searchsorted(stop, start[w], "right")  # a window that starts before a text holds words of that text
+        row = np.minimum(row, len(texts) - 1)
+        found.append(np.column_stack([row, item, gaps, low + at - begin[row], long])[near])
     every = np.concatenate([np.empty((0, 5), np.int64), *found])
     every = every[np.lexsort(every.T[::-1])]  # by row, item, distance, start
     first = np.ones(len(every), bool)
@@ -281,10 +317,9 @@ def item_blocks(benchmark: DataFrame, block_items: int, block_bytes: int, **opti
 def contaminations(
     docs: DataFrame, benchmark: DataFrame, block_items: int = 5000, block_bytes: int = 8 << 20, **options
 ) -> DataFrame:
-    """``doc_id, item_id, start_word, n_words, distance`` of the nearest window, per row of ``docs`` and item in it.
+    """``doc_id, item_id, start_word, n_words, distance`` of the nearest span, per row of ``docs`` and item in it.
 
-    One pass over the texts per block of items, without a shuffle. Of equally near windows the first counts. A
-    window ends where its text ends, so a short text is compared as a whole. A null or empty text matches
+    One pass over the texts per block of items, without a shuffle. Of equally near spans the first counts. A null or empty text matches
     nothing; repeated rows are each reported; an empty table, or a benchmark without items of ``min_words``
     words (5), gives no rows. ``options`` are those of ``prepare``: ``max_edits`` (0.2) and ``recall`` (0.99).
     """

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from panelforge.llm import interpolated_lm, queries
+from panelforge.llm import decontaminate, interpolated_lm, queries
 from tests.llm import brute
 
 
@@ -94,3 +94,42 @@ def interpolated_base(rows):
     size, distinct = sum(counts.values()), len(counts)
     scores = {d: (len(ts), sum(x in counts for x in ts), sum(math.log10((counts[x] + 1) / (size + distinct + 1)) for x in ts)) for d, ts in tokens}
     return scores, size
+
+
+def nearest_span(text, item, max_edits=0.2):
+    """The least distance of any span of the text, if it is small enough."""
+    target = brute.words(item, lower=True)
+    line = [0] * (len(brute.words(text)) + 1)
+    for i, x in enumerate(target, 1):
+        above, line = line, [i]
+        for j, y in enumerate(brute.words(text, lower=True), 1):
+            line.append(min(above[j] + 1, line[-1] + 1, above[j - 1] + (x != y)))
+    return min(line) if min(line) <= int(len(target) * max_edits + 1e-9) else None
+
+
+@pytest.mark.parametrize("kind", ["left out", "put in", "replaced", "run left out", "run put in"])
+def test_passages_are_met_whatever_the_edits(spark, kind):
+    rng = random.Random(kind)
+    pool = [f"w{i}" for i in range(500)]
+    items = [(i, rng.choices(pool, k=rng.randint(15, 50))) for i in range(60)]
+    docs = []
+    for i, item in items:
+        edits, passage = int(len(item) * 0.2), list(item)
+        if kind.startswith("run"):
+            at = rng.randint(0, len(item) - edits)
+            passage[at : at + edits * (kind == "run left out")] = ["new"] * edits * (kind == "run put in")
+        else:
+            for at in sorted(rng.sample(range(len(item)), edits), reverse=True):
+                passage[at : at + (kind != "put in")] = ["new"] * (kind != "left out")
+        before, after = (rng.choices(pool, k=rng.choice([0, 3, 60])) for _ in range(2))
+        docs.append((i, " ".join([*before, *passage, *after])))
+    texts = {i: " ".join(item) for i, item in items}
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    found = decontaminate.contaminations(table, spark.createDataFrame(list(texts.items()), "item_id long, text string")).collect()
+    for r in found:
+        words = brute.words(dict(docs)[r["doc_id"]], lower=True)[r["start_word"] : r["start_word"] + r["n_words"]]
+        assert r["start_word"] >= 0 and len(words) == r["n_words"]
+        assert brute.edit_distance(words, brute.words(texts[r["item_id"]])) == r["distance"]
+    truth = {(d, i): gap for d, text in docs for i, item in texts.items() if (gap := nearest_span(text, item)) is not None}
+    pairs = {(r["doc_id"], r["item_id"]): r["distance"] for r in found}
+    assert len(truth) >= len(docs) and pairs.items() <= truth.items() and len(pairs) >= 0.97 * len(truth)

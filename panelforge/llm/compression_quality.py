@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache, partial
+from functools import lru_cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -84,30 +84,33 @@ def _train(samples: list[bytes], size: int) -> bytes:
     return b"".join(samples)[-size:]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
-    """Newton's method with a small ridge, for a bounded number of rows."""
+def _logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float = 0.01) -> np.ndarray:
+    """Newton's method with a small ridge, for a bounded number of rows, each of which counts so many ``times``."""
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        hessian = (x * (times * p * (1 - p))[:, None]).T @ x
+        w += np.linalg.solve(hessian + ridge * np.eye(len(w)), x.T @ (times * (y - p)) - ridge * w)
     return w
 
 
-def _marks(labels: DataFrame) -> DataFrame:
-    """``marked, label, order`` of the rows to learn from. Of several labels the lowest counts; null ones do not."""
+def _marks(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``marked, label, order`` of the rows of ``docs`` to learn from. Of several labels the lowest counts; null ones do not."""
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (text_crc() % 5 != 0))
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("marked")).agg(F.min("quality").cast("int").alias("label"))
-    return marks.withColumn("order", F.xxhash64("marked"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("marked"))
+    return marks.join(ids, "marked", "left_semi").withColumn("order", F.xxhash64("marked"))
 
 
 def _sample(docs: DataFrame, marks: DataFrame, dictionary_rows: int, calibration_rows: int) -> DataFrame:
-    """Texts of the sampled labels. At most ``2 * dictionary_rows + calibration_rows`` ids are broadcast, so the
+    """Texts of the sampled labels. At most ``2 * (dictionary_rows + calibration_rows)`` ids are broadcast, so the
     texts are not shuffled."""
-    half = F.pmod("order", F.lit(2))
-    chosen = marks.where(half == 1).orderBy("order").limit(calibration_rows).withColumn("use", F.lit("calibration"))
+    half, chosen = F.pmod("order", F.lit(2)), []
     for label in (0, 1):
-        own = marks.where((F.col("label") == label) & (half == 0)).orderBy("order").limit(dictionary_rows)
-        chosen = chosen.unionByName(own.withColumn("use", F.lit("dictionary")))
+        for use, part, most in (("calibration", 1, calibration_rows), ("dictionary", 0, dictionary_rows)):
+            own = marks.where((F.col("label") == label) & (half == part)).orderBy("order").limit(most)
+            chosen.append(own.withColumn("use", F.lit(use)))
+    chosen = reduce(DataFrame.unionByName, chosen)
     rows = docs.select(F.col("doc_id").cast("long"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("data"))
     return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("marked")).select("order", "label", "use", "data")
 
@@ -132,10 +135,12 @@ def fit(
 
     The sample is bounded: per class ``dictionary_rows`` labels, of whose texts ``dictionary_pieces`` pieces
     (of ``PIECE_BYTES``) train a dictionary, and ``calibration_rows`` other labels, whose sizes a logistic
-    regression is fitted on. All are taken in order of a hash, so reruns agree. Only the sample comes to the
-    driver. If a class is missing from one half of the labels, the other half serves for both.
+    regression is fitted on, each class weighed to its share of all labels. Labels without a row of ``docs`` do not
+    count. All are taken in order of a hash, so reruns agree. Only the sample comes to the driver. If a class is
+    missing from one half of the labels, the other half serves for both.
     """
-    sample = durable(_sample(docs, _marks(labels), dictionary_rows, calibration_rows), "labelled")
+    marks = durable(_marks(docs, labels), "marks")
+    sample = durable(_sample(docs, marks, dictionary_rows, calibration_rows), "labelled")
     dictionaries = {}
     for label in (0, 1):
         own = _pieces(sample.where("use = 'dictionary'"), label, dictionary_pieces) or _pieces(sample, label, dictionary_pieces)
@@ -144,9 +149,11 @@ def fit(
         dictionaries[label] = _train(own, dictionary_bytes)
 
     def sizes(rows: DataFrame) -> np.ndarray:
-        texts = rows.orderBy("order").limit(calibration_rows).select("label", F.col("data").cast("string").alias("text"))
+        own = [rows.where(F.col("label") == label).orderBy("order", "data").limit(calibration_rows) for label in (0, 1)]
+        texts = own[0].unionByName(own[1]).select("label", F.col("data").cast("string").alias("text"))
         sized = compressed_sizes(texts, dictionaries[1], dictionaries[0]).select("label", "n_bytes", "good_size", "bad_size")
-        return np.array(sized.collect(), float).reshape(-1, 4)
+        found = np.array(sized.collect(), float).reshape(-1, 4)
+        return found[np.lexsort(found.T[::-1])]
 
     found = sizes(sample.where("use = 'calibration'"))
     if len(set(found[:, 0])) < 2:
@@ -154,7 +161,10 @@ def fit(
     terms = _terms(*found[:, 1:].T)
     center, scale = terms.mean(0), terms.std(0) + 1e-9
     x = np.column_stack([np.ones(len(terms)), (terms - center) / scale])
-    weights = _logistic(x, found[:, 0])
+    true = {row["label"]: row["count"] for row in marks.groupBy("label").count().collect()}
+    used = found[:, 0].astype(int)
+    times = np.array([true[label] for label in used]) / np.bincount(used)[used]
+    weights = _logistic(x, found[:, 0], times * len(times) / times.sum())
     return Classifier(dictionaries[1], dictionaries[0], tuple(center), tuple(scale), tuple(weights))
 
 

@@ -6,9 +6,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from panelforge.llm import decontaminate, interpolated_lm, queries
+from panelforge.llm import compression_quality, decontaminate, interpolated_lm, queries
 from tests.llm import brute
+from tests.llm.conftest import prose
 
 
 def interpolated_scores(docs, rounds=25):
@@ -133,3 +135,23 @@ def test_passages_are_met_whatever_the_edits(spark, kind):
     truth = {(d, i): gap for d, text in docs for i, item in texts.items() if (gap := nearest_span(text, item)) is not None}
     pairs = {(r["doc_id"], r["item_id"]): r["distance"] for r in found}
     assert len(truth) >= len(docs) and pairs.items() <= truth.items() and len(pairs) >= 0.97 * len(truth)
+
+
+def labelled(spark, extra):
+    """Good and few bad texts, the bad ones last in the order of the sample; ``extra`` labels have no text."""
+    rng = random.Random(8)
+    order = [r[0] for r in spark.range(1000).where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("id")).collect()]
+    bad = set(order[-30:])
+    rows = [(i, "CLICK!! NOW!! FREE!! " * rng.randint(3, 9) + str(i) if i in bad else prose(rng, 60)) for i in order]
+    marks = [(i, int(i not in bad)) for i in order] + [(10_000 + i, i % 2) for i in range(extra)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int"), bad
+
+
+@pytest.mark.parametrize("extra", [0, 20_000])
+def test_rare_bad_labels_count_and_labels_without_texts_do_not(spark, extra):
+    docs, marks, bad = labelled(spark, extra)
+    model = compression_quality.fit(docs, marks, dictionary_rows=40, calibration_rows=100)
+    scored = compression_quality.score(docs, model).collect()
+    assert model and {r["doc_id"] for r in scored if r["quality_score"] < 0.3} == bad
+    if extra:
+        assert model == compression_quality.fit(docs, labelled(spark, 0)[1], dictionary_rows=40, calibration_rows=100)

@@ -68,9 +68,10 @@ def settled(train: DataFrame, order: Sequence[str] = ("permno", "date"), partiti
 
     A fit depends on the rows of each partition: above some ten thousand rows MLlib proposes split points from
     a sample of rows per partition, and forests draw their bags there. So the number of partitions is part of
-    the model; it is set here and not taken from the cluster's settings. Raise it with the training rows.
+    the model; it is set here and not taken from the cluster's settings. Raise it with the training rows. Rows are
+    dealt by all columns of ``order``, so that a security with many rows is not one task.
     """
-    return train.repartition(partitions, order[0]).sortWithinPartitions(*order)
+    return train.repartition(partitions, *order).sortWithinPartitions(*order)
 
 
 def coefficients(model: Model, signals: Sequence[str], df: DataFrame) -> DataFrame:

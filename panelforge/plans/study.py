@@ -127,10 +127,10 @@ def linear_results(core: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
-def tree_results(core: Mapping[str, DataFrame], full: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Decision and boosted trees on both signal sets, forests on the full one."""
+def tree_results(core: Mapping[str, DataFrame], full: Mapping[str, DataFrame], partitions: int = 16) -> dict[str, DataFrame]:
+    """Decision and boosted trees on both signal sets, forests on the full one; ``partitions`` is part of the models."""
     order = ["permno", "date", "gvkey"]
-    train_core, train = models.settled(core["train"], order), models.settled(full["train"], order)
+    train_core, train = (models.settled(samples["train"], order, partitions) for samples in (core, full))
     fits = {kind: models.tree(kind).fit(train) for kind in ("dt", "rf", "gbt")}
     sparse = {f"{kind}_core": models.tree(kind).fit(train_core) for kind in ("dt", "gbt")}
     weights = [models.importances(fits[k], ALL_SIGNALS, train).withColumn("model", F.lit(k)) for k in ("rf", "gbt")]
@@ -145,7 +145,9 @@ def tree_results(core: Mapping[str, DataFrame], full: Mapping[str, DataFrame]) -
     }
 
 
-def full_study(inputs: Mapping[str, DataFrame], sample: Sample = Sample(), dedupe: bool = False) -> dict[str, DataFrame]:
+def full_study(
+    inputs: Mapping[str, DataFrame], sample: Sample = Sample(), dedupe: bool = False, tree_partitions: int = 16
+) -> dict[str, DataFrame]:
     """Every result table by name. Shared inputs are stored on the way; the tables themselves are lazy."""
     research = build_research(inputs, sample, dedupe)
     results = {
@@ -157,7 +159,7 @@ def full_study(inputs: Mapping[str, DataFrame], sample: Sample = Sample(), dedup
     }
     core = modelling.model_samples(research, CORE_SIGNALS, sample)
     full = modelling.model_samples(research, ALL_SIGNALS, sample)
-    results |= linear_results(core) | tree_results(core, full)
+    results |= linear_results(core) | tree_results(core, full, tree_partitions)
 
     common = ["model", "sample", "prediction", "date", "year", "month", "ret", "size", "total_mktcap", "weight_mktcap"]
     columns = [*common, *backtest.ROW_KEY]

@@ -26,6 +26,7 @@ def main() -> None:
     parser.add_argument("--format", default="csv", help="of the input files: csv, parquet or orc")
     parser.add_argument("--out-format", default="parquet")
     parser.add_argument("--dedupe", action="store_true", help="one account per company and fiscal year")
+    parser.add_argument("--tree-partitions", type=int, default=16, help="of the trees' training rows; part of the models")
     for field in fields(Sample):
         parser.add_argument(f"--{field.name.replace('_', '-')}", default=field.default)
     args = parser.parse_args()
@@ -33,7 +34,7 @@ def main() -> None:
     spark = SparkSession.builder.appName("panelforge").getOrCreate()
     sample = Sample(**{field.name: getattr(args, field.name) for field in fields(Sample)})
     paths = {name: getattr(args, name) for name in ("months", "factors", "accounts", "links", "macro", "extra")}
-    results = full_study(read_inputs(spark, paths, sample, args.format), sample, args.dedupe)
+    results = full_study(read_inputs(spark, paths, sample, args.format), sample, args.dedupe, args.tree_partitions)
     write_study(results, args.out, args.out_format)
     drop_stored(spark)
 

@@ -139,6 +139,14 @@ def test_fits_do_not_depend_on_the_cluster_setting(spark, kind):
     assert weights[0] == pytest.approx(weights[1], abs=1e-9)
 
 
+def test_a_security_with_many_rows_is_spread_and_the_count_is_the_callers(spark):
+    rows = spark.range(20_000).selectExpr("IF(id % 3 = 0, -1, id) AS permno", "date_add(date'1950-01-01', int(id)) AS date")
+    for partitions in (16, 40):
+        dealt = models.settled(rows, ["permno", "date"], partitions).groupBy(F.spark_partition_id()).count().collect()
+        assert len(dealt) == partitions
+        assert max(r["count"] for r in dealt) < 1.5 * 20_000 / partitions
+
+
 def test_unknown_tree_is_refused():
     with pytest.raises(ValueError):
         models.tree("oak")

@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import compression_quality, decontaminate, divergence, interpolated_lm, minhash, mixing, secret_links, token_counts, token_files, url_rules
+from panelforge.llm import (
+    compression_quality,
+    conversation_trie,
+    decontaminate,
+    divergence,
+    fill_in_middle,
+    interpolated_lm,
+    minhash,
+    mixing,
+    secret_links,
+    token_counts,
+    token_files,
+    toxicity,
+    url_rules,
+)
 from panelforge.llm.text import text_crc
 from panelforge.storage import durable, new_path
 
@@ -92,6 +106,24 @@ def op10_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge(_table(spark, folder, "pages"), rules)
 
 
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = toxicity.fit(docs, _table(spark, folder, "labels"))
+    scored = toxicity.score(docs.select(F.col("doc_id").cast("long"), "text"), model, "score")
+    held_out, predicted = text_crc() % 3 == 1, (F.col("score") >= toxicity.CUT).cast("int")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"), "score_language")
+
+
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(_table(spark, folder, "documents"))
+    digests = [F.sha2(c, 256).alias(f"{n}_sha256") for n, c in (("output", F.col("output")), ("restored", fill_in_middle.restored_text()))]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.trie(_table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_divergence": op1_divergence,
     "op2_decontaminate": op2_decontaminate,
@@ -103,6 +135,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_prefix_counts": op9_prefix_counts,
     "op10_url_rules": op10_url_rules,
+    "op11_toxicity": op11_toxicity,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _RULE_VALUES = ", ".join(str(rule) for rule in URL_RULES)
@@ -315,4 +350,68 @@ ORACLES: dict[str, str] = {
         SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
         FROM parsed LEFT JOIN fits USING (n)
     """,
+    "op12_fill_in_middle": """
+        WITH drawn AS (
+            SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+                   [CAST('0x' || substr(sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8 * k + 1, 8) AS BIGINT) FOR k IN range(4)] AS h
+            FROM documents
+        ),
+        cut AS (
+            SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+                   CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+                        WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM drawn
+        ),
+        parts AS (SELECT *, left(text, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM cut)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM parts
+    """,
+    "op13_prefix_trie": """
+        WITH said AS (
+            SELECT conv_id, turn, strlen(coalesce(text, '')) AS bytes,
+                   sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said
+            FROM conversations WHERE conv_id IS NOT NULL
+        ),
+        turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, said) AS pos FROM said),
+        -- the checksum takes a byte (a number below 256), then eight shifts (each -1)
+        bits AS (
+            SELECT conv_id, flatten([[ascii(d), -1, -1, -1, -1, -1, -1, -1, -1] FOR d IN string_split(CAST(conv_id AS VARCHAR), '')]) AS steps
+            FROM (SELECT DISTINCT conv_id FROM said)
+        ),
+        convs AS (
+            SELECT conv_id, conv_id - conv_id % 5 AS of, xor(list_reduce(list_transform(steps, lambda x: CAST(x AS BIGINT)), lambda c, x:
+                   CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END, CAST(4294967295 AS BIGINT)), 4294967295) % 9 AS h
+            FROM bits
+        ),
+        rebuilt AS (
+            SELECT c.conv_id, 0 AS part, pos, said, bytes FROM convs c JOIN turns t ON t.conv_id = c.of AND t.pos <= c.h
+            UNION ALL SELECT c.conv_id, 1, pos, said, bytes FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h
+        ),
+        sequences AS (
+            SELECT conv_id, coalesce(list(said ORDER BY part, pos) FILTER (said IS NOT NULL), []) AS path,
+                   coalesce(list(bytes ORDER BY part, pos) FILTER (said IS NOT NULL), []) AS sizes
+            FROM convs LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id
+        ),
+        paths AS (
+            SELECT conv_id, d, array_to_string(path[1:d], ',') AS key, d = len(path) AS stops, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS bytes,
+                   CASE WHEN d > 0 THEN array_to_string(path[1:d - 1], ',') END AS parent
+            FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM sequences)
+        ),
+        nodes AS (
+            SELECT key, d AS depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved,
+                   sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (stops), '')) AS ends_sha256
+            FROM paths GROUP BY key, d
+        ),
+        children AS (SELECT parent AS key, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+        counted AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (key, depth)),
+        above AS (
+            SELECT array_to_string(string_split(key, ',')[1:top], ',') AS key, top AS depth, CAST(n_children = 0 AS BIGINT) AS leaf, saved
+            FROM (SELECT *, unnest(range(0, depth + 1)) AS top FROM counted)
+        ),
+        subtrees AS (SELECT key, depth, CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM above GROUP BY ALL)
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+        FROM counted n JOIN subtrees USING (key, depth) LEFT JOIN nodes p ON n.depth > 0 AND p.key = n.parent AND p.depth = n.depth - 1
+    """,
 }

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.numeric import log_positive, ratio
 from panelforge.functions.rolling import (
+    Moments,
     compound_return,
     correlation,
     history,
     rows_back,
     volatility,
     winning_months,
+    with_moments,
 )
 from panelforge.storage import durable
 
@@ -64,15 +66,17 @@ def excess_return(df: DataFrame) -> DataFrame:
     return df.withColumn("ex_ret", F.col("ret") - F.col("rf"))
 
 
+def _volatilities(n: int) -> dict[str, Moments]:
+    return {"stock_sd": Moments(n, "ex_ret"), "mkt_sd": Moments(n, "mkt_rf")}
+
+
 def rolling_vol(df: DataFrame, n: int = 12, min_obs: int = 0) -> DataFrame:
-    frame = rows_back(history(), n - 1)
-    return df.withColumns(
-        {"stock_sd": volatility("ex_ret", frame, min_obs), "mkt_sd": volatility("mkt_rf", frame, min_obs)}
-    )
+    frames = _volatilities(n)
+    return with_moments(df, frames).withColumns({name: volatility(name, min_obs) for name in frames})
 
 
 def rolling_corr(df: DataFrame, n: int = 60, min_obs: int = 0) -> DataFrame:
-    return df.withColumn("corr", correlation("ex_ret", "mkt_rf", rows_back(history(), n - 1), min_obs))
+    return with_moments(df, {"corr": Moments(n, "ex_ret", "mkt_rf")}).withColumn("corr", correlation("corr", min_obs))
 
 
 def shrink_beta(df: DataFrame, weight: float = 0.6) -> DataFrame:
@@ -82,7 +86,9 @@ def shrink_beta(df: DataFrame, weight: float = 0.6) -> DataFrame:
 
 def beta(df: DataFrame, vol_n: int = 12, corr_n: int = 60, shrink: float = 0.6) -> DataFrame:
     """Beta from short-horizon volatilities and long-horizon correlation, with lags and squares."""
-    df = rolling_corr(rolling_vol(df, vol_n), corr_n)
+    frames = _volatilities(vol_n)
+    df = with_moments(df, {**frames, "corr": Moments(corr_n, "ex_ret", "mkt_rf")})
+    df = df.withColumns({**{name: volatility(name) for name in frames}, "corr": correlation("corr")})
     df = shrink_beta(df.withColumn("beta", ratio(F.col("corr") * F.col("stock_sd"), "mkt_sd")), shrink)
     window = history()
     df = df.withColumns(

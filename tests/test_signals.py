@@ -1,4 +1,5 @@
 import math
+import random
 import statistics
 
 import pytest
@@ -121,3 +122,30 @@ def test_all_windows_share_one_shuffle(spark, months):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert plan.count("Sort [") == 1
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 4, 5, 15, 16, 17, 60, 240])
+def test_moments_of_any_frame_equal_their_definition(months, rows):
+    rng = random.Random(rows)
+    stock = [None if rng.random() < 0.2 else rng.gauss(0, 0.1) for _ in range(70)]
+    market = [None if rng.random() < 0.2 else rng.gauss(5, 0.1) for _ in range(70)]
+    stock[10], market[11] = 1e9, -1e7  # leave no trace in later frames
+    stock[30:50] = [0.1] * 20  # exactly constant
+    df = months([0.0] * 70, ex_ret=stock, mkt_rf=market)
+    ends = [slice(max(0, i - rows + 1), i + 1) for i in range(70)]
+    found = signals.rolling_corr(signals.rolling_vol(df, rows), rows)
+    known = [[x for x in stock[e] if x is not None] for e in ends]
+    want = [statistics.stdev(xs) if len(xs) > 1 else None for xs in known]
+    got = column(found, "stock_sd")
+    assert all(g == w or g == pytest.approx(w, rel=1e-9) for g, w in zip(got, want, strict=True))
+    assert all(g == 0 for g, xs in zip(got, known, strict=True) if len(xs) > 1 and len(set(xs)) == 1)
+    pairs = [pearson(stock[e], market[e]) for e in ends]
+    assert all(g == w or g == pytest.approx(w, abs=1e-8) for g, w in zip(column(found, "corr"), pairs, strict=True))
+
+
+def test_frames_leave_other_columns_alone(months):
+    df = months([0.1, 0.2, 0.4], ex_ret=[0.1, 0.2, 0.4], mkt_rf=[0.3, 0.1, 0.2], n=[1.0, 2.0, 3.0], x=[1.0, 2.0, 3.0])
+    found = signals.rolling_vol(df, 3)
+    assert found.columns == [*df.columns, "stock_sd", "mkt_sd"] and column(found, "n") == [1.0, 2.0, 3.0]
+    with pytest.raises(ValueError, match="row"):
+        signals.rolling_corr(df, 0)

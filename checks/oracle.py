@@ -414,6 +414,9 @@ BODIES = {
         FROM ({INFERENCE})"""
         for i, t in enumerate(TERMS)
     ),
+    "linear_by_month": """SELECT d.date, count(*) AS n, regr_intercept(ret, momentum_12) AS intercept, regr_slope(ret, momentum_12) AS slope,
+        regr_r2(ret, momentum_12) AS r2 FROM (SELECT DISTINCT date FROM core_rows) d JOIN core_rows c ON c.date <= d.date
+        GROUP BY d.date HAVING count(*) >= 3""",
     "evaluate_ols": f"{FIT}, sample FROM ols_rows GROUP BY sample",
     "ridge_grid": grid("'0.0001', '0.01', '1', '10'"),
     "glm_grid": grid("'gaussian'"),

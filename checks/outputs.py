@@ -99,6 +99,7 @@ COLUMNS = {
     "ridge_grid": "setting r2:6 rmse:6",
     "glm_coefficients": "term estimate:6",
     "glm_grid": "setting r2:6 rmse:6",
+    "linear_by_month": "date:d n intercept:6 slope:6 r2:6",
     "evaluate_ols": "sample n r2:6 rmse:6",
     "ridge_predict": f"sample {ROW} prediction:6",
     "tree_predict": f"model sample {ROW} prediction:6",

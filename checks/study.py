@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache, cached_property, partial, reduce
+from functools import cache, cached_property, partial
 
 from pyspark.ml import Model
 from pyspark.ml.functions import vector_to_array
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from checks.outputs import spark_output
-from panelforge.operators import cleaning, fundamentals, linking, macro, models, performance, portfolios, profiling
+from panelforge.operators import cleaning, fundamentals, gram, linking, macro, models, performance, portfolios, profiling
 from panelforge.operators import signals, splits
 from panelforge.operators.quantiles import assign_quantile
 from panelforge.plans import backtest, benchmarks, modelling
@@ -119,24 +119,40 @@ class Study:
         return backtest.sorted_portfolios(durable(narrow, "scores"), list(rounded))
 
     @cached_property
-    def core(self) -> dict[str, DataFrame]:
-        return modelling.model_samples(self.research, CORE_SIGNALS, SAMPLE)
+    def core(self) -> DataFrame:
+        return modelling.model_rows(self.research, CORE_SIGNALS)
 
     @cached_property
-    def full(self) -> dict[str, DataFrame]:
-        samples = modelling.model_samples(self.research, ALL_SIGNALS, SAMPLE)
-        return {**samples, "train": models.settled(samples["train"], ["permno", "date", "gvkey"])}
+    def full(self) -> DataFrame:
+        return modelling.model_rows(self.research, ALL_SIGNALS)
+
+    def train(self, rows: DataFrame, signals: list[str]) -> DataFrame:
+        return models.settled(modelling.model_samples(rows, signals, SAMPLE)["train"], ["permno", "date", "gvkey"])
 
     @cached_property
-    def ols(self):
-        return models.linear().fit(self.core["train"])
+    def months_statistics(self) -> gram.MonthlyStatistics:
+        return gram.monthly_statistics(self.core, CORE_SIGNALS)
+
+    @cached_property
+    def core_statistics(self) -> dict[str, gram.Statistics]:
+        return self.months_statistics.samples(SAMPLE)
+
+    def linear(self, reg: float = 0.0) -> gram.Linear:
+        return gram.fit(self.core_statistics["train"], reg)
+
+    def linear_terms(self, reg: float = 0.0) -> DataFrame:
+        return gram.coefficient_table(self.spark, CORE_SIGNALS, {"linear": self.linear(reg)})
+
+    def linear_predictions(self, reg: float = 0.0, names: tuple[str, ...] = modelling.TEST_SAMPLES) -> DataFrame:
+        return modelling.predict_linear({"linear": self.linear(reg)}, self.core, CORE_SIGNALS, SAMPLE, names)
 
     @cached_property
     def ols_predictions(self) -> DataFrame:
-        return modelling.predict(self.ols, self.core)
+        return self.linear_predictions()
 
     def ols_back_test(self) -> dict[str, DataFrame]:
-        return backtest.back_test(rankable(durable(self.ols_predictions, "ols"), "prediction"), by=["sample"])
+        predictions = durable(self.linear_predictions(names=modelling.DISJOINT), "ols").drop("sample")
+        return backtest.back_test(rankable(predictions, "prediction"), sample=SAMPLE)
 
     @cached_property
     def tree_models(self) -> dict[str, Model]:
@@ -144,16 +160,15 @@ class Study:
 
     def tree_model(self, kind: str) -> Model:
         if kind not in self.tree_models:
-            self.tree_models[kind] = models.tree(kind).fit(self.full["train"])
+            self.tree_models[kind] = models.tree(kind).fit(self.train(self.full, ALL_SIGNALS))
         return self.tree_models[kind]
 
-    def tree_predictions(self, kind: str) -> DataFrame:
-        return modelling.predict(self.tree_model(kind), self.full)
+    def tree_predictions(self, *kinds: str, names: tuple[str, ...] = modelling.TEST_SAMPLES) -> DataFrame:
+        return modelling.predict_all({k: self.tree_model(k) for k in kinds}, self.full, ALL_SIGNALS, SAMPLE, names)
 
     def tree_back_test(self, *kinds: str) -> dict[str, DataFrame]:
-        parts = [self.tree_predictions(k).withColumn("model", F.lit(k)) for k in kinds]
-        predictions = durable(reduce(DataFrame.unionByName, parts), "trees")
-        return backtest.back_test(rankable(predictions, "prediction"), by=["model", "sample"])
+        predictions = durable(self.tree_predictions(*kinds, names=modelling.DISJOINT), "trees").drop("sample")
+        return backtest.back_test(rankable(predictions, "prediction"), by=["model"], sample=SAMPLE)
 
     def legs(self, model_returns: DataFrame, model_legs: dict[str, tuple[str, int]]) -> DataFrame:
         """Monthly value-weighted out-of-sample return of one group per strategy."""
@@ -252,30 +267,36 @@ def _strategy_wealth(s: Study) -> DataFrame:
     return performance.compare_legs(paths, ["momentum", "size", "value", "ols"], "wealth")
 
 
-def _ridge_predictions(s: Study) -> DataFrame:
-    return modelling.predict(models.linear(0.3).fit(s.core["train"]), s.core, ["validation"])
-
-
 def _decision_trees(s: Study) -> DataFrame:
-    core = {**s.core, "train": models.settled(s.core["train"], ["permno", "date", "gvkey"])}
-    sparse = {f"{kind}_core": models.tree(kind).fit(core["train"]) for kind in ("dt", "gbt")}
+    train = s.train(s.core, CORE_SIGNALS)
+    sparse = {f"{kind}_core": models.tree(kind).fit(train) for kind in ("dt", "gbt")}
     columns = ["model", "sample", "permno", "date", "gvkey", "ret", "prediction"]
-    return modelling.predict_each(sparse, core, ["validation"]).select(columns).unionByName(
-        modelling.predict_each({"dt": s.tree_model("dt")}, s.full, ["validation"]).select(columns)
+    return modelling.predict_all(sparse, s.core, CORE_SIGNALS, SAMPLE, ["validation"]).select(columns).unionByName(
+        s.tree_predictions("dt", names=("validation",)).select(columns)
     )
 
 
 def _tree_metrics(s: Study) -> DataFrame:
     columns = ["model", "sample", "ret", "prediction"]
     scored = _decision_trees(s).select(columns)
-    for kind, samples in (("rf", modelling.TEST_SAMPLES), ("gbt", ["validation"])):
-        part = modelling.predict(s.tree_model(kind), s.full, samples).withColumn("model", F.lit(kind))
-        scored = scored.unionByName(part.select(columns))
-    return models.evaluate(scored, by=["model", "sample"])
+    both = s.tree_predictions("rf", "gbt").where("model = 'rf' OR sample = 'validation'")
+    return models.evaluate(scored.unionByName(both.select(columns)), by=["model", "sample"])
+
+
+def _grid(s: Study, penalties: dict[str, float]) -> DataFrame:
+    fits = {name: s.linear(reg) for name, reg in penalties.items()}
+    found = gram.accuracy_table(s.spark, fits, {"validation": s.core_statistics["validation"]})
+    return found.withColumnRenamed("model", "setting")
 
 
-def _grid(s: Study, estimators: dict) -> DataFrame:
-    return models.grid_evaluate(estimators, s.core["train"], s.core["validation"])
+def _linear_accuracy(s: Study, *names: str) -> DataFrame:
+    return gram.accuracy_table(s.spark, {"ols": s.linear()}, {n: s.core_statistics[n] for n in names})
+
+
+def _by_month(s: Study) -> DataFrame:
+    months = gram.monthly_statistics(s.core, ["momentum_12"])
+    terms = gram.expanding_table(s.spark, months).groupBy("date", "n", "r2").pivot("term", ["intercept", "momentum_12"]).agg(F.first("estimate"))
+    return terms.withColumnRenamed("momentum_12", "slope")
 
 
 def _feature_matrix(s: Study) -> DataFrame:
@@ -355,22 +376,25 @@ BUILDERS: dict[str, Callable[[Study], DataFrame]] = {
     "industry_index": lambda s: s.indexed,
     "industry_onehot": _onehot,
     "feature_matrix": _feature_matrix,
-    "ols_coefficients": lambda s: models.coefficients(s.ols, CORE_SIGNALS, s.research),
-    "ols_train_metrics": lambda s: models.evaluate(s.ols.transform(s.core["train"])),
+    "ols_coefficients": lambda s: s.linear_terms(),
+    "ols_train_metrics": lambda s: _linear_accuracy(s, "train"),
     "ols_predict": lambda s: s.ols_predictions,
-    "ols_inference": lambda s: models.inference(s.ols, CORE_SIGNALS, s.research),
-    "evaluate_ols": lambda s: models.evaluate(s.ols_predictions, by=["sample"]),
+    "ols_inference": lambda s: gram.inference_table(s.spark, CORE_SIGNALS, s.core_statistics["train"]),
+    "evaluate_ols": lambda s: _linear_accuracy(s, *modelling.TEST_SAMPLES),
     "decile_prediction": lambda s: assign_quantile(
-        rankable(modelling.predict(s.ols, s.core, ["validation", "out"]), "prediction"),
+        rankable(s.linear_predictions(names=("validation", "out")), "prediction"),
         "prediction", tie_break=backtest.ROW_KEY,
     ),
     "prediction_matrix": lambda s: portfolios.to_matrix(s.ols_back_test()["prediction"], "prediction", index=["sample", "date"]),
     "backtest_lr": lambda s: s.ols_back_test()["wealth"],
-    "ridge_coefficients": lambda s: models.coefficients(models.linear(0.3).fit(s.core["train"]), CORE_SIGNALS, s.research),
-    "ridge_predict": _ridge_predictions,
-    "ridge_grid": lambda s: _grid(s, {f"{reg:g}": models.linear(reg, max_iter=500) for reg in RIDGE_GRID}),
-    "glm_coefficients": lambda s: models.coefficients(models.generalized_linear(0.3).fit(s.core["train"]), CORE_SIGNALS, s.research),
-    "glm_grid": lambda s: _grid(s, {"gaussian": models.generalized_linear(0.5, "gaussian")}),
+    "ridge_coefficients": lambda s: s.linear_terms(0.3),
+    "ridge_predict": lambda s: s.linear_predictions(0.3, ("validation",)),
+    "ridge_grid": lambda s: _grid(s, {f"{reg:g}": reg for reg in RIDGE_GRID}),
+    "glm_coefficients": lambda s: models.coefficients(
+        models.generalized_linear(0.3).fit(s.train(s.core, CORE_SIGNALS)), CORE_SIGNALS, s.research
+    ),
+    "glm_grid": lambda s: _grid(s, {"gaussian": 0.5}),
+    "linear_by_month": _by_month,
     "dt_stump": lambda s: _stump(s, "dt"),
     "rf_stump": lambda s: _stump(s, "rf", numTrees=1, featureSubsetStrategy="all", bootstrap=False),
     "gbt_stump": lambda s: _stump(s, "gbt", maxIter=2, stepSize=0.1),

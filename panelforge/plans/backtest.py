@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelforge.operators import portfolios
 from panelforge.operators.quantiles import assign_quantile
+from panelforge.operators.splits import label_samples
 from panelforge.settings import Sample
 
 # What makes a row distinct within a month after the fundamentals join.
@@ -51,20 +52,26 @@ def sample_wealth(returns: DataFrame, starts: Mapping[str, str | None]) -> DataF
 
 
 def back_test(
-    predictions: DataFrame, n: int = 10, tie_break: Sequence[str] = ROW_KEY, by: Sequence[str] = ()
+    predictions: DataFrame, n: int = 10, tie_break: Sequence[str] = ROW_KEY, by: Sequence[str] = (), sample: Sample | None = None
 ) -> dict[str, DataFrame]:
     """Portfolios sorted on the prediction, as lazy tables.
 
     ``prediction``: mean prediction per date and group; ``returns``: monthly returns per group;
     ``wealth``: their running products per weighting; ``equal`` and ``value``: month x group
-    matrices. ``by`` keeps samples or models apart, so several are tested in one job.
+    matrices. ``by`` keeps samples or models apart, so several are tested in one job. With ``sample`` given, each
+    row is ranked once, and the groups' monthly tables are repeated for every test sample that holds the month.
     """
     by = list(by)
     grouped = assign_quantile(predictions, "prediction", n, [*by, "date"], tie_break)
     returns = portfolios.portfolio_returns(grouped, "ret", [*by, "grp", "year", "month"])
+    means = portfolios.prediction_by_group(grouped, [*by, "date", "grp"])
+    if sample:
+        by = [*by, "sample"]
+        returns = label_samples(returns.withColumn("date", portfolios.month_end()), sample).drop("date").where("sample <> 'train'")
+        means = label_samples(means, sample).where("sample <> 'train'")
     months = [*by, "year", "month"]
     return {
-        "prediction": portfolios.prediction_by_group(grouped, [*by, "date", "grp"]),
+        "prediction": means,
         "returns": returns,
         "wealth": portfolios.cumulative_return(by_weighting(returns, by), "ret", [*by, "weighting", "grp"]),
         "equal": portfolios.to_matrix(returns, "equal_ret", n, months),

@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.operators import linking, macro, models, performance, portfolios, profiling
+from panelforge.operators import gram, linking, macro, models, performance, portfolios, profiling
 from panelforge.plans import backtest, benchmarks, modelling
 from panelforge.plans import panel as panels
 from panelforge.settings import ALL_SIGNALS, CORE_SIGNALS, Sample
@@ -106,42 +106,44 @@ def benchmark_results(research: DataFrame, factors: DataFrame, sample: Sample) -
     }
 
 
-def linear_results(core: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Least squares, ridge and generalised linear fits on the small signal set."""
-    train, validation = core["train"], core["validation"]
-    fits = {
-        "ols": models.linear().fit(train),
-        "ridge": models.linear(RIDGE).fit(train),
-        "glm": models.generalized_linear(RIDGE).fit(train),
-    }
-    grid = {f"ridge {reg:g}": models.linear(reg, max_iter=500) for reg in RIDGE_GRID}
-    grid["glm gaussian"] = models.generalized_linear(FAMILY_RIDGE, "gaussian")
-    terms = [models.coefficients(m, CORE_SIGNALS, train).withColumn("model", F.lit(name)) for name, m in fits.items()]
-    scored = modelling.predict_each(fits, core, ["train", "validation"])
+def linear_results(rows: DataFrame, sample: Sample) -> dict[str, DataFrame]:
+    """Least squares, ridge and gaussian fits on the small signal set, all from one pass over its rows.
+
+    A gaussian model with identity link is the ridge fit of its penalty.
+    """
+    spark, months = rows.sparkSession, gram.monthly_statistics(rows, CORE_SIGNALS)
+    parts = months.samples(sample)
+    train = parts["train"]
+    fits = {"ols": gram.fit(train), "ridge": gram.fit(train, RIDGE), "glm": gram.fit(train, RIDGE)}
+    grid = {f"ridge {reg:g}": gram.fit(train, reg) for reg in RIDGE_GRID} | {"glm gaussian": gram.fit(train, FAMILY_RIDGE)}
+    scored = gram.accuracy_table(spark, grid, {"validation": parts["validation"]})
     return {
-        "coefficients": reduce(DataFrame.unionByName, terms),
-        "inference": models.inference(fits["ols"], CORE_SIGNALS, train),
-        "linear_accuracy": models.evaluate(scored, by=["model", "sample"]),
-        "grid": models.grid_evaluate(grid, train, validation),
-        "ols_predictions": modelling.predict(fits["ols"], core),
+        "coefficients": gram.coefficient_table(spark, CORE_SIGNALS, fits),
+        "inference": gram.inference_table(spark, CORE_SIGNALS, train),
+        "linear_accuracy": gram.accuracy_table(spark, fits, {n: parts[n] for n in ("train", "validation")}),
+        "linear_by_month": gram.expanding_table(spark, months),
+        "grid": scored.select(F.col("model").alias("setting"), "r2", "rmse"),
+        "ols_predictions": modelling.predict_linear({"ols": fits["ols"]}, rows, CORE_SIGNALS, sample, modelling.DISJOINT),
     }
 
 
-def tree_results(core: Mapping[str, DataFrame], full: Mapping[str, DataFrame], partitions: int = 16) -> dict[str, DataFrame]:
+def tree_results(core: DataFrame, full: DataFrame, sample: Sample, partitions: int = 16) -> dict[str, DataFrame]:
     """Decision and boosted trees on both signal sets, forests on the full one; ``partitions`` is part of the models."""
     order = ["permno", "date", "gvkey"]
-    train_core, train = (models.settled(samples["train"], order, partitions) for samples in (core, full))
+    train_core, train = (
+        models.settled(modelling.model_samples(rows, signals, sample)["train"], order, partitions)
+        for rows, signals in ((core, CORE_SIGNALS), (full, ALL_SIGNALS))
+    )
     fits = {kind: models.tree(kind).fit(train) for kind in ("dt", "rf", "gbt")}
     sparse = {f"{kind}_core": models.tree(kind).fit(train_core) for kind in ("dt", "gbt")}
     weights = [models.importances(fits[k], ALL_SIGNALS, train).withColumn("model", F.lit(k)) for k in ("rf", "gbt")]
     columns = ["model", "sample", "ret", "prediction"]
-    scored = modelling.predict_each(fits, full, modelling.TEST_SAMPLES).select(columns).unionByName(
-        modelling.predict_each(sparse, core, ["validation"]).select(columns)
-    )
+    predictions = modelling.predict_all(fits, full, ALL_SIGNALS, sample)
+    scored = predictions.select(columns).unionByName(modelling.predict_all(sparse, core, CORE_SIGNALS, sample, ["validation"]).select(columns))
     return {
         "importances": reduce(DataFrame.unionByName, weights),
         "tree_accuracy": models.evaluate(scored, by=["model", "sample"]),
-        "tree_predictions": modelling.predict_each({k: fits[k] for k in ("rf", "gbt")}, full),
+        "tree_predictions": predictions.where(F.col("model").isin("rf", "gbt")),
     }
 
 
@@ -157,15 +159,14 @@ def full_study(
         "industries": research.select("industry", "industry_index", vector_to_array("industry_vector").alias("onehot")).distinct(),
         **benchmark_results(research, inputs["factors"], sample),
     }
-    core = modelling.model_samples(research, CORE_SIGNALS, sample)
-    full = modelling.model_samples(research, ALL_SIGNALS, sample)
-    results |= linear_results(core) | tree_results(core, full, tree_partitions)
+    core, full = (modelling.model_rows(research, signals) for signals in (CORE_SIGNALS, ALL_SIGNALS))
+    results |= linear_results(core, sample) | tree_results(core, full, sample, tree_partitions)
 
     common = ["model", "sample", "prediction", "date", "year", "month", "ret", "size", "total_mktcap", "weight_mktcap"]
     columns = [*common, *backtest.ROW_KEY]
-    ols = results.pop("ols_predictions").withColumn("model", F.lit("ols"))
-    predictions = ols.select(columns).unionByName(results.pop("tree_predictions").select(columns))
-    tested = backtest.back_test(durable(predictions, "predictions"), by=["model", "sample"])
+    predictions = results.pop("ols_predictions").select(columns).unionByName(results.pop("tree_predictions").select(columns))
+    once = predictions.where(F.col("sample").isin(*modelling.DISJOINT)).drop("sample")
+    tested = backtest.back_test(durable(once, "predictions"), by=["model"], sample=sample)
     returns = durable(tested["returns"], "model-returns")
     results["model_returns"] = returns
     results["model_predictions"] = tested["prediction"]

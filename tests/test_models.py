@@ -6,8 +6,8 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from panelforge.operators import models, splits
-from panelforge.plans import modelling
+from panelforge.operators import gram, models, splits
+from panelforge.plans import modelling, study
 from panelforge.settings import ALL_SIGNALS, CORE_SIGNALS, MODEL_KEYS, Sample
 
 SIGNALS = ["a", "b", "c"]
@@ -153,11 +153,81 @@ def test_unknown_tree_is_refused():
 
 
 def test_predictions_are_stacked_by_sample(table):
-    samples = splits.time_split(splits.with_features(table, SIGNALS), SAMPLE)
-    got = modelling.predict(models.linear().fit(samples["train"]), samples)
-    assert {r["sample"]: r["count"] for r in got.groupBy("sample").count().collect()} == {
-        "validation": 200, "out": 200, "recent": 150,
+    samples = modelling.model_samples(table, SIGNALS, SAMPLE)
+    fits = {"a": models.linear().fit(samples["train"]), "b": models.linear(9.0).fit(samples["train"])}
+    got = modelling.predict_all(fits, table, SIGNALS, SAMPLE)
+    assert {(r["model"], r["sample"]): r["count"] for r in got.groupBy("model", "sample").count().collect()} == {
+        (m, s): n for m in "ab" for s, n in (("validation", 200), ("out", 200), ("recent", 150))
     }
+    assert got.drop("model", "sample", "prediction").columns == table.columns
+    want = fits["b"].transform(samples["out"]).agg(F.sum("prediction")).first()[0]
+    assert got.where("model = 'b' AND sample = 'out'").agg(F.sum("prediction")).first()[0] == pytest.approx(want)
+    plain = gram.Linear(float(fits["b"].intercept), tuple(fits["b"].coefficients))
+    linear = modelling.predict_linear({"b": plain}, table, SIGNALS, SAMPLE, ["out"])
+    assert linear.agg(F.sum("prediction")).first()[0] == pytest.approx(want) and linear.count() == 200
+
+
+def test_all_models_and_samples_come_from_one_scan(spark, table, tmp_path):
+    table.write.parquet(f"{tmp_path}/rows")
+    stored = spark.read.parquet(f"{tmp_path}/rows")
+    fits = {name: models.linear(reg).fit(modelling.model_samples(stored, SIGNALS, SAMPLE)["train"]) for name, reg in (("a", 0.0), ("b", 1.0))}
+    for scored in (modelling.predict_all(fits, stored, SIGNALS, SAMPLE), gram.month_statistics(stored, SIGNALS)):
+        assert scored._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    jobs = spark._jsc.sc().statusTracker()
+    spark.sparkContext.setJobGroup("linear", "linear")
+    results = study.linear_results(stored.withColumnsRenamed(dict(zip(SIGNALS, CORE_SIGNALS))), SAMPLE)
+    ran = len(jobs.getJobIdsForGroup("linear"))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert ran <= 2  # the stages of one aggregate
+    assert results["grid"].count() == 5
+
+
+@pytest.mark.parametrize("reg", [0.0, 0.3, 10.0])
+def test_month_statistics_give_the_closed_form(table, rows, reg):
+    months = gram.monthly_statistics(table, SIGNALS)
+    whole = gram.fit(months.span(), reg)
+    assert [whole.intercept, *whole.slopes] == pytest.approx(closed_form(rows, reg), rel=1e-9)
+    parts = months.samples(SAMPLE)
+    assert {n: s.n for n, s in parts.items()} == {"train": 200, "validation": 200, "out": 200, "recent": 150}
+    model = gram.fit(parts["train"], reg)
+    for name, stats in parts.items():
+        scored = splits.time_split(table, SAMPLE)[name].withColumn("prediction", model.prediction(SIGNALS))
+        want = models.evaluate(scored).first()
+        assert gram.accuracy(stats, model) == pytest.approx((want["n"], want["r2"], want["rmse"]), rel=1e-9)
+
+
+def test_statistics_inference_equals_the_library(spark, table):
+    train = splits.with_features(table.where("permno < 40"), SIGNALS)
+    want = {r["term"]: r for r in models.inference(models.linear().fit(train), SIGNALS, train).collect()}
+    got = {r["term"]: r for r in gram.inference_table(spark, SIGNALS, gram.monthly_statistics(train, SIGNALS).span()).collect()}
+    for term, row in want.items():
+        assert tuple(got[term])[1:] == pytest.approx(tuple(row)[1:], rel=1e-6, abs=1e-12)
+
+
+def test_statistics_of_odd_rows(spark, table):
+    odd = table.selectExpr("date", "IF(permno = 3, NULL, a) AS a", "IF(permno = 4, double('NaN'), b) AS b", "7.0D AS c", "ret")
+    months = gram.monthly_statistics(odd, SIGNALS)
+    assert months.span().n == 598
+    model = gram.fit(months.span())
+    assert model.slopes[2] == 0
+    kept = odd.na.drop().drop("c")
+    assert model.slopes[:2] == pytest.approx(gram.fit(gram.monthly_statistics(kept, ["a", "b"]).span()).slopes)
+    assert gram.inference_table(spark, SIGNALS, months.span()).where("std_error IS NOT NULL").count() == 0
+    twins = gram.monthly_statistics(table.withColumn("b", F.col("a") * 2), ["a", "b"]).span()
+    assert gram.accuracy(twins, gram.fit(twins))[1] == pytest.approx(gram.accuracy(twins, gram.Linear(*one_signal(table)))[1])
+    empty = gram.monthly_statistics(odd.limit(0), SIGNALS)
+    assert gram.fit(empty.span()) == gram.Linear(0.0, (0.0,) * 3) and gram.accuracy(empty.span(), model) == (0, None, None)
+    assert empty.expanding() == []
+
+
+def one_signal(table):
+    model = gram.fit(gram.monthly_statistics(table, ["a"]).span())
+    return model.intercept, (*model.slopes, 0.0)
+
+
+def test_large_means_lose_no_digits(table):
+    moved = gram.monthly_statistics(table.withColumn("b", F.col("b") + 1e9), SIGNALS).span()
+    assert gram.fit(moved).slopes == pytest.approx(gram.fit(gram.monthly_statistics(table, SIGNALS).span()).slopes, rel=1e-5)
 
 
 def test_category_index_and_indicator(spark):

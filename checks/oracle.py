@@ -288,6 +288,31 @@ VIEWS |= {
 }
 
 
+def best_split(rows: str) -> str:
+    """``node, signal, cut, n1, t1, n0, t0``: per node of ``rows`` (node, signal, bin, ret) the split that explains most; of equal ones the first."""
+    return f"""SELECT * FROM (SELECT *, sum(n) OVER w AS n1, sum(total) OVER w AS t1, sum(n) OVER (PARTITION BY node, signal) AS n0,
+            sum(total) OVER (PARTITION BY node, signal) AS t0, bin AS cut
+        FROM (SELECT node, signal, bin, count(*) AS n, sum(ret) AS total FROM {rows} GROUP BY ALL) AS g
+        WINDOW w AS (PARTITION BY node, signal ORDER BY bin)) AS c WHERE n1 < n0
+        QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(t1 * t1 / n1 + (t0 - t1) * (t0 - t1) / (n0 - n1), 12) DESC, signal, cut) = 1"""
+
+
+# A tree of two levels on 32 exact bins of three signals: a value's bin is the share of training rows below it.
+VIEWS |= {
+    "tree_rows": f"""SELECT row_number() OVER () AS r, permno, gvkey, date, round(ret, 6) AS ret, b.sample, unnest([1, 2, 3]) AS signal,
+        unnest([round(momentum_12, 9), round(log_size, 9), round(value, 9)]) AS x
+        FROM core_rows c, {samples()} WHERE c.date > b.after AND c.date <= b.until AND b.sample IN ('train', 'validation')""",
+    "tree_bins": """SELECT signal, bin, min(x) AS low FROM (SELECT signal, x,
+            CAST(floor((rank() OVER (PARTITION BY signal ORDER BY x) - 1) * 32 / count(*) OVER (PARTITION BY signal)) AS INT) AS bin
+        FROM tree_rows WHERE sample = 'train') AS g GROUP BY signal, bin""",
+    "tree_cells": """SELECT t.r, t.permno, t.gvkey, t.date, t.ret, t.sample, t.signal, max(b.bin) AS bin FROM tree_rows t
+        JOIN tree_bins b ON t.signal = b.signal AND (b.low <= t.x OR b.bin = 0) GROUP BY ALL""",
+    "tree_root": best_split("(SELECT 0 AS node, signal, bin, ret FROM tree_cells WHERE sample = 'train')"),
+    "tree_sides": """SELECT t.r, CASE WHEN t.bin <= s.cut THEN 1 ELSE 2 END AS node FROM tree_cells t JOIN tree_root s ON t.signal = s.signal""",
+    "tree_children": best_split("""(SELECT s.node, t.signal, t.bin, t.ret FROM tree_cells t JOIN tree_sides s ON t.r = s.r WHERE t.sample = 'train')"""),
+}
+
+
 def with_r2(fits: str) -> str:
     return f"""SELECT momentum_count, fit AS prediction, (SELECT 1 - sum((s.ret - f.fit) ** 2) / (var_pop(s.ret) * count(s.ret))
         FROM stump_rows s JOIN {fits} f ON s.momentum_count = f.momentum_count) AS r2 FROM {fits}"""
@@ -320,6 +345,8 @@ BODIES = {
     "dt_stump": with_r2("first_stump"),
     "rf_stump": with_r2("first_stump"),
     "gbt_stump": with_r2("both_stumps"),
+    "dt_depth2": """SELECT t.sample, t.permno, t.gvkey, t.date, CASE WHEN t.bin <= c.cut THEN c.t1 / c.n1 ELSE (c.t0 - c.t1) / (c.n0 - c.n1) END AS prediction
+        FROM tree_cells t JOIN tree_sides s ON t.r = s.r JOIN tree_children c ON c.node = s.node AND c.signal = t.signal WHERE t.sample = 'validation'""",
     "macro_join": "SELECT m.permno, m.date, u.* EXCLUDE (year, month) FROM months m JOIN (SELECT m.year, m.month, "
     + ", ".join(
         carried(s, n)

@@ -102,6 +102,7 @@ COLUMNS = {
     "linear_by_month": "date:d n intercept:6 slope:6 r2:6",
     "evaluate_ols": "sample n r2:6 rmse:6",
     "ridge_predict": f"sample {ROW} prediction:6",
+    "dt_depth2": f"sample {ROW} prediction:8",
     "tree_predict": f"model sample {ROW} prediction:6",
     "gbt_predict": f"sample {ROW} prediction:6",
     "rf_predict": f"sample {ROW} prediction:6",

@@ -14,6 +14,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from checks.outputs import spark_output
 from panelforge.operators import cleaning, fundamentals, gram, linking, macro, models, performance, portfolios, profiling
 from panelforge.operators import signals, splits
+from panelforge.operators.binning import Binning
 from panelforge.operators.quantiles import assign_quantile
 from panelforge.plans import backtest, benchmarks, modelling
 from panelforge.plans import panel as panels
@@ -126,6 +127,10 @@ class Study:
     def full(self) -> DataFrame:
         return modelling.model_rows(self.research, ALL_SIGNALS)
 
+    @cached_property
+    def binned(self) -> tuple[Binning, DataFrame]:
+        return modelling.binned_train(self.full, ALL_SIGNALS, SAMPLE)
+
     def train(self, rows: DataFrame, signals: list[str]) -> DataFrame:
         return models.settled(modelling.model_samples(rows, signals, SAMPLE)["train"], ["permno", "date", "gvkey"])
 
@@ -160,11 +165,13 @@ class Study:
 
     def tree_model(self, kind: str) -> Model:
         if kind not in self.tree_models:
-            self.tree_models[kind] = models.tree(kind).fit(self.train(self.full, ALL_SIGNALS))
+            rows = self.binned[1]
+            settled = models.settled(rows, ["permno", "date", "gvkey"]) if kind == "rf" else rows
+            self.tree_models[kind] = models.tree(kind).fit(settled)
         return self.tree_models[kind]
 
     def tree_predictions(self, *kinds: str, names: tuple[str, ...] = modelling.TEST_SAMPLES) -> DataFrame:
-        return modelling.predict_all({k: self.tree_model(k) for k in kinds}, self.full, ALL_SIGNALS, SAMPLE, names)
+        return modelling.predict_all({k: self.tree_model(k) for k in kinds}, self.full, self.binned[0], SAMPLE, names)
 
     def tree_back_test(self, *kinds: str) -> dict[str, DataFrame]:
         predictions = durable(self.tree_predictions(*kinds, names=modelling.DISJOINT), "trees").drop("sample")
@@ -268,14 +275,23 @@ def _strategy_wealth(s: Study) -> DataFrame:
 
 
 def _decision_trees(s: Study) -> DataFrame:
-    train = s.train(s.core, CORE_SIGNALS)
+    bins, train = modelling.binned_train(s.core, CORE_SIGNALS, SAMPLE)
     sparse = {f"{kind}_core": models.tree(kind).fit(train) for kind in ("dt", "gbt")}
     columns = ["model", "sample", "permno", "date", "gvkey", "ret", "prediction"]
-    return modelling.predict_all(sparse, s.core, CORE_SIGNALS, SAMPLE, ["validation"]).select(columns).unionByName(
+    return modelling.predict_all(sparse, s.core, bins, SAMPLE, ["validation"]).select(columns).unionByName(
         s.tree_predictions("dt", names=("validation",)).select(columns)
     )
 
 
+def _depth_two(s: Study) -> DataFrame:
+    """A tree of two levels on exact bins, scored on the validation rows."""
+    rounded = {c: F.round(c, RANK_DIGITS) for c in CORE_SIGNALS} | {"ret": F.round("ret", 6)}
+    rows = s.core.withColumns(rounded)
+    bins, train = modelling.binned_train(rows, CORE_SIGNALS, SAMPLE)
+    fitted = models.tree("dt", maxDepth=2).fit(train)
+    return modelling.predict_all({"dt": fitted}, rows, bins, SAMPLE, ["validation"])
+
+
 def _tree_metrics(s: Study) -> DataFrame:
     columns = ["model", "sample", "ret", "prediction"]
     scored = _decision_trees(s).select(columns)
@@ -398,6 +414,7 @@ BUILDERS: dict[str, Callable[[Study], DataFrame]] = {
     "dt_stump": lambda s: _stump(s, "dt"),
     "rf_stump": lambda s: _stump(s, "rf", numTrees=1, featureSubsetStrategy="all", bootstrap=False),
     "gbt_stump": lambda s: _stump(s, "gbt", maxIter=2, stepSize=0.1),
+    "dt_depth2": _depth_two,
     "tree_predict": _decision_trees,
     "rf_predict": lambda s: s.tree_predictions("rf"),
     "gbt_predict": lambda s: s.tree_predictions("gbt"),

@@ -66,9 +66,9 @@ def tree(kind: str, label: str = "ret", **params) -> Estimator:
 def settled(train: DataFrame, order: Sequence[str] = ("permno", "date"), partitions: int = 16) -> DataFrame:
     """Rows in a fixed partition and order, so that a seeded tree draws the same samples again.
 
-    A fit depends on the rows of each partition: above some ten thousand rows MLlib proposes split points from
-    a sample of rows per partition, and forests draw their bags there. So the number of partitions is part of
-    the model; it is set here and not taken from the cluster's settings. Raise it with the training rows. Rows are
+    Forests draw their bags by partition, and above some ten thousand rows MLlib proposes the split points of signals that
+    are not binned (``binning``) from a sample of rows per partition. So the number of partitions is part of
+    such a model; it is set here and not taken from the cluster's settings. Raise it with the training rows. Rows are
     dealt by all columns of ``order``, so that a security with many rows is not one task.
     """
     return train.repartition(partitions, *order).sortWithinPartitions(*order)

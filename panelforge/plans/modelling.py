@@ -9,6 +9,7 @@ from pyspark.ml import Model
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.operators.binning import Binning, fit_bins
 from panelforge.operators.gram import Linear
 from panelforge.operators.splits import feature_set, label_samples, sample_filters, time_split, with_features
 from panelforge.plans.backtest import ROW_KEY
@@ -30,6 +31,13 @@ def model_samples(rows: DataFrame, signals: Sequence[str], sample: Sample) -> di
     return time_split(with_features(rows, signals), sample)
 
 
+def binned_train(rows: DataFrame, signals: Sequence[str], sample: Sample) -> tuple[Binning, DataFrame]:
+    """Exact bins of the training rows' signals, and those rows with binned features."""
+    train = time_split(rows, sample)["train"]
+    bins = fit_bins(train, signals)
+    return bins, bins.features(train)
+
+
 def stacked(scored: DataFrame, predictions: Mapping[str, str | Column], sample: Sample, names: Sequence[str]) -> DataFrame:
     """Rows with a column per model, as one row per ``model`` with its ``prediction``, once per ``sample`` they belong to.
 
@@ -53,10 +61,13 @@ def predict_linear(
 
 
 def predict_all(
-    fits: Mapping[str, Model], rows: DataFrame, signals: Sequence[str], sample: Sample, names: Sequence[str] = TEST_SAMPLES
+    fits: Mapping[str, Model], rows: DataFrame, signals: Sequence[str] | Binning, sample: Sample, names: Sequence[str] = TEST_SAMPLES
 ) -> DataFrame:
-    """Predictions of fitted models per ``model`` and ``sample``; every model scores a row in the same pass."""
-    scored, columns = with_features(rows, signals), {}
+    """Predictions of fitted models per ``model`` and ``sample``; every model scores a row in the same pass.
+
+    ``signals`` are those the models were fitted on, or their bins.
+    """
+    scored, columns = signals.features(rows) if isinstance(signals, Binning) else with_features(rows, signals), {}
     for i, (name, model) in enumerate(fits.items()):
         columns[name] = f"prediction_{i}"
         scored = model.transform(scored, {model.predictionCol: columns[name]})

@@ -128,18 +128,20 @@ def linear_results(rows: DataFrame, sample: Sample) -> dict[str, DataFrame]:
 
 
 def tree_results(core: DataFrame, full: DataFrame, sample: Sample, partitions: int = 16) -> dict[str, DataFrame]:
-    """Decision and boosted trees on both signal sets, forests on the full one; ``partitions`` is part of the models."""
-    order = ["permno", "date", "gvkey"]
-    train_core, train = (
-        models.settled(modelling.model_samples(rows, signals, sample)["train"], order, partitions)
-        for rows, signals in ((core, CORE_SIGNALS), (full, ALL_SIGNALS))
+    """Decision and boosted trees on both signal sets, forests on the full one, all on exact bins of the signals.
+
+    Only a forest draws its bags by partition: ``partitions`` is part of it.
+    """
+    (core_bins, train_core), (bins, train) = (
+        modelling.binned_train(rows, signals, sample) for rows, signals in ((core, CORE_SIGNALS), (full, ALL_SIGNALS))
     )
-    fits = {kind: models.tree(kind).fit(train) for kind in ("dt", "rf", "gbt")}
+    bags = models.settled(train, ["permno", "date", "gvkey"], partitions)
+    fits = {kind: models.tree(kind).fit(bags if kind == "rf" else train) for kind in ("dt", "rf", "gbt")}
     sparse = {f"{kind}_core": models.tree(kind).fit(train_core) for kind in ("dt", "gbt")}
     weights = [models.importances(fits[k], ALL_SIGNALS, train).withColumn("model", F.lit(k)) for k in ("rf", "gbt")]
     columns = ["model", "sample", "ret", "prediction"]
-    predictions = modelling.predict_all(fits, full, ALL_SIGNALS, sample)
-    scored = predictions.select(columns).unionByName(modelling.predict_all(sparse, core, CORE_SIGNALS, sample, ["validation"]).select(columns))
+    predictions = modelling.predict_all(fits, full, bins, sample)
+    scored = predictions.select(columns).unionByName(modelling.predict_all(sparse, core, core_bins, sample, ["validation"]).select(columns))
     return {
         "importances": reduce(DataFrame.unionByName, weights),
         "tree_accuracy": models.evaluate(scored, by=["model", "sample"]),

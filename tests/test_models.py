@@ -1,4 +1,7 @@
+import bisect
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -6,7 +9,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from panelforge.operators import gram, models, splits
+from panelforge.operators import binning, gram, models, splits
 from panelforge.plans import modelling, study
 from panelforge.settings import ALL_SIGNALS, CORE_SIGNALS, MODEL_KEYS, Sample
 
@@ -238,3 +241,40 @@ def test_category_index_and_indicator(spark):
     }
     one = models.encode_category(spark.createDataFrame([("x",), ("x",)], "industry string"), "industry", "i", "v")
     assert [(r["i"], r["v"].size) for r in one.collect()] == [(0.0, 0)] * 2
+
+
+def test_bins_hold_equal_counts_of_whole_values(spark):
+    rng = random.Random(8)
+    rows = [(rng.gauss(0, 1), float(rng.randint(0, 3)), 5.0, None if i % 3 else rng.random(), math.nan if i % 2 else rng.random()) for i in range(6400)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    found = {(r["signal"], r["bin"]): (r["low"], r["rows"]) for r in binning.bin_counts(df.repartition(11), list("abcde")).collect()}
+    for k, name in enumerate("abcde"):
+        values = sorted(r[k] for r in rows if r[k] is not None and not math.isnan(r[k]))
+        want = {}
+        for x in values:
+            want.setdefault(bisect.bisect_left(values, x) * 32 // len(values), []).append(x)
+        assert {b: v for (s, b), v in found.items() if s == name} == {b: (xs[0], len(xs)) for b, xs in want.items()}
+    bins = binning.fit_bins(df, list("abcde"))
+    assert len(bins.limits["a"]) == 31 and len(bins.limits["b"]) == 3 and bins.limits["c"] == ()
+    vector = bins.features(df).select(vector_to_array("features").alias("v"), "a", "d").collect()
+    for r in vector:
+        assert r["v"][0] == bisect.bisect_right(bins.limits["a"], r["a"])
+        assert r["d"] is not None or r["v"][3] == len(bins.limits["d"]) + 1
+
+
+def test_a_rare_value_between_frequent_ones_joins_the_bin_below(spark):
+    df = spark.range(100_000).selectExpr("CASE WHEN id < 52900 THEN 0D WHEN id < 53500 THEN 1D ELSE 2D END AS a", "IF(id < 3, 0D, 1D) AS b")
+    assert binning.fit_bins(df, ["a", "b"]).limits == {"a": (2.0,), "b": ()}
+    assert binning.fit_bins(df.limit(0), ["a"]).limits == {"a": ()}
+
+
+@pytest.mark.parametrize("kind", ["dt", "gbt"])
+def test_binned_trees_do_not_depend_on_partitions(spark, kind):
+    rows = spark.range(30_000).selectExpr("id AS permno", "sin(id) AS a", "cos(id * 3) AS b", "sin(id) * 2 + cos(id * id) AS ret")
+    found = []
+    for partitions in (4, 16, 64):
+        dealt = rows.repartition(partitions, "permno")
+        train = binning.fit_bins(dealt, ["a", "b"]).features(dealt)
+        model = models.tree(kind, **({"maxDepth": 4} if kind == "dt" else {"maxIter": 2, "maxDepth": 3})).fit(train)
+        found.append(re.findall(r"[<>]=? ?-?[\d.]+|feature \d+", model.toDebugString))
+    assert found[0] and found[0] == found[1] == found[2]

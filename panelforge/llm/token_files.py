@@ -66,7 +66,6 @@ class WordEncoder:
     def ids_of(self, distinct: pa.Array) -> pa.Array:
         """Of each word its ids, as little-endian unsigned 32-bit integers."""
         both = pa.concat_arrays(self._split_marks(distinct)).dictionary_encode()
-        both = pa.concat_arrays(self._split_marks(distinct)).dictionary_encode()
         table = self.stems.results(both.dictionary.cast(pa.binary()).to_pylist())
         ids = pa.array(table, pa.large_binary()).take(both.indices)
         return pc.binary_join_element_wise(ids[: len(distinct)], ids[len(distinct) :], pa.scalar(b"", pa.large_binary()))

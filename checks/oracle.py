@@ -339,9 +339,10 @@ BODIES = {
     + ", ".join(carried_daily(*names) for names in SERIES)
     + " FROM (SELECT DISTINCT year, month FROM months) m) u ON m.year = u.year AND m.month = u.month",
     "code_coercion": "coerced",
-    "rejects": """SELECT 'permno' AS "column", count(*) AS rows, count(*) FILTER (permno IS NULL) AS rejected FROM coerced
-        UNION ALL SELECT 'shrcd', count(*), count(*) FILTER (trim(coalesce(share, '')) <> '' AND shrcd IS NULL) FROM coerced
-        UNION ALL SELECT 'prc', count(*), count(*) FILTER (trim(coalesce(price, '')) <> '' AND prc IS NULL) FROM coerced""",
+    "panel_store": "SELECT permno, date, year, CASE WHEN year = 1998 THEN 2 * prc ELSE prc END AS prc, momentum_12 FROM signals",
+    "rejects": """SELECT 'permno' AS "column", count(*) AS rows, count(*) FILTER (permno IS NULL) AS nulls, count(*) FILTER (permno IS NULL) AS rejected FROM coerced
+        UNION ALL SELECT 'shrcd', count(*), count(*) FILTER (shrcd IS NULL), count(*) FILTER (trim(coalesce(share, '')) <> '' AND shrcd IS NULL) FROM coerced
+        UNION ALL SELECT 'prc', count(*), count(*) FILTER (prc IS NULL), count(*) FILTER (trim(coalesce(price, '')) <> '' AND prc IS NULL) FROM coerced""",
     "dt_stump": with_r2("first_stump"),
     "rf_stump": with_r2("first_stump"),
     "gbt_stump": with_r2("both_stumps"),

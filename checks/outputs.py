@@ -21,7 +21,8 @@ COLUMNS = {
     "macro_join": f"{KEY} urgent high medium unspecified low",
     "macro_join_daily": f"{KEY} urgent high medium unspecified low",
     "code_coercion": "line_key line permno shrcd:i prc",
-    "rejects": "column rows rejected",
+    "rejects": "column rows nulls rejected",
+    "panel_store": f"{KEY} year prc momentum_12:6",
     "dt_stump": "momentum_count:i prediction:8 r2:8",
     "rf_stump": "momentum_count:i prediction:8 r2:8",
     "gbt_stump": "momentum_count:i prediction:8 r2:8",

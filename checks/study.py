@@ -20,8 +20,9 @@ from panelforge.plans import backtest, benchmarks, modelling
 from panelforge.plans import panel as panels
 from panelforge.settings import ALL_SIGNALS, CORE_SIGNALS, Sample
 from panelforge.sources import star_schema
-from panelforge.sources.readers import load_factors, rejects, typed
-from panelforge.storage import durable
+from panelforge.sources.panel_store import open_panel, replace_years
+from panelforge.sources.readers import ingest, load_factors, typed
+from panelforge.storage import durable, new_path
 
 SAMPLE = Sample("1995-01-01", "1998-12-31", "2000-06-30", "2001-01-01", "2001-12-31", "2002-01-01")
 STARTS = backtest.sample_starts(SAMPLE)
@@ -37,6 +38,7 @@ SERIES = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT S
 RIDGE_GRID = [1e-4, 1e-2, 1.0, 10.0]
 PROFILED = ["be", "me", "value", "permno", "she"]
 RANK_DIGITS = 9
+STORE_BUCKETS = 8
 
 
 class Study:
@@ -220,6 +222,18 @@ def _coerced(s: Study) -> DataFrame:
     return typed(raw, keys)
 
 
+def _panel_store(s: Study) -> DataFrame:
+    """Momentum over a stored panel of which one year was restated, at twice its prices."""
+    path = new_path(s.spark, "panel")
+    months = s.months.select("permno", "date", "prc", "ret", "year")
+    name = f"panel_{path[-32:]}"
+    open_panel(s.spark, name, path, months, STORE_BUCKETS)
+    replace_years(s.spark, name, months, STORE_BUCKETS)
+    restated = s.spark.table(name).where("year = 1998").withColumn("prc", F.col("prc") * 2)
+    replace_years(s.spark, name, durable(restated, "restated"), STORE_BUCKETS)
+    return signals.momentum(s.spark.table(name))
+
+
 def _stump_rows(s: Study) -> DataFrame:
     """Training months with the one signal that has few distinct values, in a fixed layout."""
     months = signals.momentum_count(s.months).select("permno", "date", "momentum_count", F.round("ret", 6).alias("ret"))
@@ -326,8 +340,9 @@ BUILDERS: dict[str, Callable[[Study], DataFrame]] = {
     "macro_join": _macro,
     "macro_join_daily": _macro_daily,
     "code_coercion": _coerced,
-    "rejects": lambda s: rejects(star_schema.coded_file(s.table("lineitem")), star_schema.CODED, keys=["permno"]),
+    "rejects": lambda s: ingest(star_schema.coded_file(s.table("lineitem")), star_schema.CODED, "coded", keys=["permno"])[1],
     "fund_extra_join": _extra,
+    "panel_store": _panel_store,
     # Projections and predicates
     "clean_returns": lambda s: cleaning.clean_price(cleaning.clean_returns(s.raw)),
     "market_equity": lambda s: s.clean,

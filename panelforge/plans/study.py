@@ -13,7 +13,7 @@ from panelforge.operators import gram, linking, macro, models, performance, port
 from panelforge.plans import backtest, benchmarks, modelling
 from panelforge.plans import panel as panels
 from panelforge.settings import ALL_SIGNALS, CORE_SIGNALS, Sample
-from panelforge.sources import readers, schemas
+from panelforge.sources import panel_store, readers, schemas
 from panelforge.storage import durable
 
 DATE_FORMAT = "yyyy/MM/dd"
@@ -36,8 +36,8 @@ LEGS = {
 def read_inputs(spark: SparkSession, paths: Mapping[str, str], sample: Sample, fmt: str = "csv") -> dict[str, DataFrame]:
     """The input files ``months``, ``factors``, ``accounts``, ``links`` and, where given, ``macro`` and ``extra``.
 
-    ``rejects`` counts, per file and column, values that did not fit their type and so became NULL, and
-    missing ids and dates, whose rows no result uses.
+    Each file is read once: it is stored in its types, and the pass that stores it counts, per file and column, missing values
+    and those that did not fit their type (``rejects``), and missing ids and dates, whose rows no result uses.
     """
     wanted = {
         "months": (schemas.SECURITY_MONTH, ["permno", "date"]),
@@ -47,8 +47,11 @@ def read_inputs(spark: SparkSession, paths: Mapping[str, str], sample: Sample, f
         "extra": (schemas.FUNDAMENTAL_EXTRA, ["gvkey", "datadate"]),
     }
     raw = {name: readers.read_raw(spark, paths[name], fmt) for name in wanted if paths.get(name)}
-    tables = {name: readers.typed(df, wanted[name][0]) for name, df in raw.items()}
-    counts = [readers.rejects(df, *wanted[name]).select(F.lit(name).alias("file"), "*") for name, df in raw.items()]
+    tables, counts = {}, []
+    for name, df in raw.items():
+        schema, keys = wanted[name]
+        tables[name], measured = readers.ingest(df, schema, name, keys)
+        counts.append(measured.select(F.lit(name).alias("file"), "*"))
     factors = readers.read_table(spark, paths["factors"], schemas.FACTOR_MONTH, fmt)
     for name in ("accounts", "extra"):
         if name in tables:
@@ -75,7 +78,20 @@ def build_research(inputs: Mapping[str, DataFrame], sample: Sample, dedupe: bool
     research = panels.research_panel(panel, accounts, dedupe, items)
     if "macro" in inputs:
         research = macro.join_macro(research, inputs["macro"], sample.end)
-    return models.encode_category(durable(research, "research"), "industry", "industry_index", "industry_vector")
+    return models.encode_category(durable(research, "research", sort=["date"]), "industry", "industry_index", "industry_vector")
+
+
+def store_panel(inputs: Mapping[str, DataFrame], sample: Sample, path: str, table: str = "security_panel", buckets: int = 64) -> DataFrame:
+    """The security panel of the inputs, kept at ``path`` by year and security for later sessions.
+
+    Years that the inputs hold are replaced, others stay, so a corrected year needs no other one; its first months' signals look back
+    over the rows given, so hand in the years before it too.
+    """
+    panel = panels.security_panel(inputs["months"], durable(inputs["factors"], "factors"), sample, DATE_FORMAT)
+    spark = panel.sparkSession
+    panel_store.open_panel(spark, table, path, panel, buckets)
+    panel_store.replace_years(spark, table, panel, buckets)
+    return spark.table(table)
 
 
 def sub_periods(sample: Sample) -> dict[str, tuple[str, str]]:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, IntegralType, StringType, StructType
 
+from panelforge.storage import durable
+
 
 def whole_number(text: Column, kind: DataType) -> Column:
     """Text as an integer, by way of an exact decimal: ``10``, ``10.0`` and `` 10 `` are 10; a fraction or other text NULL."""
@@ -26,7 +28,7 @@ def _values(raw: DataFrame, schema: StructType) -> list[Column]:
 
 
 def typed(raw: DataFrame, schema: StructType) -> DataFrame:
-    """Columns of ``schema`` by name, each in its type; what does not fit becomes NULL (``rejects`` counts it)."""
+    """Columns of ``schema`` by name, each in its type; what does not fit becomes NULL (``ingest`` counts it)."""
     return raw.select(*[c.alias(f.name) for c, f in zip(_values(raw, schema), schema.fields)])
 
 
@@ -51,23 +53,27 @@ def read_table(spark: SparkSession, path: str, schema: StructType, fmt: str = "c
     return typed(read_raw(spark, path, fmt), schema)
 
 
-def rejects(raw: DataFrame, schema: StructType, keys: Sequence[str] = ()) -> DataFrame:
-    """``column, rows, rejected``: per column how many values that are not blank do not fit its type.
+def ingest(raw: DataFrame, schema: StructType, label: str, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The typed table, stored, and ``column, rows, nulls, rejected`` per column, measured by the pass that stores it.
 
-    ``keys`` must be present: for them a blank or missing value is rejected too, as such rows are set aside.
-    One aggregate over the file.
+    A value is rejected if it is not blank and does not fit its type. ``keys`` must be present: for them a blank or missing value is
+    rejected too, as such rows are set aside. The file is read once, however often the stored table is. Runs a job.
     """
     both = raw.select(
         *[F.col(f"`{f.name}`").alias(f"raw_{i}") for i, f in enumerate(schema.fields)],
         *[c.alias(f"typed_{i}") for i, c in enumerate(_values(raw, schema))],
     )
-    measures, rows = [], []
+    measures = [F.count(F.lit(1)).alias("rows")]
     for i, name in enumerate(schema.fieldNames()):
+        missing = F.col(f"typed_{i}").isNull()
         given = F.lit(True) if name in keys else F.trim(F.coalesce(F.col(f"raw_{i}").cast("string"), F.lit(""))) != ""
-        measures.append(F.count_if(given & F.col(f"typed_{i}").isNull()).alias(f"rejected_{i}"))
-        rows.append(F.struct(F.lit(name).alias("column"), F.col("rows"), F.col(f"rejected_{i}").alias("rejected")))
-    wide = both.agg(F.count("*").alias("rows"), *measures)
-    return wide.select(F.explode(F.array(*rows)).alias("row")).select("row.*")
+        measures += [F.count_if(missing).alias(f"nulls_{i}"), F.count_if(given & missing).alias(f"rejected_{i}")]
+    seen = Observation()
+    observed = both.observe(seen, *measures)
+    stored = durable(observed.select(*[F.col(f"typed_{i}").alias(f.name) for i, f in enumerate(schema.fields)]), label)
+    found = seen.get
+    rows = [(f.name, found["rows"], found[f"nulls_{i}"], found[f"rejected_{i}"]) for i, f in enumerate(schema.fields)]
+    return stored, raw.sparkSession.createDataFrame(rows, "column string, rows long, nulls long, rejected long")
 
 
 def write_result(

@@ -1,10 +1,11 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelforge import storage
 from panelforge.operators import cleaning, profiling
-from panelforge.sources import readers, schemas
+from panelforge.sources import panel_store, readers, schemas
 from panelforge.sources import star_schema as star
 
 
@@ -101,8 +102,12 @@ def test_whole_numbers_with_a_point_are_kept(spark, tmp_path):
     raw = readers.read_raw(spark, f"{tmp_path}/w.csv")
     rows = [(r["permno"], r["shrcd"]) for r in readers.typed(raw, schema).collect()]
     assert rows == [(10, 11), (20, 10), (30, None), (None, 11), (None, 11)]
-    counts = {r["column"]: (r["rows"], r["rejected"]) for r in readers.rejects(raw, schema, ["permno"]).collect()}
-    assert counts == {"permno": (5, 2), "shrcd": (5, 1), "siccd": (5, 0)}
+    stored, measured = readers.ingest(raw, schema, "w", ["permno"])
+    assert sorted(map(str, stored.collect())) == sorted(map(str, readers.typed(raw, schema).collect()))
+    counts = {r["column"]: (r["rows"], r["nulls"], r["rejected"]) for r in measured.collect()}
+    assert counts == {"permno": (5, 2, 2), "shrcd": (5, 1, 1), "siccd": (5, 0, 0)}
+    none = readers.ingest(raw.where("permno = 'none'"), schema, "none")[1].collect()
+    assert [tuple(r)[1:] for r in none] == [(0, 0, 0)] * 3
     clean = cleaning.clean_returns(readers.typed(raw, schema).selectExpr("*", "'0.1' AS ret"))
     assert [r["siccd"] for r in clean.collect()] == [3714, None, 0, 100, 100]
 
@@ -125,3 +130,42 @@ def test_rows_without_id_or_date_share_no_window(spark):
         "permno", "cast(date AS date) AS date", "prc", "'0.1' AS ret", "'1' AS siccd", "1.0D AS shrout"
     )
     assert sorted((r["permno"], r["prc"], r["prc_lag"]) for r in panel.clean_months(raw).collect()) == [(5, 4.0, None), (5, 5.0, 4.0)]
+
+
+def panel_rows(spark, years):
+    return spark.range(3000).selectExpr(
+        "id % 100 AS permno", "last_day(add_months(date'1990-01-01', int(id div 100))) AS date", "0.01D * (id % 7) AS ret", "id AS v"
+    ).withColumn("year", F.year("date")).where(F.col("year").isin(years))
+
+
+def test_a_restated_year_replaces_that_year_only(spark, tmp_path):
+    from panelforge.operators import signals
+
+    path, rows = f"{tmp_path}/panel", panel_rows(spark, [1990, 1991])
+    panel_store.open_panel(spark, "store_a", path, rows, 4)
+    assert spark.table("store_a").count() == 0
+    panel_store.replace_years(spark, "store_a", rows, 4)
+    files = lambda: {f.name: f.stat().st_mtime_ns for f in tmp_path.glob("panel/year=1990/*.parquet")}
+    kept = files()
+    assert 0 < len(kept) <= 4
+    panel_store.replace_years(spark, "store_a", panel_rows(spark, [1991, 1992]).withColumn("v", -F.col("v")), 4)
+    assert files() == kept
+    found = {r["year"]: (r["n"], r["v"]) for r in spark.table("store_a").groupBy("year").agg(F.count("*").alias("n"), F.max("v").alias("v")).collect()}
+    assert found == {1990: (1200, 1199), 1991: (1200, -1200), 1992: (600, -2400)}
+    # Another session, or name, finds the same panel by its path.
+    assert panel_store.open_panel(spark, "store_b", path, rows, 4).count() == 3000
+    stored = signals.reversal(signals.momentum(spark.table("store_b")))
+    assert "Exchange" not in stored._jdf.queryExecution().executedPlan().toString()
+    plain = signals.reversal(signals.momentum(panel_rows(spark, [1990, 1991, 1992])))
+    key = ["permno", "date", "momentum_12", "reversal"]
+    assert stored.select(key).exceptAll(plain.select(key)).count() == 0
+    for name in ("store_a", "store_b"):
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_rows_without_year_or_security_are_set_aside(spark, tmp_path):
+    rows = spark.sql("SELECT 1L AS permno, date'1990-01-31' AS date, 1 AS v, 1990 AS year UNION ALL SELECT NULL, NULL, 2, 1990 UNION ALL SELECT 3, NULL, 3, NULL")
+    panel_store.open_panel(spark, "store_c", f"{tmp_path}/panel", rows, 2)
+    panel_store.replace_years(spark, "store_c", rows, 2)
+    assert [r["v"] for r in spark.table("store_c").collect()] == [1]
+    spark.sql("DROP TABLE store_c")

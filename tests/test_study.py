@@ -75,6 +75,16 @@ def test_rejects_and_beta_portfolios(spark, results):
     assert {r["period"] for r in results["beta_terminal"].collect()} == {"train", "validation", "out"}
 
 
+def test_each_input_file_is_read_once(spark, files, tmp_path):
+    inputs = study.read_inputs(spark, files, SAMPLE)
+    for name in ("months", "accounts", "links"):
+        assert "Scan csv" not in inputs[name]._jdf.queryExecution().executedPlan().toString(), name
+    panel = study.store_panel(inputs, SAMPLE, f"{tmp_path}/panel", "study_panel", 4)
+    assert panel.count() == Study(spark, FOLDER).panel.count()
+    assert len(list(tmp_path.glob("panel/year=1999/*.parquet"))) <= 4
+    spark.sql("DROP TABLE study_panel")
+
+
 def test_models_cover_all_samples(results):
     accuracy = {(r["model"], r["sample"]) for r in results["tree_accuracy"].collect()}
     assert accuracy == {(m, s) for m in ("dt", "rf", "gbt") for s in ("validation", "out", "recent")} | {

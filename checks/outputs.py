@@ -21,6 +21,8 @@ COLUMNS = {
     "macro_join": f"{KEY} urgent high medium unspecified low",
     "macro_join_daily": f"{KEY} urgent high medium unspecified low",
     "code_coercion": "line_key line permno shrcd:i prc",
+    "account_asof": f"{KEY} account_date:d gvkey be:4",
+    "any_period": "period grp n wealth:6 annual_return:4 annual_volatility:4",
     "rejects": "column rows nulls rejected",
     "panel_store": f"{KEY} year prc momentum_12:6",
     "dt_stump": "momentum_count:i prediction:8 r2:8",

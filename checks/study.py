@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from checks.outputs import spark_output
-from panelforge.operators import cleaning, fundamentals, gram, linking, macro, models, performance, portfolios, profiling
+from panelforge.operators import blocks, cleaning, fundamentals, gram, linking, macro, models, performance, portfolios, profiling
 from panelforge.operators import signals, splits
+from panelforge.operators.asof import asof_join
 from panelforge.operators.binning import Binning
 from panelforge.operators.quantiles import assign_quantile
 from panelforge.plans import backtest, benchmarks, modelling
@@ -39,6 +40,8 @@ RIDGE_GRID = [1e-4, 1e-2, 1.0, 10.0]
 PROFILED = ["be", "me", "value", "permno", "she"]
 RANK_DIGITS = 9
 STORE_BUCKETS = 8
+YEAR_ENDS = [f"{y}-12-31" for y in range(1994, 2002)]
+ANY_PERIOD = {f"{a[:4]}-{b[:4]}": (a, b) for i, a in enumerate(YEAR_ENDS) for b in YEAR_ENDS[i + 1 :]}
 
 
 class Study:
@@ -234,6 +237,17 @@ def _panel_store(s: Study) -> DataFrame:
     return signals.momentum(s.spark.table(name))
 
 
+def _account_asof(s: Study) -> DataFrame:
+    accounts = s.linked.withColumnRenamed("lpermno", "permno")
+    taken = {"account_date": "datadate", "gvkey": "gvkey", "be": "be"}
+    return asof_join(s.months.select("permno", "date"), accounts, ["permno"], "date", "datadate", taken, ["gvkey"])
+
+
+def _any_period(s: Study) -> DataFrame:
+    stored = durable(blocks.month_blocks(s.portfolios("momentum_12"), "equal_ret"), "blocks")
+    return blocks.period_stats(stored, ANY_PERIOD)
+
+
 def _stump_rows(s: Study) -> DataFrame:
     """Training months with the one signal that has few distinct values, in a fixed layout."""
     months = signals.momentum_count(s.months).select("permno", "date", "momentum_count", F.round("ret", 6).alias("ret"))
@@ -343,6 +357,8 @@ BUILDERS: dict[str, Callable[[Study], DataFrame]] = {
     "rejects": lambda s: ingest(star_schema.coded_file(s.table("lineitem")), star_schema.CODED, "coded", keys=["permno"])[1],
     "fund_extra_join": _extra,
     "panel_store": _panel_store,
+    "account_asof": _account_asof,
+    "any_period": _any_period,
     # Projections and predicates
     "clean_returns": lambda s: cleaning.clean_price(cleaning.clean_returns(s.raw)),
     "market_equity": lambda s: s.clean,

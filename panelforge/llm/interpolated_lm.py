@@ -5,422 +5,262 @@ in the training text, its share of all tokens, and an even one. The weights depe
 occurs (buckets by powers of two) and are learned by expectation-maximisation: a part of the training text is
 left out of the counts and the weights are those under which that part is most likely.
 
-``score_by_all_pairs`` counts every pair of words that the texts hold; no word shares another's counts. The
-pairs and their counts grow with the corpus and stay in Spark. Bounded tables of frequent words and pairs go to the
-tasks as a short cut only, so that no join meets a key that many rows share; the results are the same without them.
-
-``fit`` and ``score`` are a smaller model with a dense matrix, for tables whose pairs should fit one machine: words
-beyond the ``context_words`` most frequent ones share one symbol in the pair counts, so the table of pairs
-is bounded by their square, whatever the corpus. Such a word's probability is that of the symbol times its own
-share among these words, add-one smoothed, from exact counts of the whole training text. Those counts grow with
-the corpus: they stay in Spark, and the texts meet them in a join. Only the counts of the ``known_words`` most
-frequent words go to every task, so that the join sees rare words alone and no key that many rows share.
+Every word and every pair of neighbouring words has its own count. Texts are worked on in slices. A slice sends the
+sorted distinct keys of its words and pairs, with its own counts, in one block per range of keys; a task merges the
+blocks of a range and answers each block with the counts over all slices, in the block's order. So a key travels once
+per slice, whatever it occurs, as some six bytes, and no join meets a key that many rows share.
+
+Keys have 64 bits. At billions of distinct pairs two of them may share a key and then share their counts; a token is
+never counted twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import count
+from math import ceil
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.text import map_batches, split_words, text_crc
-from panelforge.storage import durable
+from panelforge.storage import durable, new_path
+
+#: Stands for the end of a text, which also stands before its first word.
+END = 0
+#: Slices are stored in row groups of this size, so that a reader holds few of them.
+GROUP_BYTES = 16 << 20
 
-#: Symbols of the end of a text, which also stands before its first word, and of the words without their own.
-END, RARE = 0, 1
+SLICES = (
+    "slice long, doc_id array<long>, lengths binary, train binary, deleted binary, words binary, stream binary, "
+    "n_tokens long, n_words long, train_tokens long, kept_tokens long"
+)
+BLOCKS = "part long, slice long, first long, gaps binary, n binary, d binary"
+REPLIES = "part long, slice long, known long, n binary, d binary"
+LEFT_OUT = "bucket long, count long, after long, before long, times long"
+SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-@dataclass(frozen=True)
-class Vocabulary:
-    """The most frequent training words by hash, and what is known of all others together."""
+class Totals(NamedTuple):
+    tokens: int  # of the training text, an end for each text
+    kept: int  # the same without the left-out part
+    distinct: int
 
-    hashes: np.ndarray  # sorted
-    counts: np.ndarray
-    symbols: np.ndarray  # RARE for words that are known but have no symbol
-    symbol_counts: np.ndarray  # in the training text; END and RARE included
-    kept_counts: np.ndarray  # the same without the left-out part
-    distinct: int  # distinct training tokens, the end included
-    tokens: int
-    rare_distinct: int
-    rare_tokens: int
 
+class Slice(NamedTuple):
+    """Token by token: the number of its text, of its word and of its pair; the distinct keys of both."""
 
-@dataclass(frozen=True)
-class Model:
-    vocabulary: Vocabulary
-    weights: np.ndarray  # by bucket: even, unigram, bigram
-    log_probabilities: np.ndarray  # of a symbol (column) after another (row)
+    rows: np.ndarray
+    words: np.ndarray
+    pairs: np.ndarray
+    word_keys: np.ndarray
+    pair_keys: np.ndarray
+    train: np.ndarray
+    deleted: np.ndarray
 
 
 def _hashes(distinct: pa.Array) -> np.ndarray:
     values = distinct.cast(pa.binary()).to_pylist()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, values), np.uint64, len(values)).view(np.int64)
-
-
-def training_rows(docs: DataFrame, held_out: Callable[[Column], Column], left_out: Callable[[Column], Column]) -> DataFrame:
-    """``text`` and ``deleted`` of the rows to learn from."""
-    crc = text_crc()
-    return docs.where(~held_out(crc)).select("text", left_out(crc).alias("deleted"))
-
-
-def _sums(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with the number of their entries and of those that ``weight`` marks (0 or 1)."""
-    if not len(keys):
-        return (np.empty(0, np.int64),) * 3
-    both = np.sort(keys * 2 + weight)
-    edges = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
-    times, entry = np.diff(np.append(edges, len(both))), both[edges]
-    at = np.flatnonzero(np.append(True, entry[1:] >> 1 != entry[:-1] >> 1))
-    return entry[at] >> 1, np.add.reduceat(times, at), np.add.reduceat(times * (entry & 1), at)
-
-
-def _word_batches() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = split_words(batch.column("text"), lower=True)
-        deleted = batch.column("deleted").to_numpy(zero_copy_only=False).astype(np.int64)[words.rows()]
-        n = np.bincount(words.codes, minlength=len(words.distinct))
-        d = np.bincount(words.codes, weights=deleted, minlength=len(words.distinct)).astype(np.int64)
-        return pa.record_batch([pa.array(_hashes(words.distinct)), pa.array(n), pa.array(d)], ["word", "n", "d"])
-
-    return step
-
-
-def word_counts(rows: DataFrame) -> DataFrame:
-    """``word`` (a 64-bit hash), ``n`` and ``d``: its occurrences in all rows and in the left-out ones."""
-    partial_counts = map_batches(rows, _word_batches, "word long, n long, d long")
-    return partial_counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-
-
-def _most_frequent(table: DataFrame, count: str, most: int) -> DataFrame:
-    """The rows whose count is at least the least one that at most ``most`` rows reach; equal counts stay together."""
-    running = F.sum("rows").over(Window.orderBy(F.desc(count)))
-    by_count = table.groupBy(count).agg(F.count("*").alias("rows")).select(count, running.alias("rows"))
-    least = by_count.where(F.col("rows") <= most).agg(F.coalesce(F.min(count), F.lit((1 << 63) - 1))).first()[0]
-    return table.where(F.col(count) >= least)
-
-
-def _vocabulary(rows: DataFrame, counts: DataFrame, context_words: int, known_words: int) -> Vocabulary:
-    texts = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("deleted").cast("long")), F.lit(0)).alias("d")).first()
-    total = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "nd"), F.count("*").alias("words")).first()
-    top = _most_frequent(counts, "n", known_words).toArrow()
-    word, n, d = (top.column(c).to_numpy() for c in ("word", "n", "d"))
-    frequent = np.lexsort((word, -n))
-    word, n, d = word[frequent], n[frequent], d[frequent]
-    own = np.arange(len(word)) < context_words
-    symbols = np.where(own, np.arange(len(word)) + 2, RARE)
-    full, kept = np.zeros(2 + own.sum(), np.int64), np.zeros(2 + own.sum(), np.int64)
-    full[2:], kept[2:] = n[own], n[own] - d[own]
-    full[END], kept[END] = texts["n"], texts["n"] - texts["d"]
-    full[RARE] = total["n"] - full[2:].sum()
-    kept[RARE] = total["n"] - total["d"] - kept[2:].sum()
-    order = np.argsort(word)
-    return Vocabulary(
-        word[order], n[order], symbols[order], full, kept, int(total["words"]) + (texts["n"] > 0),
-        int(total["n"]) + int(texts["n"]), int(total["words"]) - int(own.sum()), int(full[RARE]),
-    )
-
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, values), np.uint64, len(values))
 
-def _lookup(vocabulary: Vocabulary, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word its hash, its place among the known ones, and whether it is one of them."""
-    hashes = _hashes(distinct)
-    if not len(vocabulary.hashes):
-        return hashes, np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-    place = np.minimum(np.searchsorted(vocabulary.hashes, hashes), len(vocabulary.hashes) - 1)
-    return hashes, place, vocabulary.hashes[place] == hashes
 
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, byte place by byte place, so that places that hardly vary compress well."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    places = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(places.T).tobytes())
 
-def _stream(codes: np.ndarray, ends: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' symbols, an end behind each, and the symbols before them."""
-    after = np.insert(symbol[codes], ends[1:], END)
-    return after, np.concatenate([[END], after[:-1]])
 
+def _unpack(data: bytes) -> np.ndarray:
+    places = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    values = np.zeros((places.shape[1], 8), np.uint8)
+    values[:, : data[0]] = places.T
+    return values.view("<u8")[:, 0]
 
-def _pair_batches(vocabulary: Vocabulary) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-    width = len(vocabulary.symbol_counts)
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = split_words(batch.column("text"), lower=True)
-        _, place, known = _lookup(vocabulary, words.distinct)
-        symbol = np.where(known, vocabulary.symbols[place], RARE) if len(vocabulary.symbols) else np.full(len(place), RARE)
-        after, before = _stream(words.codes, words.ends, symbol)
-        deleted = batch.column("deleted").to_numpy(zero_copy_only=False).astype(np.int64)
-        weight = np.repeat(deleted, np.diff(words.ends) + 1)
-        key, n, d = _sums(before * width + after, weight)
-        return pa.record_batch([pa.array(key), pa.array(n), pa.array(d)], ["pair", "n", "d"])
-
-    return step
-
-
-def _expect(weights: np.ndarray, bucket: np.ndarray, estimates: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """One round of expectation-maximisation; a bucket without left-out tokens keeps its weights."""
-    share = weights[bucket] * estimates
-    share *= (times / share.sum(axis=1))[:, None]
-    mass = np.column_stack([np.bincount(bucket, share[:, k], len(weights)) for k in range(3)])
-    total = mass.sum(axis=1, keepdims=True)
-    return np.where(total > 0, mass / np.maximum(total, 1e-300), weights)
+def _pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return (before << np.uint64(23) | before >> np.uint64(41)) ^ after
 
 
 def _buckets(counts: np.ndarray) -> np.ndarray:
-    """0 for a context never seen, else one more than the power of two."""
-    return np.frexp(counts.astype(float))[1]
-
-
-def learn_weights(vocabulary: Vocabulary, pair: np.ndarray, n: np.ndarray, d: np.ndarray, rounds: int) -> np.ndarray:
-    """Weights by bucket from the pairs' occurrences ``d`` in the left-out part; the estimates are from the rest."""
-    kept, width = vocabulary.kept_counts, len(vocabulary.kept_counts)
-    used = d > 0
-    before, after, times, count = pair[used] // width, pair[used] % width, d[used].astype(float), (n - d)[used]
-    bigram = np.where(kept[before] > 0, count / np.maximum(kept[before], 1), 0.0)
-    unigram = kept[after] / max(kept.sum(), 1)
-    estimates = np.column_stack([np.full(len(times), 1 / width), unigram, bigram])
-    bucket = _buckets(kept[before])
-    weights = np.full((64, 3), 1 / 3)
-    weights[0] = (0.5, 0.5, 0.0)
-    for _ in range(rounds):
-        weights = _expect(weights, bucket, estimates, times)
-    # an even share of at least a millionth keeps every token possible
-    weights = np.maximum(weights, [1e-6, 0, 0])
-    return weights / weights.sum(axis=1, keepdims=True)
+    """0 for none, else one more than the whole logarithm to base 2."""
+    return np.where(counts > 0, np.frexp(np.maximum(counts, 1).astype(float))[1], 0)
 
 
-def fit(rows: DataFrame, context_words: int = 4096, known_words: int = 1 << 18, rounds: int = 25) -> tuple[Model, DataFrame]:
-    """The model of ``training_rows`` and the table of all its word counts. Runs jobs when called.
-
-    To the driver come at most the ``known_words`` most frequent words and the pair counts of ``context_words`` words,
-    both bounded by these parameters; every count is over all rows. Without rows all tokens are equally likely.
-    """
-    counts = durable(word_counts(rows), "words")
-    vocabulary = _vocabulary(rows, counts, context_words, known_words)
-    partial_pairs = map_batches(rows, partial(_pair_batches, vocabulary), "pair long, n long, d long")
-    pairs = partial_pairs.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).toArrow()
-    pair, n, d = (pairs.column(c).to_numpy() for c in ("pair", "n", "d"))
-    weights = learn_weights(vocabulary, pair, n, d, rounds)
-    full, width = vocabulary.symbol_counts, len(vocabulary.symbol_counts)
-    bucket = _buckets(full)
-    bigram = np.zeros(width * width, np.float32)
-    bigram[pair] = n / full[pair // width]
-    unigram = full / max(full.sum(), 1)
-    matrix = bigram.reshape(width, width)
-    for row in range(width):  # row by row: no second matrix of this size
-        even, one, two = weights[bucket[row]]
-        if not full[row]:
-            even, one, two = even + two, one, 0.0
-        matrix[row] = np.log10(even / width + one * unigram + two * matrix[row])
-    return Model(vocabulary, weights, matrix), counts
-
-
-def _score_batches(shared) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-    """Per text a row of sums, and per text and unknown word a row with its number."""
-    model = shared.value
-    v = model.vocabulary
-    log_n, log_rare = np.log10(v.tokens + v.distinct + 1), np.log10(v.rare_tokens + v.rare_distinct + 1)
-    base_end = np.log10(v.symbol_counts[END] + 1) - log_n
+def _slice_batches() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    numbers = count(TaskContext.get().partitionId() << 32)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = split_words(batch.column("text"), lower=True)
-        hashes, place, known = _lookup(v, words.distinct)
-        count = np.where(known, v.counts[place], 0) if len(v.counts) else np.zeros(len(place), np.int64)
-        symbol = np.where(known, v.symbols[place], RARE) if len(v.counts) else np.full(len(place), RARE)
-        own = np.log10(count + 1.0)
-        base = np.where(known, own - log_n, 0.0)[words.codes]
-        spelled = np.where(known & (symbol == RARE), own - log_rare, 0.0)[words.codes]
-        after, before = _stream(words.codes, words.ends, symbol)
-        paths = model.log_probabilities[before, after].astype(float)
-        tokens = np.diff(words.ends) + 1
-
-        def by_text(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-            return np.diff(np.concatenate([[0.0], np.cumsum(values)])[ends])
-
-        token_ends = words.ends + np.arange(len(words.ends))
-        rows = words.rows()
-        columns = {
-            "n_tokens": tokens,
-            "n_known": np.bincount(rows, known[words.codes], len(tokens)).astype(np.int64) + int(v.symbol_counts[END] > 0),
-            "base": by_text(base, words.ends) + base_end,
-            "score": by_text(paths, token_ends) + by_text(spelled, words.ends),
+        hashes = np.append(_hashes(words.distinct), np.uint64(END))
+        codes = np.insert(words.codes.astype(np.int64), words.ends[1:], len(words.distinct))
+        # frequent words get low numbers, which take less room
+        order = np.argsort(-np.bincount(codes, minlength=len(hashes)), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        lengths = np.diff(words.ends) + 1
+        train, deleted = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("train", "deleted"))
+        row = {
+            "slice": next(numbers), "doc_id": batch.column("doc_id").to_pylist(), "lengths": _pack(lengths),
+            "train": _pack(train), "deleted": _pack(deleted), "words": _pack(hashes[order]), "stream": _pack(rank[codes]),
+            "n_tokens": len(codes), "n_words": len(hashes), "train_tokens": int(lengths[train].sum()),
+            "kept_tokens": int(lengths[train & ~deleted].sum()),
         }
-        unknown = ~known[words.codes]
-        width = max(len(words.distinct), 1)
-        key, times, _ = _sums(rows[unknown] * width + words.codes[unknown], np.zeros(unknown.sum(), np.int64))
-        doc, version = batch.column("doc_id"), batch.column("version")
-        texts, tails = len(tokens), len(key)
-        owner = pa.array(np.concatenate([np.arange(texts), key // width]))
-        table = [doc.take(owner), version.take(owner)]
-        table.append(pa.array(np.concatenate([np.zeros(texts, np.int64), hashes[key % width]]), mask=np.arange(texts + tails) < texts))
-        table.append(pa.array(np.concatenate([np.ones(texts, np.int64), times])))
-        table += [pa.array(np.concatenate([c, np.zeros(tails, c.dtype)])) for c in columns.values()]
-        return pa.record_batch(table, ["doc_id", "version", "word", "times", *columns])
+        types = {"doc_id": pa.list_(pa.int64())} | dict.fromkeys(("lengths", "train", "deleted", "words", "stream"), pa.binary())
+        return pa.record_batch([pa.array([v], types.get(k, pa.int64())) for k, v in row.items()], list(row))
 
     return step
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """Per row of ``docs`` its ``doc_id, n_tokens, n_known, train_tokens, base_score, score``.
+def _opened(row: dict) -> Slice:
+    lengths, hashes, stream = _unpack(row["lengths"]).astype(np.int64), _unpack(row["words"]), _unpack(row["stream"]).astype(np.int64)
+    rows = np.repeat(np.arange(len(lengths)), lengths)
+    after = hashes[stream]
+    before = np.roll(after, 1)  # an end stands before the first word of each text, and last of all
+    word_keys, place = np.unique(hashes, return_inverse=True)
+    pair_keys, pairs = np.unique(_pair_keys(before, after), return_inverse=True)
+    flags = (_unpack(row[c]).astype(bool) for c in ("train", "deleted"))
+    return Slice(rows, place[stream], pairs, word_keys, pair_keys, *flags)
 
-    ``score`` is the log10 probability of the text, its end included, under the model; ``base_score`` that of
-    single words with add-one smoothing; ``n_known`` tokens occur in the training text. A null or empty text
-    has the end as its one token. Texts that share an id are scored each, repeated rows alike; an empty table
-    gives no rows; other columns are left out.
-    """
-    v = model.vocabulary
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("version"))
-    sums = "n_tokens long, n_known long, base double, score double"
-    made = map_batches(rows, partial(_score_batches, shared), f"doc_id long, version long, word long, times long, {sums}")
-    made = durable(made, "scores")
-    texts = made.where("word IS NULL").select(
-        "doc_id", "version", F.col("times").alias("rows"), "n_tokens", "n_known", "base", "score"
-    )
-    found = made.where("word IS NOT NULL").select("doc_id", "version", "word", "times").join(
-        counts.select("word", "n"), "word", "left"
-    )
-    own = F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))
-    tails = found.select(
-        "doc_id", "version", F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("n_tokens"),
-        F.when(F.col("n") > 0, F.col("times")).otherwise(F.lit(0)).alias("n_known"),
-        (F.col("times") * (own - float(np.log10(v.tokens + v.distinct + 1)))).alias("base"),
-        (F.col("times") * (own - float(np.log10(v.rare_tokens + v.rare_distinct + 1)))).alias("score"),
-    )
-    total = texts.unionByName(tails).groupBy("doc_id", "version").agg(
-        *(F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base", "score"))
-    )
-    each = total.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-    return each.select(
-        "doc_id",
-        (F.col("n_tokens") / F.col("rows")).cast("long").alias("n_tokens"),
-        (F.col("n_known") / F.col("rows")).cast("long").alias("n_known"),
-        F.lit(v.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("rows")).alias("base_score"),
-        (F.col("score") / F.col("rows")).alias("score"),
-    )
-
-
-@dataclass(frozen=True)
-class Frequent:
-    """Values of the most frequent words or pairs, by key."""
-
-    keys: np.ndarray  # sorted
-    values: np.ndarray  # a row per key
-
-    @classmethod
-    def of(cls, keys: np.ndarray, *values: np.ndarray) -> Frequent:
-        order = np.argsort(keys)
-        return cls(keys[order], np.column_stack(values)[order])
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The values of each key, zeros for others, and whether it is here."""
-        if not len(self.keys):
-            return np.zeros((len(keys), self.values.shape[1]), self.values.dtype), np.zeros(len(keys), bool)
-        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        here = self.keys[place] == keys
-        return np.where(here[:, None], self.values[place], 0), here
-
-
-@dataclass(frozen=True)
-class Totals:
-    tokens: int  # of the training text, an end for each text
-    kept: int  # the same without the left-out part
-    distinct: int
 
+def _per_slice(function: Callable[[dict], Iterator[pa.RecordBatch]]):
+    """Run a function on one stored slice at a time."""
 
-def _pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """64-bit keys of pairs of word hashes."""
-    turned = before.view(np.uint64)
-    return (turned << np.uint64(23) | turned >> np.uint64(41)).view(np.int64) ^ after
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from function(batch.slice(i, 1).to_pylist()[0])
+            pa.default_memory_pool().release_unused()
 
+    return run
 
-def _all_pair_batches() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = split_words(batch.column("text"), lower=True)
-        after, before = _stream(words.codes, words.ends, _hashes(words.distinct))
-        _, first, code = np.unique(_pair_keys(before, after), return_index=True, return_inverse=True)
-        columns = [pa.array(before[first]), pa.array(after[first]), pa.array(np.bincount(code, minlength=len(first)))]
-        for flag in ("train", "deleted"):
-            own = np.repeat(batch.column(flag).to_numpy(zero_copy_only=False), np.diff(words.ends) + 1)
-            columns.append(pa.array(np.bincount(code[own], minlength=len(first))))
-        return pa.record_batch(columns, ["before", "after", "m", "n", "d"])
 
-    return step
+def _blocks(parts: tuple[int, int], row: dict) -> Iterator[pa.RecordBatch]:
+    """The distinct keys of a slice with its counts, in one block per range of keys; words come before pairs."""
+    s = _opened(row)
+    train, deleted = s.train[s.rows], s.deleted[s.rows]
+    for keys, codes, base, ranges in ((s.word_keys, s.words, 0, parts[0]), (s.pair_keys, s.pairs, parts[0], parts[1])):
+        n, d = (np.bincount(codes[flag], minlength=len(keys)) for flag in (train, deleted))
+        part = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)]
+        made = {name: [] for name in ("part", "slice", "first", "gaps", "n", "d")}
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            gaps = np.diff(keys[a:b], prepend=keys[a])
+            values = (base + int(part[a]), row["slice"], int(keys[a : a + 1].view(np.int64)[0]), _pack(gaps), _pack(n[a:b]), _pack(d[a:b]))
+            for column, value in zip(made.values(), values, strict=True):
+                column.append(value)
+        types = [pa.int64()] * 3 + [pa.binary()] * 3
+        yield pa.record_batch([pa.array(v, t) for v, t in zip(made.values(), types, strict=True)], list(made))
 
 
-def _known_batches(shared) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-    """Pairs by key with the counts of their frequent words, and the hashes of the others."""
-    words = shared.value
+def _merged(blocks: pa.Table) -> pa.Table:
+    """Answers to the blocks of one range: the counts of each block's keys over all blocks.
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes = [batch.column(c).to_numpy() for c in ("before", "after")]
-        columns = {"pair": pa.array(_pair_keys(*hashes))} | {c: batch.column(c) for c in "mnd"}
-        for name, word in zip(("before", "after"), hashes, strict=True):
-            values, known = words.find(word)
-            columns[name] = pa.array(word, mask=known)
-            columns[f"{name}_n"], columns[f"{name}_d"] = (pa.array(values[:, k], mask=~known) for k in range(2))
-        return pa.record_batch(list(columns.values()), list(columns))
-
-    return step
+    ``known``, on one of them, is the number of distinct keys of the range in the training text.
+    """
+    firsts = blocks.column("first").to_numpy().view(np.uint64)
+    keys = [first + np.cumsum(_unpack(gaps), dtype=np.uint64) for first, gaps in zip(firsts, blocks.column("gaps").to_pylist(), strict=True)]
+    ends = np.cumsum([0, *map(len, keys)])
+    distinct, codes = np.unique(np.concatenate(keys), return_inverse=True)
+    totals = {}
+    for name in ("n", "d"):
+        own = np.concatenate([_unpack(b) for b in blocks.column(name).to_pylist()])
+        totals[name] = np.bincount(codes, weights=own, minlength=len(distinct)).astype(np.int64)
+    known = np.zeros(blocks.num_rows, np.int64)
+    known[0] = np.count_nonzero(totals["n"])
+    answers = {name: [_pack(total[codes[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)] for name, total in totals.items()}
+    columns = [blocks.column("part"), blocks.column("slice"), pa.array(known)] + [pa.array(a, pa.binary()) for a in answers.values()]
+    return pa.table(columns, ["part", "slice", "known", "n", "d"])
+
+
+class Counts(NamedTuple):
+    """Counts, over all training texts (``n``) and the left-out ones (``d``), by word and pair of a slice."""
+
+    word_n: np.ndarray
+    word_d: np.ndarray
+    pair_n: np.ndarray
+    pair_d: np.ndarray
+
+
+def _answered(row: dict, s: Slice) -> Counts:
+    n, d = (np.concatenate([_unpack(a[c]) for a in row["answers"]]).astype(np.int64) for c in ("n", "d"))
+    cut = len(s.word_keys)
+    return Counts(n[:cut], d[:cut], n[cut:], d[cut:])
+
+
+def _left_out(row: dict) -> Iterator[pa.RecordBatch]:
+    """What the weights are learned from: the left-out tokens of a slice, with equal estimates as one row."""
+    s = _opened(row)
+    c, own = _answered(row, s), s.deleted[s.rows]
+    kept = c.word_n - c.word_d
+    before, after, both = kept[np.roll(s.words, 1)[own]], kept[s.words[own]], (c.pair_n - c.pair_d)[s.pairs[own]]
+    table = pa.table({"bucket": _buckets(before).astype(np.int64), "count": both, "after": after, "before": np.where(both > 0, before, 1)})
+    equal = table.group_by(table.column_names).aggregate([([], "count_all")]).rename_columns([*table.column_names, "times"])
+    yield from equal.to_batches()
+
+
+def _scores(weights: np.ndarray, totals: Totals, row: dict) -> Iterator[pa.RecordBatch]:
+    """Per text its tokens, the known ones, and both log10 probabilities."""
+    s = _opened(row)
+    c, texts = _answered(row, s), len(row["doc_id"])
+    own, before, both = c.word_n[s.words], c.word_n[np.roll(s.words, 1)], c.pair_n[s.pairs]
+    even, one, two = weights[_buckets(before)].T
+    even = even + np.where(before > 0, 0, two)
+    base = np.log10(own + 1.0) - np.log10(totals.tokens + totals.distinct + 1)
+    mixed = even / (totals.distinct + 1) + one * own / max(totals.tokens, 1) + np.where(before > 0, two * both / np.maximum(before, 1), 0)
+    columns = [
+        pa.array(row["doc_id"], pa.int64()),
+        pa.array(np.bincount(s.rows, minlength=texts)),
+        pa.array(np.bincount(s.rows[own > 0], minlength=texts)),
+        pa.array(np.bincount(s.rows, base, texts)),
+        pa.array(np.bincount(s.rows, np.log10(mixed), texts)),
+    ]
+    yield pa.record_batch(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """As ``durable``, in small row groups."""
+    path = new_path(df.sparkSession, label)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted_slices(rows: DataFrame, keys_per_part: int, slice_bytes: int) -> tuple[DataFrame, Totals]:
+    """The texts of ``rows`` (``doc_id, text, train, deleted``) as slices, each with the counts of its words and pairs.
+
+    A range of keys gets ``keys_per_part`` entries on average, whatever the input: the number of ranges grows with it.
+    Keys are hashes, so ranges are even, and a slice has each key once at most. Runs jobs when called.
+    """
+    made = _stored(map_batches(rows, _slice_batches, SLICES, slice_bytes), "slices")
+    sums = made.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "n_tokens", "train_tokens", "kept_tokens"))).first()
+    parts = tuple(max(1, ceil(sums[c] / keys_per_part)) for c in ("n_words", "n_tokens"))
+    blocks = made.mapInArrow(_per_slice(partial(_blocks, parts)), BLOCKS).repartition(sum(parts), "part")
+    replies = durable(blocks.groupBy("part").applyInArrow(_merged, REPLIES), "replies")
+    distinct = replies.where(F.col("part") < parts[0]).agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
+    answers = replies.groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("part", "n", "d"))).alias("answers"))
+    return _stored(made.join(answers, "slice"), "counted"), Totals(sums["train_tokens"], sums["kept_tokens"], distinct)
 
 
-def all_pairs(rows: DataFrame, known_words: int) -> tuple[DataFrame, Totals]:
-    """Every pair of words of ``text``: ``pair, m, n, d, before_n, before_d, after_n, after_d``, and totals.
+def learn_weights(counted: DataFrame, totals: Totals, rounds: int) -> np.ndarray:
+    """Weights by bucket (even, unigram, bigram) that make the left-out part most likely: three sums by bucket a round.
 
-    ``rows`` have ``text, train, deleted``; ``deleted`` rows are training rows too. ``m`` counts a pair in all rows, ``n`` in the
-    training rows and ``d`` in the left-out ones of those; ``before_n`` and so on count its two words. Runs jobs when called.
+    A bucket without left-out tokens keeps even weights; the even estimate always has some weight.
     """
-    training = rows.where("train")
-    counts = durable(word_counts(training.select("text", "deleted")), "words")
-    texts = training.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("deleted").cast("long")), F.lit(0)).alias("d")).first()
-    total = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "nd"), F.count("*").alias("words")).first()
-    top = _most_frequent(counts, "n", known_words).toArrow()
-    word, n, d = (top.column(c).to_numpy() for c in ("word", "n", "d"))
-    words = Frequent.of(np.append(word, END), np.append(n, texts["n"]), np.append(d, texts["d"]))
-    shared = rows.sparkSession.sparkContext.broadcast(words)
-    made = map_batches(rows, _all_pair_batches, "before long, after long, m long, n long, d long")
-    made = made.groupBy("before", "after").agg(*(F.sum(c).alias(c) for c in "mnd"))
-    schema = "pair long, m long, n long, d long, before long, before_n long, before_d long, after long, after_n long, after_d long"
-    made = durable(map_batches(made, partial(_known_batches, shared), schema), "pairs")
-    names = ["pair", "m", "n", "d", "before_n", "before_d", "after_n", "after_d"]
-    rest = made.where("before IS NOT NULL OR after IS NOT NULL")
-    for name in ("before", "after"):
-        # a frequent word's rows get keys of their own, so that they are spread; what these meet is not used
-        found = counts.select(F.col("word").alias("key"), F.col("n").alias("found_n"), F.col("d").alias("found_d"))
-        rest = rest.withColumn("key", F.coalesce(name, "pair")).join(found, "key", "left").withColumns(
-            {f"{name}_{c}": F.coalesce(f"{name}_{c}", f"found_{c}", F.lit(0)) for c in "nd"}
-        ).drop("key", "found_n", "found_d")
-    rest = durable(rest.select(*names), "pairs")
-    pairs = made.where("before IS NULL AND after IS NULL").select(*names).unionByName(rest)
-    tokens, kept = int(total["n"] + texts["n"]), int(total["n"] - total["d"] + texts["n"] - texts["d"])
-    return pairs, Totals(tokens, kept, int(total["words"]) + (texts["n"] > 0))
-
-
-def _bucket(count: Column) -> Column:
-    """As ``_buckets``."""
-    return F.when(count > 0, F.length(F.bin(count))).otherwise(0)
-
-
-def _weight(weights: np.ndarray, k: int, bucket: Column) -> Column:
-    return F.get(F.array(*map(F.lit, weights[:, k].tolist())), bucket)
-
-
-def learn_pair_weights(pairs: DataFrame, totals: Totals, rounds: int) -> np.ndarray:
-    """As ``learn_weights``, with three sums by bucket a round. Pairs with equal estimates are one row."""
-    kept = {name: F.col(f"{name}_n") - F.col(f"{name}_d") for name in ("before", "after")}
-    count = F.col("n") - F.col("d")
-    equal = pairs.where("d > 0").groupBy(
-        _bucket(kept["before"]).alias("bucket"), count.alias("count"), kept["after"].alias("after"),
-        F.when(count > 0, kept["before"]).otherwise(1).alias("before"),
-    ).agg(F.sum("d").alias("times"))
+    found = counted.mapInArrow(_per_slice(_left_out), LEFT_OUT).groupBy("bucket", "count", "after", "before")
     shares = [F.lit(1 / (totals.distinct + 1)), F.col("after") / max(totals.kept, 1), F.col("count") / F.col("before")]
-    equal = durable(equal.select("bucket", "times", *(x.alias(f"share_{k}") for k, x in enumerate(shares))), "left-out")
-    weights = np.full((64, 3), 1 / 3)
+    equal = found.agg(F.sum("times").alias("times")).select("bucket", "times", *(x.alias(f"share_{k}") for k, x in enumerate(shares)))
+    equal = durable(equal, "left-out")
+    weights = np.full((65, 3), 1 / 3)
     weights[0] = (0.5, 0.5, 0.0)
     for _ in range(rounds):
-        parts = [_weight(weights, k, F.col("bucket")) * F.col(f"share_{k}") for k in range(3)]
+        parts = [F.get(F.array(*map(F.lit, weights[:, k].tolist())), F.col("bucket").cast("int")) * F.col(f"share_{k}") for k in range(3)]
         times = F.col("times") / F.greatest(parts[0] + parts[1] + parts[2], F.lit(1e-300))
         sums = equal.groupBy("bucket").agg(*(F.sum(times * part).alias(f"sum_{k}") for k, part in enumerate(parts)))
         for row in sums.collect():
@@ -431,86 +271,27 @@ def learn_pair_weights(pairs: DataFrame, totals: Totals, rounds: int) -> np.ndar
     return weights / weights.sum(axis=1, keepdims=True)
 
 
-def _pair_scores(pairs: DataFrame, totals: Totals, weights: np.ndarray) -> dict[str, Column]:
-    """Of a pair's second word: whether it is in the training text, its own log10 probability, and that after the first."""
-    seen, own, before = F.col("n"), F.col("after_n"), F.col("before_n")
-    even, one, two = (_weight(weights, k, _bucket(before)) for k in range(3))
-    even = even + F.when(before > 0, F.lit(0.0)).otherwise(two)
-    share = F.when(before > 0, two * seen / F.greatest(before, F.lit(1))).otherwise(F.lit(0.0))
-    return {
-        "known": (own > 0).cast("long"),
-        "base": F.log10(own + F.lit(1.0)) - float(np.log10(totals.tokens + totals.distinct + 1)),
-        "score": F.log10(even / (totals.distinct + 1) + one * own / max(totals.tokens, 1) + share),
-    }
-
-
-def _all_score_batches(shared) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-    """Per text a row of sums over frequent pairs, and per text and other pair a row with its number."""
-    pairs = shared.value
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = split_words(batch.column("text"), lower=True)
-        after, before = _stream(words.codes, words.ends, _hashes(words.distinct))
-        keys, tokens = _pair_keys(before, after), np.diff(words.ends) + 1
-        texts = len(tokens)
-        rows = np.repeat(np.arange(texts), tokens)
-        values, known = pairs.find(keys)
-        sums = [np.bincount(rows, values[:, k], texts) for k in range(3)]
-        key, row = keys[~known], rows[~known]
-        order = np.lexsort((key, row))
-        key, row = key[order], row[order]
-        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])[: len(key)])
-        times = np.diff(np.append(first, len(key)))
-        doc, version = batch.column("doc_id"), batch.column("version")
-        # a text's own row meets no pair; its key only spreads such rows
-        spread = _pair_keys(version.to_numpy(), pc.fill_null(doc, 0).to_numpy())
-        owner = pa.array(np.concatenate([np.arange(texts), row[first]]))
-        columns = [doc.take(owner), version.take(owner), pa.array(np.concatenate([spread, key[first]]))]
-        none = np.zeros(len(first), np.int64)
-        for own, tail in ((np.zeros(texts, np.int64), times), (np.ones(texts, np.int64), none), (tokens, none), (sums[0].astype(np.int64), none)):
-            columns.append(pa.array(np.concatenate([own, tail])))
-        columns += [pa.array(np.concatenate([x, none.astype(float)])) for x in sums[1:]]
-        return pa.record_batch(columns, ["doc_id", "version", "pair", "times", "rows", "n_tokens", "n_known", "base", "score"])
-
-    return step
-
-
 def score_by_all_pairs(
     docs: DataFrame,
     held_out: Callable[[Column], Column],
     left_out: Callable[[Column], Column],
-    known_words: int = 1 << 18,
-    known_pairs: int = 1 << 19,
     rounds: int = 25,
+    keys_per_part: int = 1 << 20,
+    slice_bytes: int = 8 << 20,
 ) -> DataFrame:
-    """Learn from the rows that are not held out and score all rows: the columns of ``score``. Runs jobs when called.
-
-    Every pair of neighbouring words has its own count. A word's even share is one of the distinct training tokens and one
-    for all unknown words. ``known_words`` and ``known_pairs`` bound what goes to the tasks and change no result.
+    """Learn from the rows that are not held out and score all rows: ``doc_id, n_tokens, n_known, train_tokens,
+    base_score, score``. Both choices are made on the checksum of the id as text.
+
+    A word's even share is one of the distinct training tokens and one for all unknown words. A null or empty text
+    has its end as its only token. Every row is scored by itself: rows without an id, repeated rows and several texts under one id
+    each have a row of the result, and repeated training rows count as often as they are there. Without training rows every score is that
+    of unknown words; an empty table gives no rows. Only ``doc_id`` and ``text`` are read. A text longer than
+    ``slice_bytes`` is a slice of its own. Neither size changes a result beyond the order of sums. Runs jobs when called.
     """
     crc = text_crc()
-    rows = docs.select("text", (~held_out(crc)).alias("train"), (~held_out(crc) & left_out(crc)).alias("deleted"))
-    pairs, totals = all_pairs(rows, known_words)
-    weights = learn_pair_weights(pairs, totals, rounds)
-    scores = _pair_scores(pairs, totals, weights)
-    top = _most_frequent(pairs, "m", known_pairs).select("pair", *(c.alias(name) for name, c in scores.items())).toArrow()
-    frequent = Frequent.of(*(top.column(c).to_numpy() for c in ("pair", "known", "base", "score")))
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("version"))
-    schema = "doc_id long, version long, pair long, times long, rows long, n_tokens long, n_known long, base double, score double"
-    made = map_batches(texts, partial(_all_score_batches, shared), schema)
-    found = made.join(pairs.select("pair", "n", "before_n", "after_n"), "pair", "left")
-    more = {name: F.when(F.col("times") > 0, F.col("times") * c).otherwise(0) for name, c in scores.items()}
-    total = found.groupBy("doc_id", "version").agg(
-        F.sum("rows").alias("rows"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + more["known"]).alias("n_known"),
-        F.sum(F.col("base") + more["base"]).alias("base"), F.sum(F.col("score") + more["score"]).alias("score"),
-    )
-    each = total.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-    return each.select(
-        "doc_id",
-        (F.col("n_tokens") / F.col("rows")).cast("long").alias("n_tokens"),
-        (F.col("n_known") / F.col("rows")).cast("long").alias("n_known"),
-        F.lit(totals.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("rows")).alias("base_score"),
-        (F.col("score") / F.col("rows")).alias("score"),
-    )
+    train = ~held_out(crc)
+    rows = docs.select(F.col("doc_id").cast("long"), "text", train.alias("train"), (train & left_out(crc)).alias("deleted"))
+    counted, totals = counted_slices(rows, keys_per_part, slice_bytes)
+    weights = learn_weights(counted, totals, rounds)
+    scored = counted.mapInArrow(_per_slice(partial(_scores, weights, totals)), SCORES)
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")

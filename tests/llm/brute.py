@@ -91,15 +91,53 @@ def base_spans(text):
     return ",".join(f"{kind}:{start}:{end}" for start, _, kind, end in sorted(found))
 
 
-def base_scores(docs):
+def base_scores(docs, key=lambda d: d):
     """Per id tokens, known tokens and the unigram score; the number of training tokens."""
     tokens = {d: [*words(t, lower=True), None] for d, t in docs}
-    counts = Counter(x for d in tokens if crc(d) % 7 != 2 for x in tokens[d])
+    counts = Counter(x for d in tokens if crc(key(d)) % 7 != 2 for x in tokens[d])
     total, distinct = sum(counts.values()), len(counts)
     score = {d: sum(math.log10((counts[x] + 1) / (total + distinct + 1)) for x in ts) for d, ts in tokens.items()}
     return {d: (len(ts), sum(counts[x] > 0 for x in ts), score[d]) for d, ts in tokens.items()}, total
 
 
+def interpolated_scores(docs, rounds=25, key=lambda d: d):
+    """Scores by id of a bigram model whose every word has counts of its own, by its definition."""
+    tokens = {d: [None, *words(t, lower=True), None] for d, t in docs}
+    full, kept, pair, kept_pair, left = Counter(), Counter(), Counter(), Counter(), Counter()
+    for d, ts in tokens.items():
+        if crc(key(d)) % 7 == 2:
+            continue
+        both = list(zip(ts[:-1], ts[1:], strict=True))
+        full.update(ts[1:])
+        pair.update(both)
+        if crc(key(d)) % 7 == 3:
+            left.update(both)
+        else:
+            kept.update(ts[1:])
+            kept_pair.update(both)
+    even, total, kept_total = 1 / (len(full) + 1), max(sum(full.values()), 1), max(sum(kept.values()), 1)
+    weights = {b: [1 / 3] * 3 for b in range(64)} | {0: [0.5, 0.5, 0.0]}
+    for _ in range(rounds):
+        mass = {}
+        for (v, w), times in left.items():
+            shares = [even, kept[w] / kept_total, kept_pair[v, w] / kept[v] if kept[v] else 0.0]
+            parts = [a * b for a, b in zip(weights[kept[v].bit_length()], shares, strict=True)]
+            own = mass.setdefault(kept[v].bit_length(), [0.0] * 3)
+            for k in range(3):
+                own[k] += times * parts[k] / sum(parts)
+        weights |= {b: [x / sum(m) for x in m] for b, m in mass.items()}
+    scores = {}
+    for d, ts in tokens.items():
+        value = 0.0
+        for v, w in zip(ts[:-1], ts[1:], strict=True):
+            a, b, c = (max(x, least) for x, least in zip(weights[full[v].bit_length()], (1e-6, 0, 0), strict=True))
+            a, b, c = (x / (a + b + c) for x in (a, b, c))
+            bigram = pair[v, w] / full[v] if full[v] else 0.0
+            value += math.log10((a if full[v] else a + c) * even + b * full[w] / total + c * bigram)
+        scores[d] = value
+    return scores
+
+
 def targets(sizes, weights, share, ceiling):
     """Targets by source, by sharing again and again."""
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))

@@ -188,78 +188,34 @@ def test_prefix_counts_of_odd_rows(byte_library, edges, edge_rows):
 # 4. Scores of a language model
 
 
-@pytest.mark.parametrize("known", [1 << 18, 20])
-def test_scores(spark, edges, edge_rows, known):
-    docs = [r for r in edge_rows if r[0] not in (11,)]
-    df = edges.where("doc_id IS NULL OR doc_id <> 11")
-    rows = interpolated_lm.training_rows(df, lambda c: c % 7 == 2, lambda c: c % 7 == 3)
-    model, counts = interpolated_lm.fit(rows, context_words=15, known_words=known)
-    assert np.allclose((10.0 ** model.log_probabilities.astype(float)).sum(axis=1), 1, atol=1e-4)
-    assert np.allclose(model.weights.sum(axis=1), 1)
-    found = interpolated_lm.score(df, model, counts).collect()
-    assert len(found) == len(docs)
-    # ids that repeat count as often as their rows do
-    keyed = [((r[0], i), r[1]) for i, r in enumerate(docs)]
-    tokens = {k: [*brute.words(t, lower=True), None] for k, t in keyed}
-    train = [k for k in tokens if brute.crc(k[0]) % 7 != 2]
-    total = {}
-    for k in train:
-        for x in tokens[k]:
-            total[x] = total.get(x, 0) + 1
-    size, distinct = sum(total.values()), len(total)
-    base = {}
-    for k, ts in tokens.items():
-        base.setdefault(k[0], []).append(
-            (len(ts), sum(x in total for x in ts), sum(math.log10((total.get(x, 0) + 1) / (size + distinct + 1)) for x in ts))
-        )
-    for r in found:
-        assert r["train_tokens"] == size
-        assert any(
-            (r["n_tokens"], r["n_known"]) == b[:2] and r["base_score"] == pytest.approx(b[2], rel=1e-9) for b in base[r["doc_id"]]
-        )
-    # the model's score by its definition, token by token
-    own = {x: n for x, n in total.items() if x is not None}
-    top = sorted(model.vocabulary.hashes[model.vocabulary.symbols > 1].tolist())
-    import xxhash
-
-    def symbol(x):
-        h = np.uint64(xxhash.xxh3_64_intdigest(x.encode())).astype(np.int64)
-        place = np.flatnonzero((model.vocabulary.hashes == h) & (model.vocabulary.symbols > 1))
-        return int(model.vocabulary.symbols[place[0]]) if len(place) else interpolated_lm.RARE
-
-    assert len(top) == 15
-    rare = {x: n for x, n in own.items() if symbol(x) == interpolated_lm.RARE}
-    expected = {}
-    for (doc, _), ts in tokens.items():
-        before, value = interpolated_lm.END, 0.0
-        for x in ts:
-            now = interpolated_lm.END if x is None else symbol(x)
-            value += float(model.log_probabilities[before, now])
-            if now == interpolated_lm.RARE:
-                value += math.log10((rare.get(x, 0) + 1) / (sum(rare.values()) + len(rare) + 1))
-            before = now
-        expected.setdefault(doc, []).append(value)
-    for r in found:
-        assert any(r["score"] == pytest.approx(v, rel=1e-5) for v in expected[r["doc_id"]])
+@pytest.mark.parametrize(("keys_per_part", "slice_bytes"), [(1 << 20, 8 << 20), (50, 400)])
+def test_scores(spark, edges, edge_rows, keys_per_part, slice_bytes):
+    """Rows without an id and texts that share one are scored each; neither size changes a result."""
+    held, left = lambda c: c % 7 == 2, lambda c: c % 7 == 3
+    found = interpolated_lm.score_by_all_pairs(edges, held, left, 25, keys_per_part, slice_bytes).collect()
+    docs = [((r[0], i), r[1]) for i, r in enumerate(edge_rows)]
+    base, total = brute.base_scores(docs, key=lambda d: d[0])
+    scores = brute.interpolated_scores(docs, key=lambda d: d[0])
+    keyed = lambda d: (d is None, d or 0)
+    expected = sorted(((*keyed(d[0]), *base[d], scores[d]) for d, _ in docs))
+    assert len(found) == len(expected)
+    rows = sorted((*keyed(r["doc_id"]), r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in found)
+    for got, want in zip(rows, expected, strict=True):
+        assert got[:4] == want[:4] and got[4:] == pytest.approx(want[4:], rel=1e-9)
+    assert {r["train_tokens"] for r in found} == {total}
 
 
-def test_weights_raise_the_likelihood_and_prefer_bigrams_where_they_help():
-    width = 12
-    kept = np.full(width, 1000)
-    vocabulary = interpolated_lm.Vocabulary(*[np.empty(0, np.int64)] * 3, kept, kept, width, 12000, 0, 0)
-    before = np.repeat(np.arange(width), 2)
-    after = np.concatenate([[(b + 1) % width, (b + 2) % width] for b in range(width)])
-    n, d = np.tile([900, 100], width), np.tile([90, 10], width)
-    weights = interpolated_lm.learn_weights(vocabulary, before * width + after, n + d, d, 30)
-    assert weights[10, 2] > 0.9
+def test_model_of_no_rows(edges, edge_rows):
+    nothing = interpolated_lm.score_by_all_pairs(edges, lambda c: c >= 0, lambda c: c % 7 == 3).collect()
+    assert len(nothing) == len(edge_rows) and all(math.isfinite(r["score"]) and r["n_known"] == 0 for r in nothing)
+    assert interpolated_lm.score_by_all_pairs(empty(edges), lambda c: c % 7 == 2, lambda c: c % 7 == 3).count() == 0
 
 
-def test_model_of_no_rows(edges, edge_rows):
-    rows = interpolated_lm.training_rows(empty(edges), lambda c: c % 7 == 2, lambda c: c % 7 == 3)
-    model, counts = interpolated_lm.fit(rows)
-    found = interpolated_lm.score(edges, model, counts).collect()
-    assert len(found) == len(edge_rows) and all(math.isfinite(r["score"]) for r in found)
-    assert interpolated_lm.score(empty(edges), model, counts).count() == 0
+@given(st.lists(st.integers(0, (1 << 64) - 1)))
+@settings(deadline=None)
+def test_packed_numbers_come_back(values):
+    packed = interpolated_lm._pack(np.array(values, np.uint64))
+    assert interpolated_lm._unpack(packed).tolist() == values
 
 
 # 5. Secrets

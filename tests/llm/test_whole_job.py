@@ -1,56 +1,15 @@
 """Results that a cut would change."""
 
-import math
 import random
-from collections import Counter
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.llm import compression_quality, decontaminate, interpolated_lm, queries
+from panelforge.llm import compression_quality, decontaminate, queries
 from tests.llm import brute
 from tests.llm.conftest import prose
 
 
-def interpolated_scores(docs, rounds=25):
-    """Scores by id of a bigram model whose every word has counts of its own, by its definition."""
-    tokens = {d: [None, *brute.words(t, lower=True), None] for d, t in docs}
-    full, kept, pair, kept_pair, left = Counter(), Counter(), Counter(), Counter(), Counter()
-    for d, ts in tokens.items():
-        if brute.crc(d) % 7 == 2:
-            continue
-        both = list(zip(ts[:-1], ts[1:], strict=True))
-        full.update(ts[1:])
-        pair.update(both)
-        if brute.crc(d) % 7 == 3:
-            left.update(both)
-        else:
-            kept.update(ts[1:])
-            kept_pair.update(both)
-    even, total, kept_total = 1 / (len(full) + 1), max(sum(full.values()), 1), max(sum(kept.values()), 1)
-    weights = {b: [1 / 3] * 3 for b in range(64)} | {0: [0.5, 0.5, 0.0]}
-    for _ in range(rounds):
-        mass = {}
-        for (v, w), times in left.items():
-            shares = [even, kept[w] / kept_total, kept_pair[v, w] / kept[v] if kept[v] else 0.0]
-            parts = [a * b for a, b in zip(weights[kept[v].bit_length()], shares, strict=True)]
-            own = mass.setdefault(kept[v].bit_length(), [0.0] * 3)
-            for k in range(3):
-                own[k] += times * parts[k] / sum(parts)
-        weights |= {b: [x / sum(m) for x in m] for b, m in mass.items()}
-    scores = {}
-    for d, ts in tokens.items():
-        value = 0.0
-        for v, w in zip(ts[:-1], ts[1:], strict=True):
-            a, b, c = (max(x, least) for x, least in zip(weights[full[v].bit_length()], (1e-6, 0, 0), strict=True))
-            a, b, c = (x / (a + b + c) for x in (a, b, c))
-            bigram = pair[v, w] / full[v] if full[v] else 0.0
-            value += math.log10((a if full[v] else a + c) * even + b * full[w] / total + c * bigram)
-        scores[d] = value
-    return scores
-
-
 @pytest.fixture(scope="module")
 def many_words():
     """More words than a small table of contexts holds, and phrases of rare words that come again."""
@@ -68,36 +27,11 @@ def many_words():
 def test_query_counts_every_pair(spark, many_words, tmp_path):
     spark.createDataFrame(many_words, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r["doc_id"]: r["score"] for r in queries.op4_interpolated_lm(spark, str(tmp_path)).collect()}
-    expected = interpolated_scores(many_words)
+    expected = brute.interpolated_scores(many_words)
     assert found.keys() == expected.keys()
     assert all(found[d] == pytest.approx(expected[d], rel=1e-9) for d in found)
 
 
-@pytest.mark.parametrize(("known_words", "known_pairs"), [(1 << 18, 1 << 19), (3, 3), (0, 0)])
-def test_short_cuts_change_no_score(spark, edges, edge_rows, known_words, known_pairs):
-    held, left = lambda c: c % 7 == 2, lambda c: c % 7 == 3
-    whole = edges.where("doc_id <> 11")
-    found = interpolated_lm.score_by_all_pairs(whole, held, left, known_words, known_pairs).collect()
-    rows = [(r[0], r[1]) for r in edge_rows if r[0] not in (None, 11)]
-    assert sorted(r["doc_id"] for r in found) == sorted(d for d, _ in rows)
-    base, total = interpolated_base(rows)
-    for r in found:
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (*base[r["doc_id"]][:2], total)
-        assert r["base_score"] == pytest.approx(base[r["doc_id"]][2], rel=1e-9)
-    again = interpolated_lm.score_by_all_pairs(whole, held, left).collect()
-    default = {r["doc_id"]: r["score"] for r in again}
-    assert all(np.isclose(r["score"], default[r["doc_id"]], rtol=1e-9) for r in found)
-    assert interpolated_lm.score_by_all_pairs(edges.limit(0), held, left).count() == 0
-
-
-def interpolated_base(rows):
-    tokens = [(d, [*brute.words(t, lower=True), None]) for d, t in rows]
-    counts = Counter(x for d, ts in tokens if brute.crc(d) % 7 != 2 for x in ts)
-    size, distinct = sum(counts.values()), len(counts)
-    scores = {d: (len(ts), sum(x in counts for x in ts), sum(math.log10((counts[x] + 1) / (size + distinct + 1)) for x in ts)) for d, ts in tokens}
-    return scores, size
-
-
 def nearest_span(text, item, max_edits=0.2):
     """The least distance of any span of the text, if it is small enough."""
     target = brute.words(item, lower=True)

@@ -130,11 +130,13 @@ def _sum_batches() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     return step
 
 
-def language_references(features: DataFrame, min_documents: int) -> DataFrame:
-    """``ref_lang, ref_classes, ref_common``: mean histograms by language, and of all under a null language.
+def language_references(features: DataFrame, prior: float) -> DataFrame:
+    """``ref_lang, ref_n, ref_classes, ref_common``: mean histograms by language, and of all under a null language.
 
-    Every document has the same weight, in whole numbers, so that sums do not depend on their order. A language (null too) with fewer than ``min_documents`` rows has no reference of its own. Each batch is
-    summed up before the shuffle, so a language that holds most rows costs no more than another.
+    Every document has the same weight, in whole numbers, so that sums do not depend on their order. Each language's
+    mean of ``ref_n`` documents is drawn towards that of all by ``prior`` documents more, at every number of rows; the
+    reference of all has a ``ref_n`` of 0. Each batch is summed up before the shuffle, so a language that holds most
+    rows costs no more than another.
     """
     partial = features.select("lang", "classes", "common").mapInArrow(
         lambda batches: map(_sum_batches(), (b for b in batches if b.num_rows)),
@@ -145,23 +147,23 @@ def language_references(features: DataFrame, min_documents: int) -> DataFrame:
     rows = partial.select("lang", "n", F.explode(F.concat(bins, others)).alias("b")).select("lang", "n", "b.*")
     by_lang = rows.groupBy("lang", "kind", "bin").agg(F.sum("n").alias("n"), F.sum("count").alias("count"))
     by_lang = durable(by_lang, "references")
-    own = by_lang.where(F.col("lang").isNotNull() & (F.col("n") >= min_documents))
-    pooled = by_lang.groupBy("kind", "bin").agg(F.sum("count").alias("count"))
-    both = own.select("lang", "kind", "bin", "count").unionByName(
-        pooled.select(F.lit(None).cast("string").alias("lang"), "kind", "bin", "count")
-    )
+    pooled = by_lang.groupBy("kind", "bin").agg((F.sum("count") / F.sum("n")).alias("mean"))
+    own = by_lang.where("lang IS NOT NULL").join(pooled, ["kind", "bin"])
+    drawn = own.select("lang", "n", "kind", "bin", (F.col("count") + prior * F.col("mean")).alias("count"))
+    alone = pooled.select(F.lit(None).cast("string").alias("lang"), F.lit(0).cast("long").alias("n"), "kind", "bin", F.col("mean").alias("count"))
+    both = drawn.unionByName(alone)
 
     def histogram(kind: str) -> Column:
         ordered = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("bin", "count"))))
         return F.transform(ordered, lambda x: x["count"]).alias(kind)
 
-    found = both.groupBy("lang").agg(histogram("classes"), histogram("common"))
+    found = both.groupBy("lang").agg(F.max("n").alias("ref_n"), histogram("classes"), histogram("common"))
 
     def shares(kind: str) -> Column:
-        total = F.aggregate(kind, F.lit(0).cast("long"), lambda a, x: a + x)
+        total = F.aggregate(kind, F.lit(0.0), lambda a, x: a + x)
         return F.transform(kind, lambda x: x / total).alias(f"ref_{kind}")
 
-    return durable(found.select(F.col("lang").alias("ref_lang"), shares("classes"), shares("common")), "references")
+    return durable(found.select(F.col("lang").alias("ref_lang"), "ref_n", shares("classes"), shares("common")), "references")
 
 
 def js_distance(counts: Column, total: Column, reference: Column) -> Column:
@@ -179,11 +181,15 @@ def js_distance(counts: Column, total: Column, reference: Column) -> Column:
 
 
 def distances(features: DataFrame, references: DataFrame) -> DataFrame:
-    """Add ``class_distance`` and ``common_distance`` to the reference of the row's language, or to that of all rows."""
+    """Add ``class_distance`` and ``common_distance`` to the reference of the row's language, and its ``ref_n``.
+
+    A row without a language, or with one that has no reference, is held against that of all rows, with a ``ref_n`` of 0.
+    """
     pooled = references.where("ref_lang IS NULL").agg(F.first(F.struct("ref_classes", "ref_common"))).scalar()
     own = features.join(references, F.col("lang") == F.col("ref_lang"), "left").withColumn("pooled", pooled)
     return own.withColumns(
         {
+            "ref_n": F.coalesce("ref_n", F.lit(0).cast("long")),
             "class_distance": js_distance(F.col("classes"), F.col("n_chars"), F.coalesce("ref_classes", F.col("pooled.ref_classes"))),
             "common_distance": js_distance(F.col("common"), F.col("n_words"), F.coalesce("ref_common", F.col("pooled.ref_common"))),
         }
@@ -194,29 +200,36 @@ def judge_quality(
     docs: DataFrame,
     min_words: int = 50,
     max_repeated: int = 50,
-    max_class_distance: float = 0.18,
-    max_both: float = 0.3,
-    length_guard: float = 1.2,
-    min_documents: int = 100,
+    max_class_distance: float = 0.12,
+    max_common_distance: float = 0.15,
+    class_guard: float = 1.2,
+    common_guard: float = 1.85,
+    prior: float = 1.0,
 ) -> DataFrame:
     """Features of each row with ``base_failed``, ``class_distance``, ``common_distance`` and ``kept``.
 
     A row is dropped if it fails the base rules (fewer than ``min_words`` words, or repeated windows) or lies
-    too far from the reference of its language (null, or too rare: of all rows): its class distance is above
-    ``max_class_distance`` and both distances together are above ``max_both``. Short texts scatter more, so the
-    second limit is higher by ``length_guard`` over the square root of the words. References come from all rows
-    that pass the base rules, then once more from those of them that lie within the limits of the first ones,
-    so that junk does not blur them.
+    too far from the reference of its language: its class distance is above ``max_class_distance``, or its
+    common-word distance above ``max_common_distance``. Short texts scatter more, so either limit is
+    higher by its guard over the square root of the words. The reference of a language of n documents is drawn
+    towards that of all by ``prior`` documents more, and both limits are higher by twice the share
+    ``prior / (n + prior)``, so the fewer documents tell how a language looks, the further one has to be off.
+    Without a language, or with one that no other row can vouch for, the limits are beyond the largest distance, 1: only
+    the base rules judge. References come from all rows that pass the base rules, then once more from
+    those of them that lie within the limits of the first ones, so that junk does not blur them.
 
     A null or empty text has no words and fails the base rules; repeated rows are judged alike; an empty table
     gives no rows. Only ``doc_id``, ``lang`` and ``text`` are read. Runs jobs when called.
     """
     base = fails_base(min_words, max_repeated)
     features = durable(document_features(docs).withColumn("base_failed", base), "features")
-    limit = max_both + length_guard / F.sqrt(F.greatest("n_words", F.lit(1)))
-    far = (F.col("class_distance") > max_class_distance) & (F.col("class_distance") + F.col("common_distance") > limit)
+    root = F.sqrt(F.greatest("n_words", F.lit(1)))
+    wider = 2 * prior / (F.col("ref_n") + prior)
+    far = (F.col("class_distance") > max_class_distance + class_guard / root + wider) | (
+        F.col("common_distance") > max_common_distance + common_guard / root + wider
+    )
     near = ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))
-    first = language_references(features.where("NOT base_failed"), min_documents)
-    second = language_references(distances(features, first).where(near), min_documents)
+    first = language_references(features.where("NOT base_failed"), prior)
+    second = language_references(distances(features, first).where(near), prior)
     measured = distances(features, second).withColumn("kept", near)
     return measured.select("doc_id", "lang", *COUNTS, "base_failed", "class_distance", "common_distance", "kept")

@@ -166,19 +166,20 @@ _CLASS_SETS = ["[^a-z]", "[^A-Z]", "[^0-9]", r"[^ \t\n\v\f\r]", "[^.,]", "[^!?;:
 
 
 def _references(name: str, where: str) -> str:
-    """Mean histograms by language of the documents that ``where`` keeps; those of all rows have no language."""
+    """Mean histograms by language of the documents that ``where`` keeps, drawn towards the mean of all, which has no language."""
     return f"""
         {name}_sums AS (
             SELECT lang, kind, bin, count(*) AS n, sum(1000000 * cnt // greatest(total, 1)) AS s FROM grid JOIN base USING (r) WHERE {where}
             GROUP BY lang, kind, bin
         ),
+        {name}_all AS (SELECT kind, bin, sum(s) / sum(n) AS mean FROM {name}_sums GROUP BY kind, bin),
         {name}_both AS (
-            SELECT lang, kind, bin, s FROM {name}_sums WHERE lang IS NOT NULL AND n >= 100
-            UNION ALL SELECT NULL, kind, bin, sum(s) FROM {name}_sums GROUP BY kind, bin
+            SELECT lang, n, kind, bin, s + 1.0 * mean AS s FROM {name}_sums JOIN {name}_all USING (kind, bin) WHERE lang IS NOT NULL
+            UNION ALL SELECT NULL, 0, kind, bin, mean FROM {name}_all
         ),
-        {name} AS (SELECT lang, kind, bin, s / sum(s) OVER (PARTITION BY lang, kind) AS q FROM {name}_both),
+        {name} AS (SELECT lang, n, kind, bin, s / sum(s) OVER (PARTITION BY lang, kind) AS q FROM {name}_both),
         {name}_far AS (
-            SELECT r, grid.kind AS kind, CASE WHEN min(total) > 0 THEN sqrt(greatest(sum(
+            SELECT r, grid.kind AS kind, max(n) AS ref_n, CASE WHEN min(total) > 0 THEN sqrt(greatest(sum(
                 CASE WHEN cnt > 0 THEN cnt / total * log2(cnt / total / ((cnt / total + q) / 2)) ELSE 0 END
                 + CASE WHEN q > 0 THEN q * log2(q / ((cnt / greatest(total, 1) + q) / 2)) ELSE 0 END) / 2, 0)) END AS distance
             FROM grid JOIN base USING (r)
@@ -187,13 +188,15 @@ def _references(name: str, where: str) -> str:
             GROUP BY r, grid.kind
         ),
         {name}_judged AS (
-            SELECT r, max(distance) FILTER (kind = 'classes') AS class_distance, max(distance) FILTER (kind = 'common') AS common_distance
+            SELECT r, max(ref_n) AS ref_n, max(distance) FILTER (kind = 'classes') AS class_distance,
+                   max(distance) FILTER (kind = 'common') AS common_distance
             FROM {name}_far GROUP BY r
         )"""
 
 
-_NEAR = """NOT base_failed AND NOT coalesce(class_distance > 0.18
-    AND class_distance + common_distance > 0.3 + 1.2 / sqrt(greatest(n_words, 1)), false)"""
+_WIDER = "/ sqrt(greatest(n_words, 1)) + 2.0 / (ref_n + 1)"
+_NEAR = f"""NOT base_failed AND NOT coalesce(class_distance > 0.12 + 1.2 {_WIDER}
+    OR common_distance > 0.15 + 1.85 {_WIDER}, false)"""
 
 ORACLES: dict[str, str] = {
     "op1_divergence": rf"""
@@ -246,7 +249,7 @@ ORACLES: dict[str, str] = {
         {_references("refs", "r IN (SELECT r FROM near)")}
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                round(class_distance, 6) AS class_distance, round(common_distance, 6) AS common_distance, {_NEAR} AS kept
-        FROM base JOIN refs_judged USING (r)
+        FROM base LEFT JOIN refs_judged USING (r)
     """,
     "op5_secret_links": rf"""
         WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),

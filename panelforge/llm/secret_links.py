@@ -19,6 +19,8 @@ HEX = r"[0-9a-f]+"
 IDENT = rf"((?i:access_?key_?id|client_?id|user_?name|user|login)){_TIE}([A-Za-z0-9_.@+-]+)"
 TOKEN = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40,}={0,2}"
 ENDPOINT = r"https?://[^\x20\x09-\x0D\"'<>]+"
+#: Matches whose positions are summed up in one go.
+RUN = 128
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_WEAK, MIN_IDENT = 12, 18, 16, 6, 3
 
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,text:string>>"
@@ -27,7 +29,8 @@ SPAN = "array<struct<kind:string,start:bigint,end:bigint,text:string>>"
 def _spans(kind: str, text: Column, pattern: str) -> Column:
     """Leftmost matches that do not overlap, with code point positions.
 
-    A split at the pattern gives the text between the matches, so positions are running sums of lengths.
+    A split at the pattern gives the text between the matches, so positions are running sums of lengths: first within
+    runs of ``RUN`` matches, then over the runs, so that time grows with the matches.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
@@ -40,7 +43,23 @@ def _spans(kind: str, text: Column, pattern: str) -> Column:
         span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), pair["match"].alias("text"))
         return F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
 
-    return F.aggregate(pairs, start, add, lambda done: done["spans"])
+    def runs(pairs: Column) -> Column:
+        last = F.floor(F.greatest(F.size(pairs) - 1, F.lit(0)) / RUN).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.aggregate(F.slice(pairs, i * RUN + 1, RUN), start, add))
+
+    def whole(runs: Column) -> Column:
+        first = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("starts"))
+        starts = F.aggregate(
+            runs, first,
+            lambda done, run: F.struct((done["at"] + run["at"]).alias("at"), F.concat(done["starts"], F.array(done["at"])).alias("starts")),
+            lambda done: done["starts"],
+        )
+        return F.flatten(F.zip_with(runs, starts, lambda run, at: F.transform(run["spans"], lambda s: F.struct(
+            s["kind"].alias("kind"), (s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["text"].alias("text")
+        ))))
+
+    # a lambda's argument is worked out once, however often its body names it
+    return F.transform(F.transform(F.array(pairs), runs), whole)[0]
 
 
 def _where(possible: Column, spans: Column) -> Column:

@@ -118,7 +118,8 @@ class PrefixCounter:
         final = ~np.append(inner[1:], False)
         changes = np.diff(np.array(count)[final])[letters[final][1:] != ord(GAP)]
         steps, ends = _as_steps(changes), np.cumsum([len(p) for p in pieces]).tolist()
-        return [steps[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        cuts = zip([0, *ends[:-1]], ends, strict=True)
+        return [steps[a:b] if len(steps) == len(changes) else _as_steps(changes[a:b]) for a, b in cuts]
 
     def _part_steps(self, parts: list[str]) -> list[bytes]:
         """The same of parts of a text that start where white space starts, or the text."""
@@ -152,7 +153,7 @@ class PrefixCounter:
         steps, at = [], 0
         for found in self.special.finditer(text):
             opening = self._ordinary_steps(text[at : found.end() - 1])
-            counts = np.frombuffer(opening, np.int8)
+            counts = changes_of(opening)
             before = int(counts[: found.start() - at].sum(dtype=np.int64))
             steps += [opening, _as_steps(np.array([before + 1 - int(counts.sum(dtype=np.int64))]))]
             at = found.end()
@@ -195,14 +196,34 @@ def _with_space(part: str) -> str:
     return "\n" + part[1:] if part[:1] == LINE else " " + part
 
 
+#: Stands in the steps for a change that one signed byte cannot hold; the change follows as eight bytes.
+WIDE = b"\x80"
+
+
 def _as_steps(changes: np.ndarray) -> bytes:
-    if len(changes) and (changes.min() < -128 or changes.max() > 127):
-        raise ValueError("a token count changes by more than 127 at one code point")
-    return changes.astype(np.int8).tobytes()
+    made, at = [], 0
+    for i in np.flatnonzero((changes < -127) | (changes > 127)).tolist():
+        made += [changes[at:i].astype(np.int8).tobytes(), WIDE, int(changes[i]).to_bytes(8, "little", signed=True)]
+        at = i + 1
+    return b"".join([*made, changes[at:].astype(np.int8).tobytes()])
+
+
+def changes_of(steps: bytes) -> np.ndarray:
+    """By how much the count changes at each code point."""
+    at, wide = 0, steps.find(WIDE)
+    if wide < 0:
+        return np.frombuffer(steps, np.int8)
+    made = []
+    while wide >= 0:
+        change = int.from_bytes(steps[wide + 1 : wide + 9], "little", signed=True)
+        made += [np.frombuffer(steps[at:wide], np.int8), np.array([change])]
+        at = wide + 9
+        wide = steps.find(WIDE, at)
+    return np.concatenate([*made, np.frombuffer(steps[at:], np.int8)])
 
 
 def _as_counts(steps: bytes) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int64)])
+    return np.concatenate([[0], np.cumsum(changes_of(steps), dtype=np.int64)])
 
 
 prefix_counter = lru_cache(maxsize=1)(PrefixCounter)  # kept by a Python worker from task to task
@@ -220,7 +241,7 @@ def _count_batches(path: str, budget: int) -> Callable[[pa.RecordBatch], pa.Reco
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text")
         found = counter(texts)
-        each = [np.frombuffer(s.as_buffer(), np.int8) for s in found]
+        each = [changes_of(s.as_py()) for s in found]
         totals = [int(s.sum(dtype=np.int64)) for s in each]
         fit = [_longest(s, budget) if n > budget else len(s) for s, n in zip(each, totals, strict=True)]
         size = pc.cast(pc.fill_null(pc.binary_length(texts), 0), pa.int64())
@@ -233,7 +254,7 @@ def _count_batches(path: str, budget: int) -> Callable[[pa.RecordBatch], pa.Reco
 def prefix_counts(docs: DataFrame, tokenizer: str, budget: int) -> DataFrame:
     """Per row ``doc_id, n_bytes, n_tokens, chars_in_budget, steps``, in one pass without a shuffle.
 
-    ``steps`` holds a signed byte per code point (see the module); ``chars_in_budget`` answers from it how many
+    ``steps`` holds a signed byte per code point (see the module), or nine where a count moves by more than 127; ``chars_in_budget`` answers from it how many
     code points the longest prefix of at most ``budget`` tokens has. A null or empty text has no steps and no
     tokens; repeated rows are counted each; other columns are left out. A special token inside a text is one
     token, as the library's default has it. ``tokenizer`` must be a file that every executor has.
@@ -244,9 +265,9 @@ def prefix_counts(docs: DataFrame, tokenizer: str, budget: int) -> DataFrame:
 
 def count_at(steps: bytes, length: int) -> int:
     """Tokens of the first ``length`` code points."""
-    return int(np.frombuffer(steps, np.int8)[:length].sum(dtype=np.int64))
+    return int(changes_of(steps)[:length].sum(dtype=np.int64))
 
 
 def cut_to(steps: bytes, budget: int) -> int:
     """Code points of the longest prefix with at most ``budget`` tokens."""
-    return _longest(np.frombuffer(steps, np.int8), budget)
+    return _longest(changes_of(steps), budget)

@@ -14,7 +14,7 @@ kind its edits are, is met with the wanted recall.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -25,11 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.text import map_batches, map_rows, split_words
+from panelforge.storage import durable, new_path
 
 #: Places of an embedding in a key.
 PLACES = 3
-#: Symbols of words that no item has, and of places behind a text's end. Item words count from 2.
+#: Symbols of words that no item has, and of places outside a text. Item words count from 2.
 OTHER, END = 0, 1
+#: Sequences are laid side by side in arrays of about this many places, so that long items need no more memory than short ones.
+CELLS = 1 << 20
+#: Windows of items with more than twice as many words start at every (words / this)-th place only.
+STARTS = 512
+#: More repetitions than this are refused.
+MOST_REPETITIONS = 4096
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, distance long"
 
 
@@ -44,6 +51,7 @@ class Items:
     """A block of benchmark items, ready to be looked for."""
 
     ids: np.ndarray  # item ids
+    exact: dict[int, tuple[np.ndarray, np.ndarray]]  # by number of words: sorted hashes of the items that allow no edit, and these items
     texts: list[np.ndarray]  # their symbols
     words: list[str]  # the vocabulary; its entry i is symbol i + 2
     pairs: np.ndarray  # sorted neighbouring symbols of all items
@@ -78,20 +86,6 @@ def embed_keys(windows: np.ndarray, sizes: np.ndarray, repetitions: int) -> np.n
     return _mix(keys)
 
 
-def edit_distances(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> np.ndarray:
-    """Edit distances of rows of ``a`` and ``b``, of which the first ``sizes`` symbols count; all rows at once."""
-    count, width = len(a), b.shape[1] + 1
-    across = np.arange(width)
-    line = np.broadcast_to(across, (count, width)).copy()
-    result = np.where(a_sizes == 0, b_sizes, 0)
-    for i in range(a.shape[1]):
-        changed = line[:, :-1] + (b != a[:, i : i + 1])
-        best = np.concatenate([line[:, :1] + 1, np.minimum(changed, line[:, 1:] + 1)], axis=1)
-        line = np.minimum.accumulate(best - across, axis=1) + across  # insertions run along the row
-        result = np.where(a_sizes == i + 1, line[np.arange(count), b_sizes], result)
-    return result
-
-
 def nearest_spans(items: np.ndarray, texts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distance, start and words of the span of each row of ``texts`` that is nearest to the row of ``items``.
 
@@ -134,87 +128,141 @@ def _edited(text: np.ndarray, kind: str, edits: int, rng: np.random.Generator) -
     return words
 
 
+def _alike(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Indices in parts of neighbouring sizes, at most 512 of them and about ``CELLS`` places at the part's largest size."""
+    order, i = np.argsort(sizes, kind="stable"), 0
+    while i < len(order):
+        part = order[i : i + 512]
+        part = part[: max(1, int(np.searchsorted(sizes[part] * np.arange(1, len(part) + 1), CELLS, "right")))]
+        yield part
+        i += len(part)
+
+
+def _all_keys(texts: list[np.ndarray], sizes: np.ndarray, repetitions: int) -> np.ndarray:
+    keys = np.empty((len(texts), repetitions), np.uint64)
+    for part in _alike(sizes):
+        keys[part] = embed_keys(_rows([texts[i] for i in part], int(sizes[part].max())), sizes[part], repetitions)
+    return keys
+
+
+def _stride(n: int) -> int:
+    """Windows of ``n`` words start at every so-manieth place."""
+    return max(1, n // STARTS)
+
+
 def _repetitions(texts: list[np.ndarray], max_edits: float, recall: float) -> int:
     """Repetitions after which a span at the largest distance is met with the wanted recall.
 
     Up to 256 items are edited at random to that distance, by each of several kinds of edits, and set between foreign words.
-    The item-sized windows that start, or end, with the edited item stand for it. The share of repetitions in which the keys
-    agree is measured for each, and the number is the least at which, for every kind, the mean chance of any agreement is
-    high enough.
+    The item-sized windows that start, or end, with the edited item stand for it, or those as far before as windows are
+    apart. The share of repetitions in which the keys agree is measured for each (none in 128 counts as half of one), and the
+    number is the least at which, for every kind, the mean chance of any agreement is high enough. A recall that
+    ``MOST_REPETITIONS`` do not reach is refused.
     """
     rng, trial = np.random.default_rng(7), 128
     sample = [texts[i] for i in rng.permutation(len(texts))[:256]]
     sizes = np.array([len(t) for t in sample])
-    width = int(sizes.max())
-    keys, shares = embed_keys(_rows(sample, width), sizes, trial), []
+    keys, shares = _all_keys(sample, sizes, trial), []
     for kind in ("replaced", "left out", "put in", "mixed", "run left out", "run put in"):
-        edited = [_edited(t, kind, most_edits(len(t), max_edits), rng) for t in sample]
-        first = [np.array([*x, *[OTHER] * len(t)][: len(t)], np.int64) for x, t in zip(edited, sample, strict=True)]
-        last = [np.array([*[OTHER] * len(t), *x][-len(t) :], np.int64) for x, t in zip(edited, sample, strict=True)]
-        met = [keys == embed_keys(_rows(x, width), sizes, trial) for x in (first, last)]
+        first, last = [], []
+        for text in sample:
+            n, before = len(text), _stride(len(text)) - 1
+            edited = np.array(_edited(text, kind, most_edits(n, max_edits), rng), np.int64)
+            wide = np.concatenate([np.full(n, OTHER), edited, np.full(n, OTHER)])
+            first.append(wide[n - before : 2 * n - before])
+            last.append(wide[len(edited) - before : len(edited) + n - before])
+        met = [keys == _all_keys(x, sizes, trial) for x in (first, last)]
         shares.append(np.maximum((met[0] | met[1]).mean(axis=1), 0.5 / trial))
-    for n in range(8, 1024, 8):
+    for n in range(8, MOST_REPETITIONS + 1, 8):
         if all(1 - np.mean((1 - share) ** n) >= recall for share in shares):
             return n
-    return 1024
+    raise ValueError(f"a recall of {recall} at {max_edits} edits a word is not reached by {MOST_REPETITIONS} repetitions")
+
+
+def _run_hashes(stream: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of ``n`` symbols."""
+    value = np.full(max(len(stream) - n + 1, 0), np.uint64(n))
+    for i in range(n):
+        value = _mix(value * np.uint64(0x9E3779B97F4A7C15) + stream[i : i + len(value)].astype(np.uint64))
+    return value
 
 
-def prepare(rows: list, max_edits: float = 0.2, recall: float = 0.99, min_words: int = 5) -> Items | None:
-    """A block of ``item_id, text`` rows. Items with fewer than ``min_words`` words are left out: they are in any text."""
+def prepare(rows: list, max_edits: float = 0.2, recall: float = 0.99) -> Items | None:
+    """A block of ``item_id, text`` rows, ready to be looked for.
+
+    Items so short that they allow no edit (below 1 / ``max_edits`` words) are found as equal runs of words, all others by
+    their embeddings. Items without an id or a word are left out.
+    """
     kept = [(r["item_id"], [w.decode() for w in (r["text"] or "").encode().lower().split()]) for r in rows]
-    kept = [(i, words) for i, words in kept if len(words) >= min_words and i is not None]
+    kept = [(i, words) for i, words in kept if words and i is not None]
     if not kept:
         return None
     words = sorted({w for _, text in kept for w in text})
     number = {w: i + 2 for i, w in enumerate(words)}
     texts = [np.array([number[w] for w in text], np.int64) for _, text in kept]
-    pairs = np.unique(np.concatenate([t[:-1] << 32 | t[1:] for t in texts]))
+    sizes = np.array([len(t) for t in texts])
+    free = np.array([most_edits(n, max_edits) > 0 for n in sizes.tolist()])
+    exact = {}
+    for n in np.unique(sizes[~free]).tolist():
+        own = np.flatnonzero(~free & (sizes == n))
+        hashes = np.array([_run_hashes(texts[i], n)[0] for i in own])
+        order = np.argsort(hashes, kind="stable")
+        exact[n] = hashes[order], own[order]
+    embedded = [t for t, f in zip(texts, free, strict=True) if f]
+    pairs = np.unique(np.concatenate([np.empty(0, np.int64), *(t[:-1] << 32 | t[1:] for t in embedded)]))
     pairs_of_size, least_pairs = {}, {}
-    for text in texts:
+    for text in embedded:
         distinct = len(np.unique(text[:-1] << 32 | text[1:])) - 2 * most_edits(len(text), max_edits)
         least_pairs[len(text)] = min(distinct, least_pairs.get(len(text), distinct))
         own = pairs_of_size.setdefault(len(text), np.zeros(len(pairs), bool))
         own[np.searchsorted(pairs, text[:-1] << 32 | text[1:])] = True
-    repetitions = _repetitions(texts, max_edits, recall)
-    sizes = np.array([len(t) for t in texts])
-    keys = np.concatenate(
-        [embed_keys(_rows(texts[i : i + 256], int(sizes.max())), sizes[i : i + 256], repetitions) for i in range(0, len(texts), 256)]
-    )
+    repetitions = _repetitions(embedded, max_edits, recall) if embedded else 0
+    keys = _all_keys(embedded, sizes[free], repetitions)
     order = np.argsort(keys, axis=None, kind="stable")
-    owners = np.repeat(np.arange(len(texts)), repetitions)[order]
+    owners = np.repeat(np.flatnonzero(free), repetitions)[order]
     ids = np.array([i for i, _ in kept], np.int64)
-    return Items(ids, texts, words, pairs, pairs_of_size, least_pairs, keys.ravel()[order], owners, max_edits, repetitions)
+    return Items(ids, exact, texts, words, pairs, pairs_of_size, least_pairs, keys.ravel()[order], owners, max_edits, repetitions)
+
+
+def _spread(low: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The integers ``low, low + 1, ...`` of each entry, ``count`` of them, one after the other."""
+    return np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
 
 
-def _windows(stream: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and sizes of the windows that can match at all.
+def _windows(stream: np.ndarray, rows: np.ndarray, items: Items) -> tuple[np.ndarray, ...]:
+    """Texts, starts and sizes of the windows that can match at all; one may begin before its text or end behind it.
 
     An edit breaks at most two pairs of neighbours, a word put in only one. So a match keeps n - 1 - 2 edits pairs of its
     item of n words, and k more if it is k words longer; a window of n words that cuts k words off loses at most these k.
     A window that has fewer pairs of items of its size is passed over; this loses no match. Only the few
     places that hold a pair of some item are looked at: where the first and last of so many in a row are close
-    enough, the windows that cover them all qualify.
+    enough, the windows that cover them all qualify. Of long ones every ``_stride``-th of neighbouring starts stands for all.
     """
-    pair = stream[:-1] << 32 | stream[1:]
-    at = np.flatnonzero((stream[:-1] > END) & (stream[1:] > END))
-    place = np.minimum(np.searchsorted(items.pairs, pair[at]), len(items.pairs) - 1)
-    same = items.pairs[place] == pair[at]
+    at = np.flatnonzero((stream[:-1] > END) & (stream[1:] > END) & (rows[:-1] == rows[1:]))
+    pair = stream[at] << 32 | stream[at + 1]
+    place = np.minimum(np.searchsorted(items.pairs, pair), len(items.pairs) - 1)
+    same = items.pairs[place] == pair
     at, place = at[same], place[same]
-    starts, sizes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    found = [np.empty((3, 0), np.int64)]
     for n, mine in items.pairs_of_size.items():
         need = max(1, n - 1 - 2 * most_edits(n, items.max_edits))
         hits = at[mine[place]]
         if len(hits) < need:
             continue
         first, last = hits[: len(hits) - need + 1], hits[need - 1 :]
-        close = last - first <= n - 2
-        low, high = np.maximum(last[close] - (n - 2), 0), first[close]
-        spread = high - low + 1
-        offset = np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)
-        found = np.unique(np.repeat(low, spread) + offset)
-        starts.append(found)
-        sizes.append(np.full(len(found), n))
-    return np.concatenate(starts), np.concatenate(sizes)
+        close = (last - first <= n - 2) & (rows[first] == rows[last])
+        apart = rows[first[close]] * 2 * n  # texts are kept apart, as windows may reach beyond them
+        low, high = last[close] - (n - 2) + apart, first[close] + apart
+        low[1:] = np.maximum(low[1:], high[:-1] + 1)  # both ascend, so each start comes once
+        count = np.maximum(high - low + 1, 0)
+        start, row = _spread(low, count), np.repeat(rows[first[close]], count)
+        if len(start) and _stride(n) > 1:
+            head = np.append(True, np.diff(start) > 1)
+            run = np.flatnonzero(head)[np.cumsum(head) - 1]
+            taken = (np.arange(len(start)) - run) % _stride(n) == 0
+            start, row = start[taken], row[taken]
+        found.append(np.stack([row, start - row * 2 * n, np.full(len(start), n)]))
+    return tuple(np.concatenate(found, axis=1))
 
 
 def _varied(window: np.ndarray, size: np.ndarray, items: Items) -> np.ndarray:
@@ -224,48 +272,90 @@ def _varied(window: np.ndarray, size: np.ndarray, items: Items) -> np.ndarray:
     return different >= np.array([items.least_pairs[n] for n in size.tolist()])
 
 
+def _cut(stream: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """So many words from each start on, ``END`` where they are outside of the text that lies from ``low`` to ``high``."""
+    place = start[:, None] + np.arange(int(size.max()))[None, :]
+    cut = stream[np.clip(place, 0, len(stream) - 1)]
+    cut[(place < low[:, None]) | (place >= np.minimum(high, start + size)[:, None])] = END
+    return cut
+
+
+def _met(stream: np.ndarray, rows: np.ndarray, begin: np.ndarray, stop: np.ndarray, items: Items) -> np.ndarray:
+    """``row, item, start`` of windows that share a key with an item."""
+    row, start, size = _windows(stream, rows, items)
+    found = [np.empty((0, 3), np.int64)]
+    for part in _alike(size):
+        r, at, n = row[part], start[part], size[part]
+        window = _cut(stream, begin[r], stop[r], at, n)
+        varied = _varied(window, n, items)
+        if not varied.any():
+            continue
+        r, at, keys = r[varied], at[varied], embed_keys(window[varied], n[varied], items.repetitions).ravel()
+        low, high = np.searchsorted(items.keys, keys, "left"), np.searchsorted(items.keys, keys, "right")
+        hit = np.flatnonzero(high > low)
+        times = high[hit] - low[hit]
+        w, owner = np.repeat(hit // items.repetitions, times), items.owners[_spread(low[hit], times)]
+        found.append(np.unique(np.column_stack([r[w], owner, at[w]]), axis=0))
+    return np.concatenate(found)
+
+
+def _near_spans(stream: np.ndarray, rows: np.ndarray, begin: np.ndarray, stop: np.ndarray, items: Items) -> Iterator[np.ndarray]:
+    """``row, item, distance, start, size`` of spans within the largest distance, by their embeddings.
+
+    Windows of a text that met the same item and overlap are judged together, so an item's passage is compared once.
+    """
+    met = _met(stream, rows, begin, stop, items)
+    if not len(met):
+        return
+    lengths = np.array([len(t) for t in items.texts])
+    met = met[np.lexsort(met.T[::-1])]
+    head = np.ones(len(met), bool)
+    head[1:] = (met[1:, :2] != met[:-1, :2]).any(axis=1) | (met[1:, 2] - met[:-1, 2] > lengths[met[1:, 1]])
+    of = np.flatnonzero(head)
+    row, item, start = met[of].T
+    n = lengths[item]
+    edits = (n * items.max_edits + 1e-9).astype(np.int64)
+    end = np.append(met[of[1:] - 1, 2], met[-1, 2]) + n + edits
+    start = np.maximum(start - edits, begin[row])
+    end = np.minimum(end, stop[row])
+    for part in _alike(end - start):
+        i = item[part]
+        around = _cut(stream, begin[row[part]], stop[row[part]], start[part], (end - start)[part])
+        gaps, at, long = nearest_spans(_rows([items.texts[k] for k in i], int(n[part].max())), around, n[part])
+        near = gaps <= edits[part]
+        yield np.column_stack([row[part], i, gaps, start[part] + at - begin[row[part]], long])[near]
+
+
+def _equal_runs(stream: np.ndarray, rows: np.ndarray, begin: np.ndarray, items: Items) -> Iterator[np.ndarray]:
+    """The same rows for the items that allow no edit: the first equal run of words in each text."""
+    for n, (hashes, own) in items.exact.items():
+        runs = _run_hashes(stream, n)
+        low, high = np.searchsorted(hashes, runs, "left"), np.searchsorted(hashes, runs, "right")
+        at = np.flatnonzero((high > low) & (rows[: len(runs)] == rows[n - 1 :]))
+        times = high[at] - low[at]
+        place, item = np.repeat(at, times), own[_spread(low[at], times)]
+        _, first = np.unique(rows[place] * len(items.texts) + item, return_index=True)
+        place, item = place[first], item[first]
+        same = np.ones(len(place), bool)
+        wanted = np.array([items.texts[i] for i in item], np.int64).reshape(-1, n)
+        for k in range(n):
+            same &= stream[place + k] == wanted[:, k]
+        place, item, row = place[same], item[same], rows[place[same]]
+        yield np.column_stack([row, item, np.zeros_like(row), place - begin[row], np.full_like(row, n)])
+
+
 def _matches(texts: pa.Array, items: Items, vocabulary: pa.Array) -> tuple[np.ndarray, ...]:
     """``row, item, start, size, distance`` of the best span of each text and item that match."""
     words = split_words(texts, lower=True)
     symbol = pc.fill_null(pc.add(pc.index_in(words.distinct, vocabulary), 2), OTHER).to_numpy(zero_copy_only=False)
-    reach = max(len(t) for t in items.texts)
-    rows, gap = words.rows(), 2 * reach  # ends before the first text and behind each
-    stream = np.full(len(rows) + gap * (len(texts) + 1), END, np.int64)
-    stream[np.arange(len(rows)) + (rows + 1) * gap] = symbol[words.codes]
-    starts, sizes = _windows(stream, items)
-    begin = words.ends[:-1] + gap * np.arange(1, len(texts) + 1)
-    stop = begin + np.diff(words.ends)
-    found = []
-    for i in range(0, len(starts), 512):
-        start, size = starts[i : i + 512], sizes[i : i + 512]
-        window = stream[start[:, None] + np.arange(reach)[None, :]]
-        window[np.arange(reach)[None, :] >= size[:, None]] = END
-        varied = _varied(window, size, items)
-        if not varied.any():
-            continue
-        start, size, window = start[varied], size[varied], window[varied]
-        keys = embed_keys(window, size, items.repetitions).ravel()
-        low, high = np.searchsorted(items.keys, keys, "left"), np.searchsorted(items.keys, keys, "right")
-        met = np.flatnonzero(high > low)
-        times = high[met] - low[met]
-        entry = np.repeat(low[met] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-        met = np.unique(np.column_stack([np.repeat(met // items.repetitions, times), items.owners[entry]]), axis=0)
-        if not len(met):
-            continue
-        w, item = met[:, 0], met[:, 1]
-        lengths = np.array([len(items.texts[k]) for k in item])
-        edits = (lengths * items.max_edits + 1e-9).astype(np.int64)
-        low = np.maximum(start[w] - edits, 0)
-        most = int((lengths + 2 * edits).max())
-        place = low[:, None] + np.arange(most)[None, :]
-        around = stream[np.minimum(place, len(stream) - 1)]
-        around[place >= (start[w] + lengths + edits)[:, None]] = END
-        gaps, at, long = nearest_spans(_rows([items.texts[k] for k in item], int(lengths.max())), around, lengths)
-        near = gaps <= edits
-        row = np.searchsorted(stop, start[w], "right")  # a window that starts before a text holds words of that text
-        row = np.minimum(row, len(texts) - 1)
-        found.append(np.column_stack([row, item, gaps, low + at - begin[row], long])[near])
-    every = np.concatenate([np.empty((0, 5), np.int64), *found])
+    stream, rows = symbol.astype(np.int64)[words.codes], words.rows()
+    begin, stop = words.ends[:-1], words.ends[1:]
+    found = [np.empty((0, 5), np.int64)]
+    if len(stream):
+        found += _equal_runs(stream, rows, begin, items)
+    if len(stream) and len(items.keys):
+        found += _near_spans(stream, rows, begin, stop, items)
+    every = np.concatenate(found)
     every = every[np.lexsort(every.T[::-1])]  # by row, item, distance, start
     first = np.ones(len(every), bool)
     first[1:] = (every[1:, :2] != every[:-1, :2]).any(axis=1)
@@ -296,22 +386,26 @@ def _clean_batches(items: Items) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     return step
 
 
-def item_blocks(benchmark: DataFrame, block_items: int, block_bytes: int, **options) -> list[Items]:
-    """The benchmark in blocks of at most ``block_items`` items and about ``block_bytes`` bytes, which go to every task.
+def item_blocks(benchmark: DataFrame, block_items: int, block_bytes: int, **options) -> Iterator[Items]:
+    """The benchmark in blocks of at most ``block_items`` items and about ``block_bytes`` bytes, made one at a time.
 
-    Rows that repeat an id and text count once; a null text has no words. Runs a job when called.
+    Rows that repeat an id and text count once; a null text has no words. Runs a job when the first is asked for, and the
+    driver holds one block and one part of the sorted benchmark.
     """
     rows = benchmark.select(F.col("item_id").cast("long"), "text").distinct()
-    blocks, block, held = [], [], 0
+    block, held = [], 0
     for row in rows.orderBy("item_id", "text").toLocalIterator():
         size = len(row["text"] or "")
         if block and (len(block) >= block_items or held + size > block_bytes):
-            blocks.append(prepare(block, **options))
+            ready = prepare(block, **options)
+            if ready:
+                yield ready
             block, held = [], 0
         block.append(row)
         held += size
-    blocks.append(prepare(block, **options))
-    return [b for b in blocks if b is not None]
+    ready = prepare(block, **options)
+    if ready:
+        yield ready
 
 
 def contaminations(
@@ -319,21 +413,32 @@ def contaminations(
 ) -> DataFrame:
     """``doc_id, item_id, start_word, n_words, distance`` of the nearest span, per row of ``docs`` and item in it.
 
-    One pass over the texts per block of items, without a shuffle. Of equally near spans the first counts. A null or empty text matches
-    nothing; repeated rows are each reported; an empty table, or a benchmark without items of ``min_words``
-    words (5), gives no rows. ``options`` are those of ``prepare``: ``max_edits`` (0.2) and ``recall`` (0.99).
+    One pass over the texts per block of items, without a shuffle; its matches are stored before the next block is made. Of
+    equally near spans the first counts. Items that allow no edit are met where their words stand in a row. Items of any
+    length are looked for; a long one in a text costs its words times those of its passage. A null or empty text matches
+    nothing; repeated rows are each reported; an empty table, or a benchmark without words, gives no rows. ``options`` are
+    those of ``prepare``: ``max_edits`` (0.2) and ``recall`` (0.99), which raises an error where it can't be reached.
     """
-    narrow = docs.select(F.col("doc_id").cast("long"), "text")
-    found = docs.sparkSession.createDataFrame([], SCHEMA)
+    spark, narrow = docs.sparkSession, docs.select(F.col("doc_id").cast("long"), "text")
+    path = new_path(spark, "matches")
+    spark.createDataFrame([], SCHEMA).write.parquet(path)
     for items in item_blocks(benchmark, block_items, block_bytes, **options):
-        found = found.unionByName(map_batches(narrow, partial(_match_batches, items), SCHEMA))
-    return found
+        map_batches(narrow, partial(_match_batches, items), SCHEMA).write.mode("append").parquet(path)
+    return spark.read.schema(SCHEMA).parquet(path)
 
 
 def without_contaminated(
     docs: DataFrame, benchmark: DataFrame, block_items: int = 5000, block_bytes: int = 8 << 20, **options
 ) -> DataFrame:
-    """The rows of ``docs`` in which ``contaminations`` finds nothing, with all their columns, in the same passes."""
-    for items in item_blocks(benchmark, block_items, block_bytes, **options):
-        docs = map_rows(docs, partial(_clean_batches, items))
+    """The rows of ``docs`` in which ``contaminations`` finds nothing, with all their columns, in the same passes.
+
+    What a block leaves is stored for the next one; after the last block nothing is. So the driver holds two blocks at most.
+    """
+    blocks = item_blocks(benchmark, block_items, block_bytes, **options)
+    ready = next(blocks, None)
+    while ready:
+        following = next(blocks, None)
+        docs = map_rows(docs, partial(_clean_batches, ready))
+        docs = durable(docs, "uncontaminated") if following else docs
+        ready = following
     return docs

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -110,12 +111,59 @@ def test_edited_passages_are_found_and_others_left(spark, edges, edge_rows):
     assert decontaminate.without_contaminated(edges, benchmark).count() == len(edge_rows)
 
 
-@given(st.lists(st.integers(2, 5), max_size=12), st.lists(st.integers(2, 5), max_size=12))
+@given(st.lists(st.integers(2, 5), min_size=1, max_size=8), st.lists(st.integers(2, 5), min_size=1, max_size=12))
 @settings(max_examples=80, deadline=None)
-def test_edit_distance_of_rows(a, b):
-    rows = lambda x: np.array([x + [1] * (12 - len(x))])
-    found = decontaminate.edit_distances(rows(a), rows(b), np.array([len(a)]), np.array([len(b)]))
-    assert found[0] == brute.edit_distance(a, b)
+def test_nearest_span_of_rows(item, text):
+    found = decontaminate.nearest_spans(np.array([item]), np.array([text + [1, 1]]), np.array([len(item)]))
+    gap, start, size = (int(x[0]) for x in found)
+    spans = [text[i:j] for i in range(len(text) + 1) for j in range(i, len(text) + 1)]
+    assert gap == brute.edit_distance(item, text[start : start + size]) == min(brute.edit_distance(item, x) for x in spans)
+
+
+def test_items_without_room_for_an_edit_are_equal_runs(spark):
+    rng = random.Random(4)
+    pool = list("abcdefgh")
+    docs = [(d, " ".join(rng.choices(pool, k=rng.randint(0, 12)))) for d in range(200)] + [(500, None), (501, "A B"), (502, "a")]
+    items = [(i, " ".join(rng.choices(pool, k=1 + i % 4))) for i in range(24)] + [(90, ""), (91, None), (92, "a b"), (93, "A  b")]
+    df, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    truth = {}
+    for d, text in docs:
+        w = brute.words(text, lower=True)
+        for i, item in items:
+            t = brute.words(item, lower=True)
+            at = [k for k in range(len(w) - len(t) + 1) if w[k : k + len(t)] == t] if t else []
+            if at:
+                truth[d, i] = (at[0], len(t), 0)
+    for block in (5000, 5):
+        found = decontaminate.contaminations(df, benchmark, block_items=block).collect()
+        assert {(r[0], r[1]): tuple(r)[2:] for r in found} == truth and len(found) == len(truth)
+        clean = decontaminate.without_contaminated(df, benchmark, block_items=block).collect()
+        assert {r["doc_id"] for r in clean} == {d for d, _ in docs} - {d for d, _ in truth}
+
+
+def test_a_long_item_needs_no_more_memory_beside_short_texts(spark):
+    rng = random.Random(6)
+    pool = [f"w{i}" for i in range(3000)]
+    long = rng.choices(pool, k=1100)
+    edited = [w if rng.random() > 0.02 else "new" for w in long]
+    small = [" ".join(rng.choices(pool, k=3)) for _ in range(2000)]
+    items = decontaminate.prepare([{"item_id": 1, "text": " ".join(long)}, {"item_id": 2, "text": " ".join(pool[:20])}])
+    texts = pa.array([*small, " ".join([*pool[:10], *edited, *pool[:20]])])
+    tracemalloc.start()
+    row, item, start, size, gap = decontaminate._matches(texts, items, pa.array(items.words))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    assert row.tolist() == [2000, 2000] and item.tolist() == [0, 1]
+    assert start.tolist() == [10, 1110] and size.tolist() == [1100, 20] and gap.tolist() == [edited.count("new"), 0]
+
+
+def test_a_recall_out_of_reach_is_refused(monkeypatch):
+    item = [{"item_id": 1, "text": " ".join(map(str, range(40)))}]
+    assert decontaminate.prepare(item).repetitions > 8
+    monkeypatch.setattr(decontaminate, "MOST_REPETITIONS", 8)
+    with pytest.raises(ValueError, match="not reached"):
+        decontaminate.prepare(item)
 
 
 # 3. Token files and 9. token counts

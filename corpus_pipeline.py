@@ -18,7 +18,11 @@ END_ID = 2
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose quality score is at least ``MIN_QUALITY``, learned from ``labels`` but for the held-out rows."""
+    """Rows whose quality score is at least ``MIN_QUALITY``, learned from ``labels`` but for the held-out rows.
+
+    Every row is judged by its own text, so equal texts go or stay together, whatever their ids; a null text counts as an empty
+    one. Without labels of both classes every score is 0.5, and all rows stay. An empty table gives no rows.
+    """
     model = compression_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     name = "quality_score"
     while name in docs.columns:
@@ -27,33 +31,47 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (five-word shingles, 80 percent), that of its least ``doc_id``.
+    """One row of each group of near copies (five-word shingles, 80 percent): that of the least ``doc_id``, a null id last.
 
-    Of several rows with that id, one with the least hash of its text stays. Rows without an id are compared by
-    their whole text: one of each text stays.
+    Rows are compared one by one, whatever their ids: different texts under one id stay, and copies of rows without an id
+    go. Of rows with the same id that with the least hash of its text stays, of equal rows any one. A row without words is a
+    copy of nothing and stays. An empty table gives no rows. All columns are kept as they are.
     """
-    kept = minhash.near_copies(docs, k=5, percent=80).where("kept").select("doc_id").distinct()
-    version = F.xxhash64("text")
-    least = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(version).alias("version"))
-    chosen = durable(least.join(kept, "doc_id", "left_semi"), "chosen").select(F.col("doc_id").alias("id"), "version")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("of"), version.alias("at"))
-    rows = rows.join(chosen, (F.col("of") == F.col("id")) & (F.col("at") == F.col("version")), "left_semi")
-    named = rows.dropDuplicates(["of", "at"]).select("row.*")
-    return named.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
+    number = "row_number"
+    while number in docs.columns:
+        number += "_"
+    rows = durable(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    copies = minhash.near_copies(rows.select(F.col(number).alias("doc_id"), "text"), k=5, percent=80)
+    copies = copies.select(F.col("doc_id").alias("n"), "component_id")
+    order = rows.select(F.col(number).alias("n"), F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), number).alias("order"))
+    first = order.join(copies, "n").groupBy("component_id").agg(F.min_by("n", "order").alias(number)).select(number)
+    return rows.join(durable(first, "first"), number, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a passage of ``benchmark``, up to a fifth of whose words may be edited."""
+    """Rows without a passage of ``benchmark``, up to a fifth of whose words may be edited.
+
+    Every row is judged by its own whole text; null and empty texts hold nothing and stay, equal rows go or stay together. With
+    an empty benchmark all rows stay.
+    """
     return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as their source's target asks; a row taken twice is there twice."""
+    """Rows as often as their source's target asks; a row taken twice is there twice.
+
+    A null source is a source of its own, the last. A row without words adds none, and is taken like the others of its
+    source. An empty table gives no rows.
+    """
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all rows, and per row ``doc_id, start, n_tokens, ids_crc32`` as read back from them."""
+    """Token files of all rows, and per row ``doc_id, start, n_tokens, ids_crc32`` as read back from them.
+
+    A null text is an empty one, with the end id alone. Rows with a null id come first; rows with one id lie side by side,
+    each with a ``start`` of its own.
+    """
     path = new_path(spark, "tokens")
     token_files.write_token_files(docs, path, public_tokenizers.path("word_bpe_49k.json"), END_ID)
     digests = durable(token_files.digest_token_files(token_files.read_token_files(spark, path)), "digests")

@@ -345,6 +345,7 @@ BODIES = {
         avg(equal_ret) * 12 AS annual_return, stddev_samp(equal_ret) * sqrt(12) AS annual_volatility
         FROM ({MOMENTUM}) r, range(1994, 2002) e1(y), range(1994, 2002) e2(y) WHERE e1.y < e2.y AND r.year > e1.y AND r.year <= e2.y
         GROUP BY e1.y, e2.y, grp""",
+    "panel_append": f"SELECT * FROM weighted WHERE ret IS NOT NULL AND date > {TRAIN}",
     "panel_store": "SELECT permno, date, year, CASE WHEN year = 1998 THEN 2 * prc ELSE prc END AS prc, momentum_12 FROM signals",
     "rejects": """SELECT 'permno' AS "column", count(*) AS rows, count(*) FILTER (permno IS NULL) AS nulls, count(*) FILTER (permno IS NULL) AS rejected FROM coerced
         UNION ALL SELECT 'shrcd', count(*), count(*) FILTER (shrcd IS NULL), count(*) FILTER (trim(coalesce(share, '')) <> '' AND shrcd IS NULL) FROM coerced

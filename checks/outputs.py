@@ -25,6 +25,8 @@ COLUMNS = {
     "any_period": "period grp n wealth:6 annual_return:4 annual_volatility:4",
     "rejects": "column rows nulls rejected",
     "panel_store": f"{KEY} year prc momentum_12:6",
+    "panel_append": f"{KEY} prc_lag ret:6 momentum_12:6 momentum_36:6 momentum_count:i reversal:6 dvol:6 turn:6 size log_size:6 "
+    "stock_sd:6 corr:6 beta:6 beta_lag:6 beta_shrink_lag:6 weight_mktcap:10",
     "dt_stump": "momentum_count:i prediction:8 r2:8",
     "rf_stump": "momentum_count:i prediction:8 r2:8",
     "gbt_stump": "momentum_count:i prediction:8 r2:8",

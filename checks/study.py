@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache, cached_property, partial
+from functools import cache, cached_property, partial, reduce
 
 from pyspark.ml import Model
 from pyspark.ml.functions import vector_to_array
@@ -17,7 +17,7 @@ from panelforge.operators import signals, splits
 from panelforge.operators.asof import asof_join
 from panelforge.operators.binning import Binning
 from panelforge.operators.quantiles import assign_quantile
-from panelforge.plans import backtest, benchmarks, modelling
+from panelforge.plans import append, backtest, benchmarks, modelling
 from panelforge.plans import panel as panels
 from panelforge.settings import ALL_SIGNALS, CORE_SIGNALS, Sample
 from panelforge.sources import star_schema
@@ -40,6 +40,7 @@ RIDGE_GRID = [1e-4, 1e-2, 1.0, 10.0]
 PROFILED = ["be", "me", "value", "permno", "she"]
 RANK_DIGITS = 9
 STORE_BUCKETS = 8
+APPEND_AFTER = ("1998-12-31", "2001-10-31")
 YEAR_ENDS = [f"{y}-12-31" for y in range(1994, 2002)]
 ANY_PERIOD = {f"{a[:4]}-{b[:4]}": (a, b) for i, a in enumerate(YEAR_ENDS) for b in YEAR_ENDS[i + 1 :]}
 
@@ -237,6 +238,17 @@ def _panel_store(s: Study) -> DataFrame:
     return signals.momentum(s.spark.table(name))
 
 
+def _panel_append(s: Study) -> DataFrame:
+    """The months after the training sample, appended in two steps to the state of those before."""
+    dated = s.raw.withColumn("step", sum(F.when(F.col("date") > F.lit(d).cast("date"), 1).otherwise(0) for d in APPEND_AFTER))
+    raw = durable(dated, "raw")
+    state, panels_found = append.first_state(raw.where("step = 0").drop("step"), SAMPLE), []
+    for step in range(1, len(APPEND_AFTER) + 1):
+        found, state = append.append_months(state, raw.where(F.col("step") == step).drop("step"), s.factors, SAMPLE)
+        panels_found.append(found)
+    return reduce(DataFrame.unionByName, panels_found)
+
+
 def _account_asof(s: Study) -> DataFrame:
     accounts = s.linked.withColumnRenamed("lpermno", "permno")
     taken = {"account_date": "datadate", "gvkey": "gvkey", "be": "be"}
@@ -357,6 +369,7 @@ BUILDERS: dict[str, Callable[[Study], DataFrame]] = {
     "rejects": lambda s: ingest(star_schema.coded_file(s.table("lineitem")), star_schema.CODED, "coded", keys=["permno"])[1],
     "fund_extra_join": _extra,
     "panel_store": _panel_store,
+    "panel_append": _panel_append,
     "account_asof": _account_asof,
     "any_period": _any_period,
     # Projections and predicates

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.components import components
-from panelforge.llm.text import SMALL_SLICE, map_batches, split_words
+from panelforge.llm.text import SMALL_SLICE, give_back, map_batches, split_words
 from panelforge.storage import durable
 
 #: Minima per document, packed to ``BITS`` low bits each.
@@ -138,6 +138,7 @@ def _confirm_batches(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     linked.append(100 * common >= percent * (len(x) + len(y) - common))
                 yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            give_back()
 
     return run
 

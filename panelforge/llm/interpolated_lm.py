@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.text import map_batches, split_words, text_crc
-from panelforge.storage import durable, new_path
+from panelforge.storage import durable, release
 
 #: Stands for the end of a text, which also stands before its first word.
 END = 0
@@ -227,9 +227,7 @@ def _scores(weights: np.ndarray, totals: Totals, row: dict) -> Iterator[pa.Recor
 
 def _stored(df: DataFrame, label: str) -> DataFrame:
     """As ``durable``, in small row groups."""
-    path = new_path(df.sparkSession, label)
-    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return durable(df, label, **{"parquet.block.size": str(GROUP_BYTES)})
 
 
 def counted_slices(rows: DataFrame, keys_per_part: int, slice_bytes: int) -> tuple[DataFrame, Totals]:
@@ -245,7 +243,9 @@ def counted_slices(rows: DataFrame, keys_per_part: int, slice_bytes: int) -> tup
     replies = durable(blocks.groupBy("part").applyInArrow(_merged, REPLIES), "replies")
     distinct = replies.where(F.col("part") < parts[0]).agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
     answers = replies.groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("part", "n", "d"))).alias("answers"))
-    return _stored(made.join(answers, "slice"), "counted"), Totals(sums["train_tokens"], sums["kept_tokens"], distinct)
+    counted = _stored(made.join(answers, "slice"), "counted")
+    release(made, replies)
+    return counted, Totals(sums["train_tokens"], sums["kept_tokens"], distinct)
 
 
 def learn_weights(counted: DataFrame, totals: Totals, rounds: int) -> np.ndarray:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 _default: list[str] = []
 
+#: Setting of Spark: a finished query's shuffle files are removed at once, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def use_folder(path: str) -> None:
     """The shared folder of sessions that do not set ``spark.checkpoint.dir`` (tests, a single machine)."""
@@ -28,8 +32,22 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/panelforge/{spark.sparkContext.applicationId}/{label}-{uuid4().hex}"
 
 
-def durable(df: DataFrame, label: str, sort: Sequence[str] = ()) -> DataFrame:
-    """Write ``df`` once and continue from the files. Runs a job when called.
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside leave no shuffle files behind: what follows reads the tables."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def durable(df: DataFrame, label: str, sort: Sequence[str] = (), **options) -> DataFrame:
+    """Write ``df`` once and continue from the files. Runs a job when called; ``options`` are those of the writer.
 
     Three uses: a table that several branches read is computed once; lineage is cut; and Catalyst
     sees the true size of a small aggregate, so it broadcasts it only when it fits
@@ -39,10 +57,20 @@ def durable(df: DataFrame, label: str, sort: Sequence[str] = ()) -> DataFrame:
     if sort:
         df = df.sortWithinPartitions(*sort)
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Remove the files of tables as ``durable`` returned them, when nothing reads them any more."""
+    for table in tables:
+        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+            path.getFileSystem(conf).delete(path, True)
+
+
 def drop_stored(spark: SparkSession) -> None:
     """Remove every table this application stored, when nothing reads them any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/panelforge/{spark.sparkContext.applicationId}")

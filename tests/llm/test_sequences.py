@@ -78,6 +78,28 @@ def test_reruns_agree_and_only_the_text_counts(spark, insults, network):
     assert len({r["toxic_score"] for r in scores}) == 1
 
 
+def test_all_labelled_rows_are_learned_from(spark, insults):
+    """Toxic words met only in texts beyond 32 KB, and rows in many shards."""
+    docs, labels, rows = insults
+    rng = random.Random(8)
+    long = [(10_000 + i, " ".join([prose(rng, 60), "zqx", "padding " * 5000])) for i in range(24)]
+    more = docs.unionByName(spark.createDataFrame([(i, t, "en") for i, t in long], "doc_id long, text string, lang string"))
+    marks = labels.unionByName(spark.createDataFrame([(i, 1, 1) for i, _ in long], "doc_id long, quality int, toxic int"))
+    model = toxicity.fit(more, marks, steps=200, shard_rows=150)
+    assert int(toxicity.word_buckets(pa.array(["zqx"]))[0][0]) in model.buckets.tolist()
+    again = toxicity.fit(more.repartition(7), marks.repartition(2), steps=200, shard_rows=150)
+    assert np.array_equal(again.vectors, model.vectors) and np.array_equal(again.thresholds, model.thresholds)
+    found = {r["doc_id"]: r["toxic_score"] >= toxicity.CUT for r in toxicity.score(docs, model).collect()}
+    held = [(found[i], y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(p == y for p, y in held) >= 0.97 * len(held)
+
+
+def test_no_limit_lies_between_equal_values():
+    values, labels = np.array([0.0, 1.0, 1.0, 2.0]), np.array([0, 0, 1, 1])
+    limits = toxicity.thresholds(values, labels, np.zeros(4, int), np.array([5.0, 1.0, 9.0, 5.0]))
+    assert ((limits < 1) & (limits > 0)).all()
+
+
 def test_toxicity_of_odd_rows(spark, edges, network):
     found = toxicity.score(edges, network)
     assert found.columns == [*edges.columns, "toxic_score_language", "toxic_score"] and found.count() == edges.count()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.storage import durable
+from panelforge.storage import durable, release
 
 
 def _directed(links: DataFrame) -> DataFrame:
@@ -44,4 +44,5 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
             )
         seen = tuple(total)
         large = _star(_directed(now), larger=True)
-        now = durable(_star(large, larger=False), label)
+        last, now = now, durable(_star(large, larger=False), label)
+        release(last)

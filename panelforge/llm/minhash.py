@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.components import components
 from panelforge.llm.text import SMALL_SLICE, give_back, map_batches, split_words
-from panelforge.storage import durable
+from panelforge.storage import durable, release
 
 #: Minima per document, packed to ``BITS`` low bits each.
 MINIMA, BITS = 512, 2
@@ -22,6 +22,8 @@ LONGS = MINIMA * BITS // 64
 BANDS, ROWS = 32, 4
 #: A pair is compared exactly if its estimate is at most this many standard deviations below the limit.
 DEVIATIONS = 4
+#: Before the rows outside a bucket's largest component meet all others, they meet so many rows of it.
+PIVOTS = 4
 MASK = 0x5555555555555555
 SIGNATURE = [f"s{i}" for i in range(LONGS)]
 SCHEMA = "doc_id long, n_shingles long, set_key binary, bands array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE)
@@ -157,7 +159,9 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Documents with equal sets are one class, of which the least id takes part further, so exact copies are
     never paired. Classes that share a band meet in its bucket: first all are compared with the bucket's
-    least, a comparison per member. After the components of the links found, the classes of a bucket's smaller
+    least, a comparison per member. Those outside the bucket's largest component are then compared with a few of its
+    classes, so that a group of near copies that not all are like its least joins without a comparison of all
+    pairs. After the components of the links found, the classes of a bucket's smaller
     components are compared with those of its other ones, each pair in the first bucket that it shares, so no
     pair between components is left out, and a component that fills a bucket is not compared with itself. A
     pair that its signatures rule out is dropped at once; for others whole texts decide.
@@ -190,21 +194,34 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     texts = durable(docs.select(F.col("doc_id").cast("long"), "text").join(met, "doc_id", "left_semi"), "texts")
 
     def joined(found: DataFrame | None, pairs: DataFrame) -> DataFrame:
-        """The components with the confirmed ones of ``pairs``."""
-        links = confirm(durable(pairs, "pairs"), texts, k, percent)
+        """The components with the confirmed ones of ``pairs``, in place of ``found``."""
+        pairs = durable(pairs, "pairs")
+        links = confirm(pairs, texts, k, percent)
         if found is not None:
             links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
-        return durable(components(links), "components")
+        after = durable(components(links), "components")
+        release(pairs, *([] if found is None else [found]))
+        return after
+
+    def in_mixed(found: DataFrame) -> DataFrame:
+        """The rows of the buckets that hold several components: ``band, main, component, x``; ``main`` has the most rows."""
+        placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        placed = placed.withColumn("component", F.coalesce("component", "rep"))
+        sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
+        mixed = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
+        mixed = mixed.where("parts > 1").select("band", "main")
+        left = with_signature(placed.join(mixed, "band"), "rep", "z", wide)
+        return durable(left.select("band", "main", "component", F.col("z").alias("x")), "mixed")
 
     stars = members.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     found = joined(None, plausible(stars).select("a", "b").distinct())
-    placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "rep"))
-    sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
-    mixed = mixed.where("parts > 1").select("band", "main")
-    left = with_signature(placed.join(mixed, "band"), "rep", "z", wide)
-    left = durable(left.select("band", "main", "component", F.col("z").alias("x")), "mixed")
+    left = in_mixed(found)
+    order = [F.xxhash64("x.rep", F.lit(i)) for i in range(PIVOTS)]
+    chosen = left.where("component = main").groupBy("band").agg(F.array_distinct(F.array(*(F.min_by("x", o) for o in order))).alias("y"))
+    near = left.where("component != main").join(chosen.select("band", F.explode("y").alias("y")), "band").where(may_link("x", "y", percent))
+    found = joined(found, near.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
+    release(left)
+    left = in_mixed(found)
     minor = left.where("component != main").select("band", "component", "x")
     other = left.select("band", F.col("component").alias("other"), (F.col("component") == F.col("main")).alias("in_main"), F.col("x").alias("y"))
     # in the order of their cost; the last one keeps a pair in the first bucket that it shares
@@ -214,6 +231,8 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     across = minor.join(other, "band").where(apart)
     found = joined(found, across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")))
 
+    release(left, members, texts, reps)
+
     merged = classes.join(found, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     ids = rows.select("doc_id", "n_shingles", "set_key").join(merged, "set_key", "left")
     component = F.coalesce("component", "doc_id")

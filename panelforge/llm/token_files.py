@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm.text import Memo, map_batches, split_words
+from panelforge.storage import shuffles_removed
 
 #: Columns of a token file. ``place`` is the number of ids of earlier documents in the same file.
 FILE_SCHEMA = "doc_id long, place long, tokens array<int>"
@@ -129,7 +130,8 @@ def write_token_files(
         "orc.bloom.filter.columns": "doc_id",
         "orc.bloom.filter.fpp": str(false_positives),
     }
-    encoded.write.options(**options).orc(path)
+    with shuffles_removed(docs.sparkSession):
+        encoded.write.options(**options).orc(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

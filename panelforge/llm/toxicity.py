@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.text import SMALL_SLICE, Words, give_back, map_batches, map_rows, split_words, text_crc
-from panelforge.storage import durable, release
+from panelforge.storage import clustered, durable, release, settings
 
 #: A word's vector is the sum of hashed vectors: of the word, and of its beginnings of so many bytes.
 BEGINNINGS = (4, 5, 6, 7)
@@ -31,6 +31,12 @@ PIECE = 1024
 #: Log odds are counted by steps of one in so many, which the thresholds lie between.
 GRID = 1024
 PIECES = "shard long, name string, piece long, moved binary, value binary, seen binary"
+#: Settings of Spark under which a join filters its larger side by a Bloom filter of the other's keys before any shuffle,
+#: whatever the sizes of the tables.
+BLOOM = "spark.sql.optimizer.runtime.bloomFilter"
+PRUNED = {"spark.sql.autoBroadcastJoinThreshold": -1, f"{BLOOM}.enabled": True, f"{BLOOM}.applicationSideScanSizeThreshold": 0, f"{BLOOM}.creationSideThreshold": "1t"}
+#: Buckets of the dealt rows for each shard, so that few shards share one and with it a task.
+SHARD_BUCKETS = 4
 #: Words that tell the language of a text; a text with none, or as many of two languages, is of the last, unnamed one.
 LANGUAGE_WORDS = {
     "en": "the of and to is that it for was with".split(),
@@ -263,15 +269,22 @@ def _numbers(used: np.ndarray) -> np.ndarray:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``order, label, text`` of all rows to learn from. Of several labels the highest counts; null ones do not.
+    """``order, label, text`` of all rows to learn from, stored. Of several labels the highest counts; null ones do not.
 
-    The labels are stored first, so that the texts stay where they are while the labels can be broadcast.
+    The labels are stored first, and the join drops documents that a Bloom filter of their ids rules out before it shuffles
+    texts. So the disk it takes follows the labelled texts, and the plan is the same at all sizes.
     """
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (text_crc() % 3 != 1))
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("marked")).agg(F.max("toxic").cast("int").alias("label"))
     marks = durable(marks, "toxic-marks")
+    ids = max(marks.count(), 1024)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.join(marks, F.col("doc_id") == F.col("marked")).select(F.xxhash64("marked").alias("order"), "label", "text")
+    # Catalyst makes the filter only from a side that has a condition itself.
+    met = rows.join(marks.where(F.col("label").isin(0, 1)), F.col("doc_id") == F.col("marked"))
+    with settings(docs.sparkSession, PRUNED | {f"{BLOOM}.expectedNumItems": ids, f"{BLOOM}.numBits": 16 * ids}):
+        found = durable(met.select(F.xxhash64("marked").alias("order"), "label", "text"), "toxic-rows")
+    release(marks)
+    return found
 
 
 def _bucket_batches() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
@@ -400,7 +413,7 @@ def fit(
     the mean of what they made is the next one. A class with few rows goes to every shard whole. So a task holds one shard, the
     driver one network. Reruns agree. Where a class has no row to spare for the thresholds, the training rows set them.
     """
-    rows = durable(_labelled(docs, labels), "toxic-rows")
+    rows = _labelled(docs, labels)
     spare = F.pmod("order", F.lit(4)) == 0
     sums = rows.groupBy("label", spare.alias("spare")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
     classes = {flag: {r["label"] for r in sums if r["spare"] == flag} for flag in (False, True)}
@@ -415,9 +428,10 @@ def fit(
     every = F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))
     dealt = trains.withColumn("shard", F.explode(F.when(F.col("label").isin(rare), every).otherwise(one)))
     used = known_buckets(trains)
-    state = _trained(untrained(len(used)), dealt.where("shard = 0"), used, steps, 0)
-    for turn in range(1, 1 + rounds * (shards > 1)):
-        state = _trained(state, dealt, used, 1, turn)
+    with clustered(dealt.select("shard", "order", "label", "text"), "toxic-shards", "shard", SHARD_BUCKETS * shards) as stored:
+        state = _trained(untrained(len(used)), stored.where("shard = 0"), used, steps, 0)
+        for turn in range(1, 1 + rounds * (shards > 1)):
+            state = _trained(state, stored, used, 1, turn)
     model = state.network(used, np.zeros(len(LANGUAGE_WORDS) + 1))
     limits = _limits(rows.where(spare) if split and len(classes[True]) == 2 else trains, model)
     release(rows)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from uuid import uuid4
 
@@ -33,17 +33,26 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 @contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Tables written inside leave no shuffle files behind: what follows reads the tables."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def settings(spark: SparkSession, values: Mapping[str, object]) -> Iterator[None]:
+    """Queries planned inside have these settings; what was set before is put back."""
+    before = {key: spark.conf.get(key, None) for key in values}
     try:
+        for key, value in values.items():
+            spark.conf.set(key, str(value))
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside leave no shuffle files behind: what follows reads the tables."""
+    with settings(spark, {CLEANUP: "true"}):
+        yield
 
 
 def durable(df: DataFrame, label: str, sort: Sequence[str] = (), **options) -> DataFrame:
@@ -62,6 +71,20 @@ def durable(df: DataFrame, label: str, sort: Sequence[str] = (), **options) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def clustered(df: DataFrame, label: str, key: str, buckets: int) -> Iterator[DataFrame]:
+    """``df`` stored in ``buckets`` by ``key``, as long as the block lasts: however often it is grouped by ``key``, it is shuffled once."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    name = f"clustered_{path[-32:]}"
+    with shuffles_removed(spark):
+        df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(name, format="parquet")
+    try:
+        yield (table := spark.table(name))
+        release(table)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def release(*tables: DataFrame) -> None:
     """Remove the files of tables as ``durable`` returned them, when nothing reads them any more."""
     for table in tables:

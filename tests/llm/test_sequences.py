@@ -100,6 +100,25 @@ def test_no_limit_lies_between_equal_values():
     assert ((limits < 1) & (limits > 0)).all()
 
 
+def test_toxicity_shuffles_labelled_texts_once_a_step(insults, monkeypatch):
+    """Texts without a label are filtered before they are shuffled, and shards are dealt once, not in every turn."""
+    plans, stored = {}, toxicity.durable
+
+    def noting(df, label):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, label)
+
+    monkeypatch.setattr(toxicity, "durable", noting)
+    docs, labels, _ = insults
+    spark = docs.sparkSession
+    before = {key: spark.conf.get(key, None) for key in toxicity.PRUNED}
+    toxicity.fit(docs, labels.where("doc_id < 500"), steps=5, shard_rows=150)
+    assert "might_contain" in plans["toxic-rows"][0]
+    assert [plan.count("Exchange") for plan in plans["toxic-pieces"]] == [1, 1, 1]
+    assert {key: spark.conf.get(key, None) for key in toxicity.PRUNED} == before
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("clustered_")]
+
+
 def test_toxicity_of_odd_rows(spark, edges, network):
     found = toxicity.score(edges, network)
     assert found.columns == [*edges.columns, "toxic_score_language", "toxic_score"] and found.count() == edges.count()

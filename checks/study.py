@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from copy import copy
 from functools import cache, cached_property, partial, reduce
 
 from pyspark.ml import Model
@@ -19,7 +20,7 @@ from panelforge.operators.binning import Binning
 from panelforge.operators.quantiles import assign_quantile
 from panelforge.plans import append, backtest, benchmarks, modelling
 from panelforge.plans import panel as panels
-from panelforge.settings import ALL_SIGNALS, CORE_SIGNALS, Sample
+from panelforge.settings import ALL_SIGNALS, CORE_SIGNALS, MODEL_KEYS, Sample
 from panelforge.sources import star_schema
 from panelforge.sources.panel_store import open_panel, replace_years
 from panelforge.sources.readers import ingest, load_factors, typed
@@ -39,6 +40,8 @@ SERIES = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT S
 RIDGE_GRID = [1e-4, 1e-2, 1.0, 10.0]
 PROFILED = ["be", "me", "value", "permno", "she"]
 RANK_DIGITS = 9
+# Signals of the sorts that strategies are compared with.
+SORTED = ["momentum_12", "size", "value"]
 STORE_BUCKETS = 8
 APPEND_AFTER = ("1998-12-31", "2001-10-31")
 YEAR_ENDS = [f"{y}-12-31" for y in range(1994, 2002)]
@@ -96,6 +99,14 @@ class Study:
     def research(self) -> DataFrame:
         return panels.research_panel(self.panel, self.linked)
 
+    def sharing(self, signals: Sequence[str]) -> Study:
+        """This study over a stored research panel of the columns that models of ``signals`` and sorts on the core signals
+        read, so that its windows and joins run once where a query builds several tables from it."""
+        columns = dict.fromkeys([*signals, *MODEL_KEYS, "ex_ret", *SORTED, *backtest.ROW_KEY])
+        other = copy(self)
+        other.research = durable(self.research.select(*columns), "research")
+        return other
+
     @cached_property
     def unweighted(self) -> DataFrame:
         """The research panel without market weights."""
@@ -186,7 +197,7 @@ class Study:
     def legs(self, model_returns: DataFrame, model_legs: dict[str, tuple[str, int]]) -> DataFrame:
         """Monthly value-weighted out-of-sample return of one group per strategy."""
         chosen = {"momentum": ("by_momentum_12", 10), "size": ("by_size", 1), "value": ("by_value", 1), **model_legs}
-        returns = self.portfolios("momentum_12", "size", "value").unionByName(
+        returns = self.portfolios(*SORTED).unionByName(
             model_returns.where(F.col("sample") == "out").drop("sample")
         )
         picked = performance.pick_legs(returns, chosen)
@@ -333,6 +344,7 @@ def _depth_two(s: Study) -> DataFrame:
 
 
 def _tree_metrics(s: Study) -> DataFrame:
+    s = s.sharing(ALL_SIGNALS)
     columns = ["model", "sample", "ret", "prediction"]
     scored = _decision_trees(s).select(columns)
     both = s.tree_predictions("rf", "gbt").where("model = 'rf' OR sample = 'validation'")

@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from checks import oracle, outputs, study
-from panelforge.plans import panel
+from panelforge.plans import modelling, panel
 from panelforge.storage import durable
 
 FOLDER = "/root/testdata/sf0.001"
@@ -75,3 +75,19 @@ def test_query(key, shared, db):
 
 def test_flagship_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("key", ["tree_metrics"])
+def test_the_panel_is_computed_once(spark, monkeypatch, key):
+    """Model rows and sorts read the stored panel; the order lines are read by its query alone."""
+    stored = []
+
+    def noting(df, label, *args, **options):
+        stored.append((label, "l_suppkey" in df._jdf.queryExecution().executedPlan().toString()))
+        return durable(df, label, *args, **options)
+
+    for module in (study, modelling):
+        monkeypatch.setattr(module, "durable", noting)
+    study.BUILDERS[key](study.Study(spark, FOLDER))
+    assert [label for label, computed in stored if computed] == ["research"]
+    assert "model-rows" in [label for label, _ in stored]

@@ -204,12 +204,14 @@ class Study:
         return picked.where(portfolios.month_end() > F.lit(SAMPLE.validation_end).cast("date"))
 
     def ols_legs(self) -> DataFrame:
-        returns = self.ols_back_test()["returns"].withColumn("signal", F.lit("ols"))
-        return self.legs(returns, {"ols": ("ols", 10)})
+        s = self.sharing(CORE_SIGNALS)
+        returns = s.ols_back_test()["returns"].withColumn("signal", F.lit("ols"))
+        return s.legs(returns, {"ols": ("ols", 10)})
 
     def tree_legs(self) -> DataFrame:
-        returns = self.tree_back_test("rf", "gbt")["returns"].withColumnRenamed("model", "signal")
-        return self.legs(returns, {"random_forest": ("rf", 10), "boosted_trees": ("gbt", 10)})
+        s = self.sharing(ALL_SIGNALS)
+        returns = s.tree_back_test("rf", "gbt")["returns"].withColumnRenamed("model", "signal")
+        return s.legs(returns, {"random_forest": ("rf", 10), "boosted_trees": ("gbt", 10)})
 
 
 def rankable(df: DataFrame, signal: str) -> DataFrame:

@@ -77,7 +77,7 @@ def test_flagship_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("key", ["tree_metrics"])
+@pytest.mark.parametrize("key", ["strategy_compare", "strategy_compare_models", "tree_metrics"])
 def test_the_panel_is_computed_once(spark, monkeypatch, key):
     """Model rows and sorts read the stored panel; the order lines are read by its query alone."""
     stored = []
